@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import media_mpeg, mixing
-from gleaner.llm.common import Scratch
+from gleaner.llm import media_mpeg, mixing, quality_knn
+from gleaner.llm.common import Scratch, id_remainder
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,19 @@ def op1_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def judged(scored: DataFrame, folds: int, held: int) -> DataFrame:
+    return scored.select("doc_id", (id_remainder(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return judged(quality_knn.score(docs, quality_knn.fit(docs, labels(spark, sf_dir))), 5, 0)
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(documents(spark, sf_dir), Scratch(spark), keep=False)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -41,7 +54,7 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
 
 
 def queries() -> dict:
-    return {"op1_mpeg_media": op1_mpeg_media, "op6_source_mixing": op6_source_mixing}
+    return {"op1_mpeg_media": op1_mpeg_media, "op2_quality_knn": op2_quality_knn, "op6_source_mixing": op6_source_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
