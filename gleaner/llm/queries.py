@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import media_mpeg, mixing, quality_knn
+from gleaner.llm import media_mpeg, mixing, quality_knn, toxicity_cf, winnow
 from gleaner.llm.common import Scratch, id_remainder
 
 
@@ -33,11 +33,20 @@ def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(quality_knn.score(docs, quality_knn.fit(docs, labels(spark, sf_dir))), 5, 0)
 
 
+def op5_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return judged(toxicity_cf.score(docs, toxicity_cf.fit(docs, labels(spark, sf_dir))), 4, 2)
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(documents(spark, sf_dir), Scratch(spark), keep=False)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_along(documents(spark, sf_dir))
+
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 t AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM d GROUP BY source),
@@ -54,7 +63,13 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
 
 
 def queries() -> dict:
-    return {"op1_mpeg_media": op1_mpeg_media, "op2_quality_knn": op2_quality_knn, "op6_source_mixing": op6_source_mixing}
+    return {
+        "op1_mpeg_media": op1_mpeg_media,
+        "op2_quality_knn": op2_quality_knn,
+        "op5_toxicity_counterfactual": op5_toxicity_counterfactual,
+        "op6_source_mixing": op6_source_mixing,
+        "op10_winnowing": op10_winnowing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
