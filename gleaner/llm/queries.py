@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import media_mpeg, mixing, quality_knn, toxicity_cf, winnow
+from gleaner.llm import langid_kn, media_mpeg, mixing, quality_knn, toxicity_cf, winnow
 from gleaner.llm.common import Scratch, id_remainder
 
 
@@ -43,6 +43,12 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_language_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid_kn.identify(docs, langid_kn.fit(docs))
+    return found.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "bits", "rejected")
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_along(documents(spark, sf_dir))
 
@@ -68,6 +74,7 @@ def queries() -> dict:
         "op2_quality_knn": op2_quality_knn,
         "op5_toxicity_counterfactual": op5_toxicity_counterfactual,
         "op6_source_mixing": op6_source_mixing,
+        "op9_language_kneser_ney": op9_language_kneser_ney,
         "op10_winnowing": op10_winnowing,
     }
 
