@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import langid_kn, media_mpeg, mixing, quality_knn, toxicity_cf, winnow
+from gleaner.llm import langid_kn, media_mpeg, mixing, packing, quality_knn, toxicity_cf, winnow
 from gleaner.llm.common import Scratch, id_remainder
 
 
@@ -43,6 +43,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), Scratch(spark))
+
+
 def op9_language_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid_kn.identify(docs, langid_kn.fit(docs))
@@ -74,6 +78,7 @@ def queries() -> dict:
         "op2_quality_knn": op2_quality_knn,
         "op5_toxicity_counterfactual": op5_toxicity_counterfactual,
         "op6_source_mixing": op6_source_mixing,
+        "op7_certified_packing": op7_certified_packing,
         "op9_language_kneser_ney": op9_language_kneser_ney,
         "op10_winnowing": op10_winnowing,
     }
