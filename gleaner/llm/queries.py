@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import langid_kn, media_mpeg, mixing, packing, quality_knn, toxicity_cf, winnow
+from gleaner.llm import langid_kn, media_mpeg, minhash, mixing, packing, quality_knn, toxicity_cf, winnow
 from gleaner.llm.common import Scratch, id_remainder
 
 
@@ -47,6 +47,10 @@ def op7_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), Scratch(spark))
 
 
+def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), Scratch(spark), size=4)
+
+
 def op9_language_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid_kn.identify(docs, langid_kn.fit(docs))
@@ -72,6 +76,21 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
 """
 
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+t AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT u, v FROM t UNION SELECT r.u, t.v FROM r JOIN t ON t.u = r.v),
+c AS (SELECT u, least(u, min(v)) AS m FROM r GROUP BY u)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.m, w.doc_id) AS component_id, coalesce(c.m, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.u = w.doc_id
+"""
+
+
 def queries() -> dict:
     return {
         "op1_mpeg_media": op1_mpeg_media,
@@ -79,10 +98,11 @@ def queries() -> dict:
         "op5_toxicity_counterfactual": op5_toxicity_counterfactual,
         "op6_source_mixing": op6_source_mixing,
         "op7_certified_packing": op7_certified_packing,
+        "op8_minhash_near_duplicates": op8_minhash_near_duplicates,
         "op9_language_kneser_ney": op9_language_kneser_ney,
         "op10_winnowing": op10_winnowing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": OP6_SQL}
+    return {"op6_source_mixing": OP6_SQL, "op8_minhash_near_duplicates": OP8_SQL}
