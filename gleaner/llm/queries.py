@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import langid_kn, media_mpeg, minhash, mixing, packing, quality_knn, toxicity_cf, winnow
+from gleaner.llm import langid_kn, media_mpeg, minhash, mixing, packing, quality_knn, substring_tree, toxicity_cf, winnow
 from gleaner.llm.common import Scratch, id_remainder
 
 
@@ -33,6 +33,10 @@ def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(quality_knn.score(docs, quality_knn.fit(docs, labels(spark, sf_dir))), 5, 0)
 
 
+def op3_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_tree.removal_digests(documents(spark, sf_dir), Scratch(spark))
+
+
 def op5_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return judged(toxicity_cf.score(docs, toxicity_cf.fit(docs, labels(spark, sf_dir))), 4, 2)
@@ -76,6 +80,17 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
 """
 
 
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT rid, p, md5(array_to_string(ws[p : p + 34], ' ')) AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS p FROM w WHERE len(ws) >= 35)),
+r AS (SELECT rid, p FROM s WHERE g IN (SELECT g FROM s GROUP BY g HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT rid, unnest(range(p, p + 35)) AS p FROM r),
+words AS (SELECT rid, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (rid)
+"""
+
 OP8_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
@@ -95,6 +110,7 @@ def queries() -> dict:
     return {
         "op1_mpeg_media": op1_mpeg_media,
         "op2_quality_knn": op2_quality_knn,
+        "op3_suffix_tree_dedup": op3_suffix_tree_dedup,
         "op5_toxicity_counterfactual": op5_toxicity_counterfactual,
         "op6_source_mixing": op6_source_mixing,
         "op7_certified_packing": op7_certified_packing,
@@ -105,4 +121,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": OP6_SQL, "op8_minhash_near_duplicates": OP8_SQL}
+    return {"op3_suffix_tree_dedup": OP3_SQL, "op6_source_mixing": OP6_SQL, "op8_minhash_near_duplicates": OP8_SQL}
