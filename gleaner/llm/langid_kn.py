@@ -124,9 +124,13 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 
 def bounded(counts: DataFrame, capacity: int) -> DataFrame:
-    """The grams of each language at or above the least count that leaves at most ``capacity``."""
-    w = Window.partitionBy("lang").orderBy(F.col("n").desc())
-    spread = counts.groupBy("lang", "n").agg(F.count("*").alias("m")).withColumn("above", F.sum("m").over(w))
+    """The grams of each language at or above the least count that leaves at most ``capacity``.
+
+    Counts are summed in classes of width 1/16 of a power of two, so a language has under a
+    thousand classes at any size of the corpus.
+    """
+    w = Window.partitionBy("lang").orderBy(F.col("class").desc())
+    spread = counts.groupBy("lang", F.floor(F.log2("n") * 16).alias("class")).agg(F.count("*").alias("m"), F.min("n").alias("n")).withColumn("above", F.sum("m").over(w))
     least = spread.where(F.col("above") <= capacity).groupBy("lang").agg(F.min("n").alias("least"))
     return counts.join(F.broadcast(least), "lang").where("n >= least").drop("least")
 

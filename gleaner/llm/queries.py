@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import langid_kn, media_mpeg, minhash, mixing, packing, quality_knn, substring_tree, toxicity_cf, winnow
+from gleaner.llm import langid_kn, license_scan, media_mpeg, minhash, mixing, packing, quality_knn, substring_tree, toxicity_cf, winnow
 from gleaner.llm.common import Scratch, id_remainder
 
 
@@ -37,6 +37,10 @@ def op3_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_tree.removal_digests(documents(spark, sf_dir), Scratch(spark))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, sf_dir))
+
+
 def op5_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return judged(toxicity_cf.score(docs, toxicity_cf.fit(docs, labels(spark, sf_dir))), 4, 2)
@@ -111,6 +115,7 @@ def queries() -> dict:
         "op1_mpeg_media": op1_mpeg_media,
         "op2_quality_knn": op2_quality_knn,
         "op3_suffix_tree_dedup": op3_suffix_tree_dedup,
+        "op4_license_scan": op4_license_scan,
         "op5_toxicity_counterfactual": op5_toxicity_counterfactual,
         "op6_source_mixing": op6_source_mixing,
         "op7_certified_packing": op7_certified_packing,
