@@ -207,7 +207,7 @@ def _subtrees(window: int, chunk: int = 1 << 20):
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = text_of(F.col("text"))
-    return docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_h", F.xxhash64(text))
+    return docs.withColumn("_gleaner_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_gleaner_h", F.xxhash64(text))
 
 
 def _remove(window: int):
@@ -240,7 +240,7 @@ def repeated_words(docs: DataFrame, scratch: Scratch, window: int = 35, wide_fro
     small_batches(docs.sparkSession)
     text = text_of(F.col("text"))
     keyed = _keyed(docs)
-    rows = keyed.select(F.col("_k").alias("k"), F.col("_h").alias("h"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = keyed.select(F.col("_gleaner_k").alias("k"), F.col("_gleaner_h").alias("h"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     scanned = scratch.keep(rows.mapInArrow(_scan(window), "k long, h long, digest binary, doc_id long, n_words long, all_sha256 string, anchors array<long>"))
     copies = scanned.groupBy("digest").agg(F.count("*").alias("copies"), F.min("k").alias("witness")).where("copies > 1")
     everything = scratch.keep(scanned.select("k", "h", "digest", "doc_id", "n_words", "all_sha256").join(copies, "digest", "left").withColumn("copied", F.col("copies").isNotNull()).drop("digest", "copies"))
@@ -249,7 +249,7 @@ def repeated_words(docs: DataFrame, scratch: Scratch, window: int = 35, wide_fro
     grams = scanned.where(F.size("anchors") > 0).join(mute, ["k", "h"], "left_anti").select("k", "h", F.explode("anchors").alias("anchor"))
     shared = grams.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     seeds = grams.join(shared, "anchor").groupBy("k", "h").agg(F.collect_set(F.struct("anchor", "n")).alias("seeds"))
-    texts = keyed.select(F.col("_k").alias("k"), F.col("_h").alias("h"), text.alias("text"))
+    texts = keyed.select(F.col("_gleaner_k").alias("k"), F.col("_gleaner_h").alias("h"), text.alias("text"))
     seeded = scratch.keep(texts.join(seeds, ["k", "h"]))
     contexts = seeded.mapInArrow(_contexts(window, wide_from), CONTEXT)
     contexts = scratch.keep(contexts)
@@ -285,7 +285,7 @@ def removal_digests(docs: DataFrame, scratch: Scratch, window: int = 35) -> Data
 def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = 35) -> DataFrame:
     """``docs`` with repeated words removed; texts without repeats stay as they are, emptied ones go."""
     everything, changed = repeated_words(docs, scratch, window)
-    gone = everything.where(F.col("copied") & (F.col("n_words") >= window)).select(F.col("k").alias("_k"), F.col("h").alias("_h"), F.lit("").alias("_kept")).distinct()
-    new = changed.select(F.col("k").alias("_k"), F.col("h").alias("_h"), F.col("kept").alias("_kept")).union(gone)
-    joined = _keyed(docs).join(new, ["_k", "_h"], "left").where("_kept is null or _kept <> ''")
-    return joined.select(*[F.coalesce("_kept", F.col("text").cast("string")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    gone = everything.where(F.col("copied") & (F.col("n_words") >= window)).select(F.col("k").alias("_gleaner_k"), F.col("h").alias("_gleaner_h"), F.lit("").alias("_gleaner_kept")).distinct()
+    new = changed.select(F.col("k").alias("_gleaner_k"), F.col("h").alias("_gleaner_h"), F.col("kept").alias("_gleaner_kept")).union(gone)
+    joined = _keyed(docs).join(new, ["_gleaner_k", "_gleaner_h"], "left").where("_gleaner_kept is null or _gleaner_kept <> ''")
+    return joined.select(*[F.coalesce("_gleaner_kept", F.col("text").cast("string")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
