@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch.  Text rows are a few KB on average, so this bounds a worker's memory.
 ARROW_ROWS = 1024
 #: Bytes of text that a numpy kernel looks at together (one longer text is still taken whole).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -30,6 +33,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def tidy(kernel: Callable) -> Callable:
+    """A batch kernel that gives freed memory back at the end of its task: workers live on and are used again."""
+
+    @functools.wraps(kernel)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from kernel(batches)
+        finally:
+            gc.collect()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; one of our own only where the session names none (tests)."""
     sc = spark.sparkContext

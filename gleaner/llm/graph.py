@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Scratch
+from gleaner.llm.common import Scratch, tidy
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +51,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFram
     aggregate, and it comes back to the edges by a join that Spark may split where it is skewed.
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
-    e = scratch.keep(e.mapInArrow(_contracted, "u long, v long"))
+    e = scratch.keep(e.mapInArrow(tidy(_contracted), "u long, v long"))
     mark = None
     for _ in range(rounds):
         both = e.select("u", "v").union(e.select("v", "u"))

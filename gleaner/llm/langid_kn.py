@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import U64, chunked, id_remainder, mix, small_batches, text_buffers, text_of
+from gleaner.llm.common import U64, chunked, id_remainder, mix, small_batches, text_buffers, text_of, tidy
 
 ORDER, SPACE = 4, 0x20
 _B = U64(16)
@@ -119,7 +119,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    parts = docs.select("lang", "text").mapInArrow(counted, "lang string, gram long, n long")
+    parts = docs.select("lang", "text").mapInArrow(tidy(counted), "lang string, gram long, n long")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -291,7 +291,7 @@ def fit(docs: DataFrame, folds: int = 5, held: int = 0, capacity: int = 400_000,
 
     keys = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_calibration)
     sample = rows.join(F.broadcast(keys), "doc_id", "left_semi").select(F.col("text").cast("string"))
-    seen = sample.mapInArrow(judged, "lang long, length long, bits double, size long").where("size > 0").toPandas()
+    seen = sample.mapInArrow(tidy(judged), "lang long, length long, bits double, size long").where("size > 0").toPandas()
     sent.destroy()
     # Per length, for all languages together: short texts vary more.
     for c in range(len(LENGTHS) + 1):
@@ -313,7 +313,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 langs, scores, bits, rejected = sent.value.judge(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "bits", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text")).mapInArrow(judged, "doc_id long, lang_pred string, score double, bits double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text")).mapInArrow(tidy(judged), "doc_id long, lang_pred string, score double, bits double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -328,4 +328,4 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
             out = [~sent.value.judge(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[3] for i, j in chunked(offsets)]
             yield b.filter(pa.array(np.concatenate(out) if out else np.zeros(0, bool)))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(tidy(kept), docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import chunked, gram_hashes, small_batches, text_buffers, text_of, word_hashes
+from gleaner.llm.common import chunked, gram_hashes, small_batches, text_buffers, text_of, tidy, word_hashes
 from gleaner.llm.license_texts import TEMPLATES
 
 GRAM, WINDOW, BAND = 3, 2, 12
@@ -171,4 +171,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text"))
-    return rows.mapInArrow(scanned, SCANNED)
+    return rows.mapInArrow(tidy(scanned), SCANNED)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import small_batches, text_of
+from gleaner.llm.common import small_batches, text_of, tidy
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: bit rates in kbit/s and sample rates in Hz by header index.
 BITRATES = {
@@ -301,10 +301,10 @@ def store_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text as an MPEG stream."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text"))
-    return rows.mapInArrow(_encoded, "doc_id long, n_bytes long, media binary")
+    return rows.mapInArrow(tidy(_encoded), "doc_id long, n_bytes long, media binary")
 
 
 def read_media(stored: DataFrame) -> DataFrame:
     """Features of each stored stream, from its bytes alone (``FEATURES``)."""
     small_batches(stored.sparkSession)
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(_read, FEATURES)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(tidy(_read), FEATURES)

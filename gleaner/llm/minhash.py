@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import U64, Scratch, chunked, gram_hashes, mix, small_batches, split_words, text_buffers, text_of, word_hashes
+from gleaner.llm.common import U64, Scratch, chunked, gram_hashes, mix, small_batches, split_words, text_buffers, text_of, tidy, word_hashes
 from gleaner.llm.graph import components
 
 COORDS = 64
@@ -87,7 +87,7 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), keys, tokens, brief], ["doc_id", "n_shingles", "set_key", "tokens", "brief"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text"))
-    return rows.mapInArrow(signed, SIGNED)
+    return rows.mapInArrow(tidy(signed), SIGNED)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
@@ -167,7 +167,7 @@ def candidate_edges(classes: DataFrame, match: int, list_cap: int) -> DataFrame:
     ranked = tokens.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked")).where(F.size("ranked") >= match)
     postings = ranked.select("rep", F.explode(F.slice("ranked", F.lit(1), F.size("ranked") - match + 1)).alias("p")).select("rep", "p.n", "p.token")
     lists = postings.where(F.col("n") <= list_cap).join(classes.select("rep", "brief"), "rep").select("token", "rep", "brief")
-    counted = lists.repartition("token").sortWithinPartitions("token", "rep").mapInArrow(_merge_lists(match), "u long, v long")
+    counted = lists.repartition("token").sortWithinPartitions("token", "rep").mapInArrow(tidy(_merge_lists(match)), "u long, v long")
     long_ = postings.where(F.col("n") > list_cap)
     whole = long_.join(long_.groupBy("token").agg(F.min("rep").alias("v")), "token").select(F.col("rep").alias("u"), "v")
     return counted.union(whole).distinct()
@@ -240,7 +240,7 @@ def _confirm_giant(members: DataFrame, scratch: Scratch, size: int, match: int,
     for _ in range(stars):
         leaders = left.where("leader is null").groupBy("comp").agg(F.min_by(F.struct("rep", "brief", "text"), "rep").alias("l"))
         pairs = left.where("leader is null").join(leaders, "comp").select("rep", "brief", "text", F.col("l.rep").alias("lead"), F.col("l.brief").alias("lead_brief"), F.col("l.text").alias("lead_text"))
-        edges = scratch.keep(pairs.mapInArrow(star, "u long, v long"))
+        edges = scratch.keep(pairs.mapInArrow(tidy(star), "u long, v long"))
         found.append(edges)
         reached = edges.select(F.col("u").alias("rep"), F.col("v").alias("by")).union(leaders.select("l.rep", "l.rep"))
         left = scratch.keep(left.join(reached, "rep", "left").withColumn("leader", F.coalesce("leader", "by")).drop("by"))
@@ -265,7 +265,7 @@ def _confirm_giant(members: DataFrame, scratch: Scratch, size: int, match: int,
             out = [(max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in links(len(ids), near, int((side == 0).sum())) if ids[i] != ids[j]]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["u", "v"])
 
-    found.append(blocks.mapInArrow(compare, "u long, v long"))
+    found.append(blocks.mapInArrow(tidy(compare), "u long, v long"))
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, least: int
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of(F.col("text")).alias("text"))
     full = scratch.keep(members.join(texts, "rep").dropDuplicates(["rep"]).select("comp", "rep", "brief", "text", "n_shingles", "total"))
     usual = full.where(F.col("total") <= group_shingles).select("comp", "rep", "brief", "text").repartition("comp").sortWithinPartitions("comp", "rep")
-    edges = usual.mapInArrow(_confirm(size, match, least), "u long, v long")
+    edges = usual.mapInArrow(tidy(_confirm(size, match, least)), "u long, v long")
     if members.where(F.col("total") > group_shingles).limit(1).count():
         edges = edges.union(_confirm_giant(full.where(F.col("total") > group_shingles).drop("total"), scratch, size, match, least, group_shingles))
     linked = components(edges, scratch)

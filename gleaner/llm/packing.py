@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Scratch, small_batches, text_of
+from gleaner.llm.common import Scratch, small_batches, text_of, tidy
 
 CAPACITY, END = 1024, 2
 #: The published pattern that splits text before merges of this vocabulary.
@@ -39,9 +39,8 @@ class ByteBpe:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(path)
+        self.path, self.full = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [x["content"] for x in spec["added_tokens"]]
@@ -53,6 +52,10 @@ class ByteBpe:
 
     def ids(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
+            if self.full is None:  # rare, and large in memory
+                from tokenizers import Tokenizer
+
+                self.full = Tokenizer.from_file(self.path)
             return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
@@ -93,7 +96,7 @@ def piece_documents(docs: DataFrame, path: str | None = None, capacity: int = CA
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text"))
-    return rows.mapInArrow(pieces, PIECES)
+    return rows.mapInArrow(tidy(pieces), PIECES)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -222,4 +225,4 @@ def materialise(docs: DataFrame, packed: DataFrame, path: str | None = None) ->
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], ["sequence_id", "offset", "ids"])
 
     small_batches(docs.sparkSession)
-    return rows.select("text", "plan").mapInArrow(tokens, "sequence_id long, offset long, ids array<long>")
+    return rows.select("text", "plan").mapInArrow(tidy(tokens), "sequence_id long, offset long, ids array<long>")

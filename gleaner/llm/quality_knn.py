@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import U64, chunked, id_remainder, mix, small_batches, split_words, text_buffers, text_of, word_hashes
+from gleaner.llm.common import U64, chunked, id_remainder, mix, small_batches, split_words, text_buffers, text_of, tidy, word_hashes
 
 WORD_COLUMNS, SHAPE_COLUMNS = 1024, 1024
 COLUMNS = WORD_COLUMNS + SHAPE_COLUMNS
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled
                 packed = [np.minimum(r, 65535).astype(np.uint16).tobytes() for r in counts]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(packed, pa.binary())], ["doc_id", "label", "counts"])
 
-    got = rows.select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(counted, "doc_id long, label int, counts binary").toPandas()
+    got = rows.select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(tidy(counted), "doc_id long, label int, counts binary").toPandas()
     got = got.sort_values(["doc_id", "label", "counts"])
     counts = np.frombuffer(b"".join(got["counts"]), np.uint16).reshape(-1, COLUMNS).astype(np.float32)
     return Model(counts, got["label"].to_numpy(), rank, neighbours, sharpness)
@@ -147,4 +147,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             parts = [sent.value.score(term_counts(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in chunked(offsets)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text")).mapInArrow(scored, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text")).mapInArrow(tidy(scored), "doc_id long, score double")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import U64, Scratch, chunked, gram_hashes, small_batches, split_words, text_buffers, text_of, word_hashes
+from gleaner.llm.common import U64, Scratch, chunked, gram_hashes, small_batches, split_words, text_buffers, text_of, tidy, word_hashes
 
 GRAM = 8
 _LOW = U64(0xFFFFFFFF)
@@ -230,7 +230,7 @@ def _remove(window: int):
     return removed
 
 
-def repeated_words(docs: DataFrame, scratch: Scratch, window: int = 35, wide_from: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def repeated_words(docs: DataFrame, scratch: Scratch, window: int = 35, wide_from: int = 4_000) -> tuple[DataFrame, DataFrame]:
     """What to remove: (all, changed).
 
     all: (k, h, doc_id, n_words, all_sha256, copied) of every row; ``copied``: its whole text occurs again.
@@ -241,7 +241,7 @@ def repeated_words(docs: DataFrame, scratch: Scratch, window: int = 35, wide_fro
     text = text_of(F.col("text"))
     keyed = _keyed(docs)
     rows = keyed.select(F.col("_gleaner_k").alias("k"), F.col("_gleaner_h").alias("h"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    scanned = scratch.keep(rows.mapInArrow(_scan(window), "k long, h long, digest binary, doc_id long, n_words long, all_sha256 string, anchors array<long>"))
+    scanned = scratch.keep(rows.mapInArrow(tidy(_scan(window)), "k long, h long, digest binary, doc_id long, n_words long, all_sha256 string, anchors array<long>"))
     copies = scanned.groupBy("digest").agg(F.count("*").alias("copies"), F.min("k").alias("witness")).where("copies > 1")
     everything = scratch.keep(scanned.select("k", "h", "digest", "doc_id", "n_words", "all_sha256").join(copies, "digest", "left").withColumn("copied", F.col("copies").isNotNull()).drop("digest", "copies"))
     # One row of each text says where its grams are.
@@ -251,17 +251,17 @@ def repeated_words(docs: DataFrame, scratch: Scratch, window: int = 35, wide_fro
     seeds = grams.join(shared, "anchor").groupBy("k", "h").agg(F.collect_set(F.struct("anchor", "n")).alias("seeds"))
     texts = keyed.select(F.col("_gleaner_k").alias("k"), F.col("_gleaner_h").alias("h"), text.alias("text"))
     seeded = scratch.keep(texts.join(seeds, ["k", "h"]))
-    contexts = seeded.mapInArrow(_contexts(window, wide_from), CONTEXT)
+    contexts = seeded.mapInArrow(tidy(_contexts(window, wide_from)), CONTEXT)
     contexts = scratch.keep(contexts)
     usual = contexts.where("wide = X''").select("anchor", "k", "h", "start", "words").repartition("anchor").sortWithinPartitions("anchor")
-    runs = usual.mapInArrow(_subtrees(window), "k long, h long, low long, high long")
+    runs = usual.mapInArrow(tidy(_subtrees(window)), "k long, h long, low long, high long")
     wide = contexts.where("wide <> X''").select("wide", "k", "h", "start")
     twice = wide.groupBy("wide").agg(F.count("*").alias("n")).where("n > 1").select("wide")
     runs = runs.union(wide.join(twice, "wide").select("k", "h", F.col("start").alias("low"), F.col("start").alias("high")))
     per_text = runs.groupBy("k", "h").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
     whole = everything.where("copied").select("k", "h").distinct()
     open_ = seeded.select("k", "h", "text").join(per_text, ["k", "h"]).join(whole, ["k", "h"], "left_anti")
-    changed = open_.select("k", "h", "text", "runs").mapInArrow(_remove(window), "k long, h long, n_removed long, kept string")
+    changed = open_.select("k", "h", "text", "runs").mapInArrow(tidy(_remove(window)), "k long, h long, n_removed long, kept string")
     return everything, scratch.keep(changed)
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import CHUNK_BYTES, U64, mix, small_batches, text_of
+from gleaner.llm.common import CHUNK_BYTES, U64, mix, small_batches, text_of, tidy
 
 GRAM, WINDOW = 16, 32  # powers of two: both are built by doubling
 _BASE = 0xD6E8FEB86659FD93
@@ -102,7 +102,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                 x = fingerprints(texts[i:j])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([h.astype(np.int64) for h, _ in x], pa.list_(pa.int64())), pa.array([p for _, p in x], pa.list_(pa.int64()))], ["doc_id", "hashes", "positions"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text")).mapInArrow(found, "doc_id long, hashes array<long>, positions array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text")).mapInArrow(tidy(found), "doc_id long, hashes array<long>, positions array<long>")
 
 
 def _ranges(sizes: list[int], limit: int = CHUNK_BYTES // 4) -> Iterator[tuple[int, int]]:
@@ -177,4 +177,4 @@ def compare_along(docs: DataFrame) -> DataFrame:
         rows = rows.select(F.col("b").cast("int"), F.col("tail").cast("int"), "doc_id", "text")
     else:
         rows = rows.select(F.col("bucket").cast("int").alias("b"), F.lit(0).alias("tail"), "doc_id", "text")
-    return rows.mapInArrow(_compared, RESULT)
+    return rows.mapInArrow(tidy(_compared), RESULT)
