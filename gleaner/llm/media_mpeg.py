@@ -3,8 +3,8 @@
 ``encode`` stores payload bytes losslessly as the ancillary bytes of silent MPEG-1 Layer III
 frames (each granule's part2_3_length is 0, so no decoder reads them as audio), behind an ID3v2 tag
 and an Info frame with a variable-bitrate table.  ``parse`` reads any stream: it skips tags,
-resynchronises on frame headers (a header counts when the next one stands where it must, or the
-stream ends there), checks each frame's CRC-16, reads Xing/Info and VBRI tables, and returns exact
+resynchronises on frame headers (a header counts when it stands where the frame before ends, or its CRC is
+right, or the next one stands where it must, or the stream ends there), checks each frame's CRC-16, reads Xing/Info and VBRI tables, and returns exact
 durations and seek offsets.
 
 Defined cases: null payload is the empty payload; an empty stream or one without any frame has 0
@@ -201,6 +201,7 @@ def parse(media: bytes) -> dict:
         tags["id3v1"] = media[end + 3 : end + 33].rstrip(b"\x00 ").decode("latin-1")
     out = {"tags": tags, "vbr": None, "offsets": [], "samples": 0, "rate": 0, "crc_bad": 0, "crc_checked": 0, "skipped": 0, "music_crc_ok": None, "tag_crc_ok": None}
     parts, first, first_end, audio_from = [], True, 0, at
+    expected, kind_before = -1, None
     while at + 4 <= end:
         found = frame_header(int.from_bytes(media[at : at + 4], "big"))
         if found is None or at + found[0] > end:
@@ -211,15 +212,17 @@ def parse(media: bytes) -> dict:
             continue
         size, samples, hz, layer, protected, side = found
         follow = frame_header(int.from_bytes(media[at + size : at + size + 4], "big")) if at + size + 4 <= end else True
-        if not follow or (follow is not True and follow[2:4] != (hz, layer)):
+        chained = at == expected and (hz, layer) == kind_before
+        checked = protected and layer == 3
+        right = checked and frame_crc(media[at + 2 : at + 4] + media[at + 6 : at + 6 + side]) == (media[at + 4] << 8 | media[at + 5])
+        if not (chained or right) and (not follow or (follow is not True and follow[2:4] != (hz, layer))):
             out["skipped"] += 1
             at += 1
             continue
+        expected, kind_before = at + size, (hz, layer)
         head = 4 + 2 * protected
-        if protected and layer == 3:
-            out["crc_checked"] += 1
-            want = media[at + 4] << 8 | media[at + 5]
-            out["crc_bad"] += frame_crc(media[at + 2 : at + 4] + media[at + 6 : at + 6 + side]) != want
+        out["crc_checked"] += checked
+        out["crc_bad"] += checked and not right
         body = at + head + side
         if first:
             first = False
