@@ -134,9 +134,12 @@ def find(index: Index, words: np.ndarray, min_coverage: float) -> list[tuple[str
             low, high = run[0][0] - BAND, run[-1][0] + BAND
             base = max(0, low)
             part = words[base : max(0, high) + len(template)].tolist()
-            _, matched, _, a, b = align(template, part, low - base, high - base)
-            if matched and matched / len(template) >= min_coverage:
+            while True:  # the template may stand here more than once: what has been found is masked
+                _, matched, _, a, b = align(template, part, low - base, high - base)
+                if not matched or matched / len(template) < min_coverage:
+                    break
                 places.append((-matched, -matched / len(template), a + base, t, b + base))
+                part[a:b] = [-1] * (b - a)
             if h is not None:
                 run = [h]
     taken: list[tuple] = []
