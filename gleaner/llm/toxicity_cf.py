@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import U64, chunked, id_remainder, mix, small_batches, text_buffers, text_of, word_hashes
+from gleaner.llm.common import U64, chunked, id_remainder, mix, small_batches, text_buffers, text_of, tidy, word_hashes
 
 BITS = 18
 #: Terms that may stand for one another in a sentence.
@@ -73,12 +73,13 @@ def word_columns(raw: np.ndarray, offsets: np.ndarray, only: np.ndarray | None =
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def _column(term: str) -> int:
+def _term(term: str) -> tuple[int, np.ndarray]:
+    """The column of the word itself, and those of all its features."""
     raw = np.frombuffer(term.encode(), np.uint8)
-    return int(word_hashes(raw, np.array([0]), np.array([len(raw)]))[0] >> U64(64 - BITS))
+    return int(word_hashes(raw, np.array([0]), np.array([len(raw)]))[0] >> U64(64 - BITS)), word_columns(raw, np.array([0, len(raw)]))[1]
 
 
-GROUP_COLUMNS = [np.unique([_column(t) for t in group]) for group in IDENTITY_GROUPS]
+TERMS = [[_term(t) for t in group] for group in IDENTITY_GROUPS]
 
 
 class Model:
@@ -100,17 +101,23 @@ class Model:
         chosen[np.argsort(-chi, kind="stable")[:features]] = True
         keep = chosen[columns] & (chi[columns] >= 0)
         rows, columns = rows[keep], columns[keep]
-        used, compact = np.unique(np.concatenate([columns, *GROUP_COLUMNS]), return_inverse=True)
+        used, compact = np.unique(np.concatenate([columns, *[c for group in TERMS for _, c in group]]), return_inverse=True)
         columns = compact[: len(columns)]
-        # Swaps: from the term that stands there (or one put in) to another of its group.
+        # Swaps: from the term that stands there (or one put in) to another of its group, each with all its features.
         rng = np.random.default_rng(seed)
-        of = {int(c): g for g in GROUP_COLUMNS for c in g}
-        where = np.flatnonzero(np.isin(used[columns], list(of)))
-        swaps = [(columns[i], np.searchsorted(used, rng.choice(of[int(used[columns[i]])]))) for i in where]
+        group_of = {word: (g, i) for g, group in enumerate(TERMS) for i, (word, _) in enumerate(group)}
+        swaps = [group_of[int(used[c])] for c in columns if int(used[c]) in group_of]
         for _ in range(min(n, 500)):
-            g = GROUP_COLUMNS[rng.integers(len(GROUP_COLUMNS))]
-            swaps.append(tuple(np.searchsorted(used, rng.choice(g, 2, replace=False))) if len(g) > 1 else (0, 0))
-        a, b = np.array(swaps, np.int64).T
+            g = int(rng.integers(len(TERMS)))
+            swaps.append((g, int(rng.integers(len(TERMS[g])))))
+        sign, place, which = [], [], []
+        for k, (g, i) in enumerate(swaps):
+            j = (i + int(rng.integers(1, len(TERMS[g])))) % len(TERMS[g])
+            for value, (_, cols) in ((1.0, TERMS[g][i]), (-1.0, TERMS[g][j])):
+                place.append(np.searchsorted(used, cols))
+                which.append(np.full(len(cols), k))
+                sign.append(np.full(len(cols), value))
+        sign, place, which = np.concatenate(sign), np.concatenate(place), np.concatenate(which)
         w, bias = np.zeros(len(used)), self.bias
         first, second, first_b, second_b = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
         balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
@@ -118,8 +125,8 @@ class Model:
             s = bias + np.bincount(rows, w[columns], minlength=n)
             g = balance * (1 / (1 + np.exp(-np.clip(s, -30, 30))) - labels) / n
             grad = np.bincount(columns, g[rows], minlength=len(used)) + l2 * w
-            change = 2 * strength / len(a) * (w[a] - w[b])
-            grad += np.bincount(a, change, minlength=len(used)) - np.bincount(b, change, minlength=len(used))
+            change = 2 * strength / len(swaps) * np.bincount(which, sign * w[place], minlength=len(swaps))
+            grad += np.bincount(place, sign * change[which], minlength=len(used))
             first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
             first_b, second_b = 0.9 * first_b + 0.1 * g.sum(), 0.999 * second_b + 0.001 * g.sum() ** 2
             rate, c1, c2 = 0.05 / (1 + t / 150), 1 - 0.9**t, 1 - 0.999**t
@@ -147,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
                 parts = np.split(column.astype(np.int32), np.searchsorted(row, np.arange(1, j - i)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "label", "columns"])
 
-    got = rows.mapInArrow(found, "doc_id long, label int, columns binary").toPandas().sort_values(["doc_id", "label", "columns"])
+    got = rows.mapInArrow(tidy(found), "doc_id long, label int, columns binary").toPandas().sort_values(["doc_id", "label", "columns"])
     parts = [np.frombuffer(x, np.int32) for x in got["columns"]]
     columns = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
     return Model(np.repeat(np.arange(len(parts)), [len(p) for p in parts]), columns, got["label"].to_numpy(np.float64), strength, l2)
@@ -164,4 +171,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             parts = [sent.value.score(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunked(offsets)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text")).mapInArrow(scored, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text")).mapInArrow(tidy(scored), "doc_id long, score double")
