@@ -19,6 +19,7 @@ null id is an id like others; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,22 +99,25 @@ def _contexts(window: int, wide_from: int):
                 data, out = part.tobytes(), []
                 bounds = np.searchsorted(a.doc, np.arange(j - i + 1))
                 for d in range(j - i):
-                    known = {x["anchor"]: x["n"] for x in seeds[i + d]}
+                    known, wide = {x["anchor"]: x["n"] for x in seeds[i + d]}, defaultdict(list)
+                    base = int(a.first[d])
                     for r in range(bounds[d], bounds[d + 1]):
                         n = known.get(int(a.value[r]))
                         if n is None:
                             continue
-                        low, high, base = int(a.low[r]), int(a.high[r]), int(a.first[d])
+                        low, high = int(a.low[r]), int(a.high[r])
+                        part_words = data[a.starts[low] : a.ends[high + window - 1]]
                         if n < wide_from:
-                            out.append((int(a.value[r]), b"", ks[i + d], hs[i + d], low - base, data[a.starts[low] : a.ends[high + window - 1]]))
+                            out.append((int(a.value[r]), b"", ks[i + d], hs[i + d], low - base, part_words, []))
                         else:
-                            words = data[a.starts[low] : a.ends[high + window - 1]].split()
+                            words = part_words.split()
                             for s in range(high - low + 1):
-                                key = hashlib.blake2b(b" ".join(words[s : s + window]), digest_size=16).digest()
-                                out.append((int(a.value[r]), key, ks[i + d], hs[i + d], low + s - base, b""))
+                                wide[hashlib.blake2b(b" ".join(words[s : s + window]), digest_size=16).digest()].append(low + s - base)
                         if len(out) >= 5000:
                             yield _context_batch(out)
                             out = []
+                    # A window that one text holds many times is one row with all its places.
+                    out += [(0, key, ks[i + d], hs[i + d], 0, b"", starts) for key, starts in wide.items()]
                 if out:
                     yield _context_batch(out)
 
@@ -121,11 +125,11 @@ def _contexts(window: int, wide_from: int):
 
 
 def _context_batch(out: list) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["anchor", "wide", "k", "h", "start", "words"])
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["anchor", "wide", "k", "h", "start", "words", "places"])
 
 
-CONTEXT = "anchor long, wide binary, k long, h long, start long, words binary"
+CONTEXT = "anchor long, wide binary, k long, h long, start long, words binary, places array<long>"
 
 
 def prefix_ranks(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -211,17 +215,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _remove(window: int):
-    """(k, h, text, runs) -> words removed and the kept words."""
+    """(k, h, text, runs, places) of repeated windows -> words removed and the kept words."""
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, kept = [], []
-            for text, runs in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for text, runs, places in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
                 words = text.encode("utf-8", "replace").split()
                 gone = np.zeros(len(words) + 1, np.int64)
-                for r in runs:
-                    gone[r["low"]] += 1
-                    gone[r["high"] + window] -= 1
+                for low, high in [*((r["low"], r["high"]) for r in runs), *((p, p) for p in places)]:
+                    gone[low] += 1
+                    gone[high + window] -= 1
                 stay = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
                 n.append(len(words) - len(stay))
                 kept.append(b" ".join([words[i] for i in stay.tolist()]).decode("utf-8", "replace"))
@@ -255,13 +259,16 @@ def repeated_words(docs: DataFrame, scratch: Scratch, window: int = 35, wide_fro
     contexts = scratch.keep(contexts)
     usual = contexts.where("wide = X''").select("anchor", "k", "h", "start", "words").repartition("anchor").sortWithinPartitions("anchor")
     runs = usual.mapInArrow(tidy(_subtrees(window)), "k long, h long, low long, high long")
-    wide = contexts.where("wide <> X''").select("wide", "k", "h", "start")
-    twice = wide.groupBy("wide").agg(F.count("*").alias("n")).where("n > 1").select("wide")
-    runs = runs.union(wide.join(twice, "wide").select("k", "h", F.col("start").alias("low"), F.col("start").alias("high")))
-    per_text = runs.groupBy("k", "h").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    wide = contexts.where("wide <> X''").select("wide", "k", "h", "places")
+    twice = wide.groupBy("wide").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("wide")
+    # Per text: runs of repeated windows from the trees, single places from the counts.
+    found = runs.select("k", "h", F.array(F.struct("low", "high")).alias("runs"), F.array().cast("array<bigint>").alias("places")).unionByName(
+        wide.join(twice, "wide").select("k", "h", F.array().cast("array<struct<low:bigint,high:bigint>>").alias("runs"), "places")
+    )
+    per_text = found.groupBy("k", "h").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("places")).alias("places"))
     whole = everything.where("copied").select("k", "h").distinct()
     open_ = seeded.select("k", "h", "text").join(per_text, ["k", "h"]).join(whole, ["k", "h"], "left_anti")
-    changed = open_.select("k", "h", "text", "runs").mapInArrow(tidy(_remove(window)), "k long, h long, n_removed long, kept string")
+    changed = open_.select("k", "h", "text", "runs", "places").mapInArrow(tidy(_remove(window)), "k long, h long, n_removed long, kept string")
     return everything, scratch.keep(changed)
 
 
