@@ -7,12 +7,18 @@ with at least the given confidence.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.linear import fit_logistic, probabilities
+
 MINIMUM = 6
+#: Numbers (rows times features) up to which a fold's model is fitted by one task.
+LOCAL_NUMBERS = 8_000_000
 
 
 def first_labels(labels: DataFrame, key: str = "abs") -> DataFrame:
@@ -26,6 +32,28 @@ def stratified_folds(rows: DataFrame, label: str, key: str, folds: int, seed: in
     return rows.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
 
 
+def _balanced(y: np.ndarray, k: int) -> np.ndarray:
+    n = np.bincount(y, minlength=k)
+    return (len(y) / (np.count_nonzero(n) * np.maximum(n, 1)))[y]
+
+
+def out_of_fold_local(rows: DataFrame, classes: list[str], folds: int, c: float = 0.1, max_iter: int = 1000) -> DataFrame:
+    """As ``out_of_fold``, each fold's model fitted to the same objective by one task."""
+
+    def judge(table: pd.DataFrame) -> pd.DataFrame:
+        x, y = np.stack(table["features"]).astype(float), table["label"].map({n: i for i, n in enumerate(classes)}).to_numpy()
+        held = (table["fold"] == table["held"]).to_numpy()
+        p = probabilities(fit_logistic(x[~held], y[~held], _balanced(y[~held], len(classes)), len(classes), c, max_iter), x[held])
+        out = table[held].drop(columns=["held"])
+        out["predicted"], out["confidence"] = [classes[i] for i in p.argmax(1)], p.max(1)
+        return out
+
+    order = F.xxhash64(*[c for c in rows.columns if c != "features"])
+    every = rows.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("_order", order)
+    schema = rows.schema.add("_order", "long").add("predicted", "string").add("confidence", "double")
+    return every.groupBy("held").applyInPandas(lambda t: judge(t.sort_values("_order")), schema).drop("_order")
+
+
 def out_of_fold(rows: DataFrame, classes: list[str], folds: int, c: float = 0.1, max_iter: int = 1000) -> DataFrame:
     """``rows`` (key columns, label, features array, fold) with predicted and confidence, each from the model that did not see it.
 
@@ -75,6 +103,8 @@ def noise_flags(rows: DataFrame, confidence: float = 0.80, cv_folds: int = 3, se
     if len(classes) < 2:
         return None, info | {"skipped": "there is only one class"}
     info["cv_folds"] = folds
-    judged = out_of_fold(stratified_folds(usable, "label", key, folds, seed), classes, folds)
+    width = usable.select(F.max(F.size("features"))).first()[0]
+    solve = out_of_fold_local if info["n_usable"] * width <= LOCAL_NUMBERS else out_of_fold
+    judged = solve(stratified_folds(usable.select(*dict.fromkeys([key, "filepath", "label", "features"])), "label", key, folds, seed), classes, folds)
     flags = judged.where((F.col("predicted") != F.col("label")) & (F.col("confidence") >= confidence))
     return flags.select("filepath", "label", F.col("predicted").alias("predicted_label"), F.bround("confidence", 3).alias("confidence")), info

@@ -64,12 +64,13 @@ def test_forest(edges):
 def test_components(spark, edges):
     edges = [(a, b) for a, b in edges if a != b] or [(1, 2)]
     df = spark.createDataFrame(edges, "u long, v long").repartition(3)
-    assert {r["node"]: r["component"] for r in components(df, Scratch(spark)).collect()} == union_find(edges)
+    for local in (0, 1000):
+        assert {r["node"]: r["component"] for r in components(df, Scratch(spark), local_edges=local).collect()} == union_find(edges)
 
 
 def test_a_long_chain_and_an_empty_table(spark):
     chain = spark.range(400).selectExpr("id AS u", "id + 1 AS v").repartition(4)
-    got = components(chain, Scratch(spark)).collect()
+    got = components(chain, Scratch(spark), local_edges=0).collect()
     assert len(got) == 401 and {r["component"] for r in got} == {0}
     assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark)).count() == 0
 
