@@ -80,6 +80,25 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys that a counted join may treat as hot: no more than this many can hold a share above 1 / HOT_KEYS.
+HOT_KEYS = 4000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """rows joined to ``counted`` (key, n, ...; a kept table, one row a key, n: about how many rows have it).
+
+    Keys with more than 1 / HOT_KEYS of all rows are joined by broadcast, so none of them meets in one
+    task; there are at most HOT_KEYS of them.  All others are joined by shuffle.
+    """
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    cut = max(1000, total // HOT_KEYS)
+    hot = counted.where(F.col("n") > cut)
+    if not hot.limit(1).count():
+        return rows.join(counted, key)
+    usual = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(counted.where(F.col("n") <= cut), key)
+    return rows.join(F.broadcast(hot), key).unionByName(usual)
+
+
 def id_remainder(column: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

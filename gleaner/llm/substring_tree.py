@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import U64, Scratch, chunked, gram_hashes, small_batches, split_words, text_buffers, text_of, tidy, word_hashes
+from gleaner.llm.common import U64, Scratch, chunked, gram_hashes, join_counted, small_batches, split_words, text_buffers, text_of, tidy, word_hashes
 
 GRAM = 8
 _LOW = U64(0xFFFFFFFF)
@@ -80,8 +80,16 @@ def _scan(window: int):
                 a = Anchors(part, own, window)
                 data = part.tobytes()
                 shas = [hashlib.sha256(b" ".join(data[x:y].split())).hexdigest() for x, y in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
-                anchors = pa.ListArray.from_arrays(pa.array(np.searchsorted(a.doc, np.arange(j - i + 1)), pa.int32()), pa.array(a.value, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(4)), pa.array(np.diff(a.first), pa.int64()), pa.array(shas, pa.string()), anchors], ["k", "h", "digest", "doc_id", "n_words", "all_sha256", "anchors"])
+                # Each text names a gram once, with how often it is minimal there.
+                order = np.lexsort((a.value, a.doc))
+                doc, value = a.doc[order], a.value[order]
+                fresh = np.ones(len(order), bool)
+                fresh[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
+                at = np.flatnonzero(fresh)
+                bounds = pa.array(np.searchsorted(doc[at], np.arange(j - i + 1)), pa.int32())
+                anchors = pa.ListArray.from_arrays(bounds, pa.array(value[at], pa.int64()))
+                times = pa.ListArray.from_arrays(bounds, pa.array(np.diff(np.append(at, len(order))), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(4)), pa.array(np.diff(a.first), pa.int64()), pa.array(shas, pa.string()), anchors, times], ["k", "h", "digest", "doc_id", "n_words", "all_sha256", "anchors", "times"])
 
     return scanned
 
@@ -245,14 +253,14 @@ def repeated_words(docs: DataFrame, scratch: Scratch, window: int = 35, wide_fro
     text = text_of(F.col("text"))
     keyed = _keyed(docs)
     rows = keyed.select(F.col("_gleaner_k").alias("k"), F.col("_gleaner_h").alias("h"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    scanned = scratch.keep(rows.mapInArrow(tidy(_scan(window)), "k long, h long, digest binary, doc_id long, n_words long, all_sha256 string, anchors array<long>"))
+    scanned = scratch.keep(rows.mapInArrow(tidy(_scan(window)), "k long, h long, digest binary, doc_id long, n_words long, all_sha256 string, anchors array<long>, times array<long>"))
     copies = scanned.groupBy("digest").agg(F.count("*").alias("copies"), F.min("k").alias("witness")).where("copies > 1")
     everything = scratch.keep(scanned.select("k", "h", "digest", "doc_id", "n_words", "all_sha256").join(copies, "digest", "left").withColumn("copied", F.col("copies").isNotNull()).drop("digest", "copies"))
     # One row of each text says where its grams are.
     mute = everything.where("copied and k <> witness").select("k", "h").distinct()
-    grams = scanned.where(F.size("anchors") > 0).join(mute, ["k", "h"], "left_anti").select("k", "h", F.explode("anchors").alias("anchor"))
-    shared = grams.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    seeds = grams.join(shared, "anchor").groupBy("k", "h").agg(F.collect_set(F.struct("anchor", "n")).alias("seeds"))
+    grams = scanned.where(F.size("anchors") > 0).join(mute, ["k", "h"], "left_anti").select("k", "h", F.explode(F.arrays_zip("anchors", "times")).alias("a")).select("k", "h", F.col("a.anchors").alias("anchor"), F.col("a.times").alias("times"))
+    shared = scratch.keep(grams.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1"))
+    seeds = join_counted(grams.drop("times"), shared, "anchor").groupBy("k", "h").agg(F.collect_set(F.struct("anchor", "n")).alias("seeds"))
     texts = keyed.select(F.col("_gleaner_k").alias("k"), F.col("_gleaner_h").alias("h"), text.alias("text"))
     seeded = scratch.keep(texts.join(seeds, ["k", "h"]))
     contexts = seeded.mapInArrow(tidy(_contexts(window, wide_from)), CONTEXT)
