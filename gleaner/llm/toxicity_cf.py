@@ -85,7 +85,7 @@ TERMS = [[_term(t) for t in group] for group in IDENTITY_GROUPS]
 class Model:
     """Weights per column and a bias."""
 
-    def __init__(self, rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, strength: float, l2: float, least: int = 5, features: int = 400, steps: int = 400, seed: int = 7):
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, strength: float, l2: float, least: int = 5, features: int = 1000, steps: int = 1500, seed: int = 7):
         self.weights = np.zeros(1 << BITS, np.float32)
         share = float(labels.mean()) if len(labels) else 0.5
         self.bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
@@ -140,7 +140,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = 6000, strength: float = 1.0, l2: float = 3e-4, folds: int = 4, held: int = 2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = 6000, strength: float = 1.0, l2: float = 1e-4, folds: int = 4, held: int = 2) -> Model:
     small_batches(docs.sparkSession)
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & (id_remainder(F.col("doc_id"), folds) != held))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
