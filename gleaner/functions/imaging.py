@@ -1,7 +1,7 @@
 """A small image kernel in numpy: sniff, verify, decode, grey, resample, hash.
 
 Formats by content, not by name: PNG (all colour types, depths and interlacing), BMP (uncompressed),
-baseline JPEG, TIFF (uncompressed, PackBits, Deflate strips).  Others, WebP among them, are decoded with Pillow
+Huffman-coded JPEG (sequential and progressive), TIFF (strips: uncompressed, LZW, PackBits, Deflate).  Others, WebP among them, are decoded with Pillow
 where it is installed and raise ``Unsupported`` where it is not.
 """
 
@@ -184,14 +184,15 @@ def _tiff(data: bytes) -> tuple[str, np.ndarray]:
                 tags[tag] = struct.unpack_from(f"{e}{n}{codes[kind]}", data, place)
         width, height, packing = tags[256][0], tags[257][0], tags.get(259, (1,))[0]
         depth, n, photo = tags.get(258, (1,))[0], tags.get(277, (1,))[0], tags[262][0]
-        if packing not in (1, 8, 32946, 32773) or depth not in (1, 8, 16) or tags.get(284, (1,))[0] != 1 or tags.get(317, (1,))[0] != 1 or photo not in (0, 1, 2, 3):
+        predictor = tags.get(317, (1,))[0]
+        if packing not in (1, 5, 8, 32946, 32773) or depth not in (1, 8, 16) or tags.get(284, (1,))[0] != 1 or predictor not in (1, 2) or (predictor == 2 and depth != 8) or photo not in (0, 1, 2, 3):
             raise Unsupported("TIFF variant")
         raw = b""
         for start, count in zip(tags[273], tags[279], strict=True):
             if start + count > len(data):
                 raise Broken("TIFF strip is cut off")
             part = data[start : start + count]
-            raw += part if packing == 1 else _packbits(part) if packing == 32773 else zlib.decompress(part)
+            raw += {1: bytes, 5: _lzw, 32773: _packbits}.get(packing, zlib.decompress)(part)
     except (struct.error, KeyError, zlib.error) as x:
         raise Broken("TIFF is not whole") from x
     stride = -(-width * n * depth // 8)
@@ -202,6 +203,8 @@ def _tiff(data: bytes) -> tuple[str, np.ndarray]:
         px = np.frombuffer(raw, e + "u2", width * n * height).reshape(height, width, n)
     else:
         px = _samples(lines, width, n, depth)
+        if predictor == 2:
+            px = np.cumsum(px, axis=1, dtype=np.uint8)
     if photo == 3:
         table = (np.array(tags[320]).reshape(3, -1).T >> 8).astype(np.uint8)
         return "P", table[px[:, :, 0]]
@@ -227,6 +230,31 @@ def _packbits(part: bytes) -> bytes:
     return bytes(out)
 
 
+def _lzw(part: bytes) -> bytes:
+    """Codes of 9 to 12 bits, highest bit first; 256 clears the table and 257 ends."""
+    out, held, count, width, before, table = bytearray(), 0, 0, 9, b"", []
+    for byte in part:
+        held, count = held << 8 | byte, count + 8
+        while count >= width:
+            code = held >> (count - width) & ((1 << width) - 1)
+            count -= width
+            held &= (1 << count) - 1
+            if code == 256:
+                table, width, before = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+                continue
+            if code == 257:
+                return bytes(out)
+            if not table or code > len(table) or (code == len(table) and not before):
+                raise Broken("TIFF code is out of its table")
+            entry = table[code] if code < len(table) else before + before[:1]
+            out += entry
+            if before:
+                table.append(before + entry[:1])
+            before = entry
+            width = 9 + (len(table) >= 511) + (len(table) >= 1023) + (len(table) >= 2047)
+    return bytes(out)
+
+
 @lru_cache(1)
 def _zigzag() -> np.ndarray:
     cells = sorted(((y, x) for y in range(8) for x in range(8)), key=lambda c: (c[0] + c[1], c[0] if (c[0] + c[1]) % 2 else c[1]))
@@ -273,16 +301,128 @@ class _Bits:
         return v if not n or v >> (n - 1) else v - (1 << n) + 1
 
 
+class _Scan:
+    """One scan's way to read a block: sequential, or a band of coefficients at some precision."""
+
+    def __init__(self, bits: _Bits, progressive: bool, first: int, last: int, done: int, low: int):
+        self.bits, self.first, self.last, self.low, self.zig, self.run = bits, first, last, low, _zigzag().tolist(), 0
+        if not progressive:
+            self.read = self.sequential
+        elif first == 0:
+            self.read = self.dc_more if done else self.dc_first
+        else:
+            self.read = self.ac_more if done else self.ac_first
+
+    def sequential(self, out, before: int, dc: dict, ac: dict) -> int:
+        before = out[0] = before + self.bits.signed(self.bits.symbol(dc))
+        k = 1
+        while k < 64:
+            rs = self.bits.symbol(ac)
+            if rs == 0:
+                break
+            k += rs >> 4
+            if k > 63:
+                break
+            out[self.zig[k]] = self.bits.signed(rs & 15)
+            k += 1
+        return before
+
+    def dc_first(self, out, before: int, dc: dict, ac: dict) -> int:
+        before += self.bits.signed(self.bits.symbol(dc))
+        out[0] = before * (1 << self.low)
+        return before
+
+    def dc_more(self, out, before: int, dc: dict, ac: dict) -> int:
+        out[0] += self.bits.take(1) << self.low
+        return before
+
+    def ac_first(self, out, before: int, dc: dict, ac: dict) -> int:
+        if self.run:
+            self.run -= 1
+            return before
+        k = self.first
+        while k <= self.last:
+            rs = self.bits.symbol(ac)
+            r, n = rs >> 4, rs & 15
+            if not n and r < 15:
+                self.run = (1 << r) - 1 + self.bits.take(r)
+                break
+            k += r
+            if k > 63:
+                raise Broken("JPEG coefficient is out of its block")
+            if n:
+                out[self.zig[k]] = self.bits.signed(n) * (1 << self.low)
+            k += 1
+        return before
+
+    def ac_more(self, out, before: int, dc: dict, ac: dict) -> int:
+        """Known coefficients gain a bit each; new ones come between runs of zeros."""
+        step, k = 1 << self.low, self.first
+
+        def refine(place: int) -> None:
+            if self.bits.take(1) and not int(abs(out[place])) & step:
+                out[place] += step if out[place] > 0 else -step
+
+        while k <= self.last and not self.run:
+            rs = self.bits.symbol(ac)
+            zeros, n, value = rs >> 4, rs & 15, 0
+            if n:
+                value = step if self.bits.take(1) else -step
+            elif zeros < 15:
+                self.run = (1 << zeros) + self.bits.take(zeros)
+                break
+            while k <= self.last:
+                place = self.zig[k]
+                k += 1
+                if out[place]:
+                    refine(place)
+                elif zeros == 0:
+                    if value:
+                        out[place] = value
+                    break
+                else:
+                    zeros -= 1
+        if self.run:
+            for place in self.zig[k : self.last + 1]:
+                if out[place]:
+                    refine(place)
+            self.run -= 1
+        return before
+
+
+def _entropy_end(data: bytes, at: int) -> tuple[list[bytes], int]:
+    """The parts between restart markers, without stuffing, and where the next marker is."""
+    parts, start, p = [], at, at
+    while True:
+        p = data.find(b"\xff", p)
+        if p < 0 or p + 1 >= len(data):
+            raise Broken("JPEG data is cut off")
+        if data[p + 1] == 0:
+            p += 2
+        elif data[p + 1] == 0xFF:
+            p += 1
+        elif 0xD0 <= data[p + 1] <= 0xD7:
+            parts.append(data[start:p].replace(b"\xff\x00", b"\xff"))
+            start = p = p + 2
+        else:
+            return [*parts, data[start:p].replace(b"\xff\x00", b"\xff")], p
+
+
 def _jpeg(data: bytes) -> tuple[str, np.ndarray]:
-    at, quant, codes, frame, restart = 2, {}, {}, None, 0
+    """Huffman-coded JPEG, sequential or progressive, in any number of scans."""
+    at, quant, codes, frame, restart, progressive, scanned, adobe = 2, {}, {}, None, 0, False, set(), None
     while True:
-        while at < len(data) and data[at] != 0xFF:
-            at += 1
-        while at < len(data) and data[at] == 0xFF:
+        at = data.find(b"\xff", at)
+        while 0 <= at < len(data) and data[at] == 0xFF:
             at += 1
+        if at < 0 or at >= len(data):
+            raise Broken("JPEG ends before its end marker")
+        mark = data[at]
+        if mark == 0xD9:
+            break
         if at + 3 > len(data):
-            raise Broken("JPEG ends before its data")
-        mark, size = data[at], int.from_bytes(data[at + 1 : at + 3], "big")
+            raise Broken("JPEG ends within a segment")
+        size = int.from_bytes(data[at + 1 : at + 3], "big")
         body, at = data[at + 3 : at + 1 + size], at + 1 + size
         if at > len(data):
             raise Broken("JPEG segment is cut off")
@@ -305,65 +445,51 @@ def _jpeg(data: bytes) -> tuple[str, np.ndarray]:
                     code <<= 1
                 codes[body[p]] = table
                 p = q
-        elif mark in (0xC0, 0xC1):
+        elif mark in (0xC0, 0xC1, 0xC2):
             depth, height, width, n = struct.unpack_from(">BHHB", body)
-            frame = [[body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]] for i in range(n)]
-            if depth != 8 or not width or not height or n not in (1, 3, 4):
+            progressive = mark == 0xC2
+            frame = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)}
+            if depth != 8 or not width or not height or n not in (1, 3, 4) or len(frame) != n:
                 raise Unsupported("JPEG variant")
-        elif 0xC2 <= mark <= 0xCF and mark != 0xC8 and mark != 0xCC:
-            raise Unsupported("JPEG that is not sequential")
+            hmax, vmax = max(c[0] for c in frame.values()), max(c[1] for c in frame.values())
+            across, down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
+            blocks = {name: np.zeros((down * v, across * h, 64)) for name, (h, v, _) in frame.items()}
+        elif 0xC3 <= mark <= 0xCF and mark not in (0xC8, 0xCC):
+            raise Unsupported("JPEG coding")
+        elif mark == 0xEE and body[:5] == b"Adobe" and len(body) >= 12:
+            adobe = body[11]
         elif mark == 0xDD:
             restart = int.from_bytes(body[:2], "big")
         elif mark == 0xDA:
-            break
-        elif mark == 0xD9:
-            raise Broken("JPEG has no data")
-    if frame is None or body[0] != len(frame):
-        raise Unsupported("JPEG with several scans")
-    use = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(len(frame))}
-    # Stuffed zeros go; restart markers part the data.
-    parts, start, p = [], at, at
-    while True:
-        p = data.find(b"\xff", p)
-        if p < 0 or p + 1 >= len(data):
-            raise Broken("JPEG has no end")
-        if data[p + 1] == 0:
-            p += 2
-        elif 0xD0 <= data[p + 1] <= 0xD7:
-            parts.append(data[start:p])
-            start = p = p + 2
-        else:
-            parts.append(data[start:p])
-            break
-    hmax, vmax = max(c[1] for c in frame), max(c[2] for c in frame)
-    across, down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
-    blocks = {c[0]: np.zeros((down * c[2], across * c[1], 64)) for c in frame}
-    zig, done, total = _zigzag().tolist(), 0, across * down
-    for part in parts:
-        bits, last = _Bits(part.replace(b"\xff\x00", b"\xff")), dict.fromkeys(blocks, 0)
-        for m in range(done, min(total, done + restart) if restart else total):
-            for name, h, v, _ in frame:
-                dc, ac = codes.get(use[name] >> 4, {}), codes.get(16 | use[name] & 15, {})
-                for y in range(v):
-                    for x in range(h):
-                        out = blocks[name][m // across * v + y, m % across * h + x]
-                        last[name] += bits.signed(bits.symbol(dc))
-                        out[0] = last[name]
-                        k = 1
-                        while k < 64:
-                            rs = bits.symbol(ac)
-                            if rs == 0:
-                                break
-                            k += rs >> 4
-                            if k > 63:
-                                break
-                            out[zig[k]] = bits.signed(rs & 15)
-                            k += 1
-            done = m + 1
-    if done < total:
-        raise Broken("JPEG data is cut off")
+            if frame is None:
+                raise Broken("JPEG data comes before its frame")
+            n = body[0]
+            use = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(n)]
+            low, high, precision = body[1 + 2 * n : 4 + 2 * n]
+            parts, at = _entropy_end(data, at)
+            units = []  # for each unit of the scan, the blocks it holds
+            if n == 1:
+                h, v, _ = frame[use[0][0]]
+                wide, tall = -(-(-(-width * h // hmax)) // 8), -(-(-(-height * v // vmax)) // 8)
+                units = [[(use[0], y, x)] for y in range(tall) for x in range(wide)]
+            else:
+                for m in range(across * down):
+                    my, mx = divmod(m, across)
+                    units.append([(u, my * frame[u[0]][1] + y, mx * frame[u[0]][0] + x) for u in use for y in range(frame[u[0]][1]) for x in range(frame[u[0]][0])])
+            done = 0
+            for part in parts:
+                scan, last = _Scan(_Bits(part), progressive, low, high, precision >> 4, precision & 15), dict.fromkeys(frame, 0)
+                for unit in units[done : done + restart] if restart else units[done:]:
+                    for (name, tables), y, x in unit:
+                        last[name] = scan.read(blocks[name][y, x], last[name], codes.get(tables >> 4, {}), codes.get(16 | tables & 15, {}))
+                    done += 1
+            if done < len(units):
+                raise Broken("JPEG data is cut off")
+            scanned |= {u[0] for u in use}
+    if frame is None or scanned != set(frame):
+        raise Broken("JPEG lacks data of a component")
     planes, basis = [], _cosines()
-    for name, h, v, q in frame:
+    for name, (h, v, q) in frame.items():
         if q not in quant:
             raise Broken("JPEG lacks a table")
         b = (blocks[name] * quant[q]).reshape(*blocks[name].shape[:2], 8, 8)
@@ -371,10 +497,12 @@ def _jpeg(data: bytes) -> tuple[str, np.ndarray]:
         plane = b.transpose(0, 2, 1, 3).reshape(b.shape[0] * 8, -1)
         planes.append(np.repeat(np.repeat(plane, vmax // v, 0), hmax // h, 1)[:height, :width])
     px = np.stack(planes, 2)
-    if len(frame) == 3:
+    if len(frame) >= 3 and adobe != 0 and (len(frame) == 3 or adobe == 2):
         y, cb, cr = px[:, :, 0], px[:, :, 1] - 128, px[:, :, 2] - 128
-        px = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], 2)
+        px = np.concatenate([np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], 2), px[:, :, 3:]], 2)
     px = np.clip(np.rint(px), 0, 255).astype(np.uint8)
+    if len(frame) == 4 and adobe is not None:
+        px = 255 - px  # such files hold inverted inks
     return {1: "L", 3: "RGB", 4: "CMYK"}[len(frame)], px
 
 

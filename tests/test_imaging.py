@@ -88,24 +88,60 @@ def test_bmp_and_tiff():
         assert (decode(b"II*\0" + struct.pack("<I", 8 + len(data)) + data + ifd)[1] == px).all()
 
 
-def test_jpeg_from_the_jvm(spark):
-    """A picture written by the JVM's own encoder comes back nearly as it was."""
-    y, x = np.mgrid[:40, :56]
-    px = np.stack([x * 4, y * 6, 255 - x * 4], 2).astype(np.uint8)
-    jvm = spark.sparkContext._jvm
-    image = jvm.java.awt.image.BufferedImage(56, 40, 1)
-    for j in range(40):
-        for i in range(56):
+def jvm_image(spark, px):
+    image = spark.sparkContext._jvm.java.awt.image.BufferedImage(px.shape[1], px.shape[0], 1)
+    for j in range(px.shape[0]):
+        for i in range(px.shape[1]):
             image.setRGB(i, j, int(px[j, i, 0]) << 16 | int(px[j, i, 1]) << 8 | int(px[j, i, 2]))
+    return image
+
+
+def jvm_file(spark, px, kind, change=lambda parameters: None):
+    """The picture as the JVM's own encoder writes it."""
+    jvm = spark.sparkContext._jvm
     out = jvm.java.io.ByteArrayOutputStream()
-    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
-    data = bytes(out.toByteArray())
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName(kind).next()
+    parameters = writer.getDefaultWriteParam()
+    change(parameters)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(jvm_image(spark, px), None, None), parameters)
+    stream.flush()
+    return bytes(out.toByteArray())
+
+
+@pytest.fixture(scope="module")
+def ramp():
+    y, x = np.mgrid[:41, :59]
+    return np.stack([x * 4, y * 6, 255 - x * 4], 2).astype(np.uint8)
+
+
+@pytest.mark.parametrize("progressive", [False, True])
+def test_jpeg_from_the_jvm(spark, ramp, progressive):
+    data = jvm_file(spark, ramp, "jpg", lambda p: p.setProgressiveMode(1 if progressive else 0))
     mode, got = decode(data)
-    assert mode == "RGB" and got.shape == px.shape and np.abs(got.astype(int) - px).mean() < 6
+    assert (b"\xff\xc2" in data) == progressive
+    assert mode == "RGB" and got.shape == ramp.shape and np.abs(got.astype(int) - ramp).mean() < 6
+    stream = spark.sparkContext._jvm.java.io.ByteArrayInputStream(data)
+    theirs = spark.sparkContext._jvm.javax.imageio.ImageIO.read(stream)
+    for i, j in ((0, 0), (30, 20), (58, 40)):
+        rgb = theirs.getRGB(i, j)
+        assert max(abs(int(a) - b) for a, b in zip(got[j, i], (rgb >> 16 & 255, rgb >> 8 & 255, rgb & 255), strict=True)) < 24
     with pytest.raises(Broken):
         decode(data[: len(data) // 2])
 
 
+@pytest.mark.parametrize("packing", ["LZW", "Deflate", "PackBits"])
+def test_tiff_from_the_jvm(spark, ramp, packing):
+    def change(p):
+        p.setCompressionMode(2)
+        p.setCompressionType(packing)
+
+    for px in (ramp, np.random.default_rng(1).integers(0, 256, (40, 90, 3), dtype=np.uint8)):
+        mode, got = decode(jvm_file(spark, px, "tiff", change))
+        assert mode == "RGB" and (got == px).all()
+
+
 def test_grey_and_resample():
     assert grey("RGB", np.array([[[255, 255, 255], [255, 0, 0], [0, 0, 0]]], np.uint8)).tolist() == [[255, 76, 0]]
     flat = np.full((31, 17), 93, np.uint8)
