@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import U64, Scratch, chunked, gram_hashes, mix, small_batches, split_words, text_buffers, text_of, tidy, word_hashes
+from gleaner.llm.common import U64, Scratch, chunked, gram_hashes, join_counted, mix, small_batches, split_words, text_buffers, text_of, tidy, word_hashes
 from gleaner.llm.graph import components
 
 COORDS = 64
@@ -160,12 +160,12 @@ def _merge_lists(match: int):
     return merged
 
 
-def candidate_edges(classes: DataFrame, match: int, list_cap: int) -> DataFrame:
+def candidate_edges(classes: DataFrame, scratch: Scratch, match: int, list_cap: int) -> DataFrame:
     """(u, v): a forest that connects all classes (rep, tokens, brief) which agree in ``match`` coordinates."""
     tokens = classes.select("rep", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    ranked = tokens.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked")).where(F.size("ranked") >= match)
-    postings = ranked.select("rep", F.explode(F.slice("ranked", F.lit(1), F.size("ranked") - match + 1)).alias("p")).select("rep", "p.n", "p.token")
+    shared = scratch.keep(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
+    ranked = join_counted(tokens, shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked")).where(F.size("ranked") >= match)
+    postings = scratch.keep(ranked.select("rep", F.explode(F.slice("ranked", F.lit(1), F.size("ranked") - match + 1)).alias("p")).select("rep", "p.n", "p.token"))
     lists = postings.where(F.col("n") <= list_cap).join(classes.select("rep", "brief"), "rep").select("token", "rep", "brief")
     counted = lists.repartition("token").sortWithinPartitions("token", "rep").mapInArrow(tidy(_merge_lists(match)), "u long, v long")
     long_ = postings.where(F.col("n") > list_cap)
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, least: int
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.min_by(F.struct("tokens", "brief"), "doc_id").alias("s"), F.count("*").alias("copies")
     )
     classes = scratch.keep(classes.select("set_key", "rep", "n_shingles", F.col("s.tokens").alias("tokens"), F.col("s.brief").alias("brief"), "copies"))
-    grouped = components(candidate_edges(classes, match, list_cap), scratch)
+    grouped = components(candidate_edges(classes, scratch, match, list_cap), scratch)
     members = grouped.join(classes.select("rep", "brief", "n_shingles"), grouped["node"] == F.col("rep")).select("rep", F.col("component").alias("comp"), "brief", "n_shingles")
     totals = members.groupBy("comp").agg(F.sum("n_shingles").alias("total"))
     members = scratch.keep(members.join(totals, "comp"))
