@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.sources.scratch import Scratch, shared_dir  # noqa: F401 - the operators' names for them
+
 #: Rows of one Arrow batch.  Text rows are a few KB on average, so this bounds a worker's memory.
 ARROW_ROWS = 1024
 #: Bytes of text that a numpy kernel looks at together (one longer text is still taken whole).
@@ -49,37 +49,6 @@ def tidy(kernel: Callable) -> Callable:
     return run
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the session names none (tests)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-checkpoint-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Parquet tables in the shared folder that cut lineage; ``drop`` removes them."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/gleaner-{uuid.uuid4().hex}"
-        self.tables = 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` once and read it back."""
-        self.tables += 1
-        path = f"{self.path}/{self.tables}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Keys that a counted join may treat as hot: no more than this many can hold a share above 1 / HOT_KEYS.
 HOT_KEYS = 4000
 

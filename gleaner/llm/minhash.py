@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import U64, Scratch, chunked, gram_hashes, join_counted, mix, small_batches, split_words, text_buffers, text_of, tidy, word_hashes
-from gleaner.llm.graph import components
+from gleaner.operators.components import components
 
 COORDS = 64
 _rng = np.random.default_rng(20240607)
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, least: int
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.min_by(F.struct("tokens", "brief"), "doc_id").alias("s"), F.count("*").alias("copies")
     )
     classes = scratch.keep(classes.select("set_key", "rep", "n_shingles", F.col("s.tokens").alias("tokens"), F.col("s.brief").alias("brief"), "copies"))
-    grouped = components(candidate_edges(classes, scratch, match, list_cap), scratch)
+    grouped = components(candidate_edges(classes, scratch, match, list_cap), scratch, local_edges=0)
     members = grouped.join(classes.select("rep", "brief", "n_shingles"), grouped["node"] == F.col("rep")).select("rep", F.col("component").alias("comp"), "brief", "n_shingles")
     totals = members.groupBy("comp").agg(F.sum("n_shingles").alias("total"))
     members = scratch.keep(members.join(totals, "comp"))
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, least: int
     edges = usual.mapInArrow(tidy(_confirm(size, match, least)), "u long, v long")
     if members.where(F.col("total") > group_shingles).limit(1).count():
         edges = edges.union(_confirm_giant(full.where(F.col("total") > group_shingles).drop("total"), scratch, size, match, least, group_shingles))
-    linked = components(edges, scratch)
+    linked = components(edges, scratch, local_edges=0)
     known = classes.join(linked, classes["rep"] == linked["node"], "left").where("copies > 1 or component is not null").select("set_key", F.coalesce("component", "rep").alias("known"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(known, "set_key", "left")
     component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("known", "doc_id"))
