@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from gleaner.cli import checklist, main
 from gleaner.functions.columns import listed, shortened, split_of, stripped
+from gleaner.operators.tables import file_findings
 from gleaner.plans.audit import analyze_labels, audit_images, health_score, run_audit
 from gleaner.plans.report import console_table, markdown, render_json, score_bar, short_files
 from gleaner.sources.image_folder import facts_of, read_images
 from gleaner.sources.labels_csv import check_encoding, find_labels, read_labels
+from gleaner.sources.scratch import Scratch
 from gleaner.sources.synthetic import synth_dataset
 from tests.conftest import by_check, near, put, textured
 
@@ -157,6 +159,17 @@ def test_planted_defects_are_found(demo):
     assert report["image_stats"]["n_files"] == 116 and report["label_stats"]["total"] == 111
 
 
+def test_long_tables_say_the_same(spark, demo):
+    out, _, report = demo
+    rows = file_findings(read_images(spark, str(out)), Scratch(spark)).collect()
+    got, want = {}, {}
+    for r in rows:
+        got.setdefault(r["check"], set()).add(r["file"])
+    for f in report["findings"]:
+        want.setdefault(f["check"], set()).update(f["files"])
+    assert got == {k: v for k, v in want.items() if k in got} and set(got) == {"corrupt_files", "degenerate_images", "geometry_mode_inconsistency", "cross_split_leakage"}
+
+
 def test_reports(demo, tmp_path):
     _, _, report = demo
     text = markdown(report)
