@@ -79,6 +79,17 @@ def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x
 
 
+def _right_vectors(x: np.ndarray, rank: int, rounds: int = 6, seed: int = 3) -> np.ndarray:
+    """The leading right singular vectors of ``x``, by subspace iteration from a seeded start."""
+    rank = min(rank, *x.shape)
+    wide = min(rank + 16, *x.shape)
+    q = np.random.default_rng(seed).standard_normal((x.shape[1], wide)).astype(np.float32)
+    for _ in range(rounds):
+        q = np.linalg.qr(x.T @ (x @ q))[0].astype(np.float32)
+    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+    return np.ascontiguousarray((q @ v.T)[:, :rank])
+
+
 class Model:
     """The latent space and the labelled vectors in it."""
 
@@ -92,8 +103,7 @@ class Model:
             return
         self.idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
         x = _weighted(counts, self.idf)
-        values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-        self.space = vectors[:, ::-1][:, : min(rank, len(values))].astype(np.float32)
+        self.space = _right_vectors(x, rank)
         self.vectors = self._unit(x @ self.space)
 
     @staticmethod
