@@ -30,18 +30,26 @@ def _rows(findings: DataFrame) -> list[dict]:
     return [r.asDict() | {"details": json.loads(r["details"])} for r in ranked(findings).collect()]
 
 
-def audit_images(spark: SparkSession, root: str, hash_threshold: int = 5, images: DataFrame | None = None) -> dict:
-    """{'images': DataFrame, 'findings': DataFrame, 'stats': dict} of the files below ``root``."""
+def audit_images(root: str, hash_threshold: int = 5, spark: SparkSession | None = None, images: DataFrame | None = None) -> dict:
+    """{'records': DataFrame, 'findings': DataFrame, 'stats': dict} of the files below ``root``."""
+    spark = spark or session()
     scratch = Scratch(spark)
     images = scratch.keep(read_images(spark, root)) if images is None else images
     stats = image_checks.image_stats(images).first().asDict()
-    return {"images": images, "findings": image_checks.image_findings(images, scratch, hash_threshold), "stats": stats}
+    return {"records": images, "findings": image_checks.image_findings(images, scratch, hash_threshold), "stats": stats}
 
 
 def analyze_labels(
-    spark: SparkSession, dataset_root: str, csv_path: str, minority_warn_ratio: float = label_checks.MINORITY_RATIO, noise_confidence: float = 0.80, run_noise_check: bool = True, images: DataFrame | None = None
+    dataset_root: str,
+    csv_path: str,
+    minority_warn_ratio: float = label_checks.MINORITY_RATIO,
+    noise_confidence: float = 0.80,
+    run_noise_check: bool = True,
+    spark: SparkSession | None = None,
+    images: DataFrame | None = None,
 ) -> dict:
     """{'rows', 'findings': DataFrames, 'counts', 'total', 'noise': {'flags', 'info'}} of a label file."""
+    spark = spark or session()
     scratch = Scratch(spark)
     labels = scratch.keep(read_labels(spark, csv_path))
     check_encoding(labels)
@@ -67,10 +75,10 @@ def analyze_labels(
 def run_audit(dataset_root: str, labels_csv: str | None = None, hash_threshold: int = 5, noise_confidence: float = 0.80, run_noise_check: bool = True, spark: SparkSession | None = None) -> dict:
     """The whole audit as one document."""
     spark = spark or session()
-    image = audit_images(spark, dataset_root, hash_threshold)
+    image = audit_images(dataset_root, hash_threshold, spark)
     findings, label = image["findings"], None
     if labels_csv:
-        label = analyze_labels(spark, dataset_root, labels_csv, noise_confidence=noise_confidence, run_noise_check=run_noise_check, images=image["images"])
+        label = analyze_labels(dataset_root, labels_csv, noise_confidence=noise_confidence, run_noise_check=run_noise_check, spark=spark, images=image["records"])
         findings = findings.unionByName(label["findings"])
     findings = Scratch(spark).keep(findings)
     return {

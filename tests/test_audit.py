@@ -18,7 +18,7 @@ from tests.conftest import by_check, near, put, textured
 
 
 def found(spark, root, **how):
-    x = audit_images(spark, str(root), **how)
+    x = audit_images(str(root), spark=spark, **how)
     return by_check([r.asDict() | {"details": json.loads(r["details"])} for r in x["findings"].collect()]), x
 
 
@@ -100,7 +100,7 @@ def test_label_entries(spark, tmp_path):
     outside.write_bytes((root / "train/a.png").read_bytes())
     rows = ["train/a.png,x", "train/a.png,x", "./train//../train/a.png,y", "train/ghost.png,x", "train/ghost.png,x", "train/bad.png,x", f"{outside},y"]
     (root / "labels.csv").write_text("filepath,label\n" + "\n".join(rows) + "\n")
-    x = analyze_labels(spark, str(root), str(root / "labels.csv"))
+    x = analyze_labels(str(root), str(root / "labels.csv"), spark=spark)
     f = by_check([r.asDict() for r in x["findings"].collect()])
     assert f["duplicate_label_entries"][0]["files"] == ["train/a.png", "train/ghost.png"]
     assert f["missing_labeled_files"][0]["files"] == ["train/ghost.png"] and f["missing_labeled_files"][0]["severity"] == "error"
@@ -112,7 +112,7 @@ def test_label_entries(spark, tmp_path):
 def test_imbalance(spark, tmp_path, a, b, flagged):
     (tmp_path / "labels.csv").write_text("filepath,label\n" + "".join(f"a{i}.png,A\n" for i in range(a)) + "".join(f"b{i}.png,B\n" for i in range(b)))
     put(tmp_path, "x.png", textured(41))
-    x = analyze_labels(spark, str(tmp_path), str(tmp_path / "labels.csv"), run_noise_check=False)
+    x = analyze_labels(str(tmp_path), str(tmp_path / "labels.csv"), run_noise_check=False, spark=spark)
     f = by_check([r.asDict() | {"details": json.loads(r["details"])} for r in x["findings"].collect()])
     assert ("class_imbalance" in f) == flagged and len(f["class_distribution"]) == 1
     assert f["class_distribution"][0]["details"]["distribution"]["B"] == {"count": b, "ratio": round(b / (a + b), 4)}
@@ -133,6 +133,14 @@ def test_health_score(severities, score):
     assert health_score([{"severity": s} for s in severities.split()]) == score
 
 
+def test_exports():
+    import gleaner
+
+    assert gleaner.run_audit is run_audit and all(hasattr(gleaner, n) for n in gleaner.__all__)
+    with pytest.raises(AttributeError):
+        gleaner.nothing  # noqa: B018
+
+
 def test_columns(spark):
     df = spark.createDataFrame([("\t\n x  ", "Valid/a", "m" * 95, list("abcdef"))], "t string, rel string, message string, files array<string>")
     r = df.select(stripped(df["t"]), split_of(df["rel"]), shortened(df["message"]), listed(df["files"], 4, " (+%d more)")).first()
