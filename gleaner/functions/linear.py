@@ -46,14 +46,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, c: float,
         slope, size = float(grad @ d), 1.0 if steps else min(1.0, 1 / np.abs(grad).sum())
         while True:
             new_value, new_grad = _loss(beta + size * d, x, y, w, c, k)
-            if new_value <= value + 1e-4 * size * slope or size < 1e-12:
+            if new_value <= value + 1e-4 * size * slope or size < 1e-10:
                 break
             size /= 2
+        if size < 1e-10:  # no step lowers the loss any more: as exact as floating point allows
+            break
         s, t = size * d, new_grad - grad
         if s @ t > 1e-14:
             steps = [*steps[-(memory - 1) :], (s, t, 1 / float(s @ t))]
-        if value - new_value <= 1e-15 * max(1.0, abs(value)) and size < 1e-12:
-            break
         beta, value, grad = beta + s, new_value, new_grad
     return beta.reshape(-1, x.shape[1] + 1)
 
