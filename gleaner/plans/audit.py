@@ -15,6 +15,7 @@ from gleaner.operators.findings import finding, ranked, score, union_all
 from gleaner.sources.image_folder import read_images
 from gleaner.sources.labels_csv import check_encoding, read_labels
 from gleaner.sources.scratch import Scratch
+from gleaner.sources.workers import see_package
 
 
 def session(cores: str = "*") -> SparkSession:
@@ -23,6 +24,7 @@ def session(cores: str = "*") -> SparkSession:
     if spark is None:
         spark = SparkSession.builder.master(f"local[{cores}]").appName("gleaner").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
         spark.sparkContext.setLogLevel("ERROR")
+    see_package(spark)
     return spark
 
 

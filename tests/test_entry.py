@@ -45,3 +45,11 @@ def test_without_the_language_model_part(tmp_path):
     shutil.copy(os.path.join(here, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'hamming_pairs' in q and not any(k.startswith('op') for k in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_workers_find_the_package_from_anywhere(tmp_path):
+    """A driver that only has the checkout on sys.path, started in another folder."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"import sys; sys.path.insert(0, {here!r}); import __spark_entry__ as e; from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); assert e.queries()['hamming_pairs'](s, {DIR!r}).count() > 0"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
