@@ -290,7 +290,7 @@ def fit(docs: DataFrame, folds: int = 5, held: int = 0, capacity: int = 400_000,
                 yield pa.RecordBatch.from_arrays([pa.array(h.argmin(1)), pa.array(np.searchsorted(LENGTHS, sizes)), pa.array(h.min(1)), pa.array(sizes.astype(np.int64))], ["lang", "length", "bits", "size"])
 
     keys = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_calibration)
-    sample = rows.join(F.broadcast(keys), "doc_id", "left_semi").select(F.col("text").cast("string"))
+    sample = rows.join(F.broadcast(keys), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.col("text").cast("string")).alias("text")).select("text")
     seen = sample.mapInArrow(tidy(judged), "lang long, length long, bits double, size long").where("size > 0").toPandas()
     sent.destroy()
     # Per length, for all languages together: short texts vary more.

@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled
     small_batches(docs.sparkSession)
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & (id_remainder(F.col("doc_id"), folds) != held))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min(F.col("text").cast("string")).alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -144,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
     small_batches(docs.sparkSession)
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & (id_remainder(F.col("doc_id"), folds) != held))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("doc_id").cast("long"), "label", text_of(F.col("text")).alias("text"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min(text_of(F.col("text"))).alias("text"))
+    rows = rows.select(F.col("doc_id").cast("long"), "label", "text")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
