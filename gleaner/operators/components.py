@@ -52,7 +52,8 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40, local_edges
 
     Each round hangs larger neighbours on a node's least one (large star), then each node's smaller
     neighbours on their least (small star).  Groups are never collected: a least neighbour is an
-    aggregate, and it comes back to the edges by a join that Spark may split where it is skewed.
+    aggregate that is written first, so that it comes back to the edges by a join of two plain tables,
+    which Spark splits where a node has a large share of the edges.
     Up to ``local_edges`` edges (counted, after each task has contracted its own) one task ends the work
     instead; 0 keeps all of it distributed.
     """
@@ -64,9 +65,9 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40, local_edges
     mark = None
     for _ in range(rounds):
         both = e.select("u", "v").union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = scratch.keep(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         e = scratch.keep(small.where("u <> v").distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
