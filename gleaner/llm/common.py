@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.sources.scratch import Scratch, shared_dir  # noqa: F401 - the operators' names for them
+from gleaner.sources.scratch import Scratch  # noqa: F401 - the operators' name for it
 
 #: Rows of one Arrow batch.  Text rows are a few KB on average, so this bounds a worker's memory.
 ARROW_ROWS = 1024
