@@ -9,7 +9,7 @@ link makes candidate components; inside these, links are confirmed on the full s
 ``100 * intersection >= least * union``.
 
 With Jaccard likeness j the coordinates agree with probability j each: at j = 0.8, 36 or more of 64
-agree but for about two pairs in a million.  Posting lists longer than ``list_cap`` are linked as a whole
+agree but for about four pairs in a million.  Posting lists longer than ``list_cap`` are linked as a whole
 without counting (never dropped), and candidate components of more than ``group_shingles`` go
 through star rounds and pairs of blocks instead of one task; both only widen or split the
 confirmation.
