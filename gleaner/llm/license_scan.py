@@ -1,10 +1,13 @@
 """Licence scans: winnowed template fingerprints propose places, banded alignment measures them.
 
 Words are runs of ASCII letters, digits and non-ASCII bytes, case folded.  Fingerprints are hashes of
-``GRAM`` words, the minimum of each ``WINDOW`` consecutive ones (rightmost of equals); any run of
-``GRAM + WINDOW - 1`` words that a text shares with a template leaves one in common.  The templates'
-fingerprints are an inverted index (fixed, some thousand entries, sent with the task).  Hits of a
-template on near diagonals are aligned together, in a band around them; each alignment reports the
+``GRAM`` words.  A place that matches enough words of a template, others changed, shares a run of words
+with it (``shared_run``).  Where that run has ``GRAM + WINDOW - 1`` words at least, the template's
+fingerprints are the minimum of each ``WINDOW`` consecutive hashes (rightmost of equals); else they are
+all its hashes, of fewer words where the run is shorter than ``GRAM``.  The templates' fingerprints are
+an inverted index (fixed, some thousand entries, sent with the task), and every gram of a text is looked
+up in it, so each such place is a candidate; words inserted into or left out of a notice may split its
+runs further.  Hits of a template on near diagonals are aligned together, in a band around them; each alignment reports the
 words matched, the share of the template they cover, and where it lies in the text.  Of overlapping
 places that match at least ``min_coverage``, the one with the most matched words stays (then the
 higher coverage, the earlier, the first template by name).
@@ -58,20 +61,42 @@ def winnow(grams: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(len(windows)) + WINDOW - 1 - windows[:, ::-1].argmin(1))
 
 
+def shared_run(n: int, min_coverage: float) -> int:
+    """Words of the longest run that a place has in common with a template of n words, if at least ``min_coverage`` of them match and the others are changed."""
+    changed = next((c for c in range(n - 1, -1, -1) if (n - c) / n >= min_coverage), 0)
+    return -(-(n - changed) // (changed + 1))
+
+
 class Index:
-    """Fingerprint -> (template, place) postings."""
+    """Fingerprint -> (template, place) postings, for each number of words in a fingerprint."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], min_coverage: float = 0.75):
         self.names = sorted(templates)
-        self.words, self.postings = [], defaultdict(list)
+        self.words = []
+        self.postings: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
         for t, name in enumerate(self.names):
             raw = np.frombuffer(templates[name].encode(), np.uint8)
             words = scan_words(raw, np.array([0, len(raw)]))[0]
             self.words.append(words.tolist())
-            grams = gram_hashes(words, GRAM)
-            for p in winnow(grams).tolist():
-                self.postings[int(grams[p])].append((t, p))
-        self.keys = np.array(sorted(self.postings), np.uint64)
+            if not len(words):
+                continue
+            run = shared_run(len(words), min_coverage)
+            # Runs of one word are only looked for where the template has no more.
+            k = min(GRAM, max(run, 2), len(words))
+            grams = gram_hashes(words, k)
+            for p in winnow(grams).tolist() if run >= GRAM + WINDOW - 1 else range(len(grams)):
+                self.postings[k][int(grams[p])].append((t, p))
+        self.postings = {k: dict(x) for k, x in self.postings.items()}
+        self.keys = {k: np.array(sorted(x), np.uint64) for k, x in self.postings.items()}
+
+    def hits(self, words: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each number of words: the places whose gram is in the index, and their hashes."""
+        out = {}
+        for k, keys in self.keys.items():
+            grams = gram_hashes(words, k)
+            at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, grams), len(keys) - 1)] == grams)
+            out[k] = at, grams[at]
+        return out
 
 
 def align(template: list[int], words: list[int], low: int, high: int) -> tuple[int, int, int, int, int]:
@@ -110,18 +135,11 @@ def align(template: list[int], words: list[int], low: int, high: int) -> tuple[i
 
 def find(index: Index, words: np.ndarray, min_coverage: float) -> list[tuple[str, int, float, int, int]]:
     """(template, matched words, coverage, first word, end word) in one text, without overlaps, in order."""
-    grams = gram_hashes(words, GRAM)
-    if not len(grams) or not len(index.keys):
-        return []
-    at = np.flatnonzero(index.keys[np.minimum(np.searchsorted(index.keys, grams), len(index.keys) - 1)] == grams)
-    if not len(at):
-        return []
-    # The text is winnowed about its hits alone: a window's minimum depends on that window only.
-    chosen = [p for p in at.tolist() if len(grams) <= WINDOW or (p > 0 and grams[p] <= grams[p - 1]) or (p + 1 < len(grams) and grams[p] < grams[p + 1])]
     hits = defaultdict(list)
-    for p in chosen:
-        for t, q in index.postings[int(grams[p])]:
-            hits[t].append((p - q, p))
+    for k, (at, grams) in index.hits(words).items():
+        for p, g in zip(at.tolist(), grams.tolist(), strict=True):
+            for t, q in index.postings[k][g]:
+                hits[t].append((p - q, p))
     places = []
     for t, found in hits.items():
         found.sort()
@@ -155,7 +173,7 @@ SCANNED = "doc_id long, license string, matched_words int, coverage double, star
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = 0.75) -> DataFrame:
     """``SCANNED``: a row for each licence found in each text."""
     small_batches(docs.sparkSession)
-    index = Index(TEMPLATES if templates is None else templates)
+    index = Index(TEMPLATES if templates is None else templates, min_coverage)
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,8 +181,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
             ids, rows = b.column(0).to_pylist(), []
             for i, j in chunked(offsets):
                 hashes, starts, ends, first = scan_words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                grams = gram_hashes(hashes, GRAM)
-                hit = np.flatnonzero(index.keys[np.minimum(np.searchsorted(index.keys, grams), len(index.keys) - 1)] == grams) if len(index.keys) else []
+                hit = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in index.hits(hashes).values())])
                 for d in np.unique(np.searchsorted(first, hit, "right") - 1).tolist():
                     a, z = int(first[d]), int(first[d + 1])
                     for name, matched, coverage, x, y in find(index, hashes[a:z], min_coverage):

@@ -1,4 +1,5 @@
 import hashlib
+import re
 import struct
 import zlib
 
@@ -186,3 +187,27 @@ def full_alignment(template, words):
 @given(st.lists(st.integers(0, 5), min_size=1, max_size=15), st.lists(st.integers(0, 5), max_size=25))
 def test_a_wide_band_is_the_whole_alignment(template, words):
     assert license_scan.align(template, words, -40, 40)[0] == full_alignment(template, words)
+
+
+def scanned(index, text, min_coverage=0.75):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return license_scan.find(index, license_scan.scan_words(raw, np.array([0, len(raw)]))[0], min_coverage)
+
+
+@pytest.mark.parametrize("name", sorted(TEMPLATES))
+def test_each_template_is_found_anywhere(name):
+    """Exact, and with as many changed words as the coverage leaves, whatever words stand around it."""
+    index, rng = license_scan.Index(TEMPLATES), np.random.default_rng(len(name))
+    template = [w for w in re.split(r"[^a-z0-9]+", TEMPLATES[name].lower()) if w]
+    n = len(template)
+    changed = max(c for c in range(n) if (n - c) / n >= 0.75)
+    apart = [round((i + 1) * (n - changed) / (changed + 1)) + i for i in range(changed)]
+    for k in range(40):
+        before, after = ([f"w{x}" for x in rng.integers(0, 10**9, m)] for m in ((0, 0), (0, 9), (9, 0), (9, 9))[k % 4])
+        found = scanned(index, " ".join([*before, *template, *after]))
+        assert (name, n, 1.0, len(before), len(before) + n) in found
+        if n <= 8:
+            for at in [[x] for x in range(n) if changed] + [apart]:
+                other = [f"x{k}" if i in at else w for i, w in enumerate(template)]
+                got = {(r[0], r[1]) for r in scanned(index, " ".join([*before, *other, *after]))}
+                assert (name, n - len(at)) in got or any(m >= n - len(at) for _, m in got), (at, got)
