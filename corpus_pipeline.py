@@ -28,7 +28,7 @@ def _scratch(spark: SparkSession, last: bool = False) -> Scratch:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language the models reject (no letters, or unlike any language learned)."""
-    return langid_kn.keep_identified(docs, langid_kn.fit(docs))
+    return langid_kn.keep_identified(docs, langid_kn.fit(docs, scratch=_scratch(spark)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,10 @@ kept as sorted arrays of 64-bit hashes with one row of log-probabilities per gra
 language of the lowest cross-entropy per character; it is rejected when that entropy is above what
 labelled texts of similar length show.
 
-The tables are broadcast.  Their size is bounded: a language keeps at most ``capacity`` 4-grams, the
-most frequent ones by a count threshold (lower orders are made of all of them), so
-(languages * capacity) rows at most.  Thresholds of rejection come from at most ``max_calibration``
-labelled rows.
+The tables are broadcast where no language has more than ``capacity`` 4-grams.  Else the model stays in
+tables of the shared folder (``LargeModel``): discounts, context weights and counts of shorter grams are
+aggregated over all grams, only the log-probabilities of each language's most frequent ``capacity`` grams
+are broadcast, and the texts' other grams are joined to the tables.  Both ways give the same model.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; rows
 without a language are not learned from; ties in entropy go to the first language by name; with
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import U64, chunked, id_remainder, mix, small_batches, text_buffers, text_of, tidy
+from gleaner.llm.common import U64, Scratch, chunked, id_remainder, join_counted, mix, small_batches, text_buffers, text_of, tidy
 
 ORDER, SPACE = 4, 0x20
 _B = U64(16)
@@ -86,6 +86,15 @@ def _by_text(chars: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return grams(chars)[inside[3:]], np.diff(offsets) - 3
 
 
+def _characters(raw: np.ndarray, offsets: np.ndarray, chars: np.ndarray, bounds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Characters of each text (``sizes`` grams); 0 for a text without a letter."""
+    sizes = np.where(np.diff(bounds) > 4, sizes, 0)
+    for i in np.flatnonzero((np.add.reduceat((chars >= 0xD800) & (chars < 0xE000), bounds[:-1]) > 0) if len(sizes) else []):
+        text = raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")
+        sizes[i] *= any(c.isalpha() for c in text)
+    return sizes
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) over all rows of ``docs`` (lang, text)."""
     small_batches(docs.sparkSession)
@@ -124,7 +133,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 
 def bounded(counts: DataFrame, capacity: int) -> DataFrame:
-    """The grams of each language at or above the least count that leaves at most ``capacity``.
+    """What of a large model is broadcast: the grams of each language at or above the least count that leaves at most ``capacity``.
 
     Counts are summed in classes of width 1/16 of a power of two, so a language has under a
     thousand classes at any size of the corpus.
@@ -245,10 +254,7 @@ class Model:
         total = np.zeros((n, len(self.langs)))
         if len(g):
             total[:] = np.add.reduceat(self.logs(g), np.minimum(np.cumsum(sizes) - sizes, len(g) - 1), axis=0)
-        sizes = np.where(np.diff(bounds) > 4, sizes, 0)
-        for i in np.flatnonzero((np.add.reduceat((chars >= 0xD800) & (chars < 0xE000), bounds[:-1]) > 0) if n else []):
-            text = raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")
-            sizes[i] *= any(c.isalpha() for c in text)
+        sizes = _characters(raw, offsets, chars, bounds, sizes)
         return -total / np.maximum(sizes, 1)[:, None], sizes
 
     def judge(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -256,7 +262,11 @@ class Model:
         n = len(offsets) - 1
         if not self.langs:
             return [UND] * n, np.zeros(n), np.full(n, np.inf), np.ones(n, bool)
-        h, sizes = self.entropies(raw, offsets)
+        return self.judge_bits(*self.entropies(raw, offsets))
+
+    def judge_bits(self, h: np.ndarray, sizes: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The same from bits per character in each language, and characters."""
+        n = len(sizes)
         best = h.argmin(1)
         low = h[np.arange(n), best]
         score = 1 / np.exp2(-np.minimum(sizes, 20)[:, None] * (h - low[:, None])).sum(1)
@@ -265,34 +275,143 @@ class Model:
         return [UND if x else self.langs[b] for x, b in zip(none, best, strict=True)], np.where(none, 0.0, score), low, none | (low > limit)
 
 
-def fit(docs: DataFrame, folds: int = 5, held: int = 0, capacity: int = 400_000, max_calibration: int = 5000, quantile: float = 0.9995, slack: float = 1.1) -> Model:
-    """Models from all rows with text and lang outside the held-out remainder."""
-    spark = docs.sparkSession
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder(F.col("doc_id"), folds) != held))
-    got = bounded(count_grams(rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))), capacity).toPandas()
-    langs = sorted(set(got["lang"]))
-    counts = []
+class LargeModel:
+    """A model of any size: tables of all grams in the shared folder; of the most frequent ones, the log-probabilities are sent with the tasks.
+
+    ``direct`` has (lang, gram, direct) of each order, ``weight`` (lang, context, weight) of each order of contexts; lang is a number.
+    """
+
+    def __init__(self, langs: list[str], counts: DataFrame, capacity: int, scratch: Scratch):
+        self.langs, self.scratch, self.limits = langs, scratch, {}
+        self.direct, self.weight = {}, {}
+        spark = counts.sparkSession
+        self.numbers = spark.createDataFrame(list(enumerate(langs)), "lang int, name string")
+        n = counts.withColumnRenamed("lang", "name").join(F.broadcast(self.numbers), "name").select("lang", "gram", "n")
+        head = scratch.keep(bounded(n, capacity).select("gram").distinct())
+        for order in (4, 3, 2, 1):
+            if order < 4:
+                n = scratch.keep(n.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 16 * order) - 1)).alias("gram")).agg(F.count("*").alias("n")))
+            seen = n.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()
+            discounts = spark.createDataFrame([(r["lang"], min(0.95, max(0.1, r["once"] / max(1, r["once"] + 2 * r["twice"])))) for r in seen], "lang int, discount double")
+            context = F.shiftrightunsigned("gram", 16) if order > 1 else F.lit(0).cast("long")
+            placed = n.withColumn("context", context)
+            totals = placed.groupBy("lang", "context").agg(F.count("*").alias("follow"), F.sum("n").alias("total")).join(F.broadcast(discounts), "lang")
+            self.direct[order] = scratch.keep(placed.join(totals, ["lang", "context"]).select("lang", "gram", (F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total")).alias("direct")))
+            self.weight[order - 1] = scratch.keep(totals.select("lang", "context", (F.col("discount") * F.col("follow") / F.col("total")).alias("weight")))
+        got = self.resolved(head).toArrow()
+        values = np.array(got["bits"].combine_chunks().flatten()).reshape(-1, len(langs))
+        self.head = Table(got["gram"].to_numpy().view(U64), values)
+
+    def resolved(self, grams: DataFrame) -> DataFrame:
+        """(gram, bits): log2-probabilities in each language of the different ``grams`` (gram), seen or not."""
+        gram = F.col("gram")
+        x = grams.crossJoin(F.broadcast(self.numbers.select("lang"))).withColumn("p", F.lit(1.0 / 65536))
+        for order in (1, 2, 3, 4):
+            part = gram.bitwiseAND(F.lit((1 << 16 * order) - 1)) if order < 4 else gram
+            context = F.shiftrightunsigned(part, 16) if order > 1 else F.lit(0).cast("long")
+            direct, weight = self.direct[order].withColumnRenamed("gram", "_part"), self.weight[order - 1].withColumnRenamed("context", "_context")
+            if order == 1:  # at most a row a character and language
+                direct, weight = F.broadcast(direct), F.broadcast(weight)
+            x = x.withColumn("_part", part).withColumn("_context", context).join(weight, ["lang", "_context"], "left").join(direct, ["lang", "_part"], "left")
+            x = x.select("gram", "lang", (F.coalesce("direct", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * F.col("p")).alias("p"))
+        ordered = F.array_sort(F.collect_list(F.struct("lang", F.log2("p").alias("b"))))
+        return x.groupBy("gram").agg(F.transform(ordered, lambda y: y["b"]).alias("bits"))
+
+    def bits(self, texts: DataFrame) -> DataFrame:
+        """(_row, size, bits): characters, and bits per character in each language, of kept ``texts`` (_row, text)."""
+        small_batches(texts.sparkSession)
+        sent, L = texts.sparkSession.sparkContext.broadcast(self.head), len(self.langs)
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                raw, offsets = text_buffers(b.column(1))
+                for i, j in chunked(offsets):
+                    part, own = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                    chars, bounds = reduced(part, own)
+                    g, sizes = _by_text(chars, bounds)
+                    doc = np.repeat(np.arange(j - i), sizes)
+                    at, found = sent.value.find(g)
+                    sums = np.stack([np.bincount(doc[found], sent.value.values[at[found], l], j - i) for l in range(L)], 1).astype(float)
+                    doc, g = doc[~found], g[~found]
+                    order = np.lexsort((g, doc))
+                    doc, g = doc[order], g[order]
+                    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (g[1:] != g[:-1])])) if len(g) else np.zeros(0, np.int64)
+                    times = np.diff(np.append(first, len(g)))
+                    ends = pa.array(np.searchsorted(doc[first], np.arange(j - i + 1)).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([
+                        b.column(0).slice(i, j - i), pa.array(_characters(part, own, chars, bounds, sizes).astype(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * L), pa.array(sums.ravel())),
+                        pa.ListArray.from_arrays(ends, pa.array(g[first].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int64))),
+                    ], ["_row", "size", "sums", "grams", "times"])
+
+        part = self.scratch.keep(texts.select("_row", text_of(F.col("text")).alias("text")).mapInArrow(tidy(counted), "_row long, size long, sums array<double>, grams array<long>, times array<long>"))
+        rest = part.select("_row", F.explode(F.arrays_zip("grams", "times")).alias("x")).select("_row", F.col("x.grams").alias("gram"), F.col("x.times").alias("times"))
+        different = self.scratch.keep(rest.groupBy("gram").agg(F.count("*").alias("n")))
+        known = self.scratch.keep(self.resolved(different.select("gram")).join(different, "gram"))
+        sums = join_counted(rest, known, "gram").select("_row", "times", F.posexplode("bits").alias("lang", "b")).groupBy("_row", "lang").agg(F.sum(F.col("b") * F.col("times")).alias("b"))
+        more = sums.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("lang", "b"))), lambda y: y["b"]).alias("more"))
+        total = F.zip_with("sums", "more", lambda a, b: a + F.coalesce(b, F.lit(0.0)))
+        bits = F.transform(F.when(F.col("more").isNull(), F.col("sums")).otherwise(total), lambda a: -a / F.greatest(F.col("size"), F.lit(1)))
+        return part.join(more, "_row", "left").select("_row", "size", bits.alias("bits"))
+
+    def judged(self, texts: DataFrame) -> DataFrame:
+        """(_row, lang_pred, score, bits, rejected) of kept ``texts`` (_row, text)."""
+        rules = Model([], [])
+        rules.langs, rules.limits = self.langs, self.limits
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                h = np.array(b.column(2).flatten()).reshape(-1, len(rules.langs))
+                langs, scores, bits, rejected = rules.judge_bits(h, b.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64()), pa.array(rejected, pa.bool_())], ["_row", "lang_pred", "score", "bits", "rejected"])
+
+        return self.bits(texts).mapInArrow(tidy(run), "_row long, lang_pred string, score double, bits double, rejected boolean")
+
+
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows, kept, with a number each (``_row``)."""
+    return scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _whole(langs: list[str], counted: DataFrame) -> Model:
+    got, counts = counted.toPandas(), []
     for lang in langs:
-        own = got[got["lang"] == lang].sort_values("gram")
+        own = got[got["lang"] == lang]
         keys = own["gram"].to_numpy(np.int64).view(U64)
         order = np.argsort(keys)
         counts.append((keys[order], own["n"].to_numpy(np.int64)[order]))
-    model = Model(langs, counts)
-    if not langs:
-        return model
-    sent = spark.sparkContext.broadcast(model)
+    return Model(langs, counts)
 
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw, offsets = text_buffers(b.column(0))
-            for i, j in chunked(offsets):
-                h, sizes = sent.value.entropies(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([pa.array(h.argmin(1)), pa.array(np.searchsorted(LENGTHS, sizes)), pa.array(h.min(1)), pa.array(sizes.astype(np.int64))], ["lang", "length", "bits", "size"])
 
+def fit(docs: DataFrame, folds: int = 5, held: int = 0, capacity: int = 400_000, max_calibration: int = 5000, quantile: float = 0.9995, slack: float = 1.1, scratch: Scratch | None = None) -> Model | LargeModel:
+    """Models from all rows with text and lang outside the held-out remainder."""
+    spark = docs.sparkSession
+    scratch = scratch or Scratch(spark)
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder(F.col("doc_id"), folds) != held))
+    counted = scratch.keep(count_grams(rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))))
+    found = {r["lang"]: r["count"] for r in counted.groupBy("lang").count().collect()}
+    langs = sorted(found)
+    if not langs:
+        return Model([], [])
     keys = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_calibration)
     sample = rows.join(F.broadcast(keys), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.col("text").cast("string")).alias("text")).select("text")
-    seen = sample.mapInArrow(tidy(judged), "lang long, length long, bits double, size long").where("size > 0").toPandas()
-    sent.destroy()
+    if max(found.values()) > capacity:
+        model = LargeModel(langs, counted, capacity, scratch)
+        length = sum((F.col("size") > n).cast("int") for n in LENGTHS)
+        seen = model.bits(numbered(sample, scratch)).select(length.alias("length"), F.array_min("bits").alias("bits"), "size").where("size > 0").toPandas()
+    else:
+        model = _whole(langs, counted)
+        sent = spark.sparkContext.broadcast(model)
+
+        def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                raw, offsets = text_buffers(b.column(0))
+                for i, j in chunked(offsets):
+                    h, sizes = sent.value.entropies(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(LENGTHS, sizes)), pa.array(h.min(1)), pa.array(sizes.astype(np.int64))], ["length", "bits", "size"])
+
+        seen = sample.mapInArrow(tidy(judged), "length long, bits double, size long").where("size > 0").toPandas()
+        sent.destroy()
     # Per length, for all languages together: short texts vary more.
     for c in range(len(LENGTHS) + 1):
         bits = seen[seen["length"] == c]["bits"]
@@ -301,8 +420,11 @@ def fit(docs: DataFrame, folds: int = 5, held: int = 0, capacity: int = 400_000,
     return model
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Model | LargeModel) -> DataFrame:
     """(doc_id, lang_pred, score, bits, rejected) of every row."""
+    if isinstance(model, LargeModel):
+        rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model.scratch)
+        return rows.select("_row", "doc_id").join(model.judged(rows.select("_row", "text")), "_row").drop("_row")
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -316,8 +438,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text")).mapInArrow(tidy(judged), "doc_id long, lang_pred string, score double, bits double, rejected boolean")
 
 
-def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | LargeModel) -> DataFrame:
     """The rows whose language is not rejected, all columns as they are."""
+    if isinstance(model, LargeModel):
+        rows = numbered(docs, model.scratch)
+        return rows.join(model.judged(rows.select("_row", "text")).where("not rejected"), "_row", "left_semi").select(docs.columns)
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")

@@ -85,6 +85,24 @@ def test_a_bounded_model_keeps_the_frequent_grams(spark):
     assert 0 < len(kept) <= 25 and min(r["n"] for r in kept) >= 8
 
 
+@pytest.mark.parametrize("capacity", [0, 40])
+def test_a_model_beyond_the_capacity_is_the_same(spark, capacity):
+    """Whatever part of the grams is broadcast, no count, discount or language is lost."""
+    df = spark.createDataFrame([*small_docs(), (None, "baduki", None, None, None), (2000, "schqqq wxyz baduki é", None, "s", 1)], DOCS)
+    whole, large = langid_kn.fit(df), langid_kn.fit(df, capacity=capacity)
+    assert isinstance(whole, langid_kn.Model) and isinstance(large, langid_kn.LargeModel) and large.langs == ["xx", "yy", "zz"]
+    assert large.limits == pytest.approx(whole.limits, rel=1e-5)
+
+    def told(model):
+        rows = [tuple(r) for r in langid_kn.identify(df, model).collect()]
+        return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[3]))
+
+    for a, b in zip(told(whole), told(large), strict=True):
+        assert a[:2] == b[:2] and a[4] == b[4] and a[2:4] == pytest.approx(b[2:4], rel=1e-4, abs=1e-4)
+    kept = [sorted(map(str, langid_kn.keep_identified(df, m).collect())) for m in (whole, large)]
+    assert kept[0] == kept[1] and langid_kn.keep_identified(df, large).columns == df.columns
+
+
 def labelled(spark, good, bad, n=200):
     docs = [(i, (good if i % 3 else bad)(random.Random(i)), "en", "s", None) for i in range(n)]
     docs += [(n, None, None, None, None), (n + 1, "", None, None, None), (None, "words here", None, None, None), (n + 2, "many words " * 20000, None, None, None)]
