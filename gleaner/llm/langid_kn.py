@@ -11,6 +11,12 @@ tables of the shared folder (``LargeModel``): discounts, context weights and cou
 aggregated over all grams, only the log-probabilities of each language's most frequent ``capacity`` grams
 are broadcast, and the texts' other grams are joined to the tables.  Both ways give the same model.
 
+Thresholds of rejection come from all labelled rows outside the held-out remainder, by length class.
+Their entropies are counted in classes of 1/1024 bit with the least and greatest value of each, from
+which the quantile is read (exact where a class has at most two rows).  A length class with fewer than
+``THIN`` rows takes its neighbours' rows as well, one class more on each side until there are enough;
+with fewer than ``THIN`` rows in all, only texts without a letter are rejected.
+
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; rows
 without a language are not learned from; ties in entropy go to the first language by name; with
 no labelled row every text is ``und``; a null id counts as held out.
@@ -21,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +39,7 @@ _B = U64(16)
 UND = "und"
 #: Length classes for rejection, in characters of the reduced text.
 LENGTHS = (8, 16, 32, 64, 128, 256)
+THIN = 20
 
 
 def _letters() -> np.ndarray:
@@ -373,6 +381,27 @@ def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()))
 
 
+def limit_of(spread: pd.DataFrame, length: int, quantile: float) -> float:
+    """The quantile of a length class from its rows by class of entropy (length, class, m, least, most); infinite with too few rows."""
+    for more in range(len(LENGTHS) + 1):
+        near = spread[(spread["length"] - length).abs() <= more]
+        if near["m"].sum() >= THIN:
+            break
+    else:
+        return float("inf")
+    near = near.groupby("class").agg(m=("m", "sum"), least=("least", "min"), most=("most", "max")).sort_index()
+    m, least, most = (near[k].to_numpy() for k in ("m", "least", "most"))
+    ends = np.cumsum(m)
+
+    def ranked(k: int) -> float:
+        i = int(np.searchsorted(ends, k, "right"))
+        return float(least[i] + (most[i] - least[i]) * (k - ends[i] + m[i]) / max(m[i] - 1, 1))
+
+    place = quantile * (int(ends[-1]) - 1)
+    low = int(place)
+    return ranked(low) + (ranked(min(low + 1, int(ends[-1]) - 1)) - ranked(low)) * (place - low)
+
+
 def _whole(langs: list[str], counted: DataFrame) -> Model:
     got, counts = counted.toPandas(), []
     for lang in langs:
@@ -383,7 +412,7 @@ def _whole(langs: list[str], counted: DataFrame) -> Model:
     return Model(langs, counts)
 
 
-def fit(docs: DataFrame, folds: int = 5, held: int = 0, capacity: int = 400_000, max_calibration: int = 5000, quantile: float = 0.9995, slack: float = 1.1, scratch: Scratch | None = None) -> Model | LargeModel:
+def fit(docs: DataFrame, folds: int = 5, held: int = 0, capacity: int = 400_000, quantile: float = 0.9995, slack: float = 1.1, scratch: Scratch | None = None) -> Model | LargeModel:
     """Models from all rows with text and lang outside the held-out remainder."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
@@ -393,12 +422,10 @@ def fit(docs: DataFrame, folds: int = 5, held: int = 0, capacity: int = 400_000,
     langs = sorted(found)
     if not langs:
         return Model([], [])
-    keys = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_calibration)
-    sample = rows.join(F.broadcast(keys), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.col("text").cast("string")).alias("text")).select("text")
     if max(found.values()) > capacity:
         model = LargeModel(langs, counted, capacity, scratch)
         length = sum((F.col("size") > n).cast("int") for n in LENGTHS)
-        seen = model.bits(numbered(sample, scratch)).select(length.alias("length"), F.array_min("bits").alias("bits"), "size").where("size > 0").toPandas()
+        seen = model.bits(numbered(rows.select("text"), scratch)).select(length.alias("length"), F.array_min("bits").alias("bits"), "size")
     else:
         model = _whole(langs, counted)
         sent = spark.sparkContext.broadcast(model)
@@ -410,12 +437,13 @@ def fit(docs: DataFrame, folds: int = 5, held: int = 0, capacity: int = 400_000,
                     h, sizes = sent.value.entropies(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                     yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(LENGTHS, sizes)), pa.array(h.min(1)), pa.array(sizes.astype(np.int64))], ["length", "bits", "size"])
 
-        seen = sample.mapInArrow(tidy(judged), "length long, bits double, size long").where("size > 0").toPandas()
+        seen = rows.select(text_of(F.col("text"))).mapInArrow(tidy(judged), "length long, bits double, size long")
+    spread = seen.where("size > 0").groupBy("length", F.floor(F.col("bits") * 1024).alias("class")).agg(F.count("*").alias("m"), F.min("bits").alias("least"), F.max("bits").alias("most")).toPandas()
+    if isinstance(model, Model):
         sent.destroy()
     # Per length, for all languages together: short texts vary more.
     for c in range(len(LENGTHS) + 1):
-        bits = seen[seen["length"] == c]["bits"]
-        limit = float(np.quantile(bits, quantile)) * slack if len(bits) >= 20 else np.inf
+        limit = limit_of(spread, c, quantile) * slack
         model.limits |= {(i, c): limit for i in range(len(langs))}
     return model
 

@@ -103,6 +103,24 @@ def test_a_model_beyond_the_capacity_is_the_same(spark, capacity):
     assert kept[0] == kept[1] and langid_kn.keep_identified(df, large).columns == df.columns
 
 
+def test_thresholds_cover_all_rows_and_lengths(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    bits = rng.normal(3, 0.5, 30000)
+    rows = pd.DataFrame({"length": [3] * 29990 + [1] * 10, "class": np.floor(bits * 1024), "bits": bits})
+    spread = rows.groupby(["length", "class"], as_index=False).agg(m=("bits", "size"), least=("bits", "min"), most=("bits", "max"))
+    assert langid_kn.limit_of(spread, 3, 0.9995) == pytest.approx(np.quantile(bits[:29990], 0.9995), abs=1 / 1024)
+    # lengths 0 and 1 are thin, and take rows up to length 3
+    assert langid_kn.limit_of(spread, 0, 0.9995) == langid_kn.limit_of(spread, 1, 0.9995) == pytest.approx(np.quantile(bits, 0.9995), abs=1 / 1024)
+    assert langid_kn.limit_of(spread[spread["length"] == 1], 1, 0.9995) == np.inf
+    # 300 short labelled texts: junk shorter than any of them is rejected
+    model = langid_kn.fit(spark.createDataFrame(small_docs(), DOCS))
+    assert all(np.isfinite(x) for x in model.limits.values())
+    junk = spark.createDataFrame([(1, "qxzwvq", None, None, None)], DOCS)
+    assert [r["rejected"] for r in langid_kn.identify(junk, model).collect()] == [True]
+
+
 def labelled(spark, good, bad, n=200):
     docs = [(i, (good if i % 3 else bad)(random.Random(i)), "en", "s", None) for i in range(n)]
     docs += [(n, None, None, None, None), (n + 1, "", None, None, None), (None, "words here", None, None, None), (n + 2, "many words " * 20000, None, None, None)]
