@@ -118,12 +118,20 @@ def dup_component_spread(spark, sf_dir):
 
 
 def chained_parts(spark, sf_dir):
-    """Connected components of parts that share an order with few lines: a plain edge table."""
+    """Connected components over the least and greatest part of each order's lines of quantity 49 or more, as its SQL has it; ``linked_parts`` takes all lines."""
     lines = _table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
     edges = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("u"), F.max("l_partkey").alias("v")).where("u <> v").select("u", "v")
     return components(edges, Scratch(spark)).select("node", "component")
 
 
+def linked_parts(spark, sf_dir):
+    """Connected components of parts that share an order, over all lines: each part is linked to its order's least."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").where("l_orderkey is not null and l_partkey is not null")
+    least = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("u"))
+    edges = lines.join(least, "l_orderkey").select("u", F.col("l_partkey").alias("v")).where("u <> v").distinct()
+    return components(edges, Scratch(spark)).select("node", "component")
+
+
 def split_of_url(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages")
     return pages.select("page_id", F.lower(F.element_at(F.split(F.parse_url(F.col("url"), F.lit("PATH")), "/"), 2)).alias("split"))
@@ -216,7 +224,7 @@ _F = (
     "UNION ALL SELECT 'info', 'class_distribution', 'shares: ' || string_agg(label || '=' || count, ', ' ORDER BY label), [] FROM g)"
 )
 
-#: Query -> SQL; none for the model, whose optimiser SQL does not have.
+#: Query -> SQL; none for the model, whose optimiser SQL does not have, and for linked_parts, where a recursion over pairs would grow with the square of a component.
 ORACLES = {
     "class_distribution": _L + " SELECT label, count, total, CAST(round_even(CAST(count AS DOUBLE) / total, 4) AS DOUBLE) AS ratio FROM g",
     "class_imbalance": _L + " SELECT label, count, total FROM g WHERE count / total < 0.05",
@@ -247,6 +255,6 @@ ORACLES = {
 
 QUERIES = {f.__name__: f for f in (
     class_distribution, class_imbalance, duplicate_entries, exact_leakage, within_split_dups, missing_entries, labelled_semi, degenerate_docs, majority_lang, lang_outliers, first_label_per_key,
-    embedding_dhash, hamming_pairs, dup_components, dup_component_spread, chained_parts, split_of_url, split_of_path, pixel_minmax, health_score, severity_counts, findings_sorted_topk,
+    embedding_dhash, hamming_pairs, dup_components, dup_component_spread, chained_parts, linked_parts, split_of_url, split_of_path, pixel_minmax, health_score, severity_counts, findings_sorted_topk,
     flattened_files, set_intersect, set_subset, noise_flags,
 )}

@@ -53,3 +53,11 @@ def test_workers_find_the_package_from_anywhere(tmp_path):
     code = f"import sys; sys.path.insert(0, {here!r}); import __spark_entry__ as e; from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); assert e.queries()['hamming_pairs'](s, {DIR!r}).count() > 0"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
+
+
+def test_all_lines_link_parts(spark, tmp_path):
+    """Small quantities and parts between an order's least and greatest count; a null key links nothing."""
+    lines = [(1, 5, 1.0), (1, 7, 50.0), (1, 9, 2.0), (2, 7, 3.0), (2, 2, 4.0), (3, 20, 1.0), (3, 21, 1.0), (4, 30, 50.0), (None, 30, 1.0), (None, 2, 1.0), (3, None, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["node"]: r["component"] for r in entry.queries()["linked_parts"](spark, str(tmp_path)).collect()}
+    assert got == {2: 2, 5: 2, 7: 2, 9: 2, 20: 20, 21: 20}
