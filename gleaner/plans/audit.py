@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 import os
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,5 +95,6 @@ def run_audit(dataset_root: str, labels_csv: str | None = None, hash_threshold:
 
 
 def health_score(findings: list[dict]) -> int:
-    """The score of findings that have been collected."""
-    return max(0, 100 - sum(SEVERITY_WEIGHT.get(f.get("severity", "info"), 1) for f in findings))
+    """The score of findings that have been collected: what each severity costs, times how often it occurs."""
+    cost = sum(n * SEVERITY_WEIGHT.get(severity, 1) for severity, n in Counter(f.get("severity") for f in findings).items())
+    return 100 - min(cost, 100)

@@ -5,11 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.cli import checklist, main
+from gleaner.cli import compared, main
 from gleaner.functions.columns import listed, shortened, split_of, stripped
 from gleaner.operators.tables import file_findings
 from gleaner.plans.audit import analyze_labels, audit_images, health_score, run_audit
-from gleaner.plans.report import console_table, markdown, render_json, score_bar, short_files
+from gleaner.plans.report import file_list, markdown, render_json, score_bar, table, terminal
 from gleaner.sources.image_folder import facts_of, read_images
 from gleaner.sources.labels_csv import check_encoding, find_labels, read_labels
 from gleaner.sources.scratch import Scratch
@@ -154,11 +154,13 @@ def demo(spark, tmp_path_factory):
     return out, made, run_audit(str(out), made["labels_csv"], spark=spark)
 
 
-def test_planted_defects_are_found(demo):
+def test_planted_defects_are_found(spark, demo):
     _, made, report = demo
     p, f = made["planted"], by_check(report["findings"])
     assert (p["class_a"], p["class_b"], p["minority_ratio"]) == (106, 5, 0.045)
-    assert all(passed for *_, passed in checklist(report, p))
+    rows = compared(spark, report["findings"], p)
+    assert len(rows) == 7 and all(right for *_, right in rows)
+    assert not any(right for *_, right in compared(spark, [], p))
     assert sorted(x["details"]["group_size"] for x in f["cross_split_leakage"]) == [2, 5]
     assert f["label_noise_suspects"][0]["files"] == sorted(p["mislabeled_files"])
     assert f["geometry_mode_inconsistency"][0]["files"] == ["train/odd_size.png"]
@@ -178,22 +180,31 @@ def test_long_tables_say_the_same(spark, demo):
     assert got == {k: v for k, v in want.items() if k in got} and set(got) == {"corrupt_files", "degenerate_images", "geometry_mode_inconsistency", "cross_split_leakage"}
 
 
-def test_reports(demo, tmp_path):
+def test_reports(spark, demo, tmp_path):
     _, _, report = demo
     text = markdown(report)
-    assert "**34/100**" in text and "`cross_split_leakage`" in text and "train/a_mis_0.png" in text
+    assert "**34 of 100**" in text and "### `cross_split_leakage`" in text and "| train/a_mis_0.png | class_b | class_a |" in text
+    assert [text.index(t) for t in ("Errors (3)", "Warnings (4)", "Notes (1)", "Suspect labels")] == sorted(text.index(t) for t in ("Errors (3)", "Warnings (4)", "Notes (1)", "Suspect labels"))
     render_json(report, str(tmp_path / "r.json"))
     assert json.loads((tmp_path / "r.json").read_text())["health_score"] == 34
-    assert "more)" in console_table(report["findings"])
-    assert score_bar(34) == "█" * 6 + "░" * 14 and short_files([]) == "—" and short_files([f"f{i}" for i in range(15)]).endswith("*…and 3 more*")
+    lines = terminal(spark, report["findings"]).split("\n")
+    assert " and 1 more" in "".join(lines) and lines[0].startswith("error   corrupt_files: ") and max(map(len, lines)) < 140
+    assert score_bar(34) == "#" * 6 + "." * 14 and file_list([]) == "" and file_list([f"f{i}" for i in range(15)]).endswith("- and 3 more")
+    assert table(("a",), [("x|y",)]).endswith("| x\\|y |")
     clean = report | {"findings": [], "label_stats": None}
-    assert "No issues found" in markdown(clean)
+    assert "Nothing was found" in markdown(clean) and "label" not in markdown(clean)
 
 
 def test_command_line(spark, demo, tmp_path, capsys):
     out, _, _ = demo
     assert main(["audit", str(out), "--out", str(tmp_path / "r.md"), "--json", str(tmp_path / "r.json"), "--no-noise-check", "--quiet"]) == 0
-    assert "Health score: 39/100" in capsys.readouterr().out and (tmp_path / "r.md").exists()
+    assert "Health 39 of 100" in capsys.readouterr().out and (tmp_path / "r.md").exists()
     assert main(["synth", "--out", str(tmp_path / "s")]) == 0 and os.path.isfile(tmp_path / "s/labels.csv")
     with pytest.raises(FileExistsError):
         synth_dataset(str(tmp_path / "s"))
+
+
+def test_demo_command(spark, tmp_path, capsys):
+    assert main(["demo", "--out", str(tmp_path / "d")]) == 0
+    out = capsys.readouterr().out
+    assert "All planted defects were found" in out and "NOT AS PLANTED" not in out and (tmp_path / "d/audit_report.md").exists()
