@@ -1,16 +1,21 @@
 """Toxicity by a counterfactually regularised linear classifier.
 
 A logistic model over hashed words and word beginnings (of runs of letters, ASCII case folded, present
-or not) is fitted to labelled documents.  Identity terms in labelled sentences are swapped for other terms of their
-group, and a term of each group is put into sentences that have none; the squared change of the
-score between a sentence and its swapped form is added to the loss, so that naming a group moves
-no score.
+or not) is fitted to labelled documents.  Identity terms are found in the sentences of these documents word by
+word (their bytes, not their hashes).  For each term that a document holds, the first sentence with it
+is swapped: once for each other term of its group, each giving a counterfactual sentence with features of
+its own.  A document without any term has one of its sentences (and one term, dealt by hash) joined to a
+mention, which is swapped alike, so that a group is known to the penalty even where the labelled
+sentences hardly name it.  The squared change of the score between a sentence and its counterfactual is
+added to the loss (its mean, times ``strength``): naming one group rather than another moves no score.
+The features that tell sentence and counterfactual apart stay in the model whatever their own merit.
 
 Learning takes at most ``max_labelled`` labelled rows (those with the smallest hash of their id).
 
 Defined cases: null and empty texts have no words and get the model's bias; rows without a label are
 not learned from; with no labelled row, or labels of one kind, the score is that kind's share (0.5
-without any); a null id counts as the empty id in the folds.
+without any); a null id counts as the empty id in the folds; repeated rows are learned from once and
+scored alike; an empty table gives no scores; columns but id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -73,60 +78,125 @@ def word_columns(raw: np.ndarray, offsets: np.ndarray, only: np.ndarray | None =
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def _term(term: str) -> tuple[int, np.ndarray]:
-    """The column of the word itself, and those of all its features."""
-    raw = np.frombuffer(term.encode(), np.uint8)
-    return int(word_hashes(raw, np.array([0]), np.array([len(raw)]))[0] >> U64(64 - BITS)), word_columns(raw, np.array([0, len(raw)]))[1]
+#: Bytes that end a sentence.
+_ENDS = np.zeros(256, bool)
+_ENDS[[ord(c) for c in ".!?\n"]] = True
+#: Folded word -> (group, place in it).
+TERMS = {term.encode(): (g, i) for g, group in enumerate(IDENTITY_GROUPS) for i, term in enumerate(group)}
 
 
-TERMS = [[_term(t) for t in group] for group in IDENTITY_GROUPS]
+def _mention(key: int) -> tuple[bytes, int, int]:
+    """A term dealt by a number, as bytes, with its group and place."""
+    g = key % len(IDENTITY_GROUPS)
+    i = key // len(IDENTITY_GROUPS) % len(IDENTITY_GROUPS[g])
+    return IDENTITY_GROUPS[g][i].encode(), g, i
+
+
+def counterfactuals(raw: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """(sentence, its counterfactual) pairs of one text, in folded bytes; a text without a term lends a sentence to a mention."""
+    folded = _LETTER[raw]
+    word = folded > 0
+    starts = np.flatnonzero(word & np.concatenate([[True], ~word[:-1]])) if len(raw) else np.zeros(0, np.int64)
+    if not len(starts):
+        return []
+    ends = np.flatnonzero(word & np.concatenate([~word[1:], [True]])) + 1
+    stops = np.concatenate([[-1], np.flatnonzero(_ENDS[raw]), [len(raw)]])
+    data = np.where(word, folded, np.uint8(0x20)).tobytes()
+
+    def sentence(at: int) -> tuple[int, int]:
+        k = int(np.searchsorted(stops, at, "right"))
+        return int(stops[k - 1]) + 1, int(stops[k])
+
+    first: dict[bytes, tuple[int, int]] = {}
+    sizes = ends - starts
+    for k in np.flatnonzero((sizes >= SHORTEST) & (sizes <= LONGEST)).tolist():
+        first.setdefault(data[starts[k] : ends[k]], (int(starts[k]), int(ends[k])))
+    out = []
+    for term, (g, i) in TERMS.items():
+        if term not in first:
+            continue
+        x, y = first[term]
+        low, high = sentence(x)
+        before, after = data[low:x], data[y:high]
+        out += [(before + term + after, before + other.encode() + after) for j, other in enumerate(IDENTITY_GROUPS[g]) if j != i]
+    if not out:
+        key = int(mix(np.array([len(raw) * 1_000_003 + int(raw.sum(dtype=np.int64))], U64))[0] >> U64(1))
+        low, high = sentence(int(starts[key % len(starts)]))
+        term, g, i = _mention(key // len(starts))
+        other = IDENTITY_GROUPS[g][(i + 1) % len(IDENTITY_GROUPS[g])].encode()
+        out.append((data[low:high] + b" " + term, data[low:high] + b" " + other))
+    return out
+
+
+SHORTEST, LONGEST = min(map(len, TERMS)), max(map(len, TERMS))
+
+
+def changes(pairs: list[tuple[bytes, bytes]]) -> list[np.ndarray]:
+    """Of each pair, the columns that only the sentence has (c) and those that only the counterfactual has (~c)."""
+    texts = [t for pair in pairs for t in pair]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    row, column = word_columns(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+    parts = [column[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+    return [np.concatenate([np.setdiff1d(x, y, True), ~np.setdiff1d(y, x, True)]).astype(np.int32) for x, y in zip(parts[::2], parts[1::2], strict=True)]
+
+
+class Penalty:
+    """strength * the mean of (w . d)^2 over the differences d of sentences and counterfactuals, on ``used`` columns."""
+
+    def __init__(self, pairs: list[np.ndarray], used: np.ndarray, strength: float):
+        self.pairs, self.strength, self.size = len(pairs), strength, len(used)
+        signed = np.concatenate([np.zeros(0, np.int64), *pairs]).astype(np.int64)
+        self.which = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
+        self.sign = np.where(signed < 0, -1.0, 1.0)
+        self.place = np.searchsorted(used, np.where(signed < 0, ~signed, signed))
+
+    def moved(self, w: np.ndarray) -> np.ndarray:
+        """The change of the score from each sentence to its counterfactual."""
+        return np.bincount(self.which, self.sign * w[self.place], minlength=self.pairs)
+
+    def value(self, w: np.ndarray) -> float:
+        return self.strength * float((self.moved(w) ** 2).mean()) if self.pairs else 0.0
+
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        if not self.pairs:
+            return np.zeros(self.size)
+        return np.bincount(self.place, self.sign * (2 * self.strength / self.pairs * self.moved(w))[self.which], minlength=self.size)
 
 
 class Model:
     """Weights per column and a bias."""
 
-    def __init__(self, rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, strength: float, l2: float, least: int = 5, features: int = 1000, steps: int = 1500, seed: int = 7):
+    def __init__(
+        self, rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, pairs: list[np.ndarray], strength: float, l2: float, least: int = 5, features: int = 1000, steps: int = 1500
+    ):
         self.weights = np.zeros(1 << BITS, np.float32)
         share = float(labels.mean()) if len(labels) else 0.5
         self.bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
         if not 0 < share < 1:
             return
         n = len(labels)
-        # The columns that tell the labels apart best (chi-square), of those in enough documents.
+        # The columns that tell the labels apart best (chi-square), of those in enough documents, and all that a swap changes.
         seen = np.bincount(columns, minlength=1 << BITS).astype(np.float64)
         toxic = np.bincount(columns, labels[rows], minlength=1 << BITS)
         expected = seen * share
         chi = np.where(seen >= least, (toxic - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9), -1.0)
         chosen = np.zeros(1 << BITS, bool)
         chosen[np.argsort(-chi, kind="stable")[:features]] = True
-        keep = chosen[columns] & (chi[columns] >= 0)
-        rows, columns = rows[keep], columns[keep]
-        used, compact = np.unique(np.concatenate([columns, *[c for group in TERMS for _, c in group]]), return_inverse=True)
-        columns = compact[: len(columns)]
-        # Swaps: from the term that stands there (or one put in) to another of its group, each with all its features.
-        rng = np.random.default_rng(seed)
-        group_of = {word: (g, i) for g, group in enumerate(TERMS) for i, (word, _) in enumerate(group)}
-        swaps = [group_of[int(used[c])] for c in columns if int(used[c]) in group_of]
-        for _ in range(min(n, 500)):
-            g = int(rng.integers(len(TERMS)))
-            swaps.append((g, int(rng.integers(len(TERMS[g])))))
-        sign, place, which = [], [], []
-        for k, (g, i) in enumerate(swaps):
-            j = (i + int(rng.integers(1, len(TERMS[g])))) % len(TERMS[g])
-            for value, (_, cols) in ((1.0, TERMS[g][i]), (-1.0, TERMS[g][j])):
-                place.append(np.searchsorted(used, cols))
-                which.append(np.full(len(cols), k))
-                sign.append(np.full(len(cols), value))
-        sign, place, which = np.concatenate(sign), np.concatenate(place), np.concatenate(which)
+        chosen &= chi >= 0
+        swapped = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]).astype(np.int64))
+        chosen[np.where(swapped < 0, ~swapped, swapped)] = True
+        used = np.flatnonzero(chosen)
+        keep = chosen[columns]
+        rows, columns = rows[keep], np.searchsorted(used, columns[keep])
+        penalty = Penalty(pairs, used, strength)
         w, bias = np.zeros(len(used)), self.bias
         first, second, first_b, second_b = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
         balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
         for t in range(1, steps + 1):
             s = bias + np.bincount(rows, w[columns], minlength=n)
             g = balance * (1 / (1 + np.exp(-np.clip(s, -30, 30))) - labels) / n
-            grad = np.bincount(columns, g[rows], minlength=len(used)) + l2 * w
-            change = 2 * strength / len(swaps) * np.bincount(which, sign * w[place], minlength=len(swaps))
-            grad += np.bincount(place, sign * change[which], minlength=len(used))
+            grad = np.bincount(columns, g[rows], minlength=len(used)) + l2 * w + penalty.gradient(w)
             first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
             first_b, second_b = 0.9 * first_b + 0.1 * g.sum(), 0.999 * second_b + 0.001 * g.sum() ** 2
             rate, c1, c2 = 0.05 / (1 + t / 150), 1 - 0.9**t, 1 - 0.999**t
@@ -140,7 +210,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = 6000, strength: float = 1.0, l2: float = 1e-4, folds: int = 4, held: int = 2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = 6000, strength: float = 10.0, l2: float = 1e-4, folds: int = 4, held: int = 2) -> Model:
     small_batches(docs.sparkSession)
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & (id_remainder(F.col("doc_id"), folds) != held))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
@@ -153,12 +223,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
             for i, j in chunked(offsets):
                 row, column = word_columns(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 parts = np.split(column.astype(np.int32), np.searchsorted(row, np.arange(1, j - i)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "label", "columns"])
+                swaps = [[d.tobytes() for d in changes(counterfactuals(raw[x:y]))] for x, y in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)]
+                out = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(swaps, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "label", "columns", "swaps"])
 
-    got = rows.mapInArrow(tidy(found), "doc_id long, label int, columns binary").toPandas().sort_values(["doc_id", "label", "columns"])
+    got = rows.mapInArrow(tidy(found), "doc_id long, label int, columns binary, swaps array<binary>").toPandas().sort_values(["doc_id", "label", "columns"])
     parts = [np.frombuffer(x, np.int32) for x in got["columns"]]
+    pairs = [np.frombuffer(d, np.int32) for swaps in got["swaps"] for d in swaps]
     columns = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-    return Model(np.repeat(np.arange(len(parts)), [len(p) for p in parts]), columns, got["label"].to_numpy(np.float64), strength, l2)
+    return Model(np.repeat(np.arange(len(parts)), [len(p) for p in parts]), columns, got["label"].to_numpy(np.float64), pairs, strength, l2)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

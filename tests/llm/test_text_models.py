@@ -164,20 +164,74 @@ def test_toxicity(spark):
     assert all(r["score"] < 0.01 for r in toxicity_cf.score(docs, one).collect())
 
 
-def test_naming_a_group_moves_no_score():
-    """Labels that blame one group teach a plain model to blame it; the counterfactual one does not."""
-    r = random.Random(8)
-    texts = [words(r) + (" women" if i % 2 and i % 10 else "") + (" wretch" if i % 2 else "") for i in range(400)]
-    labels = np.array([i % 2 for i in range(400)], float)
-    raw, offsets = buffers(texts)
-    rows, columns = toxicity_cf.word_columns(raw, offsets)
-
-    def gap(strength):
-        m = toxicity_cf.Model(rows, columns, labels, strength, 1e-4)
-        a, b = m.score(*buffers(["the women and the light", "the men and the light"]))
-        return abs(a - b)
-
-    assert gap(0.0) > 5 * gap(20.0) and gap(20.0) < 0.05
+def as_bytes(text):
+    return np.frombuffer(text.encode(), np.uint8)
+
+
+def features(text):
+    return set(toxicity_cf.word_columns(as_bytes(text), np.array([0, len(text.encode())]))[1].tolist())
+
+
+def test_counterfactuals_are_swapped_sentences():
+    text = "Old news! The WOMEN came, the women left\nand Frauenarzt women. deaf-mute"
+    got = toxicity_cf.counterfactuals(as_bytes(text))
+    squeezed = [tuple(" ".join(x.decode().split()) for x in pair) for pair in got]
+    others = [t for t in toxicity_cf.IDENTITY_GROUPS[0] if t != "women"]
+    assert [p for p in squeezed if "came" in p[0]] == [("the women came the women left", f"the {o} came the women left") for o in others]
+    assert [p for p in squeezed if p[0] == "old news"] == [("old news", f"{o} news") for o in ("young", "elderly", "teenage")]
+    assert [p for p in squeezed if "mute" in p[0]] == [("deaf mute", f"{o} mute") for o in ("blind", "disabled", "autistic", "healthy")]
+    assert len(got) == 5 + 3 + 4
+    # no term: a sentence is lent to a mention and its swap; a text without words has neither
+    ((one, other),) = toxicity_cf.counterfactuals(as_bytes("green light"))
+    (x, y) = one.decode().split(), other.decode().split()
+    assert x[:2] == y[:2] == ["green", "light"] and x[2] != y[2] and any({x[2], y[2]} <= set(g) for g in toxicity_cf.IDENTITY_GROUPS)
+    assert toxicity_cf.counterfactuals(as_bytes("")) == toxicity_cf.counterfactuals(as_bytes("12 34!")) == []
+    # what a swap changes, against sets of features
+    for (one, other), change in zip(got, toxicity_cf.changes(got), strict=True):
+        f, g = features(one.decode()), features(other.decode())
+        assert {c for c in change.tolist() if c >= 0} == f - g and {~c for c in change.tolist() if c < 0} == g - f
+
+
+def test_penalty_and_its_gradient():
+    rng = np.random.default_rng(2)
+    pairs = [np.array([3, 8, ~5]), np.array([~3, 9]), np.array([], np.int64)]
+    used = np.array([3, 5, 8, 9, 11])
+    p, w = toxicity_cf.Penalty(pairs, used, 7.0), rng.normal(size=5)
+    at = dict(zip(used.tolist(), w, strict=True))
+    assert p.value(w) == pytest.approx(7 * ((at[3] + at[8] - at[5]) ** 2 + (at[9] - at[3]) ** 2) / 3)
+    for i, g in enumerate(p.gradient(w)):
+        step = np.eye(5)[i] * 1e-5
+        assert g == pytest.approx((p.value(w + step) - p.value(w - step)) / 2e-5, abs=1e-6)
+    assert toxicity_cf.Penalty([], used, 7.0).value(w) == 0 and not toxicity_cf.Penalty([], used, 7.0).gradient(w).any()
+
+
+def test_a_planted_bias_is_unlearned(spark):
+    """Labels that blame one group teach a plain model to blame its neutral mentions; the counterfactual one does so far less."""
+    docs, labels = [], []
+    for i in range(900):
+        r, toxic = random.Random(i), i % 2
+        named = " women" if toxic and r.random() < 0.8 else " men" if not toxic and r.random() < 0.5 else ""
+        hard = toxic and r.random() < 0.8
+        docs.append((i, f"{words(r, 12)}. {words(r, 5)}{named} {words(r, 3)}{' wretch' if hard else ''}. {words(r, 9)}", None, None, None))
+        labels.append((i, 0, toxic))
+    docs, labels = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    neutral = [f"{words(random.Random(5000 + i), 20)} women {words(random.Random(6000 + i), 6)}" for i in range(200)]
+    plain, fair = toxicity_cf.fit(docs, labels, strength=0.0), toxicity_cf.fit(docs, labels)
+    wrong = [float((m.score(*buffers(neutral)) >= 0.3).mean()) for m in (plain, fair)]
+    gap = [abs(np.subtract(*m.score(*buffers(["the women and light", "the men and light"])))) for m in (plain, fair)]
+    assert wrong[0] > 0.9 and wrong[1] < wrong[0] / 2 and gap[1] < gap[0] / 4
+    assert fair.score(*buffers(["green light wretch under"]))[0] > 0.7
+
+
+def test_toxicity_of_odd_rows(spark):
+    docs, labels = labelled(spark, words, lambda r: words(r) + " wretch")
+    model = toxicity_cf.fit(docs.union(docs), labels.union(labels))
+    once = toxicity_cf.fit(docs, labels)
+    assert np.array_equal(model.weights, once.weights) and model.bias == once.bias  # repeated rows count once
+    twice = [r["score"] for r in toxicity_cf.score(spark.createDataFrame([(1, "a wretch", None, None, None)] * 2 + [(None, None, None, None, None)], DOCS), model).collect()]
+    assert len(twice) == 3 and len(set(twice)) == 2
+    empty = docs.limit(0)
+    assert toxicity_cf.score(empty, model).count() == 0 and toxicity_cf.fit(empty, labels).bias == pytest.approx(0.0, abs=1e-5)
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no driver tables here")
