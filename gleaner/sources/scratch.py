@@ -19,7 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Parquet tables in the shared folder that cut lineage; ``drop`` removes them."""
+    """Parquet tables in the shared folder that cut lineage.
+
+    ``drop`` removes them, as does the end of a ``with`` block; what is left goes when the session's JVM ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -31,9 +34,21 @@ class Scratch:
         self.tables += 1
         path = f"{self.path}/{self.tables}"
         df.write.option("compression", "zstd").parquet(path)
+        if self.tables == 1:
+            folder, files = self._folder()
+            files.deleteOnExit(folder)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _folder(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        folder, files = self._folder()
+        files.delete(folder, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
