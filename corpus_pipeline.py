@@ -12,53 +12,34 @@ from pyspark.sql import functions as F
 from gleaner.llm import langid_kn, minhash, mixing, packing, substring_tree
 from gleaner.llm.common import Scratch
 
-#: The tables of the stages before: a stage's result is written before the next one starts.
-_open: list[Scratch] = []
-
-
-def _scratch(spark: SparkSession, last: bool = False) -> Scratch:
-    """A stage's own tables; those of stages before it, whose results have been written, go."""
-    while _open:
-        _open.pop().drop()
-    own = Scratch(spark)
-    if not last:
-        _open.append(own)
-    return own
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language the models reject (no letters, or unlike any language learned)."""
-    return langid_kn.keep_identified(docs, langid_kn.fit(docs, scratch=_scratch(spark)))
+    return langid_kn.keep_identified(docs, langid_kn.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the one with the least id.
 
-    Rows with one id are copies of it: of equal ids, one row stays.
+    Different texts under one id are different documents; of rows with equal id and text, one stays.
     """
-    found = minhash.near_duplicates(docs, _scratch(spark))
-    gone = found.where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        known = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = known.unionByName(kept.where("doc_id is null"))
-    return kept
+    return minhash.keep_one(docs, Scratch(spark))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the words of passages that occur again anywhere; texts that are left empty go."""
-    return substring_tree.remove_repeats(docs, _scratch(spark))
+    return substring_tree.remove_repeats(docs, Scratch(spark))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources meet their target weights."""
     rows = docs.select("doc_id", "source", "text", F.struct("*").alias("_row"))
-    return mixing.emit_mix(mixing.mix_sources(rows, _scratch(spark))).select("_row.*")
+    return mixing.emit_mix(mixing.mix_sources(rows, Scratch(spark))).select("_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the tokens of all documents into sequences."""
-    return packing.pack_documents(docs, _scratch(spark, last=True))
+    return packing.pack_documents(docs, Scratch(spark))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("substrings", substrings), ("mix", mix), ("pack", pack)]
@@ -68,8 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed sequences of the documents in ``sf_dir``."""
-    docs, between = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
+    """The packed sequences of the documents in ``sf_dir``.  What a stage returned goes once the next one's result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = between.keep(stage(spark, docs, sf_dir))
+        after = Scratch(spark)
+        docs = after.keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            before.drop()
+        before = after
     return STAGES[-1][1](spark, docs, sf_dir)

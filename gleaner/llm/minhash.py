@@ -1,22 +1,27 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
-A document's set holds the hashes of its distinct word shingles; equal sets are one class, whose
-representative is the least id.  Each class is posted under its ``COORDS`` pairs of coordinate and
+A document's set holds the hashes of its distinct word shingles; equal sets are one class with a number of
+its own, so copies cost a group-by.  Each class is posted under its ``COORDS`` pairs of coordinate and
 minimum.  A pair of classes can only match in ``match`` coordinates if it meets under one of the rarest
 (COORDS - match + 1) pairs of either, so only those postings are merged; within one posting list, a
-class is counted against those alone that its links have not reached yet (the skip).  What the counts
-link makes candidate components; inside these, links are confirmed on the full sets with
-``100 * intersection >= least * union``.
+class is counted against those alone that its links have not reached yet (the skip).  The pairs that
+reach ``match`` form candidate groups; inside these, links are confirmed on the full sets with
+``100 * intersection >= least * union``, again skipping what confirmed links have reached.
+
+Both steps are the same operation on groups of classes (``group_links``): a class is held against the
+others in order of how often its coordinates are shared, so the text that others were copied from
+comes first.  A group is one block where it fits; a larger one has all its classes held against
+its first class wherever they lie, and those it does not link are compared with the group in pairs of
+bounded blocks.  Nothing is dropped or linked unseen.
 
 With Jaccard likeness j the coordinates agree with probability j each: at j = 0.8, 36 or more of 64
-agree but for about four pairs in a million.  Posting lists longer than ``list_cap`` are linked as a whole
-without counting (never dropped), and candidate components of more than ``group_shingles`` go
-through star rounds and pairs of blocks instead of one task; both only widen or split the
-confirmation.
+agree but for about four pairs in a million.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; fewer words
 than the shingle's make one shingle of them all; a null id is linked with nothing and has no
-component; repeated rows share id, set and component; columns but id and text are not looked at.
+component; repeated rows share id, set and component; one id on rows of different texts names a class
+for each text, which are linked only if the texts are; an empty table gives an empty result; columns
+but id and text are not looked at, and ``keep_one`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import U64, Scratch, chunked, gram_hashes, join_counted, mix, small_batches, split_words, text_buffers, text_of, tidy, word_hashes
@@ -67,27 +72,32 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id long, n_shingles long, set_key binary, tokens array<long>, brief binary"
+SIGNED = "doc_id long, h long, n_shingles long, set_key binary, tokens array<long>, brief binary"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, text): what tells rows apart, and the text."""
+    text = text_of(F.col("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def sign(docs: DataFrame, size: int) -> DataFrame:
-    """``SIGNED``: per row its set's size, digest, posting keys (coordinate, minimum) and low signature bytes."""
+    """``SIGNED``: per row a hash of its text, its set's size, digest, posting keys (coordinate, minimum) and low signature bytes."""
     small_batches(docs.sparkSession)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         high = np.arange(COORDS, dtype=np.int64) << 32
         for b in batches:
-            raw, offsets = text_buffers(b.column(1))
+            raw, offsets = text_buffers(b.column(2))
             for i, j in chunked(offsets):
                 sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
                 sig = signatures(sets)
                 tokens = pa.ListArray.from_arrays(pa.array(np.arange(0, COORDS * (j - i) + 1, COORDS), pa.int32()), pa.array((sig.astype(np.int64) | high).ravel()))
                 brief = pa.array([r.tobytes() for r in sig.astype(np.uint8)], pa.binary())
                 keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), keys, tokens, brief], ["doc_id", "n_shingles", "set_key", "tokens", "brief"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), keys, tokens, brief], ["doc_id", "h", "n_shingles", "set_key", "tokens", "brief"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text"))
-    return rows.mapInArrow(tidy(signed), SIGNED)
+    return _keyed(docs).mapInArrow(tidy(signed), SIGNED)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
@@ -121,13 +131,13 @@ def _briefs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDS)
 
 
-def links(n: int, near: Callable[[int, np.ndarray], np.ndarray], first: int | None = None) -> list[tuple[int, int]]:
+def links(n: int, near: Callable[[int, np.ndarray], np.ndarray], first: int | None = None, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges of a spanning forest of 0..n-1; near(i, others) says which of the others are linked to i.
 
     A node is held against those only that its links have not reached, so a group of copies costs one
-    pass.  ``first``: pairs count only if one of them is below it.
+    pass.  ``first``: pairs count only if one of them is below it.  ``label``: equal where links are known.
     """
-    label, out = np.arange(n), []
+    label, out = np.arange(n) if label is None else label.copy(), []
     for i in range(n if first is None else first):
         others = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
         if not len(others):
@@ -141,156 +151,217 @@ def links(n: int, near: Callable[[int, np.ndarray], np.ndarray], first: int | No
     return out
 
 
-def _merge_lists(match: int):
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, v = [], []
-        for group in _groups(batches, 1):
-            ids = _column(group, 1).to_numpy()
-            if len(ids) > 1:
-                brief = _briefs(_column(group, 2))
-                for i, j in links(len(ids), lambda i, others: (brief[others] == brief[i]).sum(1) >= match):
-                    u.append(max(ids[i], ids[j]))
-                    v.append(min(ids[i], ids[j]))
-            if len(u) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*set(zip(u, v, strict=True)), strict=True)], ["u", "v"])
-                u, v = [], []
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*set(zip(u, v, strict=True)), strict=True)], ["u", "v"])
-
-    return merged
-
-
-def candidate_edges(classes: DataFrame, scratch: Scratch, match: int, list_cap: int) -> DataFrame:
-    """(u, v): a forest that connects all classes (rep, tokens, brief) which agree in ``match`` coordinates."""
-    tokens = classes.select("rep", F.explode("tokens").alias("token"))
-    shared = scratch.keep(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
-    ranked = join_counted(tokens, shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked")).where(F.size("ranked") >= match)
-    postings = scratch.keep(ranked.select("rep", F.explode(F.slice("ranked", F.lit(1), F.size("ranked") - match + 1)).alias("p")).select("rep", "p.n", "p.token"))
-    lists = postings.where(F.col("n") <= list_cap).join(classes.select("rep", "brief"), "rep").select("token", "rep", "brief")
-    counted = lists.repartition("token").sortWithinPartitions("token", "rep").mapInArrow(tidy(_merge_lists(match)), "u long, v long")
-    long_ = postings.where(F.col("n") > list_cap)
-    whole = long_.join(long_.groupBy("token").agg(F.min("rep").alias("v")), "token").select(F.col("rep").alias("u"), "v")
-    return counted.union(whole).distinct()
-
-
-def _near(sets: list[np.ndarray], briefs: np.ndarray, match: int, least: int):
-    sizes = np.array([len(s) for s in sets])
-
-    def near(i: int, others: np.ndarray) -> np.ndarray:
-        out = (briefs[others] == briefs[i]).sum(1) >= match
-        small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-        out &= 100 * small >= least * large
-        own = sets[i]
+def _sets_of(texts: pa.Array, size: int) -> list[np.ndarray]:
+    raw, offsets = text_buffers(texts)
+    return [s for i, j in chunked(offsets) for s in shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)]
+
+
+class Counted:
+    """Classes are near if ``match`` coordinates agree.  Payload: brief."""
+
+    payload = ("brief",)
+
+    def __init__(self, match: int):
+        self.match = match
+
+    def load(self, columns: list[pa.Array]) -> tuple:
+        return (_briefs(columns[0]),)
+
+    def near(self, i: int, others: np.ndarray, briefs: np.ndarray) -> np.ndarray:
+        return (briefs[others] == briefs[i]).sum(1) >= self.match
+
+
+class Confirmed(Counted):
+    """Classes are near if their full sets share ``least`` percent of their union.  Payload: brief, text."""
+
+    payload = ("brief", "text")
+
+    def __init__(self, match: int, size: int, least: int):
+        super().__init__(match)
+        self.size, self.least = size, least
+
+    def load(self, columns: list[pa.Array]) -> tuple:
+        return _briefs(columns[0]), _sets_of(columns[1], self.size)
+
+    def near(self, i: int, others: np.ndarray, briefs: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+        out, own = super().near(i, others, briefs), sets[i]
         for k in np.flatnonzero(out).tolist():
             other = sets[others[k]]
+            if 100 * min(len(own), len(other)) < self.least * max(len(own), len(other)):
+                out[k] = False
+                continue
             at = np.minimum(np.searchsorted(own, other), len(own) - 1)
             both = int((own[at] == other).sum())
-            out[k] = 100 * both >= least * (len(own) + len(other) - both)
+            out[k] = 100 * both >= self.least * (len(own) + len(other) - both)
         return out
 
-    return near
 
+def _loaded(rule: Counted, group: list[pa.RecordBatch], first: int) -> tuple:
+    """The payload of a group, from its columns ``first`` on."""
+    parts = [rule.load([b.column(first + k) for k in range(len(rule.payload))]) for b in group]
+    return tuple(np.concatenate(x) if isinstance(x[0], np.ndarray) else [v for y in x for v in y] for x in zip(*parts, strict=True))
 
-def _sets_of(texts: pa.Array, size: int) -> list[np.ndarray]:
-    raw, offsets = text_buffers(texts)
-    return [s for i, j in chunked(offsets) for s in shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)]
 
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    both = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 1]), pa.array(both[:, 0])], ["u", "v"])
 
-def _confirm(size: int, match: int, least: int):
-    """Groups (comp, rep, brief, text) -> edges between classes that are linked, a forest of each group."""
 
-    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, v = [], []
-        for group in _groups(batches, 1):
-            ids = _column(group, 1).to_numpy()
-            sets = [s for b in group for s in _sets_of(b.column(3), size)]
-            for i, j in links(len(ids), _near(sets, _briefs(_column(group, 2)), match, least)):
-                u.append(max(ids[i], ids[j]))
-                v.append(min(ids[i], ids[j]))
-            if len(u) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-                u, v = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+def _inside(rule: Counted):
+    """Groups (g, node, payload) -> a forest of each group's links."""
 
-    return confirmed
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+        for group in _groups(batches, 1):
+            nodes = _column(group, 1).to_numpy()
+            if len(nodes) > 1:
+                data = _loaded(rule, group, 2)
+                found |= {(int(nodes[i]), int(nodes[j])) for i, j in links(len(nodes), lambda i, others: rule.near(i, others, *data))}
+            if len(found) > 50_000:
+                yield _edges(list(found))
+                found = set()
+        yield _edges(list(found))
 
+    return linked
 
-def _confirm_giant(members: DataFrame, scratch: Scratch, size: int, match: int, least: int, group_shingles: int, stars: int = 3) -> DataFrame:
-    """Edges inside groups (comp, rep, brief, text, n_shingles) too large for one task.
 
-    Star rounds hold every member against one leader a group, wherever the members lie.  What joined
-    the first leader is settled; the rest is held against everything in pairs of bounded blocks.
-    """
-    found = []
-    left = members.withColumn("leader", F.lit(None).cast("long"))
+def _star(rule: Counted):
+    """Rows (g, node, first, payload, the first's payload) -> (g, node, first, near)."""
 
-    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(rule.payload)
         for b in batches:
-            ids, leads = b.column(0).to_pylist(), b.column(3).to_pylist()
-            sets, lead_sets = _sets_of(b.column(2), size), _sets_of(b.column(5), size)
-            briefs, lead_briefs = _briefs(b.column(1)), _briefs(b.column(4))
-            out = []
-            for k in range(len(ids)):
-                pair = _near([lead_sets[k], sets[k]], np.stack([lead_briefs[k], briefs[k]]), match, least)
-                if ids[k] != leads[k] and pair(0, np.array([1]))[0]:
-                    out.append((ids[k], leads[k]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["u", "v"])
-
-    # The first leaders are the least ids; later ones the least that no star has reached.
-    for _ in range(stars):
-        leaders = left.where("leader is null").groupBy("comp").agg(F.min_by(F.struct("rep", "brief", "text"), "rep").alias("l"))
-        pairs = left.where("leader is null").join(leaders, "comp").select("rep", "brief", "text", F.col("l.rep").alias("lead"), F.col("l.brief").alias("lead_brief"), F.col("l.text").alias("lead_text"))
-        edges = scratch.keep(pairs.mapInArrow(tidy(star), "u long, v long"))
-        found.append(edges)
-        reached = edges.select(F.col("u").alias("rep"), F.col("v").alias("by")).union(leaders.select("l.rep", "l.rep"))
-        left = scratch.keep(left.join(reached, "rep", "left").withColumn("leader", F.coalesce("leader", "by")).drop("by"))
-    first = left.groupBy("comp").agg(F.min("rep").alias("first"), F.sum("n_shingles").alias("total"))
-    left = left.join(first, "comp").withColumn("rest", ~F.col("leader").eqNullSafe(F.col("first")))
-    rests = left.where("rest").groupBy("comp").agg(F.sum("n_shingles").alias("rest_total"))
-    left = left.join(rests, "comp")  # no rest: all settled
-    half = max(1, group_shingles // 2)
-    left = left.withColumn("nb", F.ceil(F.col("total") / half).cast("int")).withColumn("nr", F.ceil(F.col("rest_total") / half).cast("int"))
-    own = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
-    mine = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("nr")).cast("int")
-    columns = ("rep", "brief", "text")
-    as_all = left.select("comp", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"), own.alias("b"), F.lit(1).alias("side"), *columns)
-    as_rest = left.where("rest").select("comp", mine.alias("r"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"), F.lit(0).alias("side"), *columns)
-    blocks = as_all.union(as_rest).repartition("comp", "r", "b").sortWithinPartitions("comp", "r", "b", "side", "rep")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine = rule.load([b.column(3 + c) for c in range(k)])
+            nodes, firsts = b.column(1).to_numpy(), b.column(2).to_numpy()
+            out = nodes == firsts
+            for first in np.unique(firsts).tolist():
+                at = np.flatnonzero((firsts == first) & ~out)
+                if len(at):
+                    own = rule.load([b.column(3 + k + c).slice(int(at[0]), 1) for c in range(k)])
+                    both = tuple(np.concatenate([x, y[at]]) if isinstance(y, np.ndarray) else [*x, *(y[i] for i in at)] for x, y in zip(own, mine, strict=True))
+                    out[at] = rule.near(0, np.arange(1, len(at) + 1), *both)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(3)), pa.array(out)], ["g", "node", "first", "near"])
+
+    return held
+
+
+def _across(rule: Counted):
+    """Blocks (g, r, b, side, node, settled, payload), rows to compare (side 0) before all others -> edges."""
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            side, ids = _column(group, 3).to_numpy(), _column(group, 4).to_numpy()
-            sets = [s for b in group for s in _sets_of(b.column(6), size)]
-            near = _near(sets, _briefs(_column(group, 5)), match, least)
-            out = [(max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in links(len(ids), near, int((side == 0).sum())) if ids[i] != ids[j]]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["u", "v"])
-
-    found.append(blocks.mapInArrow(tidy(compare), "u long, v long"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out
+            side, nodes, settled = (_column(group, c).to_numpy(zero_copy_only=False) for c in (3, 4, 5))
+            data = _loaded(rule, group, 6)
+            # One class may stand on both sides; the settled ones are linked through the first of the group.
+            label = np.unique(np.where(settled, -1, nodes), return_inverse=True)[1]
+            found = links(len(nodes), lambda i, others: rule.near(i, others, *data), int((side == 0).sum()), label)
+            yield _edges([(int(nodes[i]), int(nodes[j])) for i, j in found])
+
+    return linked
+
+
+def group_links(rows: DataFrame, rule: Counted, scratch: Scratch) -> DataFrame:
+    """(u, v): a forest of the links ``rule`` sees inside each group of ``rows`` (g, blocks, n, node, hub, payload).
+
+    ``n``: rows of the group, ``blocks``: of how many bounded blocks it is.
+    """
+    payload = list(rule.payload)
+    small = rows.where("blocks <= 1").select("g", "node", "hub", *payload).repartition("g").sortWithinPartitions("g", F.desc("hub"), "node").select("g", "node", *payload)
+    out = small.mapInArrow(tidy(_inside(rule)), "u long, v long")
+    if not rows.where("blocks > 1").limit(1).count():
+        return out
+    # All joins are of written tables on g, which Spark splits where a group is large.
+    large = scratch.keep(rows.where("blocks > 1"))
+    order = F.struct("hub", -F.col("node"))
+    firsts = scratch.keep(large.groupBy("g").agg(F.max_by(F.struct("node", *payload), order).alias("f")).select("g", F.col("f.node").alias("first"), *[F.col(f"f.{c}").alias(f"first_{c}") for c in payload]))
+    held = large.join(firsts, "g").select("g", "node", "first", *payload, *[f"first_{c}" for c in payload])
+    seen = scratch.keep(held.mapInArrow(tidy(_star(rule)), "g long, node long, first long, near boolean"))
+    out = out.union(seen.where("near and node <> first").select("node", "first").distinct())
+    # What the first class does not link, group by group.
+    open_ = scratch.keep(seen.where("not near").groupBy("g").agg(F.count("*").alias("open")))
+    if not open_.limit(1).count():
+        return out
+    left = scratch.keep(large.join(open_, "g")).join(seen.select("g", "node", "near"), ["g", "node"])
+    left = left.withColumn("parts", F.least(F.col("blocks"), F.ceil(F.col("blocks") * F.col("open") / F.col("n"))).cast("int"))
+    b, r = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    every = left.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("r"), b.alias("b"), F.lit(1).alias("side"), "node", F.col("near").alias("settled"), "hub", *payload)
+    rest = left.where("not near").select("g", r.alias("r"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.lit(0).alias("side"), "node", F.col("near").alias("settled"), "hub", *payload)
+    dealt = every.union(rest).repartition("g", "r", "b").sortWithinPartitions("g", "r", "b", "side", F.desc("hub"), "node").drop("hub")
+    return out.union(dealt.mapInArrow(tidy(_across(rule)), "u long, v long"))
+
 
+#: Classes of one block: signatures only, and with full sets (of so many shingles).
+LIST_ROWS, GROUP_ROWS, GROUP_SHINGLES = 1000, 4000, 2_000_000
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, least: int = 80, match: int = 36, list_cap: int = 2000, group_shingles: int = 4_000_000) -> DataFrame:
+
+def _blocks(*shares) -> Column:
+    return F.greatest(F.lit(1), *[F.ceil(x) for x in shares]).cast("int")
+
+
+def ranked_coordinates(classes: DataFrame, scratch: Scratch, match: int) -> DataFrame:
+    """(node, hub, prefix): of each class that shares ``match`` coordinates its rarest ones, with how many classes have each, and how often its coordinates are shared."""
+    tokens = classes.select("node", F.explode("tokens").alias("token"))
+    shared = scratch.keep(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
+    ranked = join_counted(tokens, shared, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked"), F.sum("n").alias("hub"))
+    return scratch.keep(ranked.where(F.size("ranked") >= match).select("node", "hub", F.slice("ranked", F.lit(1), F.size("ranked") - match + 1).alias("prefix")))
+
+
+def near_groups(docs: DataFrame, scratch: Scratch, size: int = 5, least: int = 80, match: int = 36) -> DataFrame:
+    """(doc_id, h, n_shingles, least_id, group) of every row, kept in ``scratch``.
+
+    h: a hash of the text.  least_id: the smallest id that is linked (its own where nothing is).
+    group: equal for the rows of one component; null where a row is linked with nothing by rule.
+    """
+    with Scratch(docs.sparkSession) as work:
+        signed = work.keep(sign(docs, size))
+        able = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+        classes = signed.where(able).groupBy("set_key").agg(
+            F.min(F.struct("doc_id", "h")).alias("row"), F.max("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("brief").alias("brief"), F.count("*").alias("copies")
+        )
+        classes = work.keep(classes.select("set_key", "row.doc_id", "row.h", "n_shingles", "tokens", "brief", "copies", F.monotonically_increasing_id().alias("node")))
+        ranked = ranked_coordinates(classes, work, match)
+        postings = ranked.select("node", "hub", F.explode("prefix").alias("p")).select(F.col("p.token").alias("g"), F.col("p.n").alias("n"), _blocks(F.col("p.n") / LIST_ROWS).alias("blocks"), "node", "hub")
+        candidates = group_links(postings.join(classes.select("node", "brief"), "node"), Counted(match), work).distinct()
+        grouped = work.keep(components(candidates, work, local_edges=0).select("node", F.col("component").alias("g")))
+        members = work.keep(grouped.join(ranked.select("node", "hub"), "node").join(classes.select("node", "brief", "n_shingles", "doc_id", "h"), "node"))
+        totals = work.keep(members.groupBy("g").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")))
+        members = join_counted(members, totals, "g").withColumn("blocks", _blocks(F.col("n") / GROUP_ROWS, F.col("shingles") / GROUP_SHINGLES)).select("g", "n", "blocks", "node", "hub", "brief", "doc_id", "h")
+        full = work.keep(members.join(_keyed(docs), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).drop("doc_id", "h"))
+        linked = components(group_links(full, Confirmed(match, size, least), work), work, local_edges=0)
+        named = work.keep(linked.join(classes.select("node", "doc_id", "copies", "set_key"), "node"))
+        lowest = work.keep(named.groupBy("component").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
+        several = join_counted(named, lowest, "component").select("set_key", F.col("copies").alias("n"), "least_id", F.col("component").alias("group"))
+        alone = classes.where("copies > 1").join(named.select("node"), "node", "left_anti").select("set_key", F.col("copies").alias("n"), F.col("doc_id").alias("least_id"), F.col("node").alias("group"))
+        known = work.keep(several.union(alone))
+        # Rows of the classes that are linked or repeated are looked up; all others are on their own.
+        rows = signed.where(able).select("doc_id", "h", "n_shingles", "set_key")
+        found = join_counted(rows, known, "set_key").select("doc_id", "h", "n_shingles", "least_id", "group")
+        own = classes.where("copies = 1").join(named.select("node"), "node", "left_anti").select("doc_id", "h", "n_shingles", F.col("doc_id").alias("least_id"), F.col("node").alias("group"))
+        none = signed.where(~able).select("doc_id", "h", "n_shingles", F.col("doc_id").alias("least_id"), F.lit(None).cast("long").alias("group"))
+        return scratch.keep(found.union(own).union(none))
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, least: int = 80, match: int = 36) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; ``least``: percent of the union that is shared."""
-    signed = scratch.keep(sign(docs, size))
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.min_by(F.struct("tokens", "brief"), "doc_id").alias("s"), F.count("*").alias("copies")
-    )
-    classes = scratch.keep(classes.select("set_key", "rep", "n_shingles", F.col("s.tokens").alias("tokens"), F.col("s.brief").alias("brief"), "copies"))
-    grouped = components(candidate_edges(classes, scratch, match, list_cap), scratch, local_edges=0)
-    members = grouped.join(classes.select("rep", "brief", "n_shingles"), grouped["node"] == F.col("rep")).select("rep", F.col("component").alias("comp"), "brief", "n_shingles")
-    totals = members.groupBy("comp").agg(F.sum("n_shingles").alias("total"))
-    members = scratch.keep(members.join(totals, "comp"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of(F.col("text")).alias("text"))
-    full = scratch.keep(members.join(texts, "rep").dropDuplicates(["rep"]).select("comp", "rep", "brief", "text", "n_shingles", "total"))
-    usual = full.where(F.col("total") <= group_shingles).select("comp", "rep", "brief", "text").repartition("comp").sortWithinPartitions("comp", "rep")
-    edges = usual.mapInArrow(tidy(_confirm(size, match, least)), "u long, v long")
-    if members.where(F.col("total") > group_shingles).limit(1).count():
-        edges = edges.union(_confirm_giant(full.where(F.col("total") > group_shingles).drop("total"), scratch, size, match, least, group_shingles))
-    linked = components(edges, scratch, local_edges=0)
-    known = classes.join(linked, classes["rep"] == linked["node"], "left").where("copies > 1 or component is not null").select("set_key", F.coalesce("component", "rep").alias("known"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(known, "set_key", "left")
-    component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("known", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return near_groups(docs, scratch, size, least, match).select("doc_id", "n_shingles", F.col("least_id").alias("component_id"), F.col("least_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, scratch: Scratch, size: int = 5, least: int = 80, match: int = 36) -> DataFrame:
+    """``docs`` with one row of each component: the one of the least id, then of the least hash of its text.
+
+    Of rows with equal id and text, the first by their JSON stays.  Rows that are linked with nothing by
+    rule (no words, null id) all stay.
+    """
+    rows = near_groups(docs, scratch, size, least, match)
+    with Scratch(docs.sparkSession) as work:
+        best = work.keep(rows.where("group is not null").groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h")).alias("best")).where("n > 1"))
+        judged = work.keep(join_counted(rows.select("doc_id", "h", "group"), best, "group").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), (F.struct("doc_id", "h") == F.col("best")).alias("_best")))
+        gone = scratch.keep(judged.where("not _best").select("_id", "_h").distinct())
+        again = scratch.keep(judged.where("_best").groupBy("_id", "_h").count().where("count > 1").select("_id", "_h"))
+    here = (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(text_of(docs["text"])) == F.col("_h"))
+    kept = docs.join(gone, here, "left_anti")
+    if not again.limit(1).count():
+        return kept
+    row = F.struct(*[docs[c] for c in docs.columns])
+    one = docs.join(again, here).groupBy("_id", "_h").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    return kept.join(again, here, "left_anti").unionByName(one)

@@ -55,15 +55,49 @@ def near_rows(seed=1):
     return [*out, out[3], (None, rows[0], None, None), (10**12, "long " * 5000, None, None)]
 
 
-@pytest.mark.parametrize(("size", "how"), [(4, {}), (5, {}), (4, {"list_cap": 3}), (4, {"group_shingles": 150})])
-def test_near_duplicates(spark, size, how):
-    """All links, whatever way posting lists and groups are split."""
+SPLIT = {"LIST_ROWS": 3, "GROUP_ROWS": 4, "GROUP_SHINGLES": 150}
+
+
+@pytest.mark.parametrize(("size", "how"), [(4, {}), (5, {}), (4, {"LIST_ROWS": 3}), (4, {"GROUP_SHINGLES": 150}), (4, SPLIT), (5, SPLIT)])
+def test_near_duplicates(spark, size, how, monkeypatch):
+    """All links, into however many blocks posting lists and groups are split."""
+    for name, value in how.items():
+        monkeypatch.setattr(minhash, name, value)
     rows = near_rows()
-    got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), Scratch(spark), size=size, **how).collect()
+    # one id on different texts, some of them near-duplicates of others
+    rows += [(3, rows[10][1], "x", None), (3, "another text under a known id", "y", None), (5, rows[20][1], None, None), (5, rows[30][1], None, None), (5, rows[30][1], None, None)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), Scratch(spark), size=size).collect()
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_near(rows, size, 80)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_a_group_that_no_block_holds(spark, monkeypatch):
+    """Short copies that only their original links, which is neither the least nor the first: all in one component, however it is split."""
+    r = random.Random(4)
+    base = [f"b{i}" for i in range(48)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        copy[r.randrange(4, 44)] = f"new{i}"
+        rows.append((i, " ".join(copy), None, None))
+    rows[37] = (37, " ".join(base), None, None)
+    monkeypatch.setattr(minhash, "LIST_ROWS", 7)
+    monkeypatch.setattr(minhash, "GROUP_ROWS", 9)
+    for size, least in ((4, 80), (4, 85)):
+        got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), Scratch(spark), size=size, least=least).collect()
+        assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_near(rows, size, least)
+
+
+def test_one_row_of_each_component(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a, "1", "x"), (5, b, "2", "y"), (7, c, "3", "z"), (7, a + " end", "4", None), (7, "short", "5", None), (5, a, "0", "x"), (1, None, None, None), (1, None, None, None), (None, b, "6", None), (2, " ".join(["only", b]), "7", None)]
+    want = {(5, a, "0", "x"), (7, c, "3", "z"), (7, "short", "5", None), (1, None, None, None), (None, b, "6", None), (2, "only " + b, "7", None)}
+    for order in (rows, rows[::-1]):
+        got = [tuple(r) for r in minhash.keep_one(spark.createDataFrame(order, DOCS), Scratch(spark)).collect()]
+        assert set(got) == want and len(got) == 7  # the two rows without text both stay
+    assert minhash.keep_one(spark.createDataFrame([], DOCS), Scratch(spark)).count() == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS), Scratch(spark)).count() == 0
     only = minhash.near_duplicates(spark.createDataFrame([(7, None, None, None)], DOCS), Scratch(spark)).collect()

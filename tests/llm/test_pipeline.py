@@ -48,6 +48,18 @@ def test_stages(spark):
     assert pieces.groupby("sequence_id").length.sum().max() <= 1024 and len(pieces) >= len(mixed)
 
 
+def test_different_texts_under_one_id_all_stay(spark):
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["ein", "sch", "ung"]) + str(k) for _ in range(60)) for k in range(5)]
+    rows = [(1, texts[0], "en", "a", 0), (2, texts[1], "en", "a", 0), (5, texts[2], "en", "a", 0), (5, texts[3], "en", "b", 0), (7, texts[4], "en", "b", 0), (7, texts[4], "en", "c", 0), (8, texts[3] + " more", "en", "b", 0)]
+    runs = []
+    for order in (rows, rows[::-1]):
+        out = pipeline.near_duplicates(spark, spark.createDataFrame(order, DOCS), "")
+        assert out.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
+        runs.append(sorted(tuple(x) for x in out.collect()))
+    assert runs[0] == runs[1] == sorted(rows[:5])
+
+
 def test_an_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
