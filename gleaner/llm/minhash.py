@@ -291,7 +291,7 @@ def group_links(rows: DataFrame, rule: Counted, scratch: Scratch) -> DataFrame:
 
 
 #: Classes of one block: signatures only, and with full sets (of so many shingles).
-LIST_ROWS, GROUP_ROWS, GROUP_SHINGLES = 1000, 4000, 2_000_000
+LIST_ROWS, GROUP_ROWS, GROUP_SHINGLES = 1000, 500, 2_000_000
 
 
 def _blocks(*shares) -> Column:
