@@ -4,16 +4,20 @@ A suffix (a place in a text with at least ``window`` words to go) matters only i
 words start somewhere else too.  Suffixes are split by variable-length prefixes: a suffix's prefix runs to
 the end of the minimal gram among its first ``window`` words, so equal suffixes have equal prefixes,
 and all prefixes that end in the same gram go to one group.  Groups of one occurrence hold no
-repeat and are dropped by counting grams alone; a group that would not fit a task's memory has its
-prefixes lengthened to the whole window, where a group is a count.  In each other group the suffixes are
-sorted on their real words by prefix doubling, adjacent ranks give the tree's nodes, and the
-nodes at depth ``window`` with two leaves or more are the repeats.
+repeat and are dropped by counting grams alone.  Each other group's suffixes become a subtree: a suffix array
+by prefix doubling and the common prefixes of its neighbours, whose intervals are the inner nodes.  The
+inner nodes at depth ``window`` or more are the maximal repeats; a suffix below one is a repeat.
+
+A group of more than ``GROUP_BYTES`` has its prefixes lengthened to the whole window.  Such a group's
+subtree has its first inner node at depth ``window`` already, so its leaves need only be counted, which
+an aggregate does wherever they lie; these prefixes are compared by 128-bit digests of their
+words, those of all other groups word by word.
 
 Texts that are the same as a whole are settled first by their digest: one of them stays as witness.
 
 Defined cases: a null text has no words; a text shorter than the window keeps all; windows of one
 text that overlap or repeat count as different places; repeated rows are copies of one another; a
-null id is an id like others; an empty table gives an empty result.
+null id is an id like others; an empty table gives an empty result; columns but id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import U64, Scratch, chunked, gram_hashes, join_counted, small_batches, split_words, text_buffers, text_of, tidy, word_hashes
 
 GRAM = 8
+#: Words of a group (bytes) that become one subtree in a task.
+GROUP_BYTES = 1 << 18
 _LOW = U64(0xFFFFFFFF)
 _NO_ID = -(1 << 63)
 
@@ -80,7 +86,7 @@ def _scan(window: int):
                 a = Anchors(part, own, window)
                 data = part.tobytes()
                 shas = [hashlib.sha256(b" ".join(data[x:y].split())).hexdigest() for x, y in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
-                # Each text names a gram once, with how often it is minimal there.
+                # Each text names a gram once, with how often it is minimal there and the bytes of its windows.
                 order = np.lexsort((a.value, a.doc))
                 doc, value = a.doc[order], a.value[order]
                 fresh = np.ones(len(order), bool)
@@ -89,13 +95,15 @@ def _scan(window: int):
                 bounds = pa.array(np.searchsorted(doc[at], np.arange(j - i + 1)), pa.int32())
                 anchors = pa.ListArray.from_arrays(bounds, pa.array(value[at], pa.int64()))
                 times = pa.ListArray.from_arrays(bounds, pa.array(np.diff(np.append(at, len(order))), pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(4)), pa.array(np.diff(a.first), pa.int64()), pa.array(shas, pa.string()), anchors, times], ["k", "h", "digest", "doc_id", "n_words", "all_sha256", "anchors", "times"])
+                spans = (a.ends[a.high + window - 1] - a.starts[a.low])[order] if len(order) else np.zeros(0, np.int64)
+                sizes = pa.ListArray.from_arrays(bounds, pa.array(np.add.reduceat(spans, at) if len(at) else spans, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(4)), pa.array(np.diff(a.first), pa.int64()), pa.array(shas, pa.string()), anchors, times, sizes], ["k", "h", "digest", "doc_id", "n_words", "all_sha256", "anchors", "times", "sizes"])
 
     return scanned
 
 
-def _contexts(window: int, wide_from: int):
-    """(k, h, text, seeds) -> for each seed the words of its windows; windows one by one where the seed is wide."""
+def _contexts(window: int):
+    """(k, h, text, seeds) -> for each seed the words of its windows; windows one by one where the seed's group is wide."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,15 +115,15 @@ def _contexts(window: int, wide_from: int):
                 data, out = part.tobytes(), []
                 bounds = np.searchsorted(a.doc, np.arange(j - i + 1))
                 for d in range(j - i):
-                    known, wide = {x["anchor"]: x["n"] for x in seeds[i + d]}, defaultdict(list)
+                    known, wide = {x["anchor"]: x["wide"] for x in seeds[i + d]}, defaultdict(list)
                     base = int(a.first[d])
                     for r in range(bounds[d], bounds[d + 1]):
-                        n = known.get(int(a.value[r]))
-                        if n is None:
+                        lengthened = known.get(int(a.value[r]))
+                        if lengthened is None:
                             continue
                         low, high = int(a.low[r]), int(a.high[r])
                         part_words = data[a.starts[low] : a.ends[high + window - 1]]
-                        if n < wide_from:
+                        if not lengthened:
                             out.append((int(a.value[r]), b"", ks[i + d], hs[i + d], low - base, part_words, []))
                         else:
                             words = part_words.split()
@@ -140,48 +148,81 @@ def _context_batch(out: list) -> pa.RecordBatch:
 CONTEXT = "anchor long, wide binary, k long, h long, start long, words binary, places array<long>"
 
 
-def prefix_ranks(ids: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of the suffixes of ``ids`` by their first ``depth`` symbols, by doubling; equal prefixes share a rank.
+class Subtree:
+    """The suffix tree of slices of words, as a suffix array of its leaves with the common prefixes of neighbours.
 
-    Suffixes that end before are ranked by what they have (callers do not look at those).
+    Leaves are the places with at least ``window`` words to go in their slice, in order of slice and place.
     """
-    rank, step = ids.astype(np.int64), 1
-
-    def joined(shift: int) -> np.ndarray:
-        second = np.zeros(len(rank), np.int64)
-        second[: len(rank) - shift] = rank[shift:] + 1
-        return np.unique(rank * (int(rank.max()) + 2) + second, return_inverse=True)[1]
 
-    rank = np.unique(rank, return_inverse=True)[1]
-    while 2 * step <= depth and step < len(rank):
-        rank = joined(step)
-        step *= 2
-    if depth > step and depth - step < len(rank):
-        rank = joined(depth - step)
-    return rank
+    def __init__(self, slices: list[bytes], window: int):
+        parts = [s.split() for s in slices]
+        self.window, self.sizes = window, np.array([len(p) for p in parts])
+        codes = pd.factorize(np.array([w for p in parts for w in p], dtype=object))[0]
+        # A separator of its own after each slice ends every common prefix there.
+        ends = np.cumsum(self.sizes + 1)
+        self.ids = np.empty(int(ends[-1]), np.int64)
+        separators = np.zeros(len(self.ids), bool)
+        separators[ends - 1] = True
+        self.ids[~separators] = codes
+        self.ids[separators] = len(codes) + np.arange(len(slices))
+        self.counts = np.maximum(self.sizes - window + 1, 0)
+        first = np.cumsum(self.counts) - self.counts
+        self.slice = np.repeat(np.arange(len(slices)), self.counts)
+        self.start = np.arange(len(self.slice)) - first[self.slice]
+        self.place = (ends - self.sizes - 1)[self.slice] + self.start
+        # Ranks by the first 1, 2, 4, ... words, until these are as long as the longest slice.
+        self.ranks = [np.unique(self.ids, return_inverse=True)[1]]
+        step = 1
+        while step < int(self.sizes.max(initial=0)):
+            rank, second = self.ranks[-1], np.zeros(len(self.ids), np.int64)
+            second[:-step] = rank[step:] + 1
+            self.ranks.append(np.unique(rank * (int(rank.max()) + 2) + second, return_inverse=True)[1])
+            step *= 2
+        #: Leaves in lexical order, and the words that each shares with the one before.
+        self.order = np.argsort(self.ranks[-1][self.place], kind="stable")
+        at = self.place[self.order]
+        self.common = np.concatenate([np.zeros(1, np.int64), self._common(at[:-1], at[1:])])[: len(at)]
+
+    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out, last = np.zeros(len(a), np.int64), len(self.ids) - 1
+        for k in range(len(self.ranks) - 1, -1, -1):
+            rank = self.ranks[k]
+            out += (rank[np.minimum(a + out, last)] == rank[np.minimum(b + out, last)]).astype(np.int64) << k
+        return out
+
+    def depths(self) -> np.ndarray:
+        """For each leaf the depth of the inner node it hangs on: the words it shares with its nearest neighbour."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.maximum(self.common, np.append(self.common[1:], 0)) if len(self.order) else 0
+        return out
+
+    def inner_nodes(self) -> list[tuple[int, int, int]]:
+        """(depth, first, last) of the inner nodes at depth ``window`` or more; first and last count in ``order``."""
+        out, open_ = [], []
+        for i, c in enumerate([*self.common.tolist(), 0]):
+            low = i - 1
+            while open_ and open_[-1][0] > c:
+                depth, low = open_.pop()
+                out.append((depth, low, i - 1))
+            if c >= self.window and (not open_ or open_[-1][0] < c):
+                open_.append((c, low))
+        return out
+
+    def maximal_repeats(self) -> list[tuple[int, list[tuple[int, int]]]]:
+        """(words, [(slice, place)]) of the inner nodes whose leaves have different words before them (or none)."""
+        out = []
+        for depth, first, last in self.inner_nodes():
+            leaves = self.order[first : last + 1]
+            before = np.where(self.start[leaves] > 0, self.ids[self.place[leaves] - 1], -1 - leaves)
+            if len(np.unique(before)) > 1:
+                out.append((depth, sorted(zip(self.slice[leaves].tolist(), self.start[leaves].tolist(), strict=True))))
+        return out
 
 
 def tree_repeats(slices: list[bytes], window: int) -> list[np.ndarray]:
-    """For each slice of words, which of its windows are leaves below a node at depth ``window`` with another leaf."""
-    parts = [s.split() for s in slices]
-    sizes = np.array([len(p) for p in parts])
-    codes = pd.factorize(np.array([w for p in parts for w in p], dtype=object))[0]
-    # A separator of its own after each slice ends every common prefix there.
-    ends = np.cumsum(sizes + 1)
-    ids = np.empty(int(ends[-1]), np.int64)
-    separators = np.zeros(len(ids), bool)
-    separators[ends - 1] = True
-    ids[~separators] = codes
-    ids[separators] = len(codes) + np.arange(len(slices))
-    rank = prefix_ranks(ids, window)
-    starts = ends - sizes - 1
-    inside = np.zeros(len(ids) + 1, np.int64)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, starts + np.maximum(sizes - window + 1, 0), -1)
-    leaf = np.cumsum(inside)[:-1] > 0
-    leaves = np.bincount(rank[leaf], minlength=int(rank.max()) + 1)
-    repeated = leaf & (leaves[rank] > 1)
-    return [repeated[a : a + max(0, n - window + 1)] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    """For each slice of words, which of its windows are leaves below an inner node at depth ``window`` or more."""
+    tree = Subtree(slices, window)
+    return np.split(tree.depths() >= window, np.cumsum(tree.counts)[:-1])
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -242,8 +283,8 @@ def _remove(window: int):
     return removed
 
 
-def repeated_words(docs: DataFrame, scratch: Scratch, window: int = 35, wide_from: int = 4_000) -> tuple[DataFrame, DataFrame]:
-    """What to remove: (all, changed).
+def repeated_words(docs: DataFrame, scratch: Scratch, window: int = 35) -> tuple[DataFrame, DataFrame]:
+    """What to remove: (all, changed), both kept in ``scratch``.
 
     all: (k, h, doc_id, n_words, all_sha256, copied) of every row; ``copied``: its whole text occurs again.
     changed: (k, h, n_removed, kept) of the texts that are not copied but hold repeats.
@@ -252,32 +293,33 @@ def repeated_words(docs: DataFrame, scratch: Scratch, window: int = 35, wide_fro
     small_batches(docs.sparkSession)
     text = text_of(F.col("text"))
     keyed = _keyed(docs)
-    rows = keyed.select(F.col("_gleaner_k").alias("k"), F.col("_gleaner_h").alias("h"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    scanned = scratch.keep(rows.mapInArrow(tidy(_scan(window)), "k long, h long, digest binary, doc_id long, n_words long, all_sha256 string, anchors array<long>, times array<long>"))
-    copies = scanned.groupBy("digest").agg(F.count("*").alias("copies"), F.min("k").alias("witness")).where("copies > 1")
-    everything = scratch.keep(scanned.select("k", "h", "digest", "doc_id", "n_words", "all_sha256").join(copies, "digest", "left").withColumn("copied", F.col("copies").isNotNull()).drop("digest", "copies"))
-    # One row of each text says where its grams are.
-    mute = everything.where("copied and k <> witness").select("k", "h").distinct()
-    grams = scanned.where(F.size("anchors") > 0).join(mute, ["k", "h"], "left_anti").select("k", "h", F.explode(F.arrays_zip("anchors", "times")).alias("a")).select("k", "h", F.col("a.anchors").alias("anchor"), F.col("a.times").alias("times"))
-    shared = scratch.keep(grams.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1"))
-    seeds = join_counted(grams.drop("times"), shared, "anchor").groupBy("k", "h").agg(F.collect_set(F.struct("anchor", "n")).alias("seeds"))
-    texts = keyed.select(F.col("_gleaner_k").alias("k"), F.col("_gleaner_h").alias("h"), text.alias("text"))
-    seeded = scratch.keep(texts.join(seeds, ["k", "h"]))
-    contexts = seeded.mapInArrow(tidy(_contexts(window, wide_from)), CONTEXT)
-    contexts = scratch.keep(contexts)
-    usual = contexts.where("wide = X''").select("anchor", "k", "h", "start", "words").repartition("anchor").sortWithinPartitions("anchor")
-    runs = usual.mapInArrow(tidy(_subtrees(window)), "k long, h long, low long, high long")
-    wide = contexts.where("wide <> X''").select("wide", "k", "h", "places")
-    twice = wide.groupBy("wide").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("wide")
-    # Per text: runs of repeated windows from the trees, single places from the counts.
-    found = runs.select("k", "h", F.array(F.struct("low", "high")).alias("runs"), F.array().cast("array<bigint>").alias("places")).unionByName(
-        wide.join(twice, "wide").select("k", "h", F.array().cast("array<struct<low:bigint,high:bigint>>").alias("runs"), "places")
-    )
-    per_text = found.groupBy("k", "h").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("places")).alias("places"))
-    whole = everything.where("copied").select("k", "h").distinct()
-    open_ = seeded.select("k", "h", "text").join(per_text, ["k", "h"]).join(whole, ["k", "h"], "left_anti")
-    changed = open_.select("k", "h", "text", "runs", "places").mapInArrow(tidy(_remove(window)), "k long, h long, n_removed long, kept string")
-    return everything, scratch.keep(changed)
+    with Scratch(docs.sparkSession) as work:
+        rows = keyed.select(F.col("_gleaner_k").alias("k"), F.col("_gleaner_h").alias("h"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+        scanned = work.keep(rows.mapInArrow(tidy(_scan(window)), "k long, h long, digest binary, doc_id long, n_words long, all_sha256 string, anchors array<long>, times array<long>, sizes array<long>"))
+        copies = work.keep(scanned.groupBy("digest").agg(F.count("*").alias("copies"), F.min("k").alias("witness")).where("copies > 1"))
+        everything = scratch.keep(scanned.select("k", "h", "digest", "doc_id", "n_words", "all_sha256").join(copies, "digest", "left").withColumn("copied", F.col("copies").isNotNull()).drop("digest", "copies"))
+        # One row of each text that occurs again says where its grams are.
+        whole = work.keep(everything.where("copied").select("k", "h", (F.col("k") == F.col("witness")).alias("witness")).distinct())
+        lists = scanned.where(F.size("anchors") > 0).select("k", "h", "anchors", "times", "sizes")
+        lists = lists.join(whole, ["k", "h"], "left_anti").union(lists.join(whole.where("witness"), ["k", "h"], "left_semi").dropDuplicates(["k", "h"]))
+        grams = lists.select("k", "h", F.explode(F.arrays_zip("anchors", "times", "sizes")).alias("a")).select("k", "h", F.col("a.anchors").alias("anchor"), F.col("a.times").alias("times"), F.col("a.sizes").alias("size"))
+        shared = work.keep(grams.groupBy("anchor").agg(F.sum("times").alias("n"), (F.sum("size") > GROUP_BYTES).alias("wide")).where("n > 1"))
+        seeds = join_counted(grams.select("k", "h", "anchor"), shared, "anchor").groupBy("k", "h").agg(F.collect_set(F.struct("anchor", "wide")).alias("seeds"))
+        texts = keyed.select(F.col("_gleaner_k").alias("k"), F.col("_gleaner_h").alias("h"), text.alias("text"))
+        seeded = work.keep(texts.join(seeds, ["k", "h"]).dropDuplicates(["k", "h"]))
+        contexts = work.keep(seeded.mapInArrow(tidy(_contexts(window)), CONTEXT))
+        usual = contexts.where("wide = X''").select("anchor", "k", "h", "start", "words").repartition("anchor").sortWithinPartitions("anchor")
+        runs = usual.mapInArrow(tidy(_subtrees(window)), "k long, h long, low long, high long")
+        wide = contexts.where("wide <> X''").select("wide", "k", "h", "places")
+        twice = work.keep(wide.groupBy("wide").agg(F.sum(F.size("places")).alias("n")).where("n > 1"))
+        # Per text: runs of repeated windows from the subtrees, single places from the lengthened prefixes.
+        found = runs.select("k", "h", F.array(F.struct("low", "high")).alias("runs"), F.array().cast("array<bigint>").alias("places")).unionByName(
+            join_counted(wide, twice, "wide").select("k", "h", F.array().cast("array<struct<low:bigint,high:bigint>>").alias("runs"), "places")
+        )
+        per_text = found.groupBy("k", "h").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("places")).alias("places"))
+        open_ = seeded.select("k", "h", "text").join(per_text, ["k", "h"]).join(whole, ["k", "h"], "left_anti")
+        changed = open_.select("k", "h", "text", "runs", "places").mapInArrow(tidy(_remove(window)), "k long, h long, n_removed long, kept string")
+        return everything, scratch.keep(changed)
 
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()

@@ -150,14 +150,22 @@ def repeat_rows(seed=5):
     return [*out, (None, " ".join(text(50) + passages[3]), None, None), out[7], (10**10, " ".join(text(8000) + passages[2]), None, None)]
 
 
-@pytest.mark.parametrize("wide_from", [4000, 3])
-def test_repeats(spark, wide_from, monkeypatch):
+@pytest.mark.parametrize("group_bytes", [substring_tree.GROUP_BYTES, 400])
+def test_repeats(spark, group_bytes, monkeypatch):
+    """All repeats, whatever groups have their prefixes lengthened."""
+    monkeypatch.setattr(substring_tree, "GROUP_BYTES", group_bytes)
     rows = repeat_rows()
-    monkeypatch.setattr(substring_tree.repeated_words, "__defaults__", (35, wide_from))
     got = substring_tree.removal_digests(spark.createDataFrame(rows, DOCS), Scratch(spark)).collect()
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_removed(rows, 35)
 
 
+def test_repeats_of_nothing(spark):
+    got = substring_tree.removal_digests(spark.createDataFrame([], DOCS), Scratch(spark))
+    assert got.count() == 0 and got.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    only = [tuple(r) for r in substring_tree.removal_digests(spark.createDataFrame([(None, None, None, None)], DOCS), Scratch(spark)).collect()]
+    assert only == [(None, 0, 0, hashlib.sha256(b"").hexdigest())]
+
+
 def test_removed_texts(spark):
     passage = " ".join(f"p{i}" for i in range(40))
     rows = [(1, f"own start {passage} own  end", "k", "r"), (2, f"other {passage}", "k", "r"), (3, "a  clean text", "k", "r"), (4, passage, "k", "r"), (5, None, "k", "r")]
@@ -166,10 +174,36 @@ def test_removed_texts(spark):
     assert got[1]["k"] == "k" and substring_tree.remove_repeats(spark.createDataFrame([], DOCS), Scratch(spark)).count() == 0
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.lists(st.integers(0, 2), max_size=60), st.integers(1, 9))
-def test_ranks_by_prefix(ids, depth):
-    rank = substring_tree.prefix_ranks(np.array([*ids, 7]), depth)
-    for i in range(len(ids) - depth + 1):
-        for j in range(i):
-            assert (rank[i] == rank[j]) == (ids[i : i + depth] == ids[j : j + depth])
+def brute_maximal(slices, window):
+    """{(repeat): places} of all substrings of ``window`` words or more that no word before or after extends."""
+    places = {}
+    for k, words in enumerate(slices):
+        for i in range(len(words)):
+            for j in range(i + window, len(words) + 1):
+                places.setdefault(tuple(words[i:j]), []).append((k, i))
+    out = []
+    for text, at in places.items():
+        before = {slices[k][i - 1] if i else (k, i) for k, i in at}
+        after = {slices[k][i + len(text)] if i + len(text) < len(slices[k]) else (k, i) for k, i in at}
+        if len(at) > 1 and len(before) > 1 and len(after) > 1:
+            out.append((len(text), sorted(at)))
+    return sorted(out)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=18), min_size=1, max_size=6), st.integers(1, 6))
+def test_subtrees_against_brute_force(slices, window):
+    tree = substring_tree.Subtree([" ".join(s).encode() for s in slices], window)
+    assert sorted(tree.maximal_repeats()) == brute_maximal(slices, window)
+    leaves = [(k, i) for k, s in enumerate(slices) for i in range(len(s) - window + 1)]
+    assert list(zip(tree.slice.tolist(), tree.start.tolist(), strict=True)) == leaves
+
+    def common(x, y):
+        a, b = slices[x[0]][x[1] :], slices[y[0]][y[1] :]
+        return next((n for n, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
+
+    assert tree.depths().tolist() == [max((common(x, y) for y in leaves if y != x), default=0) for x in leaves]
+    # repeats as they are removed: the places below an inner node
+    flags = substring_tree.tree_repeats([" ".join(s).encode() for s in slices], window)
+    below = {(k, i + d) for n, at in tree.maximal_repeats() for k, i in at for d in range(n - window + 1)}
+    assert {(k, i) for k, f in enumerate(flags) for i in np.flatnonzero(f).tolist()} == below
