@@ -1,25 +1,31 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Each language has a model of 4-grams over letters (lower case) and single spaces between runs of
-letters.  Counts come from all labelled texts; the probability tables of all languages together are
-kept as sorted arrays of 64-bit hashes with one row of log-probabilities per gram.  A text gets the
-language of the lowest cross-entropy per character; it is rejected when that entropy is above what
-labelled texts of similar length show.
+letters.  Counts come from all labelled texts.  The discounted parts of its grams and the weights of its
+contexts are kept as sorted arrays of 64-bit hashes, each entry with the languages that have it, so the
+size follows the grams there are and not grams times languages; probabilities are put together order by
+order for the grams of a batch.  A text gets the language of the lowest cross-entropy per character; it is
+rejected when that entropy is above what labelled texts of similar length show.
 
-The tables are broadcast where no language has more than ``capacity`` 4-grams.  Else the model stays in
+The arrays are broadcast where all languages together have at most ``capacity`` 4-grams.  Else the model stays in
 tables of the shared folder (``LargeModel``): discounts, context weights and counts of shorter grams are
-aggregated over all grams, only the log-probabilities of each language's most frequent ``capacity`` grams
+aggregated over all grams, only the log-probabilities of the most frequent grams (``capacity`` numbers)
 are broadcast, and the texts' other grams are joined to the tables.  Both ways give the same model.
 
 Thresholds of rejection come from all labelled rows outside the held-out remainder, by length class.
+Each row is judged by a model that has not counted it: the rows are two halves, and the models of either
+judge the other (rows of a language that the other half lacks are left out).
 Their entropies are counted in classes of 1/1024 bit with the least and greatest value of each, from
 which the quantile is read (exact where a class has at most two rows).  A length class with fewer than
 ``THIN`` rows takes its neighbours' rows as well, one class more on each side until there are enough;
 with fewer than ``THIN`` rows in all, only texts without a letter are rejected.
 
+Languages are names: they are listed on the driver, so a table has thousands of them at most.
+
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; rows
 without a language are not learned from; ties in entropy go to the first language by name; with
-no labelled row every text is ``und``; a null id counts as held out.
+no labelled row every text is ``und``; a null id counts as held out; repeated rows count as often as they
+stand and are judged alike; an empty table gives an empty result; columns but id, text and lang are not looked at.
 """
 
 from __future__ import annotations
@@ -140,31 +146,33 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def bounded(counts: DataFrame, capacity: int) -> DataFrame:
-    """What of a large model is broadcast: the grams of each language at or above the least count that leaves at most ``capacity``.
+def bounded(counts: DataFrame, most: int) -> DataFrame:
+    """(gram) of the most frequent grams over all languages: those at or above the least count that leaves at most ``most``.
 
-    Counts are summed in classes of width 1/16 of a power of two, so a language has under a
-    thousand classes at any size of the corpus.
+    Counts are summed in classes of width 1/16 of a power of two, so there are under a thousand
+    classes at any size of the corpus.
     """
-    w = Window.partitionBy("lang").orderBy(F.col("class").desc())
-    spread = counts.groupBy("lang", F.floor(F.log2("n") * 16).alias("class")).agg(F.count("*").alias("m"), F.min("n").alias("n")).withColumn("above", F.sum("m").over(w))
-    least = spread.where(F.col("above") <= capacity).groupBy("lang").agg(F.min("n").alias("least"))
-    return counts.join(F.broadcast(least), "lang").where("n >= least").drop("least")
+    totals = counts.groupBy("gram").agg(F.sum("n").alias("n"))
+    spread = totals.groupBy(F.floor(F.log2("n") * 16).alias("class")).agg(F.count("*").alias("m"), F.min("n").alias("n")).orderBy(F.desc("class")).collect()
+    room, least = most, None
+    for r in spread:
+        room -= r["m"]
+        if room < 0:
+            break
+        least = r["n"]
+    return totals.where(F.col("n") >= least).select("gram") if least is not None else totals.limit(0).select("gram")
 
 
-class Table:
-    """Rows of values by hash: sorted hashes, found from an index of their leading bits."""
+class Hashes:
+    """Sorted hashes of keys, found from an index of their leading bits."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        h = mix(keys)
-        order = np.argsort(h)
-        self.hashes = np.concatenate([h[order], [U64(0xFFFFFFFFFFFFFFFF)]])
-        self.values = np.concatenate([values[order], values[:1] * 0]).astype(np.float32) if len(values) else np.zeros((1, values.shape[1]), np.float32)
-        self.bits = max(1, int(len(keys)).bit_length())
-        self.index = np.searchsorted(self.hashes[:-1], np.arange(1 << self.bits, dtype=U64) << U64(64 - self.bits)).astype(np.int32)
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.concatenate([hashes, [U64(0xFFFFFFFFFFFFFFFF)]])
+        self.bits = max(1, int(len(hashes)).bit_length())
+        self.index = np.searchsorted(hashes, np.arange(1 << self.bits, dtype=U64) << U64(64 - self.bits)).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The row of each key, and whether it is there."""
+        """The place of each key, and whether it is there."""
         h = mix(keys)
         at = self.index[(h >> U64(64 - self.bits)).astype(np.int64)]
         seen = self.hashes[at]
@@ -177,6 +185,46 @@ class Table:
         return at, found
 
 
+class Table(Hashes):
+    """Rows of values by key."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        h = mix(keys)
+        order = np.argsort(h)
+        super().__init__(h[order])
+        self.values = values[order].astype(np.float32)
+
+
+class Sparse(Hashes):
+    """Numbers by key and language: each hash with the languages that have it.  ``parts``: (keys, values) of each language."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        h = mix(np.concatenate([k for k, _ in parts]))
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        super().__init__(h[first])
+        self.ends = np.append(first, len(h))
+        self.langs = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k, _ in parts])[order]
+        self.values = np.concatenate([v for _, v in parts])[order].astype(np.float32)
+
+    def put(self, keys: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """``out`` (keys x languages) with the numbers there are."""
+        at, found = self.find(keys)
+        rows = np.flatnonzero(found)
+        starts = self.ends[at[rows]]
+        sizes = self.ends[at[rows] + 1] - starts
+        entry = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        out[np.repeat(rows, sizes), self.langs[entry]] = self.values[entry]
+        return out
+
+
+#: The probability of a character no model has seen, before any weight.
+BASE = 1.0 / 65536
+#: Numbers of a block of grams times languages that are worked on together.
+CELLS = 1 << 21
+
+
 class Model:
     """Log2-probabilities of a character after three others, in each language."""
 
@@ -185,34 +233,10 @@ class Model:
         self.limits: dict = {}
         if not langs:
             return
-        L = len(langs)
         per = [self._smoothed(k, n) for k, n in counts]
-        base = 1.0 / 65536
-        one, two, three, four = (np.unique(np.concatenate([p["keys"][o] for p in per])) for o in (1, 2, 3, 4))
-        c1, c2, c3 = (np.unique(np.concatenate([p["contexts"][o] for p in per])) for o in (1, 2, 3))
-
-        def spread(keys, name, o, default):
-            out = np.full((len(keys), L), default)
-            for l, p in enumerate(per):
-                own = p["keys" if name == "direct" else "contexts"][o]
-                out[np.searchsorted(keys, own), l] = p[name][o]
-            return out
-
         self.lam0 = np.array([p["lam0"] for p in per])
-        # interpolation: direct part + weight of the context * shorter gram
-        p1 = spread(one, "direct", 1, 0.0) + self.lam0 * base
-        w1, w2, w3 = spread(c1, "weight", 1, 1.0), spread(c2, "weight", 2, 1.0), spread(c3, "weight", 3, 1.0)
-
-        def at(keys, table, wanted, default):
-            i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            return np.where((keys[i] == wanted)[:, None], table[i], default)
-
-        p2 = spread(two, "direct", 2, 0.0) + at(c1, w1, two >> _B, 1.0) * at(one, p1, two & U64(0xFFFF), self.lam0 * base)
-        p3 = spread(three, "direct", 3, 0.0) + at(c2, w2, three >> _B, 1.0) * at(two, p2, three & U64(0xFFFFFFFF), 1.0)
-        p4 = spread(four, "direct", 4, 0.0) + at(c3, w3, four >> _B, 1.0) * at(three, p3, four & U64(0xFFFFFFFFFFFF), 1.0)
-        self.unknown = np.log2(self.lam0 * base).astype(np.float32)
-        self.tables = [Table(k, np.log2(p)) for k, p in ((one, p1), (two, p2), (three, p3), (four, p4))]
-        self.contexts = [Table(k, np.log2(w)) for k, w in ((c1, w1), (c2, w2), (c3, w3))]
+        self.direct = {o: Sparse([(p["keys"][o], p["direct"][o]) for p in per]) for o in (1, 2, 3, 4)}
+        self.weight = {o: Sparse([(p["contexts"][o], p["weight"][o]) for p in per]) for o in (1, 2, 3)}
 
     @staticmethod
     def _smoothed(keys: np.ndarray, n: np.ndarray) -> dict:
@@ -235,23 +259,17 @@ class Model:
         return out
 
     def logs(self, g: np.ndarray) -> np.ndarray:
-        """Log2-probabilities (grams x languages)."""
-        return self._logs(g, 4)
-
-    def _logs(self, g: np.ndarray, order: int) -> np.ndarray:
-        if order == 0:
-            return np.broadcast_to(self.unknown, (len(g), len(self.langs)))
-        table = self.tables[order - 1]
-        at, found = table.find(g)
-        out = table.values[at]
-        gone = np.flatnonzero(~found)
-        if len(gone):
-            part = g[gone]
-            less = np.array(self._logs(part & U64((1 << 16 * (order - 1)) - 1), order - 1))
-            if order > 1:
-                place, known = self.contexts[order - 2].find(part >> _B)
-                less += np.where(known[:, None], self.contexts[order - 2].values[place], 0)
-            out[gone] = less
+        """Log2-probabilities of different grams (grams x languages): each order is its direct part and its context's weight times the shorter gram's."""
+        out, step = np.empty((len(g), len(self.langs))), max(1, CELLS // len(self.langs))
+        for i in range(0, len(g), step):
+            own = g[i : i + step]
+            p = np.broadcast_to(self.lam0 * BASE, (len(own), len(self.langs)))
+            for o in (1, 2, 3, 4):
+                part = own & U64((1 << 16 * o) - 1) if o < 4 else own
+                if o > 1:
+                    p = p * self.weight[o - 1].put(part >> _B, np.ones(p.shape))
+                p = p + self.direct[o].put(part, np.zeros(p.shape))
+            out[i : i + step] = np.log2(p)
         return out
 
     def entropies(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +279,10 @@ class Model:
         n = len(sizes)
         total = np.zeros((n, len(self.langs)))
         if len(g):
-            total[:] = np.add.reduceat(self.logs(g), np.minimum(np.cumsum(sizes) - sizes, len(g) - 1), axis=0)
+            different, place = np.unique(g, return_inverse=True)
+            logs, ends = self.logs(different), np.minimum(np.cumsum(sizes) - sizes, len(g) - 1)
+            for l in range(len(self.langs)):
+                total[:, l] = np.add.reduceat(logs[place, l], ends)
         sizes = _characters(raw, offsets, chars, bounds, sizes)
         return -total / np.maximum(sizes, 1)[:, None], sizes
 
@@ -284,7 +305,7 @@ class Model:
 
 
 class LargeModel:
-    """A model of any size: tables of all grams in the shared folder; of the most frequent ones, the log-probabilities are sent with the tasks.
+    """A model of any size: tables of all grams in the shared folder; of the most frequent ones, ``capacity`` log-probabilities are sent with the tasks.
 
     ``direct`` has (lang, gram, direct) of each order, ``weight`` (lang, context, weight) of each order of contexts; lang is a number.
     """
@@ -295,7 +316,7 @@ class LargeModel:
         spark = counts.sparkSession
         self.numbers = spark.createDataFrame(list(enumerate(langs)), "lang int, name string")
         n = counts.withColumnRenamed("lang", "name").join(F.broadcast(self.numbers), "name").select("lang", "gram", "n")
-        head = scratch.keep(bounded(n, capacity).select("gram").distinct())
+        head = scratch.keep(bounded(n, capacity // len(langs)))
         for order in (4, 3, 2, 1):
             if order < 4:
                 n = scratch.keep(n.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 16 * order) - 1)).alias("gram")).agg(F.count("*").alias("n")))
@@ -307,13 +328,13 @@ class LargeModel:
             self.direct[order] = scratch.keep(placed.join(totals, ["lang", "context"]).select("lang", "gram", (F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total")).alias("direct")))
             self.weight[order - 1] = scratch.keep(totals.select("lang", "context", (F.col("discount") * F.col("follow") / F.col("total")).alias("weight")))
         got = self.resolved(head).toArrow()
-        values = np.array(got["bits"].combine_chunks().flatten()).reshape(-1, len(langs))
+        values = np.concatenate([np.zeros(0), *(np.array(c.flatten()) for c in got["bits"].chunks)]).reshape(-1, len(langs))
         self.head = Table(got["gram"].to_numpy().view(U64), values)
 
     def resolved(self, grams: DataFrame) -> DataFrame:
         """(gram, bits): log2-probabilities in each language of the different ``grams`` (gram), seen or not."""
         gram = F.col("gram")
-        x = grams.crossJoin(F.broadcast(self.numbers.select("lang"))).withColumn("p", F.lit(1.0 / 65536))
+        x = grams.withColumn("lang", F.explode(F.sequence(F.lit(0), F.lit(len(self.langs) - 1)))).withColumn("p", F.lit(BASE))
         for order in (1, 2, 3, 4):
             part = gram.bitwiseAND(F.lit((1 << 16 * order) - 1)) if order < 4 else gram
             context = F.shiftrightunsigned(part, 16) if order > 1 else F.lit(0).cast("long")
@@ -402,45 +423,67 @@ def limit_of(spread: pd.DataFrame, length: int, quantile: float) -> float:
     return ranked(low) + (ranked(min(low + 1, int(ends[-1]) - 1)) - ranked(low)) * (place - low)
 
 
-def _whole(langs: list[str], counted: DataFrame) -> Model:
-    got, counts = counted.toPandas(), []
+def _whole(langs: list[str], got: pd.DataFrame) -> Model:
+    """A model from collected counts (lang, gram, n), summed over rows of one gram."""
+    counts, parts = [], dict(list(got.groupby("lang")))
     for lang in langs:
-        own = got[got["lang"] == lang]
-        keys = own["gram"].to_numpy(np.int64).view(U64)
-        order = np.argsort(keys)
-        counts.append((keys[order], own["n"].to_numpy(np.int64)[order]))
+        keys, place = np.unique(parts[lang]["gram"].to_numpy(np.int64).view(U64), return_inverse=True)
+        counts.append((keys, np.bincount(place, parts[lang]["n"].to_numpy()).astype(np.int64)))
     return Model(langs, counts)
 
 
-def fit(docs: DataFrame, folds: int = 5, held: int = 0, capacity: int = 400_000, quantile: float = 0.9995, slack: float = 1.1, scratch: Scratch | None = None) -> Model | LargeModel:
-    """Models from all rows with text and lang outside the held-out remainder."""
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder(F.col("doc_id"), folds) != held))
-    counted = scratch.keep(count_grams(rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))))
-    found = {r["lang"]: r["count"] for r in counted.groupBy("lang").count().collect()}
-    langs = sorted(found)
-    if not langs:
-        return Model([], [])
-    if max(found.values()) > capacity:
-        model = LargeModel(langs, counted, capacity, scratch)
-        length = sum((F.col("size") > n).cast("int") for n in LENGTHS)
-        seen = model.bits(numbered(rows.select("text"), scratch)).select(length.alias("length"), F.array_min("bits").alias("bits"), "size")
-    else:
-        model = _whole(langs, counted)
-        sent = spark.sparkContext.broadcast(model)
+def _spread(seen: DataFrame) -> pd.DataFrame:
+    """Entropies (size, bits) counted by length class and class of entropy."""
+    length = sum((F.col("size") > n).cast("int") for n in LENGTHS)
+    return seen.where("size > 0").groupBy(length.alias("length"), F.floor(F.col("bits") * 1024).alias("class")).agg(F.count("*").alias("m"), F.min("bits").alias("least"), F.max("bits").alias("most")).toPandas()
 
-        def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                raw, offsets = text_buffers(b.column(0))
+
+def _judged_by(models: list[Model], rows: DataFrame) -> DataFrame:
+    """(size, bits) of the rows (half, lang, text) whose language the model of the other half has, by that model."""
+    sent = rows.sparkSession.sparkContext.broadcast(models)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            halves, langs = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), object)
+            for half in (0, 1):
+                model = sent.value[1 - half]
+                raw, offsets = text_buffers(b.column(2).take(pa.array(np.flatnonzero((halves == half) & np.isin(langs, model.langs)))))
                 for i, j in chunked(offsets):
-                    h, sizes = sent.value.entropies(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(LENGTHS, sizes)), pa.array(h.min(1)), pa.array(sizes.astype(np.int64))], ["length", "bits", "size"])
+                    h, sizes = model.entropies(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    yield pa.RecordBatch.from_arrays([pa.array(sizes.astype(np.int64)), pa.array(h.min(1))], ["size", "bits"])
+
+    return rows.select("half", "lang", "text").mapInArrow(tidy(judged), "size long, bits double")
 
-        seen = rows.select(text_of(F.col("text"))).mapInArrow(tidy(judged), "length long, bits double, size long")
-    spread = seen.where("size > 0").groupBy("length", F.floor(F.col("bits") * 1024).alias("class")).agg(F.count("*").alias("m"), F.min("bits").alias("least"), F.max("bits").alias("most")).toPandas()
-    if isinstance(model, Model):
-        sent.destroy()
+
+def fit(docs: DataFrame, folds: int = 5, held: int = 0, capacity: int = 2_000_000, quantile: float = 0.9995, slack: float = 1.1, scratch: Scratch | None = None) -> Model | LargeModel:
+    """Models from all rows with text and lang outside the held-out remainder."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = scratch or Scratch(spark)
+    fold = id_remainder(F.col("doc_id"), folds)
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != held))
+    half = (F.pmod(fold - held, F.lit(folds)) * 2 > folds).cast("int")
+    rows = rows.select(half.alias("half"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    with Scratch(spark) as work:
+        keyed = count_grams(rows.select(F.concat(F.col("half").cast("string"), "lang").alias("lang"), "text"))
+        counted = work.keep(keyed.select(F.substring("lang", 1, 1).cast("int").alias("half"), F.expr("substring(lang, 2)").alias("lang"), "gram", "n"))
+        found = {(r["half"], r["lang"]): r["count"] for r in counted.groupBy("half", "lang").count().collect()}
+        if not found:
+            return Model([], [])
+        langs, halves = sorted({lang for _, lang in found}), [sorted(lang for h, lang in found if h == half) for half in (0, 1)]
+        if sum(found.values()) <= capacity:
+            got = counted.toPandas()
+            model = _whole(langs, got)
+            spread = _spread(_judged_by([_whole(halves[h], got[got["half"] == h]) for h in (0, 1)], rows))
+        else:
+            merged = work.keep(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+            model, parts = LargeModel(langs, merged, capacity, scratch), []
+            for h in (0, 1):
+                if halves[1 - h]:
+                    other = LargeModel(halves[1 - h], counted.where(F.col("half") == 1 - h).drop("half"), capacity, work)
+                    texts = rows.where((F.col("half") == h) & F.col("lang").isin(halves[1 - h])).select("text")
+                    parts.append(_spread(other.bits(numbered(texts, work)).select("size", F.array_min("bits").alias("bits"))))
+            spread = pd.concat([pd.DataFrame(columns=["length", "class", "m", "least", "most"], dtype=float), *parts])
     # Per length, for all languages together: short texts vary more.
     for c in range(len(LENGTHS) + 1):
         limit = limit_of(spread, c, quantile) * slack
