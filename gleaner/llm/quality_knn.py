@@ -9,9 +9,15 @@ projected into it, and its cosines to all labelled vectors are computed exactly,
 The labelled vectors are broadcast: at most ``max_labelled`` of them (the rows with the smallest
 hash of their id), so ``max_labelled`` * ``rank`` * 4 bytes bound what is sent.
 
+Cosines count to ``PLACES`` places, so that ties are ties whatever the last digits of a product are, and
+blocks always have ``BLOCK`` rows (the last one is filled up), so that a document's score does not
+depend on the rows it is read with.
+
 Defined cases: a null or empty text has no terms and gets the prior of label 1; labelled rows
 without a label or text row are not learned from; ties in cosine go to the smaller row of the
-labelled table; with no labels at all every score is 0.5; a null id is held out.
+labelled table (by id, label, terms); with no labels at all every score is 0.5; a null id is held out;
+repeated rows are learned from once and scored alike; an empty table gives no scores; columns but id
+and text are not looked at.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ WORD_COLUMNS, SHAPE_COLUMNS = 1024, 1024
 COLUMNS = WORD_COLUMNS + SHAPE_COLUMNS
 #: Weight of the word part against the shape part.
 WORD_WEIGHT = 0.3
+#: Decimal places of a cosine, and documents of a block.
+PLACES, BLOCK = 6, 256
 
 
 def _shape_classes() -> np.ndarray:
@@ -110,18 +118,28 @@ class Model:
     def _unit(x: np.ndarray) -> np.ndarray:
         return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
-    def score(self, counts: np.ndarray, block: int = 256) -> np.ndarray:
+    def cosines(self, counts: np.ndarray) -> np.ndarray:
+        """Rounded cosines (documents x labelled vectors, as whole multiples of the last place) of at most ``BLOCK`` documents."""
+        block = np.zeros((BLOCK, counts.shape[1]), np.float32)
+        block[: len(counts)] = counts
+        near = self._unit(_weighted(block, self.idf) @ self.space) @ self.vectors.T
+        return np.rint(near[: len(counts)] * 10.0**PLACES).astype(np.int64)
+
+    def score(self, counts: np.ndarray) -> np.ndarray:
         out = np.full(len(counts), self.prior)
         rows = np.flatnonzero(counts.sum(1) > 0)
         if self.vectors is None:
             return out
-        k = min(self.neighbours, len(self.labels))
-        for i in range(0, len(rows), block):
-            at = rows[i : i + block]
-            near = self._unit(_weighted(counts[at], self.idf) @ self.space) @ self.vectors.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(near, top, 1), 0.0).astype(np.float64) ** self.sharpness + 1e-12
-            out[at] = (weight * self.labels[top]).sum(1) / weight.sum(1)
+        n = len(self.labels)
+        k = min(self.neighbours, n)
+        for i in range(0, len(rows), BLOCK):
+            at = rows[i : i + BLOCK]
+            # The row as the lowest digits: no two keys are equal, and of equal cosines the smaller row is first.
+            keys = -self.cosines(counts[at]) * n + np.arange(n)
+            top = np.sort(np.partition(keys, k - 1, axis=1)[:, :k], axis=1)
+            cosine = -np.floor_divide(top, n) / 10.0**PLACES
+            weight = np.maximum(cosine, 0.0) ** self.sharpness + 1e-12
+            out[at] = (weight * self.labels[top % n]).sum(1) / weight.sum(1)
         return np.clip(out, 0.0, 1.0)
 
 

@@ -3,9 +3,11 @@
 import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import langid_kn, quality_knn, queries, toxicity_cf
 from gleaner.llm.common import split_words, text_buffers, word_hashes
@@ -66,6 +68,82 @@ def test_probabilities_sum_to_one_and_match_the_formula(spark):
         assert p == pytest.approx(np.ones(3), abs=1e-4)
 
 
+def brute_kneser_ney(texts):
+    """p(character | three before) by the textbook recursion over dictionaries."""
+    counts = {4: Counter()}
+    for t in texts:
+        r = reduced(t)
+        counts[4].update(r[i : i + 4] for i in range(len(r) - 3))
+    for o in (3, 2, 1):  # below the highest order a gram counts by its different left neighbours
+        counts[o] = Counter(g[1:] for g in counts[o + 1])
+
+    def p(gram):
+        o = len(gram)
+        if o == 0:
+            return 1 / 65536
+        c = counts[o]
+        once, twice = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+        d = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
+        own = {g: n for g, n in c.items() if g[:-1] == gram[:-1]}
+        if not own:
+            return p(gram[1:])
+        return max(own.get(gram, 0) - d, 0) / sum(own.values()) + d * len(own) / sum(own.values()) * p(gram[1:])
+
+    return p
+
+
+def test_probabilities_against_brute_force(spark):
+    docs = [r for r in small_docs()[:60]]
+    m = langid_kn.fit(spark.createDataFrame(docs, DOCS))
+    rng, letters = random.Random(9), sorted({c for _, t, *_ in docs for c in t.lower()} | {"q"})
+    seen = [t[i : i + 4] for _, t, *_ in docs for i in range(0, max(0, len(t) - 3), 7)]
+    grams = [*seen[:60], *("".join(rng.choice(letters) for _ in range(4)) for _ in range(60)), "   b", "  ba", "qqqq"]
+    keys = np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(g)) for g in grams], np.uint64)
+    learned = [r for r in docs if zlib.crc32(str(r[0]).encode()) % 5]
+    for l, lang in enumerate(m.langs):
+        p = brute_kneser_ney([t for _, t, x, *_ in learned if x == lang])
+        assert np.exp2(m.logs(keys)[:, l]) == pytest.approx([p(g) for g in grams], rel=1e-4)
+
+
+def test_many_languages_take_memory_by_their_grams():
+    """A hundred languages of different grams: numbers per gram, not per gram and language."""
+    rng = np.random.default_rng(1)
+    counts = [(np.unique(rng.integers(0, 1 << 62, 5000, dtype=np.uint64)), None) for _ in range(100)]
+    m = langid_kn.Model([f"l{i:02d}" for i in range(100)], [(k, np.ones(len(k), np.int64)) for k, _ in counts])
+    size = sum(a.nbytes for t in (*m.direct.values(), *m.weight.values()) for a in (t.hashes, t.index, t.ends, t.langs, t.values))
+    assert size < 64 * 7 * 100 * 5000  # seven tables of at most as many entries as grams
+    logs = m.logs(np.concatenate([k[:3] for k, _ in counts]))
+    assert (logs.argmax(1) == np.repeat(np.arange(100), 3)).all()
+
+
+def test_unlearned_languages_are_rejected(spark):
+    sounds = {"ab": ["ba", "du", "ki", "mo", "ra"], "cd": ["sch", "ung", "ein", "ver", "keit"], "new": ["xot", "zvy", "qup", "wju", "hzk"]}
+    rng = random.Random(6)
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(sounds[lang]) for _ in range(rng.randint(2, 3))) for _ in range(n))
+
+    rows = [(i, text(lang := rng.choice(["ab", "cd"]), rng.randint(8, 60)), lang, "s", None) for i in range(600)]
+    strange = [(10_000 + i, text("new", rng.randint(8, 60)), None, "s", None) for i in range(60)]
+    fresh = [(20_000 + i, text(("ab", "cd")[i % 2], rng.randint(8, 60)), None, "s", None) for i in range(200)]
+    docs = spark.createDataFrame(rows + strange + fresh, DOCS)
+    for how in ({}, {"capacity": 100}):
+        kept = {r["doc_id"] for r in langid_kn.keep_identified(docs, langid_kn.fit(docs, **how)).collect()}
+        assert not kept & {r[0] for r in strange} and {r[0] for r in rows + fresh} - kept == set()
+
+
+def test_language_of_odd_rows(spark):
+    df = spark.createDataFrame(small_docs(), DOCS)
+    model = langid_kn.fit(df)
+    assert langid_kn.identify(df.limit(0), model).count() == 0 and langid_kn.keep_identified(df.limit(0), model).count() == 0
+    twice = spark.createDataFrame([(1, "baduki duki", None, None, None)] * 2, DOCS).withColumn("lang_pred", F.lit("mine")).withColumn("bits", F.lit(0.0))
+    a, b = langid_kn.identify(twice, model).collect()
+    assert a == b and a["lang_pred"] == "xx" and langid_kn.keep_identified(twice, model).columns == twice.columns
+    # every language alike: the first by name
+    same = spark.createDataFrame([(i, "lala lulu", lang, None, None) for lang in ("b", "a") for i in range(40)], DOCS)
+    assert {r["lang_pred"] for r in langid_kn.identify(same, langid_kn.fit(same)).collect()} == {"a"}
+
+
 def test_language(spark):
     df = spark.createDataFrame(small_docs(), DOCS)
     got = {r["doc_id"]: r for r in langid_kn.identify(df, langid_kn.fit(df)).collect()}
@@ -80,9 +158,10 @@ def test_language(spark):
 
 
 def test_a_bounded_model_keeps_the_frequent_grams(spark):
-    df = spark.createDataFrame([("x", i, 1 + i // 10) for i in range(100)], "lang string, gram long, n long")
+    df = spark.createDataFrame([(lang, i, 1 + i // 10) for lang in "xy" for i in range(100)], "lang string, gram long, n long")
     kept = langid_kn.bounded(df, 25).collect()
-    assert 0 < len(kept) <= 25 and min(r["n"] for r in kept) >= 8
+    assert 0 < len(kept) <= 25 and min(r["gram"] for r in kept) >= 70
+    assert langid_kn.bounded(df, 5).count() == 0 and langid_kn.bounded(df, 1000).count() == 100
 
 
 @pytest.mark.parametrize("capacity", [0, 40])
@@ -142,16 +221,33 @@ def test_quality(spark):
     assert {r["score"] for r in quality_knn.score(docs, empty).collect()} == {0.5}
 
 
-def test_votes_are_the_exact_nearest(spark):
+def test_votes_are_the_exact_nearest():
     rng = np.random.default_rng(0)
     counts, labels = rng.poisson(0.05, (60, quality_knn.COLUMNS)).astype(np.float32), rng.integers(0, 2, 60)
+    counts[30:45] = counts[:15]  # equal vectors: ties, which go to the smaller row
     m = quality_knn.Model(counts, labels, 16, 5, 3.0)
-    new = rng.poisson(0.05, (7, quality_knn.COLUMNS)).astype(np.float32)
-    v = m._unit(quality_knn._weighted(new.copy(), m.idf) @ m.space)
-    for got, x in zip(m.score(new, block=3), v, strict=True):
-        near = sorted(((float(x @ y), int(t)) for y, t in zip(m.vectors, labels, strict=True)), reverse=True)[:5]
-        w = [max(s, 0) ** 3 for s, _ in near]
-        assert got == pytest.approx(sum(a * t for a, (_, t) in zip(w, near, strict=True)) / sum(w), abs=1e-4)
+    new = np.concatenate([rng.poisson(0.05, (700, quality_knn.COLUMNS)).astype(np.float32), counts[:15]])
+    v = m._unit(quality_knn._weighted(new.copy(), m.idf) @ m.space).astype(float)
+    scores = m.score(new)
+    for got, x in zip(scores[[*range(40), *range(690, 715)]], v[[*range(40), *range(690, 715)]], strict=True):
+        near = sorted((-round(float(x @ y), quality_knn.PLACES), i) for i, y in enumerate(m.vectors.astype(float)))[:5]
+        w = [max(-s, 0) ** 3 for s, _ in near]
+        assert got == pytest.approx(sum(a * labels[i] for a, (_, i) in zip(w, near, strict=True)) / sum(w), abs=1e-4)
+    # the same scores to the last digit, however the documents are cut
+    for step in (1, 7, 300):
+        assert np.array_equal(scores[:120], np.concatenate([m.score(new[:120][i : i + step]) for i in range(0, 120, step)]))
+    keys = m.cosines(counts[:15])
+    assert (keys[:, :15] == keys[:, 30:45]).all()
+
+
+def test_quality_of_odd_rows(spark):
+    docs, labels = labelled(spark, words, lambda r: " ".join(w + "$$" for w in words(r).split()))
+    model, once = quality_knn.fit(docs.union(docs), labels.union(labels)), quality_knn.fit(docs, labels)
+    assert np.array_equal(model.vectors, once.vectors) and np.array_equal(model.labels, once.labels)  # repeated rows count once
+    odd = spark.createDataFrame([(1, "green stone", None, None, 5)] * 2 + [(None, None, "x", None, None)], DOCS).withColumn("score", F.lit(9.0))
+    got = [r["score"] for r in quality_knn.score(odd, model).collect()]
+    assert len(got) == 3 and got.count(model.prior) >= 1 and len(set(got)) <= 2
+    assert quality_knn.score(docs.limit(0), model).count() == 0 and quality_knn.fit(docs.limit(0), labels).prior == 0.5
 
 
 def test_toxicity(spark):
