@@ -6,8 +6,10 @@ hash-seeded Bernoulli copy whose probability is the rate's fraction.
 
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last; a null
 id draws as the id ''; repeated rows draw alike (the draw depends on id and seed alone); an empty
-table gives an empty result; a table of size 0 has targets and rates of 0.  Columns of ours
-replace columns of the same name; all others are kept.
+table gives an empty result; a table of size 0 has targets and rates of 0.  Columns of ours (size,
+source_size, target, copies) replace columns of the same name; all others are kept, whatever their names.
+
+The table of sources (a row each) is put in order in one task: sources are a short list of names.
 """
 
 from __future__ import annotations
@@ -65,15 +67,16 @@ def mix_sources(docs: DataFrame, scratch: Scratch, weights=(3, 1, 2), share: flo
     totals = scratch.keep(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_rate))
     if totals.count() <= BROADCAST_SOURCES:
         totals = F.broadcast(totals)
-    totals = totals.withColumnRenamed("source", "_source")
-    rest = [c for c in sized.columns if c not in ("source_size", "target", "copies", "rate")]
-    joined = sized.select(*rest).join(totals, F.col("source").eqNullSafe(F.col("_source")), "left")
-    extra = (draw(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
-    return joined.select(*rest, "source_size", "target", (F.floor("rate").cast("long") + extra).alias("copies"))
+    ours = ("source_size", "target", "copies")
+    rest = [c for c in sized.columns if c not in ours]
+    joined = sized.join(totals, sized["source"].eqNullSafe(totals["source"]), "left")
+    rate = totals["rate"]
+    extra = (draw(sized["doc_id"], seed) < rate - F.floor(rate)).cast("long")
+    return joined.select(*[sized[c] for c in rest], totals["source_size"], totals["target"], (F.floor(rate).cast("long") + extra).alias("copies"))
 
 
 def emit_mix(mixed: DataFrame) -> DataFrame:
     """One row for each copy that ``mix_sources`` grants."""
-    ours = ("size", "source_size", "target", "copies")
-    many = mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return many.drop("_copy", *ours)
+    rest = [c for c in mixed.columns if c not in ("size", "source_size", "target", "copies")]
+    many = mixed.where("copies > 0").select(*rest, F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))).alias("size"))
+    return many.drop("size")

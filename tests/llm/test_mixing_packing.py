@@ -52,6 +52,16 @@ def test_mix_and_emit(spark):
     assert mixing.mix_sources(df.limit(0), Scratch(spark), keep=False).count() == 0
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = [(i, "a b c", f"s{i % 2}", i, i, i, i, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _source long, rate long, _copy long, weight long, target long")
+    mixed = mixing.mix_sources(df, Scratch(spark))
+    assert mixed.columns == ["doc_id", "text", "source", "_source", "rate", "_copy", "weight", "size", "source_size", "target", "copies"]
+    assert all(r["_source"] == r["rate"] == r["_copy"] == r["weight"] == r["doc_id"] for r in mixed.collect())
+    emitted = mixing.emit_mix(mixed)
+    assert emitted.columns == ["doc_id", "text", "source", "_source", "rate", "_copy", "weight"] and all(r["rate"] == r["doc_id"] for r in emitted.collect())
+
+
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_packing_holds_its_bound(lengths):
     lengths = np.array(lengths, np.int64)
