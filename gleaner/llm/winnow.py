@@ -8,7 +8,7 @@ Defined cases: a null text is empty and has no fingerprint; a text of fewer than
 characters has the hash of its whole self; one of fewer than a full window has its one minimum;
 two empty texts are alike (1.0), an empty and another are not (0.0).  Rows are in order of
 (doc_id, hash of the text), null ids first; repeated rows follow one another; a table of one row
-is its own next.
+is its own next; an empty table gives an empty result; columns but id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,31 +151,66 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
+#: Sampled rows for each bucket, from which the buckets' bounds are taken, and buckets for each shuffle partition.
+SAMPLED, SPREAD = 20, 4
+
+
+def _bounds(keys: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and hashes (sorted) that split ``keys`` (doc_id, order) into about as many buckets, from a sample of them."""
+    total = keys.count()
+    if buckets < 2 or not total:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    share = min(1.0, SAMPLED * buckets / total)
+    # Rows whose mixed hash is low: the same ones each time, of hot ids and null ids too.
+    low = F.pmod(F.xxhash64("doc_id", "order"), F.lit(1 << 40)) < int(share * (1 << 40))
+    got = keys.where(low).distinct().toPandas()
+    ids, orders = got["doc_id"].fillna(LEAST).to_numpy(np.int64), got["order"].to_numpy(np.int64)
+    place = np.lexsort((orders, ids))
+    cut = place[np.unique(np.arange(1, buckets) * len(place) // buckets)] if len(place) else place
+    return ids[cut], orders[cut]
+
+
+#: Stands for a null id, which comes first.
+LEAST = -(1 << 63)
+
+
+def bucket_of(ids: np.ndarray, orders: np.ndarray, bound_ids: np.ndarray, bound_orders: np.ndarray) -> np.ndarray:
+    """How many bounds (id, order) each row is not below."""
+    low, high = np.searchsorted(bound_ids, ids, "left"), np.searchsorted(bound_ids, ids, "right")
+    for i in np.unique(ids[low < high]).tolist():  # ids that are bounds: their hashes decide
+        at = ids == i
+        x, y = int(low[at][0]), int(high[at][0])
+        low[at] += np.searchsorted(bound_orders[x:y], orders[at], "right")
+    return low
+
+
 def compare_along(docs: DataFrame) -> DataFrame:
     """``RESULT`` for every row: its fingerprint against its edited text's and the next document's.
 
-    Rows are dealt to buckets of consecutive ids by quantiles; the first row of a bucket is also
-    sent, as a tail, to the bucket before it.  Only quantiles and one key per bucket reach the
-    driver; the texts are shuffled once.
+    Rows are dealt to buckets of consecutive (id, hash) between bounds from a sample, ``SPREAD`` buckets for
+    each shuffle partition; the first row of a bucket is also sent, as a tail, to the bucket before it.
+    Only the bounds and one key per bucket reach the driver; the texts are shuffled once.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text")).withColumn("order", F.xxhash64("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(4 * parts, 4096)
-    bounds = sorted(set(rows.where("doc_id is not null").approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets))) if buckets > 1 else []
-    level = F.array(*[F.lit(int(x)).cast("long") for x in bounds]) if bounds else F.array().cast("array<long>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(level, lambda x: x <= F.col("doc_id"))))
-    rows = rows.withColumn("bucket", bucket).withColumn("order", F.xxhash64("text"))
+    bounds = _bounds(rows.select("doc_id", "order"), SPREAD * parts)
+    sent = spark.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf("int")
+    def bucket(ids: pd.Series, orders: pd.Series) -> pd.Series:
+        return pd.Series(bucket_of(ids.to_numpy(np.int64), orders.to_numpy(np.int64), *sent.value).astype(np.int32))
+
+    rows = rows.withColumn("bucket", bucket(F.coalesce("doc_id", F.lit(LEAST).cast("long")), "order") if len(bounds[0]) else F.lit(0))
     heads = rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "order")).alias("head")).orderBy("bucket").collect()
     if heads:
-        before = [heads[i - 1]["bucket"] for i in range(len(heads))]
-        firsts = spark.createDataFrame([(h["head"]["doc_id"], h["head"]["order"], b) for h, b in zip(heads, before, strict=True)], "first_id long, first_order long, before int")
+        firsts = spark.createDataFrame([(h["head"]["doc_id"], h["head"]["order"], heads[i - 1]["bucket"]) for i, h in enumerate(heads)], "first_id long, first_order long, before int")
         rows = rows.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("order") == F.col("first_order")), "left")
         places = F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("tail")))
         rows = rows.withColumn("place", F.explode(F.when(F.col("before").isNull(), places).otherwise(F.concat(places, F.array(F.struct(F.col("before").alias("b"), F.lit(1).alias("tail")))))))
         rows = rows.select("place.b", "place.tail", "doc_id", "text", "order").repartition(parts, "b").sortWithinPartitions("b", "tail", F.col("doc_id").asc_nulls_first(), "order")
         rows = rows.select(F.col("b").cast("int"), F.col("tail").cast("int"), "doc_id", "text")
     else:
-        rows = rows.select(F.col("bucket").cast("int").alias("b"), F.lit(0).alias("tail"), "doc_id", "text")
+        rows = rows.select(F.lit(0).alias("b"), F.lit(0).alias("tail"), "doc_id", "text")
     return rows.mapInArrow(tidy(_compared), RESULT)
