@@ -4,17 +4,21 @@
 frames (each granule's part2_3_length is 0, so no decoder reads them as audio), behind an ID3v2 tag
 and an Info frame with a variable-bitrate table.  ``parse`` reads any stream: it skips tags,
 resynchronises on frame headers (a header counts when it stands where the frame before ends, or its CRC is
-right, or the next one stands where it must, or the stream ends there), checks each frame's CRC-16, reads Xing/Info and VBRI tables, and returns exact
-durations and seek offsets.
+right, or the next one stands where it must, or the stream ends there), checks each frame's CRC-16 (of all three layers), reads Xing/Info and VBRI tables, and returns exact
+durations (without the encoder's delay and padding, where a stream states them) and seek offsets.
+Tags are ID3v2.2, 2.3 and 2.4 (text frames of any encoding, unsynchronised, compressed or grouped), ID3v1 and APEv2.
 
 Defined cases: null payload is the empty payload; an empty stream or one without any frame has 0
 frames and duration 0; bytes between frames are counted as ``skipped``; a frame cut off at the end
-is not counted.
+is not counted; a stream that is not ours has no payload sizes (0) and fails no read; a damaged or
+encrypted tag frame is left out; repeated rows are stored and read alike; an empty table gives an empty
+result; columns but id and text are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -176,30 +180,184 @@ def encode(payload: bytes, n_bytes: int) -> bytes:
     return b"ID3\x04\x00\x00" + _syncsafe(len(tag)) + tag + info + audio
 
 
-def parse(media: bytes) -> dict:
-    """Frames, seek offsets, durations, tags, checks and ancillary payload of an MPEG stream."""
+def _plain(b: bytes) -> int:
+    return int.from_bytes(b, "big")
+
+
+def _safe(b: bytes) -> int:
+    """A number of seven bits a byte."""
+    out = 0
+    for x in b:
+        out = out << 7 | (x & 127)
+    return out
+
+
+#: Fixed values of ID3v2: encodings by their number, with the bytes that end a string.
+ENCODINGS = (("latin-1", b"\x00"), ("utf-16", b"\x00\x00"), ("utf-16-be", b"\x00\x00"), ("utf-8", b"\x00"))
+
+
+def _strings(value: bytes) -> list[str]:
+    """The strings of a text frame, by the encoding that its first byte names."""
+    if not value or value[0] >= len(ENCODINGS):
+        return []
+    (name, stop), body, out, wide = ENCODINGS[value[0]], value[1:], [], len(ENCODINGS[value[0]][1])
+    while body:
+        at = next((i for i in range(0, len(body) - wide + 1, wide) if body[i : i + wide] == stop), len(body))
+        out.append(body[:at].decode(name, "replace").lstrip("\ufeff"))
+        body = body[at + wide :]
+    return out
+
+
+def id3v2(tag: bytes) -> dict[str, str]:
+    """Text frames of one ID3v2 tag (header and all); user-defined ones under their description."""
+    version, flags, body, out = tag[3], tag[5], tag[10:], {}
+    if version < 4 and flags & 0x80:
+        body = body.replace(b"\xff\x00", b"\xff")
+    head, number = (6, _plain) if version == 2 else (10, _plain if version == 3 else _safe)
+    p = 0
+    if version > 2 and flags & 0x40:
+        p = 4 + _plain(body[:4]) if version == 3 else _safe(body[:4])
+    while p + head <= len(body) and body[p]:
+        name = body[p : p + (3 if version == 2 else 4)].decode("latin-1")
+        size = _plain(body[p + 3 : p + 6]) if version == 2 else number(body[p + 4 : p + 8])
+        kind = body[p + 9] if version > 2 else 0
+        value = body[p + head : p + head + size]
+        p += head + size
+        value = _unwrapped(value, version, kind)
+        if value is None or name[:1] != "T":
+            continue
+        strings = _strings(value)
+        if name in ("TXXX", "TXX"):
+            if strings:
+                out[strings[0]] = "/".join(strings[1:])
+        else:
+            out[name] = "/".join(strings).rstrip("/")
+    return out
+
+
+def _unwrapped(value: bytes, version: int, kind: int) -> bytes | None:
+    """A frame's data without grouping, compression and unsynchronisation; None where it cannot be read."""
+    if version == 3:
+        packed, locked, grouped, loose, sized = kind & 0x80, kind & 0x40, kind & 0x20, 0, kind & 0x80
+    else:
+        packed, locked, grouped, loose, sized = kind & 0x08, kind & 0x04, kind & 0x40, kind & 0x02, kind & 0x01
+    if version == 2 or not kind:
+        return value
+    if locked:
+        return None
+    value = value[bool(grouped) + 4 * bool(sized) :]
+    if loose:
+        value = value.replace(b"\xff\x00", b"\xff")
+    if packed:
+        try:
+            value = zlib.decompress(value)
+        except zlib.error:
+            return None
+    return value
+
+
+def id3v1(tag: bytes) -> dict[str, str]:
+    parts = (("id3v1", 3, 33), ("id3v1 artist", 33, 63), ("id3v1 album", 63, 93), ("id3v1 year", 93, 97))
+    return {name: text for name, x, y in parts if (text := tag[x:y].split(b"\x00")[0].decode("latin-1").strip())}
+
+
+def apev2(tag: bytes, items: int) -> dict[str, str]:
+    out, p = {}, 0
+    for _ in range(items):
+        stop = tag.find(b"\x00", p + 8)
+        if stop < 0:
+            break
+        size = int.from_bytes(tag[p : p + 4], "little")
+        if not tag[p + 4] & 6:  # text, neither binary nor a link
+            out[tag[p + 8 : stop].decode("latin-1")] = tag[stop + 1 : stop + 1 + size].replace(b"\x00", b"/").decode("utf-8", "replace")
+        p = stop + 1 + size
+    return out
+
+
+def tags_of(media: bytes) -> tuple[dict[str, str], int, int]:
+    """All tags, and where the audio between them begins and ends."""
     at, end, tags = 0, len(media), {}
-    while media[at : at + 3] == b"ID3" and at + 10 <= end:
-        size = 0
-        for b in media[at + 6 : at + 10]:
-            size = size << 7 | (b & 127)
-        stop, p = min(end, at + 10 + size), at + 10
-        while p + 10 <= stop and media[p] != 0:
-            n = 0
-            for b in media[p + 4 : p + 8]:
-                n = n << 7 | (b & 127)
-            name, value = media[p : p + 4].decode("latin-1"), media[p + 10 : min(stop, p + 10 + n)]
-            if name == "TXXX":
-                key, _, rest = value[1:].partition(b"\x00")
-                tags[key.decode("utf-8", "replace")] = rest.decode("utf-8", "replace")
-            elif name[:1] == "T":
-                tags[name] = value[1:].decode("utf-8", "replace")
-            p += 10 + n
-        at = stop + (10 if len(media) > at + 5 and media[at + 5] & 16 else 0)
+    while media[at : at + 3] == b"ID3" and at + 10 <= end and media[at + 3] in (2, 3, 4):
+        stop = min(end, at + 10 + _safe(media[at + 6 : at + 10]))
+        tags |= id3v2(media[at:stop])
+        at = min(end, stop + (10 if media[at + 5] & 16 else 0))
     if end - at >= 128 and media[end - 128 : end - 125] == b"TAG":
         end -= 128
-        tags["id3v1"] = media[end + 3 : end + 33].rstrip(b"\x00 ").decode("latin-1")
-    out = {"tags": tags, "vbr": None, "offsets": [], "samples": 0, "rate": 0, "crc_bad": 0, "crc_checked": 0, "skipped": 0, "music_crc_ok": None, "tag_crc_ok": None}
+        tags |= id3v1(media[end : end + 128])
+    if end - at >= 32 and media[end - 32 : end - 24] == b"APETAGEX":
+        size, items, flags = (int.from_bytes(media[end - x : end - x + 4], "little") for x in (20, 16, 12))
+        start = max(at, end - size)
+        tags |= apev2(media[start : end - 32], items)
+        end = max(at, start - (32 if flags >> 31 else 0))
+    return tags, at, end
+
+
+# Fixed values of ISO/IEC 11172-3 tables B.2a to B.2d and 13818-3 table B.1: (bits of an allocation, subbands), in order.
+ALLOCATIONS = {
+    "a": ((4, 11), (3, 12), (2, 4)),
+    "b": ((4, 11), (3, 12), (2, 7)),
+    "c": ((4, 2), (3, 6)),
+    "d": ((4, 2), (3, 10)),
+    "low": ((4, 4), (3, 7), (2, 19)),
+}
+
+
+def _allocation(head: int, hz: int) -> list[int]:
+    """Bits of each subband's allocation in a Layer II frame."""
+    if head >> 19 & 3 != 3:
+        name = "low"
+    else:
+        each = BITRATES[1, 2][head >> 12 & 15] // (1 if head >> 6 & 3 == 3 else 2)
+        if each <= 48:
+            name = "d" if hz == 32000 else "c"
+        else:
+            name = "a" if each <= 80 or hz == 48000 else "b"
+    return [bits for bits, n in ALLOCATIONS[name] for _ in range(n)]
+
+
+def protected_bits(head: int, layer: int, hz: int, body: bytes) -> int:
+    """How many bits after the CRC it covers in a Layer I or II frame: the allocations, and what Layer II says of its scale factors."""
+    mode = head >> 6 & 3
+    channels = 1 if mode == 3 else 2
+    widths = [4] * 32 if layer == 1 else _allocation(head, hz)
+    bound = min(len(widths), 4 * ((head >> 4 & 3) + 1)) if mode == 1 else len(widths)
+    plain = sum(w * (channels if i < bound else 1) for i, w in enumerate(widths))
+    if layer == 1:
+        return plain
+    bits, at, chosen = int.from_bytes(body[: -(-plain // 8)].ljust(-(-plain // 8), b"\x00"), "big") >> -plain % 8, plain, 0
+    for i, w in enumerate(widths):
+        for _ in range(channels if i < bound else 1):
+            at -= w
+            if bits >> at & ((1 << w) - 1):
+                chosen += 1 if i < bound else channels
+    return plain + 2 * chosen
+
+
+def bits_crc(data: bytes, bits: int) -> int:
+    """The frame CRC of the first ``bits`` bits."""
+    c = 0xFFFF
+    for b in data[: bits // 8]:
+        c = ((c << 8) & 0xFFFF) ^ _MPEG_LIST[(c >> 8) ^ b]
+    for i in range(bits // 8 * 8, bits):
+        top = (c >> 15) ^ (data[i // 8] >> (7 - i % 8) & 1)
+        c = ((c << 1) & 0xFFFF) ^ (0x8005 if top else 0)
+    return c
+
+
+def crc_right(media: bytes, at: int, size: int, layer: int, hz: int, side: int) -> bool:
+    """Whether the CRC of the protected frame at ``at`` is that of what it covers."""
+    stated, covered = media[at + 4] << 8 | media[at + 5], media[at + 2 : at + 4]
+    if layer == 3:
+        return frame_crc(covered + media[at + 6 : at + 6 + side]) == stated
+    body = media[at + 6 : at + size]
+    bits = protected_bits(_plain(media[at : at + 4]), layer, hz, body)
+    return bits <= 8 * len(body) and bits_crc(covered + body, 16 + bits) == stated
+
+
+def parse(media: bytes) -> dict:
+    """Frames, seek offsets, durations, tags, checks and ancillary payload of an MPEG stream."""
+    tags, at, end = tags_of(media)
+    out = {"tags": tags, "vbr": None, "offsets": [], "samples": 0, "rate": 0, "crc_bad": 0, "crc_checked": 0, "skipped": 0, "trimmed": 0, "music_crc_ok": None, "tag_crc_ok": None}
     parts, first, first_end, audio_from = [], True, 0, at
     expected, kind_before = -1, None
     while at + 4 <= end:
@@ -213,8 +371,8 @@ def parse(media: bytes) -> dict:
         size, samples, hz, layer, protected, side = found
         follow = frame_header(int.from_bytes(media[at + size : at + size + 4], "big")) if at + size + 4 <= end else True
         chained = at == expected and (hz, layer) == kind_before
-        checked = protected and layer == 3
-        right = checked and frame_crc(media[at + 2 : at + 4] + media[at + 6 : at + 6 + side]) == (media[at + 4] << 8 | media[at + 5])
+        checked = protected and size >= 6 + side
+        right = checked and crc_right(media, at, size, layer, hz, side)
         if not (chained or right) and (not follow or (follow is not True and follow[2:4] != (hz, layer))):
             out["skipped"] += 1
             at += 1
@@ -240,6 +398,8 @@ def parse(media: bytes) -> dict:
                 p += 4 * bool(flags & 8)
                 if p + 36 <= at + size and media[p : p + 4].strip(b"\x00"):
                     vbr["encoder"] = media[p : p + 9].decode("latin-1")
+                    gaps = _plain(media[p + 21 : p + 24])  # samples before and after the sound
+                    out["trimmed"] = (gaps >> 12) + (gaps & 0xFFF)
                     vbr["music_crc"] = int.from_bytes(media[p + 32 : p + 34], "big")
                     out["tag_crc_ok"] = music_crc(np.frombuffer(media[at : p + 34], np.uint8)) == int.from_bytes(media[p + 34 : p + 36], "big")
                 out["vbr"] = vbr
@@ -255,6 +415,7 @@ def parse(media: bytes) -> dict:
         parts.append(media[body : at + size])
         at += size
     out["skipped"] += max(0, end - at)
+    out["played"] = max(0, out["samples"] - out["trimmed"])
     if first_end and "music_crc" in out["vbr"]:
         out["music_crc_ok"] = music_crc(np.frombuffer(media[audio_from:end], np.uint8)) == out["vbr"]["music_crc"]
     out["ancillary"] = b"".join(parts)
@@ -275,19 +436,24 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lengths, media = [], []
 
 
+_PAYLOAD = re.compile(r"([0-9]{1,18}) ([0-9]{1,18})")
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for i in range(len(b)):
             media = b.column(2)[i].as_py() or b""
             x = parse(media)
-            n, padded = (int(v) for v in x["tags"].get("payload", "0 0").split())
+            stated = _PAYLOAD.fullmatch(x["tags"].get("payload", ""))
+            n, padded = map(int, stated.groups()) if stated else (0, 0)
+            table_frames = (x["vbr"] or {}).get("frames")
             payload, offsets = x["ancillary"][:padded], np.array(x["offsets"], np.int64)
             rows.append({
                 "doc_id": b.column(0)[i].as_py(), "n_bytes": n, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]),
                 "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "frames": len(offsets), "samples": x["samples"], "sample_rate": x["rate"],
-                "duration_s": x["samples"] / x["rate"] if x["rate"] else 0.0, "seek_offsets": offsets, "crc_bad": x["crc_bad"], "skipped": x["skipped"],
-                "table_frames": (x["vbr"] or {}).get("frames"), "checks_ok": x["crc_bad"] == 0 and x["skipped"] == 0 and bool(x["music_crc_ok"]) and bool(x["tag_crc_ok"]) and x["vbr"]["frames"] == len(offsets),
+                "duration_s": x["played"] / x["rate"] if x["rate"] else 0.0, "seek_offsets": offsets, "crc_bad": x["crc_bad"], "skipped": x["skipped"],
+                "table_frames": table_frames, "checks_ok": x["crc_bad"] == 0 and x["skipped"] == 0 and bool(x["music_crc_ok"]) and bool(x["tag_crc_ok"]) and table_frames == len(offsets),
             })
         yield pa.RecordBatch.from_pylist(rows, FEATURES_ARROW)
 
