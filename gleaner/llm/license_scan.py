@@ -7,19 +7,25 @@ fingerprints are the minimum of each ``WINDOW`` consecutive hashes (rightmost of
 all its hashes, of fewer words where the run is shorter than ``GRAM``.  The templates' fingerprints are
 an inverted index (fixed, some thousand entries, sent with the task), and every gram of a text is looked
 up in it, so each such place is a candidate; words inserted into or left out of a notice may split its
-runs further.  Hits of a template on near diagonals are aligned together, in a band around them; each alignment reports the
+runs further.  Hits of a template on near diagonals are aligned together, in a band around them, if they
+are half as many as the changed words must leave at least (``least_hits``); each alignment reports the
 words matched, the share of the template they cover, and where it lies in the text.  Of overlapping
 places that match at least ``min_coverage``, the one with the most matched words stays (then the
 higher coverage, the earlier, the first template by name).
 
+``templates_in`` reads whole licence texts from a folder; without one, ``license_texts`` has common notices,
+headers and short licences.
+
 Defined cases: null and empty texts match nothing; a licence that occurs twice is two rows; repeated
-rows give their rows each; a null id stays null.
+rows give their rows each; a null id stays null; of equal matches the earlier place and the first
+template by name stay; an empty table gives an empty result; columns but id and text are not looked at.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +37,8 @@ from gleaner.llm.license_texts import TEMPLATES
 
 GRAM, WINDOW, BAND = 3, 2, 12
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Stands for words of the text that an alignment has taken.
+FOUND = np.uint64(0)
 
 _WORD = np.zeros(256, np.uint8)
 _WORD[128:] = np.arange(128, 256)
@@ -67,24 +75,34 @@ def shared_run(n: int, min_coverage: float) -> int:
     return -(-(n - changed) // (changed + 1))
 
 
+def least_hits(n: int, k: int, min_coverage: float) -> int:
+    """Grams of k words that a place shares with a template of n words, at least, if as in ``shared_run`` each changed word takes k of them; half of that, as insertions take more."""
+    changed = next((c for c in range(n - 1, -1, -1) if (n - c) / n >= min_coverage), 0)
+    return max(1, (n - k + 1 - changed * k) // 2)
+
+
 class Index:
     """Fingerprint -> (template, place) postings, for each number of words in a fingerprint."""
 
     def __init__(self, templates: dict[str, str], min_coverage: float = 0.75):
         self.names = sorted(templates)
-        self.words = []
+        self.words, self.least = [], []
         self.postings: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
         for t, name in enumerate(self.names):
             raw = np.frombuffer(templates[name].encode(), np.uint8)
             words = scan_words(raw, np.array([0, len(raw)]))[0]
-            self.words.append(words.tolist())
+            self.words.append(words)
+            self.least.append(1)
             if not len(words):
                 continue
             run = shared_run(len(words), min_coverage)
             # Runs of one word are only looked for where the template has no more.
             k = min(GRAM, max(run, 2), len(words))
             grams = gram_hashes(words, k)
-            for p in winnow(grams).tolist() if run >= GRAM + WINDOW - 1 else range(len(grams)):
+            places = winnow(grams) if run >= GRAM + WINDOW - 1 else np.arange(len(grams))
+            if len(places) == len(grams):
+                self.least[t] = least_hits(len(words), k, min_coverage)
+            for p in places.tolist():
                 self.postings[k][int(grams[p])].append((t, p))
         self.postings = {k: dict(x) for k, x in self.postings.items()}
         self.keys = {k: np.array(sorted(x), np.uint64) for k, x in self.postings.items()}
@@ -99,38 +117,53 @@ class Index:
         return out
 
 
-def align(template: list[int], words: list[int], low: int, high: int) -> tuple[int, int, int, int, int]:
-    """Best local alignment with text place minus template place in low..high: (score, matched, template's words covered by it, start, end in words)."""
-    best = (0, 0, 0, 0, 0)
-    width = high - low + 1
-    # a cell: score, matched words, template start, text start
-    above: list[tuple[int, int, int, int]] = [(0, 0, -1, -1)] * (width + 1)
-    for i, x in enumerate(template):
-        row: list[tuple[int, int, int, int]] = []
-        left = (0, 0, -1, -1)
-        for d in range(width):
-            j = i + low + d
-            if j < 0 or j >= len(words):
-                cell = (0, 0, -1, -1)
-            else:
-                s, m, ti, wj = above[d]
-                hit = x == words[j]
-                s += MATCH if hit else MISMATCH
-                if s <= 0:
-                    cell = (0, 0, -1, -1)
-                else:
-                    cell = (s, m + hit, i if ti < 0 else ti, j if wj < 0 else wj)
-                up = above[d + 1]
-                if up[0] + GAP > cell[0]:
-                    cell = (up[0] + GAP, *up[1:])
-                if left[0] + GAP > cell[0]:
-                    cell = (left[0] + GAP, *left[1:])
-                if hit and cell[0] > best[0]:
-                    best = (cell[0], cell[1], i + 1 - cell[2], cell[3], j + 1)
-            row.append(cell)
-            left = cell
-        above = [*row, (0, 0, -1, -1)]
-    return best
+def align(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple[int, int, int, int, int]:
+    """Best local alignment with text place minus template place in low..high: (score, matched, template's words covered by it, start, end in words).
+
+    Scores row by row over the band; the best cell that is a match (the first of equals) is traced back,
+    a match or change before a word left out, and that before a word put in.
+    """
+    n, width = len(template), high - low + 1
+    scores, best, at = np.zeros((n + 1, width + 1), np.int32), 0, (0, 0)
+    places = np.arange(width)
+    for i in range(n):
+        a, z = max(0, -(i + low)), min(width, len(words) - i - low)  # the cells of this row that lie in the text
+        if a >= z:
+            continue
+        hit = words[i + low + a : i + low + z] == template[i]
+        above = scores[i]
+        cell = np.maximum(above[a:z] + np.where(hit, MATCH, MISMATCH), above[a + 1 : z + 1] + GAP)
+        np.maximum(cell, 0, out=cell)
+        # A word put in costs GAP for each cell to the right: the running maximum, each cell counted from the left.
+        cell = np.maximum.accumulate(cell - GAP * places[a:z]) + GAP * places[a:z]
+        scores[i + 1, a:z] = cell
+        ends = np.where(hit, cell, 0)
+        top = int(ends.argmax())
+        if ends[top] > best:
+            best, at = int(ends[top]), (i, a + top)
+    if not best:
+        return 0, 0, 0, 0, 0
+    (i, d), matched = at, 0
+    end = i + low + d + 1
+    first_t, first_w = i, end - 1
+    last = i
+    while True:
+        s, j = int(scores[i + 1, d]), i + low + d
+        if s <= 0:
+            break
+        hit = 0 <= j < len(words) and words[j] == template[i]
+        before = int(scores[i, d])
+        if s == before + (MATCH if hit else MISMATCH):
+            matched += bool(hit)
+            first_t, first_w = i, j
+            i -= 1
+        elif s == int(scores[i, d + 1]) + GAP:
+            i, d = i - 1, d + 1
+        else:
+            d -= 1
+        if i < 0 or d < 0:
+            break
+    return best, matched, last + 1 - first_t, first_w, end
 
 
 def find(index: Index, words: np.ndarray, min_coverage: float) -> list[tuple[str, int, float, int, int]]:
@@ -149,15 +182,18 @@ def find(index: Index, words: np.ndarray, min_coverage: float) -> list[tuple[str
             if h is not None and h[0] - run[-1][0] <= BAND and h[0] - run[0][0] <= 4 * BAND:
                 run.append(h)
                 continue
+            if len({p - d for d, p in run}) < index.least[t]:
+                run = [h]
+                continue
             low, high = run[0][0] - BAND, run[-1][0] + BAND
             base = max(0, low)
-            part = words[base : max(0, high) + len(template)].tolist()
+            part = words[base : max(0, high) + len(template)].copy()
             while True:  # the template may stand here more than once: what has been found is masked
                 _, matched, _, a, b = align(template, part, low - base, high - base)
                 if not matched or matched / len(template) < min_coverage:
                     break
                 places.append((-matched, -matched / len(template), a + base, t, b + base))
-                part[a:b] = [-1] * (b - a)
+                part[a:b] = FOUND
             if h is not None:
                 run = [h]
     taken: list[tuple] = []
@@ -167,6 +203,11 @@ def find(index: Index, words: np.ndarray, min_coverage: float) -> list[tuple[str
     return sorted(taken, key=lambda x: (x[3], x[0]))
 
 
+def templates_in(folder: str) -> dict[str, str]:
+    """The texts of the files in a folder, by file name without its extension."""
+    return {p.stem: p.read_text(encoding="utf-8", errors="replace") for p in sorted(Path(folder).iterdir()) if p.is_file()}
+
+
 SCANNED = "doc_id long, license string, matched_words int, coverage double, start_word int, end_word int, start_byte long, end_byte long"
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -55,6 +56,108 @@ def test_headers():
     assert media_mpeg.frame_header(0xFFFB0064) is None and media_mpeg.frame_header(0x12345678) is None
 
 
+def safe(n):
+    return bytes((n >> x) & 127 for x in (21, 14, 7, 0))
+
+
+def id3(version, frames, flags=0):
+    body = b""
+    for name, value, kind in frames:
+        if version == 2:
+            body += name + struct.pack(">I", len(value))[1:] + value
+        else:
+            body += name + (struct.pack(">I", len(value)) if version == 3 else safe(len(value))) + bytes([0, kind]) + value
+    return b"ID3" + bytes([version, 0, flags]) + safe(len(body)) + body
+
+
+@pytest.mark.parametrize("version", [2, 3, 4])
+def test_tags_of_every_version(version):
+    title, user, other = (b"TT2", b"TXX", b"COM") if version == 2 else (b"TIT2", b"TXXX", b"COMM")
+    long = "long " * 100  # a size above 127 tells plain numbers from syncsafe ones
+    frames = [(title, b"\x01" + "Grüße 音".encode("utf-16"), 0), (other, b"\x00engxx", 0), (user, b"\x00key\x00" + long.encode(), 0), (user, b"\x01" + "ключ\x00".encode("utf-16") + "да".encode("utf-16"), 0), (b"TAL" if version == 2 else b"TALB", b"\x02" + "Ä\x00".encode("utf-16-be"), 0), (b"TPE" if version == 2 else b"TPE1", b"\x09bad", 0)]
+    raw = padded(b"text")
+    audio = media_mpeg.encode(raw, 4)
+    got = media_mpeg.parse(id3(version, frames) + audio)
+    assert got["tags"][title.decode()] == "Grüße 音" and got["tags"]["key"] == long and got["tags"]["ключ"] == "да"
+    assert got["tags"]["TAL" if version == 2 else "TALB"] == "Ä" and got["tags"]["payload"] == "4 64"
+    assert got["ancillary"][:64] == raw and got["skipped"] == 0
+
+
+def test_wrapped_tags():
+    loose = (b"TIT2", b"\x03a\xff\x00\xe0", 0)
+    assert media_mpeg.id3v2(id3(3, [(b"TIT2", b"\x01" + b"\xff\x00\xfeA\x00", 0)], 0x80)) == {"TIT2": "A"}
+    assert media_mpeg.id3v2(id3(4, [(*loose[:2], 0x02)]))["TIT2"].startswith("a")
+    packed = zlib.compress(b"\x03squeezed")
+    assert media_mpeg.id3v2(id3(3, [(b"TIT2", struct.pack(">I", 9) + packed, 0x80)])) == {"TIT2": "squeezed"}
+    assert media_mpeg.id3v2(id3(4, [(b"TIT2", b"G" + safe(9) + packed, 0x49), (b"TALB", b"\x03x", 0x04), (b"TPE1", b"junk", 0x09)])) == {"TIT2": "squeezed"}
+    v1 = (b"TAG" + b"Title".ljust(30, b"\x00") + b"Artist".ljust(30) + bytes(30) + b"1999" + bytes(31))[:128]
+    item = lambda k, v, kind=0: struct.pack("<II", len(v), kind) + k + b"\x00" + v
+    ape = item(b"Genre", "Läm".encode()) + item(b"Cover", b"\xff\xfa", 2)
+    ape += b"APETAGEX" + struct.pack("<IIII", 2000, len(ape) + 32, 2, 0) + bytes(8)
+    got = media_mpeg.parse(media_mpeg.encode(padded(b"x"), 1) + ape + v1)
+    assert got["tags"]["id3v1"] == "Title" and got["tags"]["id3v1 artist"] == "Artist" and got["tags"]["id3v1 year"] == "1999"
+    assert got["tags"]["Genre"] == "Läm" and "Cover" not in got["tags"] and got["skipped"] == 0
+
+
+def crc_of_bits(bits):
+    c = 0xFFFF
+    for bit in bits:
+        c = (c << 1) & 0xFFFF ^ (0x8005 if (c >> 15) ^ bit else 0)
+    return c
+
+
+def bits_of(data):
+    return [x >> (7 - k) & 1 for x in data for k in range(8)]
+
+
+@pytest.mark.parametrize(("mode", "extension"), [(3, 0), (0, 0), (1, 0), (1, 2), (2, 0)])
+@pytest.mark.parametrize("layer", [1, 2])
+def test_checksums_of_layers_one_and_two(layer, mode, extension):
+    """Against a bit-by-bit reading of allocations: 32 subbands of 4 bits, or table B.2a / B.2b with scale factor selections."""
+    rng = random.Random(layer * 10 + mode)
+    head = 0xFFFC0000 | (4 - layer) << 17 & 0x60000 | 10 << 12 | mode << 6 | extension << 4  # 44.1 kHz, protected
+    size, samples, hz, *_ = media_mpeg.frame_header(head)
+    channels = 1 if mode == 3 else 2
+    widths = [4] * 32 if layer == 1 else [4] * 11 + [3] * 12 + [2] * 7  # 96 kbit/s a channel and more at 44.1 kHz
+    bound = 4 * (extension + 1) if mode == 1 else len(widths)
+    frames = b""
+    for _ in range(3):
+        body = rng.randbytes(size - 6)
+        bits, at, chosen = bits_of(body), 0, 0
+        for i, w in enumerate(widths):
+            for _ in range(channels if i < bound else 1):
+                chosen += any(bits[at : at + w]) * (1 if i < bound else channels)
+                at += w
+        covered = at + (2 * chosen if layer == 2 else 0)
+        first = struct.pack(">I", head)
+        frames += first + struct.pack(">H", crc_of_bits(bits_of(first[2:]) + bits[:covered])) + body
+    x = media_mpeg.parse(frames)
+    assert (len(x["offsets"]), x["crc_checked"], x["crc_bad"], x["samples"]) == (3, 3, 0, 3 * samples)
+    bad = bytearray(frames)
+    bad[size + 7] ^= 16
+    assert media_mpeg.parse(bytes(bad))["crc_bad"] == 1
+
+
+def test_exact_durations_leave_out_the_padding():
+    raw = padded(b"y" * 20000)
+    media = media_mpeg.encode(raw, len(raw))
+    at = media.index(b"gleaner01")
+    x = media_mpeg.parse(media[: at + 21] + bytes([0x24, 0x04, 0x80]) + media[at + 24 :])  # 576 before, 1152 after
+    assert x["trimmed"] == 576 + 1152 and x["played"] == x["samples"] - 1728 and media_mpeg.parse(media)["trimmed"] == 0
+
+
+def test_foreign_streams_are_read(spark):
+    own = media_mpeg.encode(padded(b"z"), 1)
+    no_count = own.replace(b"Xing" + struct.pack(">I", 7), b"Xing" + struct.pack(">I", 6))
+    odd = own.replace(b"payload\x001 64", b"payload\x00one 6")
+    rows = [(1, 0, own), (2, 0, no_count), (3, 0, odd), (4, 0, b""), (5, 0, None), (6, 0, b"ID3\x03"), (7, 0, b"\xff" * 50), (7, 0, b"\xff" * 50)]
+    got = {r["doc_id"]: r for r in media_mpeg.read_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1]["checks_ok"] and got[1]["payload_bytes"] == 64 and not got[2]["checks_ok"] and got[3]["payload_bytes"] == got[3]["n_bytes"] == 0
+    assert all(got[i]["frames"] == 0 and got[i]["duration_s"] == 0 for i in (4, 5, 6, 7))
+    empty = spark.createDataFrame([], DOCS)
+    assert media_mpeg.read_media(media_mpeg.store_media(empty)).count() == 0
+
+
 def test_resynchronises_and_finds_faults():
     raw = padded(bytes(range(256)) * 40)
     good = media_mpeg.encode(raw, len(raw))
@@ -186,7 +289,26 @@ def full_alignment(template, words):
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 5), min_size=1, max_size=15), st.lists(st.integers(0, 5), max_size=25))
 def test_a_wide_band_is_the_whole_alignment(template, words):
-    assert license_scan.align(template, words, -40, 40)[0] == full_alignment(template, words)
+    got = license_scan.align(np.array(template, np.uint64), np.array(words, np.uint64), -40, 40)
+    assert got[0] == full_alignment(template, words)
+    score, matched, covered, start, end = got
+    assert 0 <= start <= end <= len(words) and matched <= min(covered, end - start)
+    gaps = abs(covered - (end - start))
+    assert score <= 2 * matched - gaps  # matches count two, a word left out or put in and a change one
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=12), st.lists(st.integers(0, 4), max_size=20), st.integers(-9, 9), st.integers(0, 9))
+def test_a_band_is_the_alignment_inside_it(template, words, low, wide):
+    h = {(-1, None): 0}
+    best = 0
+    cell = lambda i, j: h.get((i, j), 0)
+    for i, x in enumerate(template):
+        for j in range(max(0, i + low), min(len(words), i + low + wide + 1)):
+            h[i, j] = max(0, cell(i - 1, j - 1) + (2 if x == words[j] else -1), cell(i - 1, j) - 1, cell(i, j - 1) - 1)
+            if x == words[j]:
+                best = max(best, h[i, j])
+    assert license_scan.align(np.array(template, np.uint64), np.array(words, np.uint64), low, low + wide)[0] == best
 
 
 def scanned(index, text, min_coverage=0.75):
@@ -211,3 +333,59 @@ def test_each_template_is_found_anywhere(name):
                 other = [f"x{k}" if i in at else w for i, w in enumerate(template)]
                 got = {(r[0], r[1]) for r in scanned(index, " ".join([*before, *other, *after]))}
                 assert (name, n - len(at)) in got or any(m >= n - len(at) for _, m in got), (at, got)
+
+
+def brute_scan(templates, text, min_coverage=0.75):
+    """Every template against the whole text without an index or a band, again where one was found; then the same choice among overlaps."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    words = license_scan.scan_words(raw, np.array([0, len(raw)]))[0]
+    places = []
+    for t, name in enumerate(sorted(templates)):
+        own = np.frombuffer(templates[name].encode(), np.uint8)
+        template, left = license_scan.scan_words(own, np.array([0, len(own)]))[0], words.copy()
+        while True:
+            _, matched, _, a, b = license_scan.align(template, left, -len(template), len(words))
+            if not matched or matched / len(template) < min_coverage:
+                break
+            places.append((-matched, -matched / len(template), a, t, b))
+            left[a:b] = license_scan.FOUND
+    taken = []
+    for m, c, a, t, b in sorted(places):
+        if all(b <= x or a >= y for _, _, _, x, y in taken):
+            taken.append((sorted(templates)[t], -m, -c, a, b))
+    return sorted(taken, key=lambda x: (x[3], x[0]))
+
+
+def test_scans_against_brute_force():
+    """Whole texts with several notices, words changed, put in and left out, among other words and halves of notices."""
+    names = sorted(TEMPLATES)
+    index = license_scan.Index(TEMPLATES)
+    for seed in range(40):
+        r = random.Random(seed)
+        text = []
+        for _ in range(r.randint(1, 3)):
+            text += [f"w{r.randrange(500)}" for _ in range(r.randint(0, 30))]
+            notice = TEMPLATES[r.choice(names)].split()
+            if r.random() < 0.2:
+                notice = notice[: len(notice) // 2]
+            for _ in range(r.randrange(1 + len(notice) // 8)):
+                at = r.randrange(len(notice))
+                notice[at : at + r.choice([0, 1, 1])] = r.choice([[], ["other"], ["other"]])
+            text += notice
+        text = " ".join(text)
+        assert scanned(index, text) == brute_scan(TEMPLATES, text), seed
+
+
+def test_licenses_of_odd_rows(spark, tmp_path):
+    (tmp_path / "Own-1.txt").write_text("do what you like with this odd work and tell nobody of it")
+    own = license_scan.templates_in(str(tmp_path))
+    assert list(own) == ["Own-1"]
+    text = f"x {own['Own-1']} y"
+    rows = [(1, text, "m", "p"), (1, text, "m", "p"), (None, text, None, None), (2, None, None, None), (3, "", None, None), (4, f"{text} " * 3000, None, None)]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, DOCS), own).collect()
+    assert [sum(r["doc_id"] == i for r in got) for i in (1, None, 2, 3, 4)] == [2, 1, 0, 0, 3000]
+    assert {(r["matched_words"], r["coverage"]) for r in got} == {(13, 1.0)}
+    # equal matches: the first template by name
+    twins = {"B": own["Own-1"], "A": own["Own-1"]}
+    assert [r["license"] for r in license_scan.scan_licenses(spark.createDataFrame(rows[:1], DOCS), twins).collect()] == ["A"]
+    assert license_scan.scan_licenses(spark.createDataFrame([], DOCS)).count() == 0
