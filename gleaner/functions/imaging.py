@@ -1,7 +1,7 @@
 """A small image kernel in numpy: sniff, verify, decode, grey, resample, hash.
 
 Formats by content, not by name: PNG (all colour types, depths and interlacing), BMP (uncompressed),
-Huffman-coded JPEG (sequential and progressive), TIFF (strips: uncompressed, LZW, PackBits, Deflate).  Others, WebP among them, are decoded with Pillow
+Huffman-coded JPEG (sequential and progressive), TIFF (strips and tiles: uncompressed, LZW, PackBits, Deflate).  Others, WebP among them, are decoded with Pillow
 where it is installed and raise ``Unsupported`` where it is not.
 """
 
@@ -187,24 +187,26 @@ def _tiff(data: bytes) -> tuple[str, np.ndarray]:
         predictor = tags.get(317, (1,))[0]
         if packing not in (1, 5, 8, 32946, 32773) or depth not in (1, 8, 16) or tags.get(284, (1,))[0] != 1 or predictor not in (1, 2) or (predictor == 2 and depth != 8) or photo not in (0, 1, 2, 3):
             raise Unsupported("TIFF variant")
-        raw = b""
-        for start, count in zip(tags[273], tags[279], strict=True):
+        unpack = {1: bytes, 5: _lzw, 32773: _packbits}.get(packing, zlib.decompress)
+        parts = []
+        for start, count in zip(tags[324 if 322 in tags else 273], tags[325 if 322 in tags else 279], strict=True):
             if start + count > len(data):
-                raise Broken("TIFF strip is cut off")
-            part = data[start : start + count]
-            raw += {1: bytes, 5: _lzw, 32773: _packbits}.get(packing, zlib.decompress)(part)
+                raise Broken("TIFF strip or tile is cut off")
+            parts.append(unpack(data[start : start + count]))
     except (struct.error, KeyError, zlib.error) as x:
         raise Broken("TIFF is not whole") from x
-    stride = -(-width * n * depth // 8)
-    if not width or not height or len(raw) < stride * height:
-        raise Broken("TIFF pixel data is short")
-    lines = np.frombuffer(raw, np.uint8, stride * height).reshape(height, stride)
-    if depth == 16:
-        px = np.frombuffer(raw, e + "u2", width * n * height).reshape(height, width, n)
+    if not width or not height:
+        raise Broken("TIFF has no pixels")
+    if 322 in tags:
+        wide, tall = tags[322][0], tags[323][0]
+        across, down = (-(-width // wide), -(-height // tall)) if wide and tall else (0, 0)
+        if not across or len(parts) < across * down:
+            raise Broken("TIFF lacks tiles")
+        tiles = [_tiff_pixels(x, wide, tall, n, depth, e, predictor) for x in parts[: across * down]]
+        rows = [np.concatenate(tiles[y * across : (y + 1) * across], 1) for y in range(down)]
+        px = np.concatenate(rows, 0)[:height, :width]
     else:
-        px = _samples(lines, width, n, depth)
-        if predictor == 2:
-            px = np.cumsum(px, axis=1, dtype=np.uint8)
+        px = _tiff_pixels(b"".join(parts), width, height, n, depth, e, predictor)
     if photo == 3:
         table = (np.array(tags[320]).reshape(3, -1).T >> 8).astype(np.uint8)
         return "P", table[px[:, :, 0]]
@@ -215,6 +217,17 @@ def _tiff(data: bytes) -> tuple[str, np.ndarray]:
     return ("RGB" if n == 3 else "RGBA"), (px >> 8 if depth == 16 else px).astype(np.uint8)
 
 
+def _tiff_pixels(raw: bytes, width: int, height: int, n: int, depth: int, e: str, predictor: int) -> np.ndarray:
+    """Pixels (height x width x samples) of unpacked strips, or of one tile."""
+    stride = -(-width * n * depth // 8)
+    if len(raw) < stride * height:
+        raise Broken("TIFF pixel data is short")
+    if depth == 16:
+        return np.frombuffer(raw, e + "u2", width * n * height).reshape(height, width, n)
+    px = _samples(np.frombuffer(raw, np.uint8, stride * height).reshape(height, stride), width, n, depth)
+    return np.cumsum(px, axis=1, dtype=np.uint8) if predictor == 2 else px
+
+
 def _packbits(part: bytes) -> bytes:
     out, at = bytearray(), 0
     while at < len(part):
@@ -267,40 +280,64 @@ def _cosines() -> np.ndarray:
     return np.where(k == 0, np.sqrt(0.125), 0.5) * np.cos((2 * x + 1) * k * np.pi / 16)
 
 
+def _code_table(counts: bytes, symbols: bytes) -> tuple[list[int], list[int]]:
+    """For each 16 bits that may come: how many of them are the code (0: none is), and its symbol."""
+    sizes, values, at = [], [], 0
+    for n, count in enumerate(counts, 1):
+        for symbol in symbols[at : at + count]:
+            sizes += [n] * (1 << (16 - n))
+            values += [symbol] * (1 << (16 - n))
+        at += count
+    if len(sizes) > 65536 or at > len(symbols):
+        raise Broken("JPEG code table is wrong")
+    rest = 65536 - len(sizes)
+    return sizes + [0] * rest, values + [0] * rest
+
+
 class _Bits:
-    """The entropy-coded bits of one scan."""
+    """The entropy-coded bits of one scan; codes are looked up 16 bits at a time."""
 
     def __init__(self, data: bytes):
-        self.data, self.at, self.held, self.count = data, 0, 0, 0
+        self.data, self.at, self.held, self.count, self.end = data + bytes(4), 0, 0, 0, len(data) + 4
 
     def need(self, n: int) -> None:
         while self.count < n:
-            if self.at >= len(self.data):
+            if self.at >= self.end:
                 raise Broken("JPEG data is cut off")
             self.held = (self.held << 8 | self.data[self.at]) & 0xFFFFFFFF
             self.at += 1
             self.count += 8
 
+    def drop(self, n: int) -> None:
+        """``n`` bits are used; the four zero bytes behind the data must not be."""
+        self.count -= n
+        if self.at * 8 - self.count > (self.end - 4) * 8:
+            raise Broken("JPEG data is cut off")
+
     def take(self, n: int) -> int:
         if not n:
             return 0
         self.need(n)
-        self.count -= n
+        self.drop(n)
         return self.held >> self.count & ((1 << n) - 1)
 
-    def symbol(self, table: dict) -> int:
-        code = 0
-        for n in range(1, 17):
-            code = code << 1 | self.take(1)
-            if (n, code) in table:
-                return table[n, code]
-        raise Broken("JPEG code is unknown")
+    def symbol(self, table: tuple) -> int:
+        self.need(16)
+        ahead = self.held >> (self.count - 16) & 0xFFFF
+        n = table[0][ahead]
+        if not n:
+            raise Broken("JPEG code is unknown")
+        self.drop(n)
+        return table[1][ahead]
 
     def signed(self, n: int) -> int:
         v = self.take(n)
         return v if not n or v >> (n - 1) else v - (1 << n) + 1
 
 
+_NO_CODES = ([0] * 65536, [0] * 65536)
+
+
 class _Scan:
     """One scan's way to read a block: sequential, or a band of coefficients at some precision."""
 
@@ -313,7 +350,7 @@ class _Scan:
         else:
             self.read = self.ac_more if done else self.ac_first
 
-    def sequential(self, out, before: int, dc: dict, ac: dict) -> int:
+    def sequential(self, out, before: int, dc: tuple, ac: tuple) -> int:
         before = out[0] = before + self.bits.signed(self.bits.symbol(dc))
         k = 1
         while k < 64:
@@ -327,16 +364,16 @@ class _Scan:
             k += 1
         return before
 
-    def dc_first(self, out, before: int, dc: dict, ac: dict) -> int:
+    def dc_first(self, out, before: int, dc: tuple, ac: tuple) -> int:
         before += self.bits.signed(self.bits.symbol(dc))
         out[0] = before * (1 << self.low)
         return before
 
-    def dc_more(self, out, before: int, dc: dict, ac: dict) -> int:
+    def dc_more(self, out, before: int, dc: tuple, ac: tuple) -> int:
         out[0] += self.bits.take(1) << self.low
         return before
 
-    def ac_first(self, out, before: int, dc: dict, ac: dict) -> int:
+    def ac_first(self, out, before: int, dc: tuple, ac: tuple) -> int:
         if self.run:
             self.run -= 1
             return before
@@ -355,7 +392,7 @@ class _Scan:
             k += 1
         return before
 
-    def ac_more(self, out, before: int, dc: dict, ac: dict) -> int:
+    def ac_more(self, out, before: int, dc: tuple, ac: tuple) -> int:
         """Known coefficients gain a bit each; new ones come between runs of zeros."""
         step, k = 1 << self.low, self.first
 
@@ -437,14 +474,9 @@ def _jpeg(data: bytes) -> tuple[str, np.ndarray]:
         elif mark == 0xC4:
             p = 0
             while p + 17 <= len(body):
-                counts, code, q, table = body[p + 1 : p + 17], 0, p + 17, {}
-                for n, count in enumerate(counts, 1):
-                    for _ in range(count):
-                        table[n, code] = body[q]
-                        code, q = code + 1, q + 1
-                    code <<= 1
-                codes[body[p]] = table
-                p = q
+                counts = body[p + 1 : p + 17]
+                codes[body[p]] = _code_table(counts, body[p + 17 : p + 17 + sum(counts)])
+                p += 17 + sum(counts)
         elif mark in (0xC0, 0xC1, 0xC2):
             depth, height, width, n = struct.unpack_from(">BHHB", body)
             progressive = mark == 0xC2
@@ -481,7 +513,7 @@ def _jpeg(data: bytes) -> tuple[str, np.ndarray]:
                 scan, last = _Scan(_Bits(part), progressive, low, high, precision >> 4, precision & 15), dict.fromkeys(frame, 0)
                 for unit in units[done : done + restart] if restart else units[done:]:
                     for (name, tables), y, x in unit:
-                        last[name] = scan.read(blocks[name][y, x], last[name], codes.get(tables >> 4, {}), codes.get(16 | tables & 15, {}))
+                        last[name] = scan.read(blocks[name][y, x], last[name], codes.get(tables >> 4, _NO_CODES), codes.get(16 | tables & 15, _NO_CODES))
                     done += 1
             if done < len(units):
                 raise Broken("JPEG data is cut off")
@@ -602,8 +634,11 @@ def encode_png(px: np.ndarray, mode: str = "RGB") -> bytes:
     return PNG_SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
 
 
-def facts(data: bytes, thumb: int = 16) -> dict:
-    """What one pass over a file's bytes tells: everything later checks need, without its pixels."""
+def facts(data: bytes, thumb: int = 16, hash_size: int = 8) -> dict:
+    """What one pass over a file's bytes tells: everything later checks need, without its pixels.
+
+    ``decodable`` is null where the format has no decoder here, so that nobody takes the file for broken.
+    """
     out = {"ok": False, "error": None, "width": None, "height": None, "mode": None, "pmin": None, "pmax": None, "dhash": None, "thumb": None, "decodable": False}
     try:
         mode, px = decode(data)
@@ -611,7 +646,7 @@ def facts(data: bytes, thumb: int = 16) -> dict:
     except (Broken, Unsupported) as e:
         out["error"] = f"{'UnsupportedFormat' if isinstance(e, Unsupported) else 'CorruptImage'}: {e}"
         if isinstance(e, Unsupported):
-            return out
+            return out | {"decodable": None}
         try:
             mode, px = decode(data, strict=False)
         except (Broken, Unsupported):
@@ -622,5 +657,5 @@ def facts(data: bytes, thumb: int = 16) -> dict:
     if out["ok"]:
         out |= {"height": px.shape[0], "width": px.shape[1], "mode": mode, "pmin": int(g.min()), "pmax": int(g.max())}
         if out["pmin"] != out["pmax"]:
-            out["dhash"] = difference_hash(g)
+            out["dhash"] = difference_hash(g, hash_size)
     return out

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.columns import hamming
 from gleaner.operators.components import components
-from gleaner.operators.similarity import close_hashes
+from gleaner.operators.similarity import farthest_apart, near_edges
 from gleaner.sources.scratch import Scratch
 
 
@@ -24,21 +23,14 @@ def duplicate_members(rows: DataFrame, scratch: Scratch, threshold: int = 5, val
         least = rows.agg(F.min(value).alias("component"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
         return rows.crossJoin(F.broadcast(least))
     counts = scratch.keep(rows.groupBy(F.col(value).alias("hash")).agg(F.count("*").alias("n")))
-    edges = close_hashes(counts.select("hash"), threshold, bits).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    linked = components(edges, scratch)
+    linked = components(near_edges(counts.select("hash"), threshold, bits, scratch), scratch)
     groups = counts.join(linked, counts["hash"] == linked["node"], "left").where("n > 1 or component is not null").select("hash", F.coalesce("component", "hash").alias("component"))
     return rows.join(groups, rows[value] == groups["hash"]).drop("hash")
 
 
-def farthest(members: DataFrame, value: str = "dhash") -> DataFrame:
-    """(component, max_distance): the largest distance between any two hashes of a group (not just linked ones).
-
-    Only distinct hashes are paired; groups are the chains of near copies that were found, and a pair is
-    compared once.
-    """
-    hashes = members.select("component", F.col(value).alias("a")).distinct()
-    pairs = hashes.join(hashes.withColumnRenamed("a", "b"), "component").where("a <= b")
-    return pairs.groupBy("component").agg(F.max(hamming(F.col("a"), F.col("b"))).cast("int").alias("max_distance"))
+def farthest(members: DataFrame, scratch: Scratch, value: str = "dhash") -> DataFrame:
+    """(component, max_distance): the largest distance between any two hashes of a group (not just linked ones)."""
+    return farthest_apart(members.select("component", F.col(value).alias("hash")).distinct(), "component", scratch)
 
 
 def group_summary(members: DataFrame, name: str = "rel", split: str = "split") -> DataFrame:

@@ -35,6 +35,11 @@ def ranked(findings: DataFrame) -> DataFrame:
     return findings.orderBy(severity_rank(F.col("severity")), "check", F.get("files", F.lit(0)), "message")
 
 
+def flattened(findings: DataFrame) -> DataFrame:
+    """(check, file): each file once that a check names."""
+    return findings.select("check", F.explode("files").alias("file")).distinct()
+
+
 def score(findings: DataFrame) -> DataFrame:
     """(health_score, n_errors, n_warnings, n_info): one row."""
     severity = F.col("severity")

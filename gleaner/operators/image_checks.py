@@ -16,13 +16,32 @@ def _map(key: str, value) -> Column:
     return F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), value))))
 
 
+def undecodable() -> Column:
+    """Whether a file is of a format without a decoder here: nothing is known to be wrong with it."""
+    return ~F.col("ok") & F.col("decodable").isNull()
+
+
+def broken() -> Column:
+    return ~F.col("ok") & F.col("decodable").isNotNull()
+
+
+def undecoded(images: DataFrame) -> DataFrame:
+    odd = images.where(undecodable()).agg(F.count("*").alias("n"), F.collect_list("rel").alias("files")).where("n > 0")
+    return finding(odd, "info", "undecoded_images", F.format_string("%d image file(s) are of formats that no decoder here reads; they were not checked.", "n"), F.col("files"))
+
+
 def corrupt(images: DataFrame) -> DataFrame:
-    bad = images.where(~F.col("ok")).agg(F.count("*").alias("n"), F.collect_list("rel").alias("files"), _map("rel", F.col("error")).alias("errors")).where("n > 0")
+    bad = images.where(broken()).agg(F.count("*").alias("n"), F.collect_list("rel").alias("files"), _map("rel", F.col("error")).alias("errors")).where("n > 0")
     return finding(bad, "error", "corrupt_files", F.format_string("%d image file(s) cannot be read; a loader would fail on them or skip them silently.", "n"), F.col("files"), F.struct("errors"))
 
 
+def by_kind(rows: DataFrame, kind: str, name: str) -> DataFrame:
+    """(kind, n, files): how many rows are of each kind, and their names in order; rows of no kind are left out."""
+    return rows.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(name)).alias("files"))
+
+
 def degenerate(images: DataFrame) -> DataFrame:
-    kinds = images.where(F.col("degenerate").isNotNull()).groupBy("degenerate").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("rel")).alias("files"))
+    kinds = by_kind(images, "degenerate", "rel")
     parts = F.array_sort(F.collect_list(F.struct("degenerate", "files", "n")))
     all_ = kinds.agg(F.sum("n").alias("n"), parts.alias("kinds")).where("n > 0")
     told = F.concat_ws(", ", F.transform("kinds", lambda k: F.concat_ws(" ", k["n"].cast("string"), k["degenerate"])))
@@ -54,7 +73,7 @@ def geometry(images: DataFrame) -> DataFrame:
 def duplicates(images: DataFrame, scratch: Scratch, threshold: int = 5) -> DataFrame:
     """A finding for each group: an error where it spans splits, a warning where it does not."""
     members = scratch.keep(duplicate_members(images.where("ok").select("rel", "split", "dhash"), scratch, threshold))
-    groups = group_summary(members).join(farthest(members), "component")
+    groups = group_summary(members).join(farthest(members, scratch), "component")
     leaks = groups.where(F.size("splits") > 1)
     told = F.format_string("Leak: %d near-duplicate image(s) lie in several splits [%s] (largest Hamming distance %d); results measured on them are too good.", "group_size", F.concat_ws(", ", "splits"), "max_distance")
     inside = groups.where(F.size("splits") == 1).withColumn("split", F.element_at("splits", 1))
@@ -67,10 +86,10 @@ def duplicates(images: DataFrame, scratch: Scratch, threshold: int = 5) -> DataF
 def image_stats(images: DataFrame) -> DataFrame:
     """(n_files, n_ok, n_corrupt, n_degenerate, splits): one row."""
     return images.agg(
-        F.count("*").alias("n_files"), F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_corrupt"),
+        F.count("*").alias("n_files"), F.count_if("ok").alias("n_ok"), F.count_if(broken()).alias("n_corrupt"),
         F.count_if(F.col("degenerate").isNotNull()).alias("n_degenerate"), F.array_sort(F.collect_set("split")).alias("splits"),
     )
 
 
 def image_findings(images: DataFrame, scratch: Scratch, threshold: int = 5) -> DataFrame:
-    return union_all([corrupt(images), degenerate(images), geometry(images), duplicates(images, scratch, threshold)])
+    return union_all([corrupt(images), undecoded(images), degenerate(images), geometry(images), duplicates(images, scratch, threshold)])

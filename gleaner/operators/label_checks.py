@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.columns import ratio4
-from gleaner.operators.findings import finding, union_all
 from gleaner.functions.imaging import facts
+from gleaner.operators.findings import finding, union_all
+from gleaner.sources.image_folder import files_below, in_store
 from gleaner.sources.labels_csv import resolved
 
 MINORITY_RATIO = 0.05
+#: What a scanned file is, by whether it can be decoded.
+STATES = {True: "usable", False: "unreadable", None: "undecoded"}
 
 
 def class_distribution(labels: DataFrame, label: str = "label") -> DataFrame:
@@ -27,35 +30,51 @@ def repeated(labels: DataFrame, key: str = "filepath") -> DataFrame:
     return labels.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def without(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not among the known ones."""
+    return rows.join(known.select(key), key, "left_anti")
+
+
+def within(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the known ones."""
+    return rows.join(known.select(key), key, "left_semi")
+
+
 def with_state(labels: DataFrame, images: DataFrame, root: str) -> DataFrame:
-    """Labels with their absolute path and ``state``: missing, unreadable or usable; and the thumbnail where usable.
+    """Labels with their absolute path and ``state``: missing, unreadable, undecoded (no decoder) or usable; and the thumbnail where usable.
 
     Paths that the scan has are joined; only the others (outside the root, or of another
-    extension) are looked up one by one.
+    extension) are looked up one by one: in the folders of the machine, or in the store that ``root`` names.
     """
     rows = labels.withColumn("abs", resolved(F.col("filepath"), root))
-    known = images.select(F.col("path").alias("abs"), "decodable", "thumb16")
-    joined = rows.join(known, "abs", "left")
-    strange = joined.where("decodable is null").select("abs").distinct()
+    known = images.select(F.col("path").alias("abs"), F.lit(True).alias("scanned"), "decodable", "thumb16")
+    strange = without(rows.select("abs").distinct(), known, "abs")
+    if in_store(root):
+        below = files_below(rows.sparkSession, root).select(F.regexp_replace("path", "^file:/+", "file:///").alias("abs"), F.lit(True).alias("there"), "content")
+        strange = strange.join(below, "abs", "left")
+    else:
+        strange = strange.select("abs", F.lit(None).cast("boolean").alias("there"), F.lit(None).cast("binary").alias("content"))
 
     def look(batches):
         for b in batches:
             out = []
-            for path in b["abs"]:
-                if not os.path.isfile(path):
-                    out.append((path, "missing", None))
-                    continue
-                try:
-                    with open(path, "rb") as f:
-                        x = facts(f.read())
-                except OSError:
-                    x = {"decodable": False, "thumb": None}
-                out.append((path, "usable" if x["decodable"] else "unreadable", x["thumb"]))
+            for path, there, content in zip(b["abs"], b["there"], b["content"], strict=True):
+                if content is None and "://" not in path and os.path.isfile(path):
+                    there = True
+                    try:
+                        with open(path, "rb") as f:
+                            content = f.read()
+                    except OSError:
+                        content = b""
+                x = facts(content or b"") if there else {"decodable": False, "thumb": None}
+                out.append((path, STATES[x["decodable"]] if there else "missing", x["thumb"]))
             yield pd.DataFrame(out, columns=["abs", "seen", "seen_thumb"])
 
     looked = strange.mapInPandas(look, "abs string, seen string, seen_thumb array<float>")
-    state = F.when(F.col("decodable"), "usable").when(~F.col("decodable"), "unreadable").otherwise(F.col("seen"))
-    return joined.join(looked, "abs", "left").select("filepath", "label", "lineno", "abs", state.alias("state"), F.coalesce("thumb16", "seen_thumb").alias("thumb16"))
+    state = F.when(~F.col("scanned") | F.col("scanned").isNull(), F.col("seen"))
+    for decodable, name in STATES.items():
+        state = state.when(F.col("decodable").eqNullSafe(F.lit(decodable)), name)
+    return rows.join(known, "abs", "left").join(looked, "abs", "left").select("filepath", "label", "lineno", "abs", state.alias("state"), F.coalesce("thumb16", "seen_thumb").alias("thumb16"))
 
 
 def label_findings(labels: DataFrame, stated: DataFrame, minority_ratio: float = MINORITY_RATIO) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.linear import fit_logistic, probabilities
+from gleaner.sources.scratch import Scratch
 
 MINIMUM = 6
 #: Numbers (rows times features) up to which a fold's model is fitted by one task.
@@ -63,7 +64,8 @@ def out_of_fold(rows: DataFrame, classes: list[str], folds: int, c: float = 0.1,
     index = F.lit(-1)
     for i, name in enumerate(classes):
         index = F.when(F.col("label") == name, F.lit(i)).otherwise(index)
-    data = rows.withColumn("_y", index.cast("double")).withColumn("_x", array_to_vector(F.col("features"))).persist()
+    rows = Scratch(rows.sparkSession).keep(rows)  # read again for each fold
+    data = rows.withColumn("_y", index.cast("double")).withColumn("_x", array_to_vector(F.col("features")))
     counts = {(r["fold"], int(r["_y"])): r["n"] for r in data.groupBy("fold", "_y").agg(F.count("*").alias("n")).collect()}
     names, out = F.array(*[F.lit(x) for x in classes]), None
     for fold in range(folds):

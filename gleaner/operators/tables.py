@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.duplicates import duplicate_members
-from gleaner.operators.image_checks import GEOMETRY, outliers
+from gleaner.operators.image_checks import GEOMETRY, broken, outliers, undecodable
 from gleaner.sources.scratch import Scratch
 
 
@@ -20,7 +20,8 @@ def file_findings(images: DataFrame, scratch: Scratch, threshold: int = 5) -> Da
     def named(rows: DataFrame, severity: str, check: str, group=None) -> DataFrame:
         return rows.select(F.lit(severity).alias("severity"), F.lit(check).alias("check"), (group if group is not None else F.lit(None)).cast("long").alias("group"), F.col("rel").alias("file"))
 
-    out = named(images.where(~F.col("ok")), "error", "corrupt_files")
+    out = named(images.where(broken()), "error", "corrupt_files")
+    out = out.unionByName(named(images.where(undecodable()), "info", "undecoded_images"))
     out = out.unionByName(named(images.where("degenerate is not null"), "warning", "degenerate_images"))
     out = out.unionByName(named(outliers(images.where("ok"), GEOMETRY, "rel"), "warning", "geometry_mode_inconsistency"))
     members = scratch.keep(duplicate_members(images.where("ok").select("rel", "split", "dhash"), scratch, threshold))

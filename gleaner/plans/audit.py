@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 import json
-import os
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from gleaner.functions.columns import SEVERITY_WEIGHT
 from gleaner.operators import image_checks, label_checks, noise
 from gleaner.operators.findings import finding, ranked, score, union_all
 from gleaner.sources.image_folder import read_images
-from gleaner.sources.labels_csv import check_encoding, read_labels
+from gleaner.sources.labels_csv import base_of, check_encoding, read_labels
 from gleaner.sources.scratch import Scratch
 from gleaner.sources.workers import see_package
 
@@ -33,11 +32,11 @@ def _rows(findings: DataFrame) -> list[dict]:
     return [r.asDict() | {"details": json.loads(r["details"])} for r in ranked(findings).collect()]
 
 
-def audit_images(root: str, hash_threshold: int = 5, spark: SparkSession | None = None, images: DataFrame | None = None) -> dict:
-    """{'records': DataFrame, 'findings': DataFrame, 'stats': dict} of the files below ``root``."""
+def audit_images(root: str, hash_threshold: int = 5, spark: SparkSession | None = None, images: DataFrame | None = None, hash_size: int = 8, thumb_size: int = 16) -> dict:
+    """{'records': DataFrame, 'findings': DataFrame, 'stats': dict} of the files below ``root`` (a folder or a store, or ``images`` as read before)."""
     spark = spark or session()
     scratch = Scratch(spark)
-    images = scratch.keep(read_images(spark, root)) if images is None else images
+    images = scratch.keep(read_images(spark, root, thumb_size, hash_size)) if images is None else images
     stats = image_checks.image_stats(images).first().asDict()
     return {"records": images, "findings": image_checks.image_findings(images, scratch, hash_threshold), "stats": stats}
 
@@ -50,21 +49,24 @@ def analyze_labels(
     run_noise_check: bool = True,
     spark: SparkSession | None = None,
     images: DataFrame | None = None,
+    cv_folds: int = 3,
+    seed: int = 7,
+    thumb_size: int = 16,
 ) -> dict:
     """{'rows', 'findings': DataFrames, 'counts', 'total', 'noise': {'flags', 'info'}} of a label file."""
     spark = spark or session()
     scratch = Scratch(spark)
     labels = scratch.keep(read_labels(spark, csv_path))
     check_encoding(labels)
-    images = scratch.keep(read_images(spark, dataset_root)) if images is None else images
+    images = scratch.keep(read_images(spark, dataset_root, thumb_size)) if images is None else images
     stated = scratch.keep(label_checks.with_state(labels, images, dataset_root))
     shares = label_checks.class_distribution(labels).collect()
-    findings, root = [label_checks.label_findings(labels, stated, minority_warn_ratio)], os.path.abspath(dataset_root) + "/"
+    findings, root = [label_checks.label_findings(labels, stated, minority_warn_ratio)], base_of(dataset_root) + "/"
     flags, info = [], {"skipped": "disabled"}
     if run_noise_check:
         first = noise.first_labels(stated).withColumnRenamed("thumb16", "features")
         rel = F.when(F.col("abs").startswith(root), F.substring(F.col("abs"), len(root) + 1, 1 << 30)).otherwise(F.col("abs"))
-        found, info = noise.noise_flags(first.withColumn("filepath", rel), noise_confidence)
+        found, info = noise.noise_flags(first.withColumn("filepath", rel), noise_confidence, cv_folds, seed)
         if found is not None:
             found = scratch.keep(found)
             flags = [r.asDict() for r in found.orderBy("filepath").collect()]
@@ -75,17 +77,19 @@ def analyze_labels(
     return {"rows": labels, "findings": union_all(findings), "counts": {r["label"]: r["count"] for r in shares}, "total": sum(r["count"] for r in shares), "noise": {"flags": flags, "info": info}}
 
 
-def run_audit(dataset_root: str, labels_csv: str | None = None, hash_threshold: int = 5, noise_confidence: float = 0.80, run_noise_check: bool = True, spark: SparkSession | None = None) -> dict:
-    """The whole audit as one document."""
+def run_audit(
+    dataset_root: str, labels_csv: str | None = None, hash_threshold: int = 5, noise_confidence: float = 0.80, run_noise_check: bool = True, spark: SparkSession | None = None, images: DataFrame | None = None
+) -> dict:
+    """The whole audit as one document, of a folder, a store (``scheme://``), or of ``images`` as read before."""
     spark = spark or session()
-    image = audit_images(dataset_root, hash_threshold, spark)
+    image = audit_images(dataset_root, hash_threshold, spark, images)
     findings, label = image["findings"], None
     if labels_csv:
         label = analyze_labels(dataset_root, labels_csv, noise_confidence=noise_confidence, run_noise_check=run_noise_check, spark=spark, images=image["records"])
         findings = findings.unionByName(label["findings"])
     findings = Scratch(spark).keep(findings)
     return {
-        "dataset": os.path.abspath(dataset_root),
+        "dataset": base_of(dataset_root),
         "generated_utc": datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"),
         "image_stats": image["stats"],
         "label_stats": {k: label[k] for k in ("counts", "total", "noise")} if label else None,

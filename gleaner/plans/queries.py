@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from gleaner.functions.columns import ratio4, sequence_dhash, severity_rank, shortened, split_of
 from gleaner.operators import image_checks, label_checks, noise
 from gleaner.operators.components import components
-from gleaner.operators.duplicates import duplicate_members, farthest
-from gleaner.operators.findings import finding, score, union_all
+from gleaner.operators.duplicates import duplicate_members, farthest, group_summary
+from gleaner.operators.findings import finding, flattened, score, union_all
 from gleaner.operators.similarity import close_hashes, distinct_hashes
 from gleaner.sources.scratch import Scratch
 
@@ -44,7 +44,8 @@ def duplicate_entries(spark, sf_dir):
 
 
 def _copies(spark, sf_dir):
-    return _digests(spark, sf_dir).groupBy("digest").agg(F.count("*").alias("group_size"), F.array_sort(F.collect_set("source")).alias("splits")).where("group_size > 1")
+    members = _digests(spark, sf_dir).withColumnRenamed("digest", "component")
+    return group_summary(members, "doc_id", "source").where("group_size > 1").withColumnRenamed("component", "digest")
 
 
 def exact_leakage(spark, sf_dir):
@@ -58,17 +59,18 @@ def within_split_dups(spark, sf_dir):
 
 
 def missing_entries(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+    return label_checks.without(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "doc_id").select("doc_id")
 
 
 def labelled_semi(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id", "lang", "source")
+    return label_checks.within(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang", "source")
 
 
 def degenerate_docs(spark, sf_dir):
     n = F.col("n_chars")
     kind = F.when(n == 0, "empty").when(n < 20, "tiny").when(n > 20000, "huge")
-    return _table(spark, sf_dir, "documents").withColumn("kind", kind).where("kind is not null").groupBy("kind").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    found = image_checks.by_kind(_table(spark, sf_dir, "documents").withColumn("kind", kind), "kind", "doc_id")
+    return found.select("kind", "n", F.element_at("files", 1).alias("first_id"), F.element_at("files", -1).alias("last_id"))
 
 
 def majority_lang(spark, sf_dir):
@@ -112,16 +114,9 @@ def dup_components(spark, sf_dir):
 
 
 def dup_component_spread(spark, sf_dir):
-    m = _members(spark, sf_dir)
+    m, scratch = _members(spark, sf_dir), Scratch(spark)
     sizes = m.groupBy("component").agg(F.count("*").alias("group_size"))
-    return sizes.join(farthest(m), "component").select("component", "group_size", "max_distance")
-
-
-def chained_parts(spark, sf_dir):
-    """Connected components over the least and greatest part of each order's lines of quantity 49 or more, as its SQL has it; ``linked_parts`` takes all lines."""
-    lines = _table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
-    edges = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("u"), F.max("l_partkey").alias("v")).where("u <> v").select("u", "v")
-    return components(edges, Scratch(spark)).select("node", "component")
+    return sizes.join(farthest(m, scratch), "component").select("component", "group_size", "max_distance")
 
 
 def linked_parts(spark, sf_dir):
@@ -181,8 +176,7 @@ def findings_sorted_topk(spark, sf_dir):
 
 def flattened_files(spark, sf_dir):
     """Distinct files named per check."""
-    x = _findings(spark, sf_dir).select("check", F.explode("files").alias("file"))
-    return x.groupBy("check").agg(F.count_distinct("file").alias("n_files"), F.bool_or(F.col("file") == "src0").alias("names_src0"))
+    return flattened(_findings(spark, sf_dir)).groupBy("check").agg(F.count("*").alias("n_files"), F.bool_or(F.col("file") == "src0").alias("names_src0"))
 
 
 def set_intersect(spark, sf_dir):
@@ -224,7 +218,7 @@ _F = (
     "UNION ALL SELECT 'info', 'class_distribution', 'shares: ' || string_agg(label || '=' || count, ', ' ORDER BY label), [] FROM g)"
 )
 
-#: Query -> SQL; none for the model, whose optimiser SQL does not have, and for linked_parts, where a recursion over pairs would grow with the square of a component.
+#: Query -> SQL; none for the model, whose optimiser SQL does not have.
 ORACLES = {
     "class_distribution": _L + " SELECT label, count, total, CAST(round_even(CAST(count AS DOUBLE) / total, 4) AS DOUBLE) AS ratio FROM g",
     "class_imbalance": _L + " SELECT label, count, total FROM g WHERE count / total < 0.05",
@@ -241,7 +235,14 @@ ORACLES = {
     "hamming_pairs": _H + " SELECT least(x, y) AS vec_a, greatest(x, y) AS vec_b, distance FROM p",
     "dup_components": _H + " SELECT vec_id, component FROM m",
     "dup_component_spread": _H + " SELECT i.component, any_value(i.n) AS group_size, CAST(max(bit_count(xor(a.dhash, b.dhash))) AS INT) AS max_distance FROM (SELECT component, count(*) AS n FROM m GROUP BY component) i JOIN m a USING (component) JOIN m b USING (component) GROUP BY i.component",
-    "chained_parts": "WITH RECURSIVE e AS (SELECT min(l_partkey) AS u, max(l_partkey) AS v FROM lineitem WHERE l_quantity >= 49 GROUP BY l_orderkey HAVING min(l_partkey) <> max(l_partkey)), s AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT u, v FROM s UNION SELECT r.u, s.v FROM r JOIN s ON s.u = r.v) SELECT u AS node, least(u, min(v)) AS component FROM r GROUP BY u",
+    # Labels sink along edges for more rounds than these tables' components are wide.
+    "linked_parts": (
+        "WITH RECURSIVE l AS (SELECT l_orderkey, l_partkey, min(l_partkey) OVER (PARTITION BY l_orderkey) AS m FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL), "
+        "e AS (SELECT DISTINCT l_partkey AS u, m AS v FROM l WHERE l_partkey <> m UNION SELECT DISTINCT m, l_partkey FROM l WHERE l_partkey <> m), "
+        "r AS (SELECT DISTINCT u AS node, u AS label, 0 AS i FROM e UNION ALL SELECT node, min(label), i + 1 FROM "
+        "(SELECT node, label, i FROM r UNION ALL SELECT e.v, r.label, r.i FROM r JOIN e ON e.u = r.node) WHERE i < 40 GROUP BY node, i) "
+        "SELECT node, label AS component FROM r WHERE i = 40"
+    ),
     "split_of_url": "SELECT page_id, lower(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/')[2]) AS split FROM pages",
     "split_of_path": "SELECT split, count(*) AS n FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'test' WHEN 2 THEN 'val' ELSE 'all' END AS split FROM part) GROUP BY split",
     "pixel_minmax": "SELECT vec_id, CAST(list_min(embedding) AS DOUBLE) AS pmin, CAST(list_max(embedding) AS DOUBLE) AS pmax FROM embeddings",
@@ -255,6 +256,6 @@ ORACLES = {
 
 QUERIES = {f.__name__: f for f in (
     class_distribution, class_imbalance, duplicate_entries, exact_leakage, within_split_dups, missing_entries, labelled_semi, degenerate_docs, majority_lang, lang_outliers, first_label_per_key,
-    embedding_dhash, hamming_pairs, dup_components, dup_component_spread, chained_parts, linked_parts, split_of_url, split_of_path, pixel_minmax, health_score, severity_counts, findings_sorted_topk,
+    embedding_dhash, hamming_pairs, dup_components, dup_component_spread, linked_parts, split_of_url, split_of_path, pixel_minmax, health_score, severity_counts, findings_sorted_topk,
     flattened_files, set_intersect, set_subset, noise_flags,
 )}

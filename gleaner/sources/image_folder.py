@@ -1,14 +1,17 @@
 """Image folders as DataFrames of facts: one row per image file, decoded once.
 
 ``ImageFolder`` is a batch data source for a mounted folder.  It lists hidden names, empty files and
-upper-case extensions, which Spark's own file sources skip; directory links are not followed.
-``facts_of`` makes the same rows from any (path, content) table, such as Spark's ``binaryFile`` over
-an object store.  An unreadable file is a row with its error, never a failed task.
+upper-case extensions, which Spark's own file sources skip; directory links are not followed.  The
+driver lists ``LISTED`` entries, breadth first; folders it has not come to are listed by the tasks that read them.
+``facts_of`` makes the same rows from any (path, content) table; ``read_images`` takes it with Spark's
+``binaryFile`` for roots that name a store (``scheme://``).  An unreadable file is a row with its error, never a failed task.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,8 +24,8 @@ from gleaner.functions.imaging import facts
 
 #: Extensions that count as images, in lower case.
 EXTENSIONS = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp")
-#: Bytes and files of one partition.
-PARTITION_BYTES, PARTITION_FILES = 64 << 20, 2000
+#: Bytes and files of one partition, and entries that the driver lists.
+PARTITION_BYTES, PARTITION_FILES, LISTED = 64 << 20, 2000, 50_000
 
 RAW = "path string, rel string, size_bytes long, ok boolean, error string, width int, height int, mode string, pmin int, pmax int, dhash long, thumb16 array<float>, decodable boolean"
 _ARROW = pa.schema([
@@ -35,48 +38,77 @@ def is_image(name: str) -> bool:
     return os.path.splitext(name)[1].lower() in EXTENSIONS
 
 
-def _row(path: str, rel: str, data: bytes | None, size: int, error: str | None = None) -> dict:
-    out = facts(data) if data is not None else facts(b"") | {"error": error}
+def _row(path: str, rel: str, data: bytes | None, size: int, thumb: int = 16, hash_size: int = 8, error: str | None = None) -> dict:
+    out = facts(data, thumb, hash_size) if data is not None else facts(b"") | {"error": error}
     out["thumb16"] = out.pop("thumb")
     return out | {"path": path, "rel": rel, "size_bytes": size}
 
 
-class _Files(InputPartition):
-    def __init__(self, files: list[tuple[str, str, int]]):
-        self.files = files
+def _entries(folder: str) -> tuple[list[tuple[str, int]], list[str]]:
+    """(image files with their sizes, folders) directly in a folder, by name; links to folders are neither."""
+    files, folders = [], []
+    try:
+        found = sorted(os.scandir(folder), key=lambda e: e.name)
+    except OSError:
+        return [], []
+    for e in found:
+        if e.is_dir(follow_symlinks=False):
+            folders.append(e.path)
+        elif is_image(e.name) and not e.is_dir():
+            try:
+                files.append((e.path, e.stat().st_size))
+            except OSError:
+                files.append((e.path, 0))
+    return files, folders
+
+
+class _Share(InputPartition):
+    """Files to read (path, size), and folders to list and read with all below them."""
+
+    def __init__(self, files: list[tuple[str, int]], folders: list[str]):
+        self.files, self.folders = files, folders
+
+    def all_files(self) -> Iterator[tuple[str, int]]:
+        yield from self.files
+        folders = list(self.folders)
+        while folders:
+            files, more = _entries(folders.pop())
+            yield from files
+            folders += more
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = os.path.abspath(root)
+    def __init__(self, root: str, thumb: int, hash_size: int, listed: int):
+        self.root, self.thumb, self.hash_size, self.listed = os.path.abspath(root), thumb, hash_size, listed
 
-    def partitions(self) -> list[_Files]:
+    def partitions(self) -> list[_Share]:
         if not os.path.isdir(self.root):
             raise FileNotFoundError(f"no such folder: {self.root}")
-        out: list[_Files] = []
-        held, size = [], 0
-        for folder, _, names in os.walk(self.root):
-            for name in sorted(filter(is_image, names)):
-                path = os.path.join(folder, name)
-                try:
-                    n = os.stat(path).st_size
-                except OSError:
-                    n = 0
+        out: list[_Share] = []
+        held, size, seen = [], 0, 0
+        folders = deque([self.root])
+        while folders and seen < self.listed:
+            files, more = _entries(folders.popleft())
+            folders += more
+            seen += len(files) + len(more)
+            for path, n in files:
                 if held and (size + n > PARTITION_BYTES or len(held) >= PARTITION_FILES):
-                    out.append(_Files(held))
+                    out.append(_Share(held, []))
                     held, size = [], 0
-                held.append((path, os.path.relpath(path, self.root).replace(os.sep, "/"), n))
+                held.append((path, n))
                 size += n
-        return [*out, _Files(held)] if held or not out else out
+        out += [_Share([], [folder]) for folder in folders]
+        return [*out, _Share(held, [])] if held or not out else out
 
-    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Share) -> Iterator[pa.RecordBatch]:
         rows = []
-        for path, rel, size in partition.files:
+        for path, size in partition.all_files():
+            rel = os.path.relpath(path, self.root).replace(os.sep, "/")
             try:
                 with open(path, "rb") as f:
-                    rows.append(_row(path, rel, f.read(), size))
+                    rows.append(_row(path, rel, f.read(), size, self.thumb, self.hash_size))
             except OSError as e:
-                rows.append(_row(path, rel, None, size, f"Unreadable: {type(e).__name__}"))
+                rows.append(_row(path, rel, None, size, error=f"Unreadable: {type(e).__name__}"))
             if len(rows) == 256:
                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
                 rows = []
@@ -94,7 +126,7 @@ class ImageFolder(DataSource):
         return RAW
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options.get("thumb", 16)), int(self.options.get("hashSize", 8)), int(self.options.get("listed", LISTED)))
 
 
 def with_derived(raw: DataFrame) -> DataFrame:
@@ -102,21 +134,39 @@ def with_derived(raw: DataFrame) -> DataFrame:
     return raw.withColumn("split", split_of(F.col("rel"))).withColumn("degenerate", degenerate_kind(F.col("pmin"), F.col("pmax")))
 
 
-def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """Facts of every image below ``root`` (a folder that driver and executors can open)."""
+def in_store(root: str) -> bool:
+    """Whether the root names a store that only Spark's readers open."""
+    return "://" in root
+
+
+def files_below(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content, ...) of the files of a store below ``root``."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+
+
+def read_images(spark: SparkSession, root: str, thumb: int = 16, hash_size: int = 8) -> DataFrame:
+    """Facts of every image below ``root``: a folder that driver and executors can open, or a store.
+
+    ``thumb``: side of the thumbnail; ``hash_size``: rows of the difference hash (at most 8).
+    """
+    if in_store(root):
+        return facts_of(files_below(spark, root), root, thumb, hash_size)
     spark.dataSource.register(ImageFolder)
-    return with_derived(spark.read.format("gleaner_images").load(os.path.abspath(root)))
+    return with_derived(spark.read.format("gleaner_images").option("thumb", thumb).option("hashSize", hash_size).load(os.path.abspath(root)))
 
 
-def facts_of(contents: DataFrame, root: str) -> DataFrame:
+def facts_of(contents: DataFrame, root: str, thumb: int = 16, hash_size: int = 8) -> DataFrame:
     """The same facts from a table (path, content), paths being below ``root``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [_row(p.as_py(), r.as_py(), c.as_py(), len(c.as_py() or b"")) for p, r, c in zip(*b.columns, strict=True)]
-            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+            for p, r, c in zip(*b.columns, strict=True):
+                data = c.as_py()
+                yield pa.RecordBatch.from_pylist([_row(p.as_py(), r.as_py(), data, len(data or b""), thumb, hash_size, "Unreadable: no content")], _ARROW)
 
     prefix = root.rstrip("/") + "/"
-    rel = F.when(F.col("path").startswith(prefix), F.substring(F.col("path"), len(prefix) + 1, 1 << 30)).otherwise(F.col("path"))
+    # Spark writes a local path of a store with one slash or three after the scheme.
+    path, own = (F.regexp_replace(F.col("path"), "^file:/+", "file:///"), re.sub("^file:/+", "file:///", prefix)) if in_store(root) else (F.col("path"), prefix)
+    rel = F.when(path.startswith(own), F.substring(path, len(own) + 1, 1 << 30)).otherwise(path)
     keep = F.lower(F.regexp_extract(rel, r"(\.[^./]+)$", 1)).isin(*EXTENSIONS)
-    return with_derived(contents.select("path", rel.alias("rel"), "content").where(keep).mapInArrow(read, RAW))
+    return with_derived(contents.select(path.alias("path"), rel.alias("rel"), "content").where(keep).mapInArrow(read, RAW))

@@ -39,17 +39,23 @@ def check_encoding(labels: DataFrame) -> None:
         raise ValueError("the labels CSV is not UTF-8")
 
 
+def base_of(root: str) -> str:
+    """The root as an absolute path; that of a store without a slash at its end."""
+    return root.rstrip("/") if "://" in root else os.path.abspath(root)
+
+
 def resolved(filepath: Column, root: str) -> Column:
-    """An absolute path as it is, others below ``root`` with dots folded away."""
-    base = os.path.abspath(root)
+    """An absolute path (or one of a store) as it is, others below ``root`` with dots folded away."""
+    base = base_of(root)
+    scheme, slashes, folder = base.rpartition("://")
 
     @F.pandas_udf("string")
     def fold(paths: pd.Series) -> pd.Series:
-        return paths.map(lambda p: p if p.startswith("/") else posixpath.normpath(posixpath.join(base, p)))
+        return paths.map(lambda p: p if p.startswith("/") or "://" in p else scheme + slashes + posixpath.normpath(posixpath.join(folder, p)))
 
     # Most paths need no folding: they stay in the JVM.
     plain = ~filepath.rlike(r"(^|/)\.{1,2}(/|$)|//|/$") & (filepath != "")
-    return F.when(filepath.startswith("/"), filepath).when(plain, F.concat(F.lit(base + "/"), filepath)).otherwise(fold(filepath))
+    return F.when(filepath.startswith("/") | filepath.contains("://"), filepath).when(plain, F.concat(F.lit(base + "/"), filepath)).otherwise(fold(filepath))
 
 
 def find_labels(dataset: str, labels: str | None) -> str | None:

@@ -10,6 +10,7 @@ from gleaner.functions.columns import listed, shortened, split_of, stripped
 from gleaner.operators.tables import file_findings
 from gleaner.plans.audit import analyze_labels, audit_images, health_score, run_audit
 from gleaner.plans.report import file_list, markdown, render_json, score_bar, table, terminal
+from gleaner.sources import image_folder
 from gleaner.sources.image_folder import facts_of, read_images
 from gleaner.sources.labels_csv import check_encoding, find_labels, read_labels
 from gleaner.sources.scratch import Scratch
@@ -53,6 +54,52 @@ def test_broken_and_blank(spark, tmp_path):
     assert x["stats"] == {"n_files": 6, "n_ok": 4, "n_corrupt": 2, "n_degenerate": 3, "splits": ["train"]}
 
 
+def test_formats_without_a_decoder_are_not_broken(spark, tmp_path):
+    """Nothing is known to be wrong with them: a note, no error, no broken label."""
+    put(tmp_path, "train/a.png", textured(3))
+    put(tmp_path, "train/b.webp", b"RIFF\x10\0\0\0WEBPVP8 " + bytes(8))
+    (tmp_path / "l.csv").write_text("filepath,label\ntrain/a.png,x\ntrain/b.webp,x\n")
+    f, x = found(spark, tmp_path)
+    assert "corrupt_files" not in f and f["undecoded_images"][0]["severity"] == "info" and f["undecoded_images"][0]["files"] == ["train/b.webp"]
+    assert x["stats"]["n_corrupt"] == 0
+    labels = analyze_labels(str(tmp_path), str(tmp_path / "l.csv"), spark=spark)
+    assert "unreadable_labeled_files" not in by_check([r.asDict() for r in labels["findings"].collect()])
+    rows = {r["check"]: r["file"] for r in file_findings(read_images(spark, str(tmp_path)), Scratch(spark)).collect()}
+    assert rows == {"undecoded_images": "train/b.webp"}
+
+
+def test_deep_folders_are_listed_by_tasks(spark, tmp_path):
+    for i in range(30):
+        put(tmp_path, f"train/{i % 3}/deep{i}/more/{i}.png", textured(60 + i, 12))
+    os.symlink(tmp_path / "train/0", tmp_path / "train/link.png")
+    spark.dataSource.register(image_folder.ImageFolder)
+    every = {r["rel"] for r in read_images(spark, str(tmp_path)).collect()}
+    assert len(every) == 30
+    for listed in (1, 5, 20):
+        some = spark.read.format("gleaner_images").option("listed", listed).load(str(tmp_path))
+        assert {r["rel"] for r in some.collect()} == every and (listed == 1 or some.rdd.getNumPartitions() > 1)
+
+
+def test_an_audit_of_a_store(spark, tmp_path):
+    """The same findings through Spark's readers alone."""
+    base = textured(50)
+    for rel, px in (("train/a.png", base), ("test/b.png", near(base, 2)), ("train/c.png", textured(51)), ("train/bad.png", b"junk" * 9)):
+        put(tmp_path, rel, px)
+    (tmp_path / "labels.csv").write_text("filepath,label\ntrain/a.png,x\n./train/../test/b.png,x\ntrain/ghost.png,y\ntrain/bad.png,y\nlabels.csv,y\n")
+    here, there = (run_audit(root, str(tmp_path / "labels.csv"), spark=spark) for root in (str(tmp_path), f"file://{tmp_path}"))
+    told = [[(f["check"], f["files"]) for f in r["findings"]] for r in (here, there)]
+    assert told[0] == told[1] and ("missing_labeled_files", ["train/ghost.png"]) in told[0] and ("unreadable_labeled_files", ["labels.csv", "train/bad.png"]) in told[0]
+    assert there["dataset"] == f"file://{tmp_path}" and here["health_score"] == there["health_score"]
+    again = run_audit(str(tmp_path), str(tmp_path / "labels.csv"), spark=spark, images=read_images(spark, str(tmp_path)))
+    assert again["findings"] == here["findings"]
+
+
+def test_sizes_are_parameters(spark, tmp_path):
+    put(tmp_path, "a.png", textured(52))
+    r = read_images(spark, str(tmp_path), thumb=4, hash_size=4).first()
+    assert len(r["thumb16"]) == 16 and 0 <= r["dhash"] < 1 << 16
+
+
 def test_odd_geometry(spark, tmp_path):
     for i in range(3):
         put(tmp_path, f"train/{i}.png", textured(10 + i))

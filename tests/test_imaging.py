@@ -142,6 +142,22 @@ def test_tiff_from_the_jvm(spark, ramp, packing):
         assert mode == "RGB" and (got == px).all()
 
 
+@pytest.mark.parametrize("packing", [None, "LZW", "Deflate"])
+def test_tiled_tiff_from_the_jvm(spark, ramp, packing):
+    def change(p):
+        if packing:
+            p.setCompressionMode(2)
+            p.setCompressionType(packing)
+        p.setTilingMode(2)
+        p.setTiling(32, 16, 0, 0)
+
+    data = jvm_file(spark, ramp, "tiff", change)
+    mode, got = decode(data)
+    assert mode == "RGB" and (got == ramp).all()
+    with pytest.raises(Broken):
+        decode(data[: len(data) // 3])
+
+
 def test_grey_and_resample():
     assert grey("RGB", np.array([[[255, 255, 255], [255, 0, 0], [0, 0, 0]]], np.uint8)).tolist() == [[255, 76, 0]]
     flat = np.full((31, 17), 93, np.uint8)

@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from gleaner.functions.columns import sequence_dhash
+from gleaner.operators import similarity
 from gleaner.operators.components import components, forest
 from gleaner.operators.duplicates import duplicate_members, farthest
 from gleaner.operators.similarity import close_hashes
@@ -35,6 +36,38 @@ def test_pairs_equal_brute_force(spark, t):
     assert {tuple(r) for r in got} == brute(values, t) and len(got) == len(brute(values, t))
 
 
+@pytest.mark.parametrize(("t", "cheap", "block"), [(1, 1, 8192), (3, 1, 8192), (5, 1, 5), (12, 1000, 7), (5, 1000, 9)])
+def test_pairs_by_any_choice_and_block(spark, monkeypatch, t, cheap, block):
+    """Postings under choices of bands, and groups dealt to pairs of blocks, find the same pairs and the same groups."""
+    monkeypatch.setattr(similarity, "CHEAP", cheap)
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    values = hashes(160, t)
+    assert bool(similarity.choices(len(values), t)) == (cheap == 1)
+    df = spark.createDataFrame([(v,) for v in values], "hash long")
+    got = close_hashes(df, t).collect()
+    assert {tuple(r) for r in got} == brute(values, t) and len(got) == len(brute(values, t))
+    edges = [tuple(r) for r in similarity.near_edges(df, t, 64, Scratch(spark)).collect()]
+    assert union_find(edges) == union_find([(a, b) for a, b, _ in brute(values, t)])
+
+
+def test_choices_select_more_with_more_hashes():
+    assert similarity.choices(500, 5) == [] and similarity.choices(10**6, 16) == []
+    for n in (10**5, 10**7, 10**9):
+        masks = similarity.choices(n, 5)
+        kept = [bin(m & (1 << 64) - 1).count("1") for m in masks]
+        # candidates for each hash, if bits are as if drawn: a small part of all
+        assert len(masks) <= similarity.MOST_CHOICES and n * len(masks) / 2 ** min(kept) < n / 100
+
+
+def test_farthest_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 6)
+    values = hashes(80, 1)
+    rows = [(i % 3, v) for i, v in enumerate(values)]
+    got = {r["g"]: r["max_distance"] for r in similarity.farthest_apart(spark.createDataFrame([*rows, (9, 5)], "g long, hash long"), "g", Scratch(spark)).collect()}
+    own = {g: [v for x, v in rows if x == g] for g in range(3)}
+    assert got == {g: max(bin((a ^ b) & (1 << 64) - 1).count("1") for a in vs for b in vs) for g, vs in own.items()} | {9: 0}
+
+
 def union_find(edges):
     parent = {}
 
@@ -80,7 +113,7 @@ def test_groups_are_transitive(spark):
     df = spark.createDataFrame(rows, "rel string, dhash long")
     m = duplicate_members(df, Scratch(spark), 5)
     assert {r["rel"]: r["component"] for r in m.collect()} == {"a": 0, "b": 0, "c": 0, "d": 0}
-    assert farthest(m).first()["max_distance"] == 10  # more than the threshold
+    assert farthest(m, Scratch(spark)).first()["max_distance"] == 10  # more than the threshold
     assert duplicate_members(df, Scratch(spark), -1).count() == 0
     assert duplicate_members(df, Scratch(spark), 64).count() == 5
     assert {r["rel"] for r in duplicate_members(df, Scratch(spark), 0).collect()} == {"a", "d"}
