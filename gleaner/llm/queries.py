@@ -110,6 +110,53 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.u = w.doc_id
 """
 
 
+def _mixed(column: str, source: str) -> str:
+    """CTE bodies that finish 64-bit hashes ``column`` of ``source`` as ``common.mix`` does, into m3."""
+    return f"""
+m1 AS (SELECT * REPLACE ((xor({column}, {column} >> 30) * 13787848793156543929::UHUGEINT) & 18446744073709551615::UHUGEINT AS {column}) FROM {source}),
+m2 AS (SELECT * REPLACE ((xor({column}, {column} >> 27) * 10723151780598845931::UHUGEINT) & 18446744073709551615::UHUGEINT AS {column}) FROM m1),
+m3 AS (SELECT * REPLACE (xor({column}, {column} >> 31) AS {column}) FROM m2)"""
+
+
+def _doubled(step: int, power: int) -> str:
+    """A CTE that joins polynomial hashes of ``step`` characters to hashes of twice as many."""
+    return f"g{2 * step} AS (SELECT doc_id, k, n, p, (g * {power}::UHUGEINT + lead(g, {step}) OVER (PARTITION BY doc_id, k ORDER BY p)) & 18446744073709551615::UHUGEINT AS g FROM g{step})"
+
+
+#: Texts and their edited forms as code points (a short text filled up as in ``winnow.fingerprints``), hashes of 16 by
+#: doubling, the rightmost minimum of each 32 hashes by their upper halves, and likenesses of the sets.
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, coalesce(lead(coalesce(text, '')) OVER o, first_value(coalesce(text, '')) OVER o) AS nt,
+    coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id FROM documents WINDOW o AS (ORDER BY doc_id)),
+e AS (SELECT doc_id, 0 AS k, t FROM d UNION ALL SELECT doc_id, 1, substr(t, 1, n - n // 2) || substr(nt, 1, n // 2) FROM d),
+x AS (SELECT doc_id, k, length(t) AS n, t FROM e WHERE t <> ''),
+c AS (SELECT doc_id, k, n, unnest(range(1, greatest(n, 16) + 1)) AS p,
+    unnest(list_transform(string_split(t, ''), lambda y: unicode(y)::UBIGINT) || CASE WHEN n < 16 THEN list_resize([]::UBIGINT[], 15 - n, 0::UBIGINT) || [n::UBIGINT << 24] ELSE [] END) AS code FROM x),
+u AS (SELECT DISTINCT code, (code + 1)::UHUGEINT AS g FROM c),
+{_mixed("g", "u").strip()},
+g1 AS (SELECT doc_id, k, n, p, m3.g FROM c JOIN m3 USING (code)),
+{_doubled(1, winnow._BASE)},
+{_doubled(2, winnow._BASE**2 % 2**64)},
+{_doubled(4, winnow._BASE**4 % 2**64)},
+{_doubled(8, winnow._BASE**8 % 2**64)},
+w AS (SELECT * FROM g16 WHERE g IS NOT NULL),
+{_mixed("g", "w").strip().replace("m1", "f1").replace("m2", "f2").replace("m3", "f3")},
+v AS (SELECT doc_id, k, n, p, (g >> 32)::UBIGINT * 4294967296::UBIGINT + (4294967295 - p)::UBIGINT AS key FROM f3),
+z AS (SELECT doc_id, k, n, p, min(key) OVER (PARTITION BY doc_id, k ORDER BY p ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING) AS key FROM v),
+f AS (SELECT DISTINCT doc_id, k, key // 4294967296::UBIGINT AS h, 4294967294 - (key % 4294967296::UBIGINT)::BIGINT AS pos FROM z WHERE p <= greatest(1, n - 46)),
+s AS (SELECT doc_id, k, count(*) || ':' || md5(string_agg(h::VARCHAR, ',' ORDER BY pos) || ';' || string_agg(pos::VARCHAR, ',' ORDER BY pos)) AS print, count(DISTINCT h) AS size FROM f GROUP BY doc_id, k),
+h AS (SELECT DISTINCT doc_id, k, h FROM f),
+be AS (SELECT a.doc_id, count(*) AS b FROM h a JOIN h z ON a.doc_id = z.doc_id AND a.h = z.h AND a.k = 0 AND z.k = 1 GROUP BY 1),
+bn AS (SELECT a.doc_id, count(*) AS b FROM h a JOIN d ON a.doc_id = d.doc_id AND a.k = 0 JOIN h z ON z.doc_id = d.next_id AND z.k = 0 AND z.h = a.h GROUP BY 1),
+r AS (SELECT d.doc_id, d.n AS n_chars, sha256(e.t) AS edited_sha256, coalesce(s0.print, '0:' || md5(';')) AS fingerprint, coalesce(s1.print, '0:' || md5(';')) AS edited_fingerprint,
+    coalesce(s0.size, 0) AS a, coalesce(s1.size, 0) AS b, coalesce(sn.size, 0) AS c, coalesce(be.b, 0) AS ab, coalesce(bn.b, 0) AS ac
+    FROM d JOIN e ON e.doc_id = d.doc_id AND e.k = 1 LEFT JOIN s s0 ON s0.doc_id = d.doc_id AND s0.k = 0 LEFT JOIN s s1 ON s1.doc_id = d.doc_id AND s1.k = 1
+    LEFT JOIN s sn ON sn.doc_id = d.next_id AND sn.k = 0 LEFT JOIN be ON be.doc_id = d.doc_id LEFT JOIN bn ON bn.doc_id = d.doc_id)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    CASE WHEN a + b = 0 THEN 1.0::DOUBLE ELSE ab::DOUBLE / (a + b - ab) END AS near_edited, CASE WHEN a + c = 0 THEN 1.0::DOUBLE ELSE ac::DOUBLE / (a + c - ac) END AS near_next FROM r
+"""
+
+
 def queries() -> dict:
     return {
         "op1_mpeg_media": op1_mpeg_media,
@@ -126,4 +173,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_tree_dedup": OP3_SQL, "op6_source_mixing": OP6_SQL, "op8_minhash_near_duplicates": OP8_SQL}
+    return {"op3_suffix_tree_dedup": OP3_SQL, "op6_source_mixing": OP6_SQL, "op8_minhash_near_duplicates": OP8_SQL, "op10_winnowing": OP10_SQL}

@@ -80,8 +80,9 @@ def fingerprints(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def digest(found: tuple[np.ndarray, np.ndarray]) -> str:
-    """A fingerprint as a short string: how many hashes, and the MD5 of hashes and positions."""
-    return f"{len(found[0])}:{hashlib.md5(found[0].tobytes() + found[1].astype(np.int64).tobytes()).hexdigest()}"
+    """A fingerprint as a short string: how many hashes, and the MD5 of hashes and positions in decimal."""
+    listed = ",".join(map(str, found[0].tolist())) + ";" + ",".join(map(str, found[1].tolist()))
+    return f"{len(found[0])}:{hashlib.md5(listed.encode()).hexdigest()}"
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

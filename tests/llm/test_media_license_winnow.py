@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gleaner.llm import license_scan, media_mpeg, queries, winnow
 from gleaner.llm.license_texts import TEMPLATES
@@ -389,3 +390,35 @@ def test_licenses_of_odd_rows(spark, tmp_path):
     twins = {"B": own["Own-1"], "A": own["Own-1"]}
     assert [r["license"] for r in license_scan.scan_licenses(spark.createDataFrame(rows[:1], DOCS), twins).collect()] == ["A"]
     assert license_scan.scan_licenses(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_fingerprints_of_odd_rows(spark, monkeypatch):
+    """Very long texts, one id with several texts, repeated rows and null ids, in buckets of a few rows."""
+    r = random.Random(3)
+    long = "".join(r.choice("abcdefgh ") for _ in range(400_000))
+    rows = [(i, "".join(r.choice("abc ") for _ in range(r.randrange(90))), None, None) for i in range(60)]
+    rows += [(7, f"text {i} " * 9, None, None) for i in range(40)] + [(None, f"no id {i}", None, None) for i in range(30)] + [(70, long, None, None), (71, long, None, None), (8, "twice", None, None), (8, "twice", None, None)]
+    monkeypatch.setattr(winnow, "SPREAD", 16)
+    keys = spark.createDataFrame(rows, DOCS)
+    got = winnow.compare_along(keys).collect()
+    order = [(row["doc_id"], row["text"]) for row in keys.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()]
+    want = []
+    for i, (doc_id, t) in enumerate(order):
+        after = order[(i + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want.append((doc_id, len(t), hashlib.sha256(edited.encode()).hexdigest(), winnow.digest(winnow.fingerprints([t])[0]), winnow.digest(winnow.fingerprints([edited])[0])))
+    key = lambda x: (x[0] is not None, x[0] or 0, x[2])
+    assert sorted((tuple(x)[:5] for x in got), key=key) == sorted(want, key=key)
+    by = {x["doc_id"]: x for x in got}
+    assert by[70]["near_next"] == 1.0 and by[70]["fingerprint"] == by[71]["fingerprint"]
+    assert winnow.compare_along(keys.limit(0)).count() == 0
+
+
+def test_buckets_against_sorting():
+    rng = np.random.default_rng(1)
+    ids, orders = rng.integers(0, 9, 500), rng.integers(-50, 50, 500)
+    place = np.lexsort((orders, ids))
+    cut = place[[50, 130, 131, 260, 400]]
+    got = winnow.bucket_of(ids, orders, ids[cut], orders[cut])
+    want = [sum((a, b) <= (x, y) for a, b in zip(ids[cut], orders[cut], strict=True)) for x, y in zip(ids, orders, strict=True)]
+    assert got.tolist() == want
