@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import U64, Scratch, chunked, gram_hashes, join_counted, mix, small_batches, split_words, text_buffers, text_of, tidy, word_hashes
 from gleaner.operators.components import components
+from gleaner.operators.groups import column_of, groups_of
 
 COORDS = 64
 _rng = np.random.default_rng(20240607)
@@ -100,33 +101,6 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
     return _keyed(docs).mapInArrow(tidy(signed), SIGNED)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
-    """Runs of rows that agree in the first ``keys`` columns, as slices of the batches (rows come sorted)."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not len(b):
-            continue
-        change = np.zeros(len(b), bool)
-        for k in range(keys):
-            c = b.column(k).to_numpy(zero_copy_only=False)
-            change[1:] |= c[1:] != c[:-1]
-            if held:
-                change[0] |= held[-1].column(k)[len(held[-1]) - 1].as_py() != c[0].item()
-        cuts = [*np.flatnonzero(change).tolist(), len(b)]
-        if cuts[0]:
-            held.append(b.slice(0, cuts[0]))
-        for x, y in zip(cuts, cuts[1:], strict=False):
-            if held:
-                yield held
-            held = [b.slice(x, y - x)]
-    if held:
-        yield held
-
-
-def _column(group: list[pa.RecordBatch], k: int) -> pa.Array:
-    return pa.concat_arrays([b.column(k) for b in group])
-
-
 def _briefs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDS)
 
@@ -212,8 +186,8 @@ def _inside(rule: Counted):
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
-        for group in _groups(batches, 1):
-            nodes = _column(group, 1).to_numpy()
+        for group in groups_of(batches, 1):
+            nodes = column_of(group, 1).to_numpy()
             if len(nodes) > 1:
                 data = _loaded(rule, group, 2)
                 found |= {(int(nodes[i]), int(nodes[j])) for i, j in links(len(nodes), lambda i, others: rule.near(i, others, *data))}
@@ -249,8 +223,8 @@ def _across(rule: Counted):
     """Blocks (g, r, b, side, node, settled, payload), rows to compare (side 0) before all others -> edges."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
-            side, nodes, settled = (_column(group, c).to_numpy(zero_copy_only=False) for c in (3, 4, 5))
+        for group in groups_of(batches, 3):
+            side, nodes, settled = (column_of(group, c).to_numpy(zero_copy_only=False) for c in (3, 4, 5))
             data = _loaded(rule, group, 6)
             # One class may stand on both sides; the settled ones are linked through the first of the group.
             label = np.unique(np.where(settled, -1, nodes), return_inverse=True)[1]

@@ -79,6 +79,32 @@ def test_bound_sees_large_pieces():
     assert packing.lower_bound(np.array([64 // 3 + 1] * 7), 64) == 4
 
 
+def test_partitions_with_gaps_exchange(spark):
+    """Pieces that fill sequences exactly, dealt to many small groups: rounds of exchange come near the bound that certifies them."""
+    rng = np.random.default_rng(5)
+    lengths = [n for _ in range(600) for cut in [int(rng.integers(100, 900))] for n in (cut, 1024 - cut)]
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(rng.permutation(lengths))], packing.PIECES)
+    bound, used = packing.lower_bound(np.array(lengths)), []
+    for rounds in (0, 1, 3):
+        got = packing.pack_pieces(pieces, Scratch(spark), group_pieces=2000, rounds=rounds, merge=64).toPandas()
+        per = got.groupby("sequence_id").length.sum()
+        assert len(got) == 1200 and per.max() <= 1024 and got.doc_id.is_unique
+        used.append(len(per))
+    assert bound == 600 and used[0] > used[1] >= used[2] >= bound and used[2] < 1.01 * bound
+
+
+def test_a_group_keeps_its_old_bins_unless_fewer_do():
+    import pandas as pd
+
+    old = pd.DataFrame({"length": [600, 424, 600, 424, 300], "sequence": [7, 7, 9, 9, 11], "offset": [0, 600, 0, 600, 0], "_row": range(5)})
+    kept = packing._pack(old, 1024, True)
+    assert kept["bin"].tolist() == [0, 0, 1, 1, 2] and kept["offset"].tolist() == old["offset"].tolist() and kept["bins"].iloc[0] == kept["bound"].iloc[0] == 3
+    assert not kept["open"].any()  # as many as the bound: certified
+    worse = old.assign(sequence=[1, 2, 3, 4, 5], offset=0)
+    fewer = packing._pack(worse, 1024, True)
+    assert fewer["bins"].iloc[0] == 3 and fewer.groupby("bin").length.sum().max() <= 1024
+
+
 def fixture(spark, n=300):
     rng = np.random.default_rng(3)
     words = ["the", "naïve", "Blüte", "42", "😀", "re-do", "\n", "  ", "zu", "tion"]
