@@ -407,7 +407,7 @@ def test_fingerprints_of_odd_rows(spark, monkeypatch):
         after = order[(i + 1) % len(order)][1]
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         want.append((doc_id, len(t), hashlib.sha256(edited.encode()).hexdigest(), winnow.digest(winnow.fingerprints([t])[0]), winnow.digest(winnow.fingerprints([edited])[0])))
-    key = lambda x: (x[0] is not None, x[0] or 0, x[2])
+    key = lambda x: (x[0] is not None, x[0] or 0, *x[1:])
     assert sorted((tuple(x)[:5] for x in got), key=key) == sorted(want, key=key)
     by = {x["doc_id"]: x for x in got}
     assert by[70]["near_next"] == 1.0 and by[70]["fingerprint"] == by[71]["fingerprint"]
