@@ -4,11 +4,14 @@ A suffix (a place in a text with at least ``window`` words to go) matters only i
 words start somewhere else too.  Suffixes are split by variable-length prefixes: a suffix's prefix runs to
 the end of the minimal gram among its first ``window`` words, so equal suffixes have equal prefixes,
 and all prefixes that end in the same gram go to one group.  Groups of one occurrence hold no
-repeat and are dropped by counting grams alone.  Each other group's suffixes become a subtree: a suffix array
+repeat and are dropped by counting grams alone.  Suffixes of one text whose prefixes end at the same place
+are a slice of its words; equal slices, of which a common passage has one for each text that
+holds it, are counted before they meet.  Each group's different slices become a subtree: a suffix array
 by prefix doubling and the common prefixes of its neighbours, whose intervals are the inner nodes.  The
-inner nodes at depth ``window`` or more are the maximal repeats; a suffix below one is a repeat.
+inner nodes at depth ``window`` or more are the maximal repeats; a suffix below one is a repeat, as is any of a
+slice that was counted twice.
 
-A group of more than ``GROUP_BYTES`` has its prefixes lengthened to the whole window.  Such a group's
+A group whose different slices hold more than ``GROUP_BYTES`` has its prefixes lengthened to the whole window.  Such a
 subtree has its first inner node at depth ``window`` already, so its leaves need only be counted, which
 an aggregate does wherever they lie; these prefixes are compared by 128-bit digests of their
 words, those of all other groups word by word.
@@ -86,7 +89,7 @@ def _scan(window: int):
                 a = Anchors(part, own, window)
                 data = part.tobytes()
                 shas = [hashlib.sha256(b" ".join(data[x:y].split())).hexdigest() for x, y in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
-                # Each text names a gram once, with how often it is minimal there and the bytes of its windows.
+                # Each text names a gram once, with how often it is minimal there.
                 order = np.lexsort((a.value, a.doc))
                 doc, value = a.doc[order], a.value[order]
                 fresh = np.ones(len(order), bool)
@@ -95,15 +98,20 @@ def _scan(window: int):
                 bounds = pa.array(np.searchsorted(doc[at], np.arange(j - i + 1)), pa.int32())
                 anchors = pa.ListArray.from_arrays(bounds, pa.array(value[at], pa.int64()))
                 times = pa.ListArray.from_arrays(bounds, pa.array(np.diff(np.append(at, len(order))), pa.int64()))
-                spans = (a.ends[a.high + window - 1] - a.starts[a.low])[order] if len(order) else np.zeros(0, np.int64)
-                sizes = pa.ListArray.from_arrays(bounds, pa.array(np.add.reduceat(spans, at) if len(at) else spans, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(4)), pa.array(np.diff(a.first), pa.int64()), pa.array(shas, pa.string()), anchors, times, sizes], ["k", "h", "digest", "doc_id", "n_words", "all_sha256", "anchors", "times", "sizes"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(4)), pa.array(np.diff(a.first), pa.int64()), pa.array(shas, pa.string()), anchors, times], ["k", "h", "digest", "doc_id", "n_words", "all_sha256", "anchors", "times"])
 
     return scanned
 
 
-def _contexts(window: int):
-    """(k, h, text, seeds) -> for each seed the words of its windows; windows one by one where the seed's group is wide."""
+SLICES = "anchor long, key binary, k long, h long, starts array<long>, words binary"
+
+
+def _digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
+def _slices(window: int):
+    """(k, h, text, seeds) -> ``SLICES`` of each seed: the words of its windows, once for all places where a text has the same."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,37 +123,47 @@ def _contexts(window: int):
                 data, out = part.tobytes(), []
                 bounds = np.searchsorted(a.doc, np.arange(j - i + 1))
                 for d in range(j - i):
-                    known, wide = {x["anchor"]: x["wide"] for x in seeds[i + d]}, defaultdict(list)
-                    base = int(a.first[d])
+                    known, found, base = set(seeds[i + d]), defaultdict(list), int(a.first[d])
                     for r in range(bounds[d], bounds[d + 1]):
-                        lengthened = known.get(int(a.value[r]))
-                        if lengthened is None:
-                            continue
-                        low, high = int(a.low[r]), int(a.high[r])
-                        part_words = data[a.starts[low] : a.ends[high + window - 1]]
-                        if not lengthened:
-                            out.append((int(a.value[r]), b"", ks[i + d], hs[i + d], low - base, part_words, []))
-                        else:
-                            words = part_words.split()
-                            for s in range(high - low + 1):
-                                wide[hashlib.blake2b(b" ".join(words[s : s + window]), digest_size=16).digest()].append(low + s - base)
-                        if len(out) >= 5000:
-                            yield _context_batch(out)
-                            out = []
-                    # A window that one text holds many times is one row with all its places.
-                    out += [(0, key, ks[i + d], hs[i + d], 0, b"", starts) for key, starts in wide.items()]
+                        anchor = int(a.value[r])
+                        if anchor in known:
+                            low, high = int(a.low[r]), int(a.high[r])
+                            found[anchor, b" ".join(data[a.starts[low] : a.ends[high + window - 1]].split())].append(low - base)
+                    out += [(anchor, _digest(words), ks[i + d], hs[i + d], starts, words) for (anchor, words), starts in found.items()]
+                    if len(out) >= 5000:
+                        yield _batch(out, _SLICE_TYPES)
+                        out = []
                 if out:
-                    yield _context_batch(out)
+                    yield _batch(out, _SLICE_TYPES)
 
     return cut
 
 
-def _context_batch(out: list) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["anchor", "wide", "k", "h", "start", "words", "places"])
+_LONGS = pa.list_(pa.int64())
+_SLICE_TYPES = {"anchor": pa.int64(), "key": pa.binary(), "k": pa.int64(), "h": pa.int64(), "starts": _LONGS, "words": pa.binary()}
+_WINDOW_TYPES = {"wide": pa.binary(), "key": pa.binary(), "n": pa.int64(), "places": _LONGS}
+_RUN_TYPES = {"key": pa.binary(), "n": pa.int64(), "lows": _LONGS, "highs": _LONGS}
+
+
+def _batch(rows: list[tuple], types: dict) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ([] for _ in types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))
 
 
-CONTEXT = "anchor long, wide binary, k long, h long, start long, words binary, places array<long>"
+def _lengthened(window: int):
+    """(key, n, words) -> (wide, key, n, places): each different window of a slice by the digest of its words, n times as often as it stands there."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, n, joined in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                words, places = joined.split(b" "), defaultdict(list)
+                for p in range(len(words) - window + 1):
+                    places[_digest(b" ".join(words[p : p + window]))].append(p)
+                out += [(wide, key, n * len(at), at) for wide, at in places.items()]
+            yield _batch(out, _WINDOW_TYPES)
+
+    return cut
 
 
 class Subtree:
@@ -231,27 +249,29 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _subtrees(window: int, chunk: int = 1 << 20):
-    """Rows (anchor, k, h, start, words) sorted by anchor -> runs (k, h, low, high) of repeated windows."""
+    """Rows (anchor, key, n, words) sorted by anchor -> (key, n, lows, highs): the runs of repeated windows of each slice that has any."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []  # whole groups, but for the last one
         size = 0
 
         def solve(part: list[tuple]) -> pa.RecordBatch:
-            keep = [r for x, r in enumerate(part) if (x and part[x - 1][0] == r[0]) or (x + 1 < len(part) and part[x + 1][0] == r[0])]
+            keep = [r for x, r in enumerate(part) if r[2] > 1 or (x and part[x - 1][0] == r[0]) or (x + 1 < len(part) and part[x + 1][0] == r[0])]
             out = []
             if keep:
-                for r, flags in zip(keep, tree_repeats([r[4] for r in keep], window), strict=True):
-                    out += [(r[1], r[2], r[3] + a, r[3] + b) for a, b in _runs(flags)]
-            return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(4)], ["k", "h", "low", "high"])
+                for (_, key, n, _), flags in zip(keep, tree_repeats([r[3] for r in keep], window), strict=True):
+                    runs = [(0, len(flags) - 1)] if n > 1 else _runs(flags)
+                    if runs:
+                        out.append((key, n, [x for x, _ in runs], [y for _, y in runs]))
+            return _batch(out, _RUN_TYPES)
 
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+            for r in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 if size > chunk and rows[-1][0] != r[0]:
                     yield solve(rows)
                     rows, size = [], 0
                 rows.append(r)
-                size += len(r[4])
+                size += len(r[3])
         if rows:
             yield solve(rows)
 
@@ -264,17 +284,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _remove(window: int):
-    """(k, h, text, runs, places) of repeated windows -> words removed and the kept words."""
+    """(k, h, text, found) of repeated windows -> words removed and the kept words.  found: runs of windows, and the places they are counted from."""
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, kept = [], []
-            for text, runs, places in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+            for text, found in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 words = text.encode("utf-8", "replace").split()
                 gone = np.zeros(len(words) + 1, np.int64)
-                for low, high in [*((r["low"], r["high"]) for r in runs), *((p, p) for p in places)]:
-                    gone[low] += 1
-                    gone[high + window] -= 1
+                for x in found:
+                    for low, high in zip(x["lows"], x["highs"], strict=True):
+                        for start in x["starts"]:
+                            gone[start + low] += 1
+                            gone[start + high + window] -= 1
                 stay = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
                 n.append(len(words) - len(stay))
                 kept.append(b" ".join([words[i] for i in stay.tolist()]).decode("utf-8", "replace"))
@@ -295,30 +317,35 @@ def repeated_words(docs: DataFrame, scratch: Scratch, window: int = 35) -> tuple
     keyed = _keyed(docs)
     with Scratch(docs.sparkSession) as work:
         rows = keyed.select(F.col("_gleaner_k").alias("k"), F.col("_gleaner_h").alias("h"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-        scanned = work.keep(rows.mapInArrow(tidy(_scan(window)), "k long, h long, digest binary, doc_id long, n_words long, all_sha256 string, anchors array<long>, times array<long>, sizes array<long>"))
+        scanned = work.keep(rows.mapInArrow(tidy(_scan(window)), "k long, h long, digest binary, doc_id long, n_words long, all_sha256 string, anchors array<long>, times array<long>"))
         copies = work.keep(scanned.groupBy("digest").agg(F.count("*").alias("copies"), F.min("k").alias("witness")).where("copies > 1"))
         everything = scratch.keep(scanned.select("k", "h", "digest", "doc_id", "n_words", "all_sha256").join(copies, "digest", "left").withColumn("copied", F.col("copies").isNotNull()).drop("digest", "copies"))
         # One row of each text that occurs again says where its grams are.
         whole = work.keep(everything.where("copied").select("k", "h", (F.col("k") == F.col("witness")).alias("witness")).distinct())
-        lists = scanned.where(F.size("anchors") > 0).select("k", "h", "anchors", "times", "sizes")
+        lists = scanned.where(F.size("anchors") > 0).select("k", "h", "anchors", "times")
         lists = lists.join(whole, ["k", "h"], "left_anti").union(lists.join(whole.where("witness"), ["k", "h"], "left_semi").dropDuplicates(["k", "h"]))
-        grams = lists.select("k", "h", F.explode(F.arrays_zip("anchors", "times", "sizes")).alias("a")).select("k", "h", F.col("a.anchors").alias("anchor"), F.col("a.times").alias("times"), F.col("a.sizes").alias("size"))
-        shared = work.keep(grams.groupBy("anchor").agg(F.sum("times").alias("n"), (F.sum("size") > GROUP_BYTES).alias("wide")).where("n > 1"))
-        seeds = join_counted(grams.select("k", "h", "anchor"), shared, "anchor").groupBy("k", "h").agg(F.collect_set(F.struct("anchor", "wide")).alias("seeds"))
+        grams = lists.select("k", "h", F.explode(F.arrays_zip("anchors", "times")).alias("a")).select("k", "h", F.col("a.anchors").alias("anchor"), F.col("a.times").alias("times"))
+        shared = work.keep(grams.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1"))
+        seeds = join_counted(grams.select("k", "h", "anchor"), shared, "anchor").groupBy("k", "h").agg(F.collect_set("anchor").alias("seeds"))
         texts = keyed.select(F.col("_gleaner_k").alias("k"), F.col("_gleaner_h").alias("h"), text.alias("text"))
         seeded = work.keep(texts.join(seeds, ["k", "h"]).dropDuplicates(["k", "h"]))
-        contexts = work.keep(seeded.mapInArrow(tidy(_contexts(window)), CONTEXT))
-        usual = contexts.where("wide = X''").select("anchor", "k", "h", "start", "words").repartition("anchor").sortWithinPartitions("anchor")
-        runs = usual.mapInArrow(tidy(_subtrees(window)), "k long, h long, low long, high long")
-        wide = contexts.where("wide <> X''").select("wide", "k", "h", "places")
-        twice = work.keep(wide.groupBy("wide").agg(F.sum(F.size("places")).alias("n")).where("n > 1"))
-        # Per text: runs of repeated windows from the subtrees, single places from the lengthened prefixes.
-        found = runs.select("k", "h", F.array(F.struct("low", "high")).alias("runs"), F.array().cast("array<bigint>").alias("places")).unionByName(
-            join_counted(wide, twice, "wide").select("k", "h", F.array().cast("array<struct<low:bigint,high:bigint>>").alias("runs"), "places")
-        )
-        per_text = found.groupBy("k", "h").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("places")).alias("places"))
+        slices = work.keep(seeded.mapInArrow(tidy(_slices(window)), SLICES))
+        # Equal slices are one, with how often it stands anywhere; groups are as large as their different slices.
+        different = work.keep(slices.groupBy("anchor", "key", "words").agg(F.sum(F.size("starts")).alias("n")))
+        sizes = work.keep(different.groupBy("anchor").agg(F.sum(F.length("words")).alias("bytes"), F.sum("n").alias("n")).where("n > 1"))
+        wide = sizes.where(F.col("bytes") > GROUP_BYTES).select("anchor")
+        small = different.join(sizes.where(F.col("bytes") <= GROUP_BYTES).select("anchor"), "anchor").select("anchor", "key", "n", "words")
+        runs = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(_subtrees(window)), "key binary, n long, lows array<long>, highs array<long>")
+        if wide.limit(1).count():
+            windows = work.keep(different.join(wide, "anchor").select("key", "n", "words").mapInArrow(tidy(_lengthened(window)), "wide binary, key binary, n long, places array<long>"))
+            twice = work.keep(windows.groupBy("wide").agg(F.sum("n").alias("n")).where("n > 1"))
+            again = join_counted(windows.select("wide", "key", "places"), twice, "wide").groupBy("key").agg(F.flatten(F.collect_list("places")).alias("lows"))
+            runs = runs.unionByName(again.join(different.select("key", "n"), "key").select("key", "n", "lows", F.col("lows").alias("highs")))
+        runs = work.keep(runs)
+        found = join_counted(slices.select("key", "k", "h", "starts"), runs, "key")
+        per_text = found.groupBy("k", "h").agg(F.collect_list(F.struct("starts", "lows", "highs")).alias("found"))
         open_ = seeded.select("k", "h", "text").join(per_text, ["k", "h"]).join(whole, ["k", "h"], "left_anti")
-        changed = open_.select("k", "h", "text", "runs", "places").mapInArrow(tidy(_remove(window)), "k long, h long, n_removed long, kept string")
+        changed = open_.select("k", "h", "text", "found").mapInArrow(tidy(_remove(window)), "k long, h long, n_removed long, kept string")
         return everything, scratch.keep(changed)
 
 
