@@ -27,7 +27,10 @@ _MULT = 0x9E3779B97F4A7C15 | 1
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts stay small; a smaller setting of the session is left alone."""
+    """Arrow batches of whole texts stay small; a smaller setting of the session is left alone.
+
+    The setting stays, since plans read it when they run.  Batches of long texts are bounded by Spark's own limit of bytes.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000") or 0) not in range(1, ARROW_ROWS + 1):
         spark.conf.set(key, str(ARROW_ROWS))

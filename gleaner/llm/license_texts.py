@@ -15,7 +15,7 @@ conditions are met: 1. Redistributions of source code must retain the above copy
 disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
 disclaimer in the documentation and/or other materials provided with the distribution."""
 _GPL = """is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free
-Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope
+Software Foundation, either version {} of the License, or (at your option) any later version. This program is distributed in the hope
 that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
 PURPOSE. See the GNU {} Public License for more details."""
 
@@ -32,15 +32,35 @@ publish, distribute, sublicense, and/or sell copies of the Software, and to perm
 subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial
 portions of the Software. """ + _AS_IS,
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-3.0-header": _GPL.format("General", "General"),
-    "LGPL-3.0-header": _GPL.format("Lesser General", "Lesser General"),
-    "AGPL-3.0-header": _GPL.format("Affero General", "Affero General"),
+    "GPL-2.0-header": _GPL.format("General", 2, "General"),
+    "GPL-3.0-header": _GPL.format("General", 3, "General"),
+    "LGPL-3.0-header": _GPL.format("Lesser General", 3, "Lesser General"),
+    "AGPL-3.0-header": _GPL.format("Affero General", 3, "Affero General"),
     "BSD-2-Clause": f"{_BSD_START} {_BSD_END}",
     "BSD-3-Clause": f"""{_BSD_START} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
 promote products derived from this software without specific prior written permission. {_BSD_END}""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
 that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS
-ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR
+BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the
+product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to
+prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the
+following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the
+following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless
+such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE
+SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE
+DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "MPL-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
 distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "CC-BY-4.0-notice": "Licensed under CC BY 4.0",
@@ -51,6 +71,9 @@ distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""
     "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
 compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
-non-commercial, and by any means.""",
+non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and
+all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and
+future rights to this software under copyright law. """ + _AS_IS.replace("AUTHORS OR COPYRIGHT\nHOLDERS", "AUTHORS") + " For more information, please refer to <http://unlicense.org/>",
     "All-rights-reserved": "All rights reserved",
 }
