@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.components import components
-from gleaner.operators.similarity import farthest_apart, near_edges
+from gleaner.operators.similarity import farthest_apart, near_components
 from gleaner.sources.scratch import Scratch
 
 
@@ -23,7 +22,7 @@ def duplicate_members(rows: DataFrame, scratch: Scratch, threshold: int = 5, val
         least = rows.agg(F.min(value).alias("component"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
         return rows.crossJoin(F.broadcast(least))
     counts = scratch.keep(rows.groupBy(F.col(value).alias("hash")).agg(F.count("*").alias("n")))
-    linked = components(near_edges(counts.select("hash"), threshold, bits, scratch), scratch)
+    linked = near_components(counts, threshold, bits, scratch)
     groups = counts.join(linked, counts["hash"] == linked["node"], "left").where("n > 1 or component is not null").select("hash", F.coalesce("component", "hash").alias("component"))
     return rows.join(groups, rows[value] == groups["hash"]).drop("hash")
 

@@ -10,15 +10,25 @@ from gleaner.functions.columns import severity_rank, severity_weight
 SCHEMA = "severity string, check string, message string, files array<string>, details string"
 
 
-def finding(rows: DataFrame, severity: str, check: str, message: Column, files: Column | None = None, details: Column | None = None) -> DataFrame:
-    """One finding for each row of ``rows``; files are sorted, details are JSON."""
+def told(severity: str, check: str, message: Column, files: Column | None = None, details: Column | None = None) -> Column:
+    """A finding as one column; files are sorted, details are JSON."""
     none = F.array().cast("array<string>")
-    return rows.select(
+    return F.struct(
         F.lit(severity).alias("severity"), F.lit(check).alias("check"), message.cast("string").alias("message"),
         F.array_sort(files if files is not None else none).alias("files"), F.coalesce(F.to_json(details) if details is not None else F.lit("{}"), F.lit("{}")).alias("details"),
     )
 
 
+def finding(rows: DataFrame, severity: str, check: str, message: Column, files: Column | None = None, details: Column | None = None) -> DataFrame:
+    """One finding for each row of ``rows``."""
+    return rows.select(told(severity, check, message, files, details).alias("f")).select("f.*")
+
+
+def findings_of(row: DataFrame, parts: list[tuple[Column, Column]]) -> DataFrame:
+    """The findings (whether there is one, the finding) that are made of one row of aggregates."""
+    return row.select(F.explode(F.array(*[F.when(there, f) for there, f in parts])).alias("f")).where("f is not null").select("f.*")
+
+
 def no_findings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)
 

@@ -6,16 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.duplicates import duplicate_members, farthest, group_summary
-from gleaner.operators.findings import finding, union_all
+from gleaner.operators.findings import finding, findings_of, told, union_all
 from gleaner.sources.scratch import Scratch
 
 GEOMETRY = ("width", "height", "mode")
 
 
-def _map(key: str, value) -> Column:
-    return F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), value))))
-
-
 def undecodable() -> Column:
     """Whether a file is of a format without a decoder here: nothing is known to be wrong with it."""
     return ~F.col("ok") & F.col("decodable").isNull()
@@ -25,29 +21,40 @@ def broken() -> Column:
     return ~F.col("ok") & F.col("decodable").isNotNull()
 
 
-def undecoded(images: DataFrame) -> DataFrame:
-    odd = images.where(undecodable()).agg(F.count("*").alias("n"), F.collect_list("rel").alias("files")).where("n > 0")
-    return finding(odd, "info", "undecoded_images", F.format_string("%d image file(s) are of formats that no decoder here reads; they were not checked.", "n"), F.col("files"))
+def by_kind(rows: DataFrame, kind: str, name: str) -> DataFrame:
+    """(kind, n, files): how many rows are of each kind, and their names in order; rows of no kind are left out."""
+    return rows.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(name)).alias("files"))
 
 
-def corrupt(images: DataFrame) -> DataFrame:
-    bad = images.where(broken()).agg(F.count("*").alias("n"), F.collect_list("rel").alias("files"), _map("rel", F.col("error")).alias("errors")).where("n > 0")
-    return finding(bad, "error", "corrupt_files", F.format_string("%d image file(s) cannot be read; a loader would fail on them or skip them silently.", "n"), F.col("files"), F.struct("errors"))
+def summary(images: DataFrame) -> DataFrame:
+    """One row of all that a pass over the facts tells: counts, broken files with their errors, undecoded and blank ones by kind."""
+    blank, rel = F.col("degenerate").isNotNull(), F.col("rel")
+    return images.agg(
+        F.count("*").alias("n_files"), F.count_if("ok").alias("n_ok"), F.count_if(broken()).alias("n_corrupt"), F.count_if(blank).alias("n_degenerate"), F.array_sort(F.collect_set("split")).alias("splits"),
+        F.array_sort(F.collect_list(F.when(broken(), F.struct("rel", "error")))).alias("broken"), F.collect_list(F.when(undecodable(), rel)).alias("undecoded"),
+        F.array_sort(F.collect_list(F.when(blank, F.struct("degenerate", "rel")))).alias("blank"),
+    )
 
 
-def by_kind(rows: DataFrame, kind: str, name: str) -> DataFrame:
-    """(kind, n, files): how many rows are of each kind, and their names in order; rows of no kind are left out."""
-    return rows.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(name)).alias("files"))
+STATS = ("n_files", "n_ok", "n_corrupt", "n_degenerate", "splits")
 
 
-def degenerate(images: DataFrame) -> DataFrame:
-    kinds = by_kind(images, "degenerate", "rel")
-    parts = F.array_sort(F.collect_list(F.struct("degenerate", "files", "n")))
-    all_ = kinds.agg(F.sum("n").alias("n"), parts.alias("kinds")).where("n > 0")
-    told = F.concat_ws(", ", F.transform("kinds", lambda k: F.concat_ws(" ", k["n"].cast("string"), k["degenerate"])))
-    by_type = F.map_from_entries(F.transform("kinds", lambda k: F.struct(k["degenerate"], k["files"])))
+def file_checks(row: DataFrame) -> DataFrame:
+    """Findings on broken, undecoded and blank files, of a ``summary``."""
+    of = lambda array, field: F.transform(array, lambda x: x[field])
+    kinds = F.array_sort(F.array_distinct(of("blank", "degenerate")))
+    files = lambda kind: of(F.filter("blank", lambda x: x["degenerate"] == kind), "rel")
+    counted = F.concat_ws(", ", F.transform(kinds, lambda k: F.concat_ws(" ", F.size(files(k)).cast("string"), k)))
+    by_type = F.map_from_entries(F.transform(kinds, lambda k: F.struct(k, files(k))))
     hint = F.lit("Black scans are often failed acquisitions, white ones overexposed or empty.")
-    return finding(all_, "warning", "degenerate_images", F.concat(F.format_string("%d image(s) carry no signal (", "n"), told, F.lit(").")), F.flatten(F.transform("kinds", lambda k: k["files"])), F.struct(by_type.alias("by_type"), hint.alias("hint")))
+    unread = F.format_string("%d image file(s) cannot be read; a loader would fail on them or skip them silently.", "n_corrupt")
+    unknown = F.format_string("%d image file(s) are of formats that no decoder here reads; they were not checked.", F.size("undecoded"))
+    empty = F.concat(F.format_string("%d image(s) carry no signal (", "n_degenerate"), counted, F.lit(")."))
+    return findings_of(row, [
+        (F.col("n_corrupt") > 0, told("error", "corrupt_files", unread, of("broken", "rel"), F.struct(F.map_from_entries("broken").alias("errors")))),
+        (F.size("undecoded") > 0, told("info", "undecoded_images", unknown, F.col("undecoded"))),
+        (F.col("n_degenerate") > 0, told("warning", "degenerate_images", empty, of("blank", "rel"), F.struct(by_type.alias("by_type"), hint.alias("hint")))),
+    ])
 
 
 def majority(rows: DataFrame, columns: tuple[str, ...], name: str) -> DataFrame:
@@ -64,7 +71,7 @@ def outliers(rows: DataFrame, columns: tuple[str, ...], name: str) -> DataFrame:
 
 def geometry(images: DataFrame) -> DataFrame:
     odd = outliers(images.where("ok"), GEOMETRY, "rel")
-    found = odd.groupBy("major_width", "major_height", "major_mode").agg(F.count("*").alias("n"), F.collect_list("rel").alias("files"), _map("rel", F.struct(*GEOMETRY)).alias("offenders"))
+    found = odd.groupBy("major_width", "major_height", "major_mode").agg(F.count("*").alias("n"), F.collect_list("rel").alias("files"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("rel", F.struct(*GEOMETRY))))).alias("offenders"))
     message = F.format_string("%d image(s) differ from the usual %dx%d, mode %s; resize or convert them before batching.", "n", "major_width", "major_height", "major_mode")
     major = F.struct(*[F.col(f"major_{c}").alias(c) for c in GEOMETRY])
     return finding(found, "warning", "geometry_mode_inconsistency", message, F.col("files"), F.struct(major.alias("majority"), "offenders"))
@@ -75,21 +82,19 @@ def duplicates(images: DataFrame, scratch: Scratch, threshold: int = 5) -> DataF
     members = scratch.keep(duplicate_members(images.where("ok").select("rel", "split", "dhash"), scratch, threshold))
     groups = group_summary(members).join(farthest(members, scratch), "component")
     leaks = groups.where(F.size("splits") > 1)
-    told = F.format_string("Leak: %d near-duplicate image(s) lie in several splits [%s] (largest Hamming distance %d); results measured on them are too good.", "group_size", F.concat_ws(", ", "splits"), "max_distance")
+    leak = F.format_string("Leak: %d near-duplicate image(s) lie in several splits [%s] (largest Hamming distance %d); results measured on them are too good.", "group_size", F.concat_ws(", ", "splits"), "max_distance")
     inside = groups.where(F.size("splits") == 1).withColumn("split", F.element_at("splits", 1))
     return union_all([
-        finding(leaks, "error", "cross_split_leakage", told, F.col("files"), F.struct("splits", "group_size")),
+        finding(leaks, "error", "cross_split_leakage", leak, F.col("files"), F.struct("splits", "group_size")),
         finding(inside, "warning", "near_duplicates_within_split", F.format_string("%d near-duplicate image(s) inside split '%s'; repeats bias training.", "group_size", "split"), F.col("files"), F.struct("split", "group_size")),
     ])
 
 
 def image_stats(images: DataFrame) -> DataFrame:
     """(n_files, n_ok, n_corrupt, n_degenerate, splits): one row."""
-    return images.agg(
-        F.count("*").alias("n_files"), F.count_if("ok").alias("n_ok"), F.count_if(broken()).alias("n_corrupt"),
-        F.count_if(F.col("degenerate").isNotNull()).alias("n_degenerate"), F.array_sort(F.collect_set("split")).alias("splits"),
-    )
+    return summary(images).select(*STATS)
 
 
-def image_findings(images: DataFrame, scratch: Scratch, threshold: int = 5) -> DataFrame:
-    return union_all([corrupt(images), undecoded(images), degenerate(images), geometry(images), duplicates(images, scratch, threshold)])
+def image_findings(images: DataFrame, scratch: Scratch, threshold: int = 5, row: DataFrame | None = None) -> DataFrame:
+    """All findings on images; ``row``: their ``summary``, where it has been made."""
+    return union_all([file_checks(summary(images) if row is None else row), geometry(images), duplicates(images, scratch, threshold)])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.columns import ratio4
 from gleaner.functions.imaging import facts
-from gleaner.operators.findings import finding, union_all
+from gleaner.operators.findings import finding, findings_of, told
 from gleaner.sources.image_folder import files_below, in_store
 from gleaner.sources.labels_csv import resolved
 
@@ -77,25 +77,33 @@ def with_state(labels: DataFrame, images: DataFrame, root: str) -> DataFrame:
     return rows.join(known, "abs", "left").join(looked, "abs", "left").select("filepath", "label", "lineno", "abs", state.alias("state"), F.coalesce("thumb16", "seen_thumb").alias("thumb16"))
 
 
-def label_findings(labels: DataFrame, stated: DataFrame, minority_ratio: float = MINORITY_RATIO) -> DataFrame:
-    def files(rows: DataFrame) -> DataFrame:
-        return rows.agg(F.count("*").alias("n"), F.collect_list("filepath").alias("files")).where("n > 0")
+def entry_checks(stated: DataFrame) -> DataFrame:
+    """Findings on paths that are labelled more than once, do not exist, or cannot be decoded: one pass over the labels with their state."""
+    per = stated.groupBy("filepath").agg(F.count("*").alias("n"), F.bool_or(F.col("state") == "missing").alias("missing"), F.bool_or(F.col("state") == "unreadable").alias("unreadable"))
+    named = lambda which: F.collect_list(F.when(which, F.col("filepath")))
+    row = per.agg(named(F.col("n") > 1).alias("again"), named(F.col("missing")).alias("missing"), named(F.col("unreadable")).alias("unreadable"))
+    parts = (
+        ("again", "warning", "duplicate_label_entries", "%d path(s) are labelled more than once."),
+        ("missing", "error", "missing_labeled_files", "%d labelled file(s) do not exist."),
+        ("unreadable", "warning", "unreadable_labeled_files", "%d labelled file(s) cannot be decoded."),
+    )
+    return findings_of(row, [(F.size(name) > 0, told(severity, check, F.format_string(text, F.size(name)), F.col(name))) for name, severity, check, text in parts])
+
 
-    again, col = files(repeated(labels)), F.col("files")
-    by_state = {s: files(stated.where(F.col("state") == s).select("filepath").distinct()) for s in ("missing", "unreadable")}
-    shares = class_distribution(labels)
+def share_checks(shares: DataFrame, minority_ratio: float = MINORITY_RATIO) -> DataFrame:
+    """Findings on rare classes, and the shares of all, of a ``class_distribution``."""
     percent = F.format_string("%.1f%%", F.bround(F.col("ratio") * 100, 1))
     rare = shares.where(F.col("ratio") < minority_ratio)
-    told = F.format_string(f"class '%s': %d of %d labels (%s), under {minority_ratio * 100:.0f}%%; consider stratified sampling, class weights or more data.", "label", "count", "total", percent)
+    message = F.format_string(f"class '%s': %d of %d labels (%s), under {minority_ratio * 100:.0f}%%; consider stratified sampling, class weights or more data.", "label", "count", "total", percent)
     rare_details = F.struct(F.col("label").alias("class"), "count", ratio4(F.col("count"), F.col("total")).alias("ratio"), F.lit(minority_ratio).alias("threshold"))
     parts = F.array_sort(F.collect_list(F.struct("label", "count", percent.alias("percent"), ratio4(F.col("count"), F.col("total")).alias("ratio"))))
     all_ = shares.agg(parts.alias("parts"))
     text = F.concat_ws(", ", F.transform("parts", lambda p: F.concat(p["label"], F.lit("="), p["count"].cast("string"), F.lit(" ("), p["percent"], F.lit(")"))))
     spread = F.map_from_entries(F.transform("parts", lambda p: F.struct(p["label"], F.struct(p["count"].alias("count"), p["ratio"].alias("ratio")))))
-    return union_all([
-        finding(again, "warning", "duplicate_label_entries", F.format_string("%d path(s) are labelled more than once.", "n"), col),
-        finding(by_state["missing"], "error", "missing_labeled_files", F.format_string("%d labelled file(s) do not exist.", "n"), col),
-        finding(by_state["unreadable"], "warning", "unreadable_labeled_files", F.format_string("%d labelled file(s) cannot be decoded.", "n"), col),
-        finding(rare, "warning", "class_imbalance", told, None, rare_details),
-        finding(all_, "info", "class_distribution", F.concat(F.lit("Class shares: "), text), None, F.struct(spread.alias("distribution"))),
-    ])
+    shown = finding(all_, "info", "class_distribution", F.concat(F.lit("Class shares: "), text), None, F.struct(spread.alias("distribution")))
+    return finding(rare, "warning", "class_imbalance", message, None, rare_details).unionByName(shown)
+
+
+def label_findings(labels: DataFrame, stated: DataFrame, minority_ratio: float = MINORITY_RATIO) -> DataFrame:
+    """All findings on label rows."""
+    return entry_checks(stated).unionByName(share_checks(class_distribution(labels), minority_ratio))

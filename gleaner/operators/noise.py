@@ -92,8 +92,9 @@ def noise_flags(rows: DataFrame, confidence: float = 0.80, cv_folds: int = 3, se
     rows, a class with one row, or one class only.
     """
     usable = rows.where(F.col("features").isNotNull())
-    info: dict = {"n_labeled_files": rows.count()}
-    counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
+    seen = rows.groupBy("label").agg(F.count("*").alias("rows"), F.count("features").alias("usable"), F.max(F.size("features")).alias("width")).collect()
+    info: dict = {"n_labeled_files": sum(r["rows"] for r in seen)}
+    counts = {r["label"]: r["usable"] for r in seen if r["usable"]}
     info["n_usable"] = sum(counts.values())
     if info["n_usable"] < MINIMUM:
         return None, info | {"skipped": "too few usable labelled images for cross-validation"}
@@ -105,7 +106,7 @@ def noise_flags(rows: DataFrame, confidence: float = 0.80, cv_folds: int = 3, se
     if len(classes) < 2:
         return None, info | {"skipped": "there is only one class"}
     info["cv_folds"] = folds
-    width = usable.select(F.max(F.size("features"))).first()[0]
+    width = max(r["width"] for r in seen if r["usable"])
     solve = out_of_fold_local if info["n_usable"] * width <= LOCAL_NUMBERS else out_of_fold
     judged = solve(stratified_folds(usable.select(*dict.fromkeys([key, "filepath", "label", "features"])), "label", key, folds, seed), classes, folds)
     flags = judged.where((F.col("predicted") != F.col("label")) & (F.col("confidence") >= confidence))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.components import forest
+from gleaner.operators.components import components, forest
 from gleaner.operators.groups import block_pairs, groups_of, two_sides
 from gleaner.sources.scratch import Scratch
 
@@ -129,11 +129,23 @@ def near_edges(hashes: DataFrame, threshold: int, bits: int, scratch: Scratch) -
     return met.mapInArrow(_forest(keys, threshold), "u long, v long")
 
 
+def near_components(hashes: DataFrame, threshold: int, bits: int, scratch: Scratch) -> DataFrame:
+    """(node, component) of the hashes (kept, distinct) that have a link; a component is its least hash."""
+    if threshold >= 1 and hashes.count() <= BLOCK:  # the forest of one block is the components
+        stars = block_pairs(hashes.select("hash"), [], F.lit(1), "hash").coalesce(1).mapInArrow(_forest(0, threshold), "u long, v long")
+        own = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))
+        return stars.select(F.explode(own).alias("x")).select("x.*").distinct()
+    return components(near_edges(hashes, threshold, bits, scratch), scratch)
+
+
 def farthest_apart(hashes: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """(key, max_distance): the largest distance between two of the ``hash`` values (distinct) of a group."""
     kept = scratch.keep(hashes.select(key, "hash"))
-    sizes = scratch.keep(kept.groupBy(key).agg(F.count("*").alias("n")))
-    dealt = block_pairs(kept.join(sizes, key), [key], F.ceil(F.col("n") / BLOCK).cast("int"), "hash")
+    if kept.count() <= BLOCK:  # no group is larger than a block
+        dealt = block_pairs(kept, [key], F.lit(1), "hash")
+    else:
+        sizes = scratch.keep(kept.groupBy(key).agg(F.count("*").alias("n")))
+        dealt = block_pairs(kept.join(sizes, key), [key], F.ceil(F.col("n") / BLOCK).cast("int"), "hash")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, 3):

@@ -8,10 +8,11 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.functions.columns import SEVERITY_WEIGHT
 from gleaner.operators import image_checks, label_checks, noise
-from gleaner.operators.findings import finding, ranked, score, union_all
+from gleaner.operators.findings import finding, ranked, union_all
 from gleaner.sources.image_folder import read_images
 from gleaner.sources.labels_csv import base_of, check_encoding, read_labels
 from gleaner.sources.scratch import Scratch
@@ -37,8 +38,9 @@ def audit_images(root: str, hash_threshold: int = 5, spark: SparkSession | None
     spark = spark or session()
     scratch = Scratch(spark)
     images = scratch.keep(read_images(spark, root, thumb_size, hash_size)) if images is None else images
-    stats = image_checks.image_stats(images).first().asDict()
-    return {"records": images, "findings": image_checks.image_findings(images, scratch, hash_threshold), "stats": stats}
+    row = image_checks.summary(images).collect()[0]
+    summed = spark.createDataFrame([row], image_checks.summary(images).schema)
+    return {"records": images, "findings": image_checks.image_findings(images, scratch, hash_threshold, summed), "stats": {k: row[k] for k in image_checks.STATS}}
 
 
 def analyze_labels(
@@ -60,20 +62,23 @@ def analyze_labels(
     check_encoding(labels)
     images = scratch.keep(read_images(spark, dataset_root, thumb_size)) if images is None else images
     stated = scratch.keep(label_checks.with_state(labels, images, dataset_root))
-    shares = label_checks.class_distribution(labels).collect()
-    findings, root = [label_checks.label_findings(labels, stated, minority_warn_ratio)], base_of(dataset_root) + "/"
+    spread = label_checks.class_distribution(labels)
+    shares, root = spread.collect(), base_of(dataset_root) + "/"
+    findings = [label_checks.entry_checks(stated), label_checks.share_checks(spark.createDataFrame(shares, spread.schema), minority_warn_ratio)]
     flags, info = [], {"skipped": "disabled"}
     if run_noise_check:
         first = noise.first_labels(stated).withColumnRenamed("thumb16", "features")
         rel = F.when(F.col("abs").startswith(root), F.substring(F.col("abs"), len(root) + 1, 1 << 30)).otherwise(F.col("abs"))
         found, info = noise.noise_flags(first.withColumn("filepath", rel), noise_confidence, cv_folds, seed)
         if found is not None:
-            found = scratch.keep(found)
-            flags = [r.asDict() for r in found.orderBy("filepath").collect()]
+            rows = sorted(found.collect())
+            flags = [r.asDict() for r in rows]
             info["n_flags"] = len(flags)
-            all_ = found.agg(F.count("*").alias("n"), F.collect_list("filepath").alias("files"), F.array_sort(F.collect_list(F.struct("filepath", "label", "predicted_label", "confidence"))).alias("flags")).where("n > 0")
-            note = F.lit("a hint for review; a flag does not prove a wrong label")
-            findings.append(finding(all_, "warning", "label_noise_suspects", F.format_string("%d label(s) that a cross-validated model contradicts with confidence; review them by hand.", "n"), F.col("files"), F.struct("flags", note.alias("note"))))
+            if flags:
+                all_ = spark.createDataFrame([(len(flags), rows)], T.StructType([T.StructField("n", T.LongType()), T.StructField("flags", T.ArrayType(found.schema))]))
+                note = F.lit("a hint for review; a flag does not prove a wrong label")
+                message = F.format_string("%d label(s) that a cross-validated model contradicts with confidence; review them by hand.", "n")
+                findings.append(finding(all_, "warning", "label_noise_suspects", message, F.col("flags.filepath"), F.struct("flags", note.alias("note"))))
     return {"rows": labels, "findings": union_all(findings), "counts": {r["label"]: r["count"] for r in shares}, "total": sum(r["count"] for r in shares), "noise": {"flags": flags, "info": info}}
 
 
@@ -87,14 +92,16 @@ def run_audit(
     if labels_csv:
         label = analyze_labels(dataset_root, labels_csv, noise_confidence=noise_confidence, run_noise_check=run_noise_check, spark=spark, images=image["records"])
         findings = findings.unionByName(label["findings"])
-    findings = Scratch(spark).keep(findings)
+    rows = _rows(findings)
+    severities = Counter(f["severity"] for f in rows)
     return {
         "dataset": base_of(dataset_root),
         "generated_utc": datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"),
         "image_stats": image["stats"],
         "label_stats": {k: label[k] for k in ("counts", "total", "noise")} if label else None,
-        "findings": _rows(findings),
-        **score(findings).first().asDict(),
+        "findings": rows,
+        "health_score": health_score(rows),
+        **{f"n_{plural}": severities[severity] for severity, plural in (("error", "errors"), ("warning", "warnings"), ("info", "info"))},
     }
 
 
