@@ -29,7 +29,7 @@ def first_labels(labels: DataFrame, key: str = "abs") -> DataFrame:
 
 def stratified_folds(rows: DataFrame, label: str, key: str, folds: int, seed: int) -> DataFrame:
     """``fold``: each class is shuffled by a hash of its keys and dealt in turn."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    order = Window.partitionBy(label).orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key)
     return rows.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
 
 

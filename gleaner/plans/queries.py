@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.columns import ratio4, sequence_dhash, severity_rank, shortened, split_of
+from gleaner.functions.columns import listed, ratio4, sequence_dhash, severity_rank, shortened, split_of, stripped
 from gleaner.operators import image_checks, label_checks, noise
 from gleaner.operators.components import components
 from gleaner.operators.duplicates import duplicate_members, farthest, group_summary
 from gleaner.operators.findings import finding, flattened, score, union_all
 from gleaner.operators.similarity import close_hashes, distinct_hashes
+from gleaner.operators.tables import file_findings
+from gleaner.sources.image_folder import with_derived
 from gleaner.sources.scratch import Scratch
 
 DIMENSIONS, BITS, NEAR = 64, 63, 16
@@ -191,6 +193,72 @@ def set_subset(spark, sf_dir):
     return rest.agg((F.count("*") == 0).alias("is_subset"), F.count("*").alias("n_outside"))
 
 
+def _scanned(spark, sf_dir):
+    """Documents as a scan of image files: what lengths and languages say stands for what a decoder would."""
+    n, top = F.col("n_chars"), F.when(F.col("lang") == "en", "Train").when(F.col("lang") == "de", "test").otherwise("more")
+    ok = n >= 100
+    low = F.when(n <= 140, 0).when(n <= 180, 7).when(n > 15000, 255).otherwise(0)
+    high = F.when(n <= 140, 0).when(n <= 180, 7).otherwise(255)
+    images = _table(spark, sf_dir, "documents").select(
+        F.concat(top, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("rel"), ok.alias("ok"), F.when(n < 50, "UnsupportedFormat: short").when(~ok, "CorruptImage: short").alias("error"),
+        F.when(n >= 50, ok).alias("decodable"), F.when(n > 8000, 64).otherwise(96).alias("width"), F.lit(96).alias("height"), F.lit("RGB").alias("mode"),
+        F.when(ok, low).alias("pmin"), F.when(ok, high).alias("pmax"), F.lit(None).cast("long").alias("dhash"),
+    )
+    return with_derived(images)
+
+
+def _joined(findings):
+    return findings.withColumn("files", F.concat_ws(",", "files"))
+
+
+def scan_stats(spark, sf_dir):
+    return image_checks.image_stats(_scanned(spark, sf_dir)).withColumn("splits", F.concat_ws(",", "splits"))
+
+
+def scan_findings(spark, sf_dir):
+    """Broken, undecoded, blank and odd files of a scan, with their details."""
+    images = _scanned(spark, sf_dir)
+    return _joined(image_checks.file_checks(image_checks.summary(images)).unionByName(image_checks.geometry(images)))
+
+
+def long_findings(spark, sf_dir):
+    """The same file by file."""
+    return file_findings(_scanned(spark, sf_dir), Scratch(spark)).select("severity", "check", "file")
+
+
+def near_findings(spark, sf_dir):
+    """Groups of near-duplicate vectors, as leaks between classes or repeats inside one."""
+    images = _hashed(spark, sf_dir).select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("rel"), F.col("label").cast("string").alias("split"), "dhash", F.lit(True).alias("ok"))
+    return _joined(image_checks.duplicates(images, Scratch(spark), NEAR))
+
+
+def entry_findings(spark, sf_dir):
+    """Conversations as label rows: one with several turns is labelled twice, a short turn cannot be decoded, one by the system is missing."""
+    state = F.when(F.col("role") == "system", "missing").when(F.length("text") < 20, "unreadable").otherwise("usable")
+    rows = _table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("filepath"), state.alias("state"))
+    return _joined(label_checks.entry_checks(rows))
+
+
+def share_findings(spark, sf_dir):
+    return label_checks.share_checks(label_checks.class_distribution(_classes(spark, sf_dir))).select("severity", "check", "message")
+
+
+def finding_lines(spark, sf_dir):
+    """Findings as a terminal shows them."""
+    return _findings(spark, sf_dir).select("severity", "check", shortened(F.col("message"), 40).alias("message"), listed(F.col("files"), 2, " and %d more").alias("files"))
+
+
+def trimmed_turns(spark, sf_dir):
+    text = stripped(F.col("text"))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.cast("binary")).alias("digest"), F.length(text).alias("n"))
+
+
+def dealt_folds(spark, sf_dir):
+    """Stratified folds of the vectors by class."""
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("filepath"), "label")
+    return noise.stratified_folds(rows, "label", "filepath", 3, 7)
+
+
 def noise_flags(spark, sf_dir):
     """Vectors whose class a cross-validated model contradicts (threshold 0: every disagreement)."""
     e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("filepath"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("features"))
@@ -218,6 +286,23 @@ _F = (
     "UNION ALL SELECT 'info', 'class_distribution', 'shares: ' || string_agg(label || '=' || count, ', ' ORDER BY label), [] FROM g)"
 )
 
+_I = (
+    "WITH i AS (SELECT CASE lang WHEN 'en' THEN 'Train' WHEN 'de' THEN 'test' ELSE 'more' END || '/' || doc_id || '.png' AS rel, CASE lang WHEN 'en' THEN 'train' WHEN 'de' THEN 'test' ELSE 'all' END AS split, "
+    "n_chars >= 100 AS ok, n_chars < 50 AS unknown, CASE WHEN n_chars < 100 THEN NULL WHEN n_chars <= 140 THEN 'all_black' WHEN n_chars <= 180 THEN 'constant' WHEN n_chars > 15000 THEN 'all_white' END AS kind, "
+    "CASE WHEN n_chars > 8000 THEN 64 ELSE 96 END AS width FROM documents), "
+    "j AS (SELECT width AS major FROM i WHERE ok GROUP BY width ORDER BY count(*) DESC, min(rel) LIMIT 1), o AS (SELECT i.*, major FROM i, j WHERE ok AND width <> major), "
+    "k AS (SELECT kind, count(*) AS n, list(rel ORDER BY rel) AS files FROM i WHERE kind IS NOT NULL GROUP BY kind)"
+)
+_N = (
+    _H + ", y AS (SELECT a.component, max(bit_count(xor(a.dhash, b.dhash))) AS far FROM m a JOIN m b ON a.component = b.component GROUP BY a.component), "
+    "z AS (SELECT component, count(*) AS n, array_to_string(list_sort(list('v' || vec_id)), ',') AS files, list_sort(list(DISTINCT label::VARCHAR)) AS splits, any_value(far) AS far FROM m JOIN embeddings USING (vec_id) JOIN y USING (component) GROUP BY component)"
+)
+_E = (
+    "WITH p AS (SELECT 'c' || conv_id AS f, count(*) AS n, bool_or(role = 'system') AS missing, bool_or(role IS DISTINCT FROM 'system' AND length(text) < 20) AS unreadable FROM conversations GROUP BY conv_id), "
+    "q AS (SELECT 'warning' AS severity, 'duplicate_label_entries' AS \"check\", 'path(s) are labelled more than once.' AS told, f FROM p WHERE n > 1 "
+    "UNION ALL SELECT 'error', 'missing_labeled_files', 'labelled file(s) do not exist.', f FROM p WHERE missing UNION ALL SELECT 'warning', 'unreadable_labeled_files', 'labelled file(s) cannot be decoded.', f FROM p WHERE unreadable)"
+)
+
 #: Query -> SQL; none for the model, whose optimiser SQL does not have.
 ORACLES = {
     "class_distribution": _L + " SELECT label, count, total, CAST(round_even(CAST(count AS DOUBLE) / total, 4) AS DOUBLE) AS ratio FROM g",
@@ -250,6 +335,30 @@ ORACLES = {
     "severity_counts": _F + ' SELECT severity, "check", count(*) AS n FROM f GROUP BY severity, "check"',
     "findings_sorted_topk": _F + " SELECT CAST(CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS INT) AS severity_rank, \"check\", CASE WHEN length(message) > 90 THEN substr(message, 1, 87) || '...' ELSE message END AS message, array_to_string(files[1:4], ', ') AS files FROM f ORDER BY 1, 2, 3 LIMIT 10",
     "flattened_files": _F + ' SELECT "check", count(DISTINCT file) AS n_files, bool_or(file = \'src0\') AS names_src0 FROM (SELECT "check", unnest(files) AS file FROM f) GROUP BY "check"',
+    "scan_stats": _I + " SELECT count(*) AS n_files, count_if(ok)::BIGINT AS n_ok, count_if(NOT ok AND NOT unknown)::BIGINT AS n_corrupt, count_if(kind IS NOT NULL)::BIGINT AS n_degenerate, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits FROM i",
+    "scan_findings": (
+        _I + " SELECT severity, \"check\", message, files, details FROM (SELECT 'error' AS severity, 'corrupt_files' AS \"check\", count(*) || ' image file(s) cannot be read; a loader would fail on them or skip them silently.' AS message, string_agg(rel, ',' ORDER BY rel) AS files, "
+        "to_json({'errors': map(list(rel ORDER BY rel), list('CorruptImage: short' ORDER BY rel))})::VARCHAR AS details, count(*) AS n FROM i WHERE NOT ok AND NOT unknown "
+        "UNION ALL SELECT 'info', 'undecoded_images', count(*) || ' image file(s) are of formats that no decoder here reads; they were not checked.', string_agg(rel, ',' ORDER BY rel), '{}', count(*) FROM i WHERE unknown "
+        "UNION ALL SELECT 'warning', 'degenerate_images', sum(n)::BIGINT || ' image(s) carry no signal (' || string_agg(n || ' ' || kind, ', ' ORDER BY kind) || ').', array_to_string(list_sort(flatten(list(files))), ','), "
+        "to_json({'by_type': map(list(kind ORDER BY kind), list(files ORDER BY kind)), 'hint': 'Black scans are often failed acquisitions, white ones overexposed or empty.'})::VARCHAR, sum(n)::BIGINT FROM k "
+        "UNION ALL SELECT 'warning', 'geometry_mode_inconsistency', count(*) || ' image(s) differ from the usual ' || any_value(major) || 'x96, mode RGB; resize or convert them before batching.', string_agg(rel, ',' ORDER BY rel), "
+        "to_json({'majority': {'width': any_value(major), 'height': 96, 'mode': 'RGB'}, 'offenders': map(list(rel ORDER BY rel), list({'width': width, 'height': 96, 'mode': 'RGB'} ORDER BY rel))})::VARCHAR, count(*) FROM o) WHERE n > 0"
+    ),
+    "long_findings": _I + " SELECT 'error' AS severity, 'corrupt_files' AS \"check\", rel AS file FROM i WHERE NOT ok AND NOT unknown UNION ALL SELECT 'info', 'undecoded_images', rel FROM i WHERE unknown UNION ALL SELECT 'warning', 'degenerate_images', rel FROM i WHERE kind IS NOT NULL UNION ALL SELECT 'warning', 'geometry_mode_inconsistency', rel FROM o",
+    "near_findings": (
+        _N + " SELECT 'error' AS severity, 'cross_split_leakage' AS \"check\", 'Leak: ' || n || ' near-duplicate image(s) lie in several splits [' || array_to_string(splits, ', ') || '] (largest Hamming distance ' || far || '); results measured on them are too good.' AS message, files, "
+        "to_json({'splits': splits, 'group_size': n})::VARCHAR AS details FROM z WHERE len(splits) > 1 "
+        "UNION ALL SELECT 'warning', 'near_duplicates_within_split', n || ' near-duplicate image(s) inside split ''' || splits[1] || '''; repeats bias training.', files, to_json({'split': splits[1], 'group_size': n})::VARCHAR FROM z WHERE len(splits) = 1"
+    ),
+    "entry_findings": _E + " SELECT severity, \"check\", count(*) || ' ' || told AS message, string_agg(f, ',' ORDER BY f) AS files, '{}' AS details FROM q GROUP BY severity, \"check\", told",
+    "share_findings": (
+        _L + " SELECT 'warning' AS severity, 'class_imbalance' AS \"check\", 'class ''' || label || ''': ' || count || ' of ' || total || ' labels (' || printf('%.1f%%', round_even(CAST(count AS DOUBLE) / total * 100, 1)) || '), under 5%; consider stratified sampling, class weights or more data.' AS message FROM g WHERE count / total < 0.05 "
+        "UNION ALL SELECT 'info', 'class_distribution', 'Class shares: ' || string_agg(label || '=' || count || ' (' || printf('%.1f%%', round_even(CAST(count AS DOUBLE) / total * 100, 1)) || ')', ', ' ORDER BY label) FROM g"
+    ),
+    "finding_lines": _F + " SELECT severity, \"check\", CASE WHEN length(message) > 40 THEN substr(message, 1, 37) || '...' ELSE message END AS message, array_to_string(files[1:2], ', ') || CASE WHEN len(files) > 2 THEN ' and ' || (len(files) - 2) || ' more' ELSE '' END AS files FROM f",
+    "trimmed_turns": "SELECT conv_id, turn, md5(t) AS digest, CAST(length(t) AS INT) AS n FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '^[\\s\\p{Z}\\x1c-\\x1f]+', ''), '[\\s\\p{Z}\\x1c-\\x1f]+$', '') AS t FROM conversations)",
+    "dealt_folds": "SELECT vec_id::VARCHAR AS filepath, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || ':7'), vec_id::VARCHAR) - 1) % 3 AS INT) AS fold FROM embeddings",
     "set_intersect": "SELECT doc_id FROM labels WHERE quality = 1 INTERSECT SELECT doc_id FROM labels WHERE toxic = 1",
     "set_subset": "SELECT count(*) = 0 AS is_subset, count(*) AS n_outside FROM (SELECT doc_id FROM labels WHERE toxic = 1 EXCEPT SELECT doc_id FROM documents)",
 }
@@ -257,5 +366,5 @@ ORACLES = {
 QUERIES = {f.__name__: f for f in (
     class_distribution, class_imbalance, duplicate_entries, exact_leakage, within_split_dups, missing_entries, labelled_semi, degenerate_docs, majority_lang, lang_outliers, first_label_per_key,
     embedding_dhash, hamming_pairs, dup_components, dup_component_spread, linked_parts, split_of_url, split_of_path, pixel_minmax, health_score, severity_counts, findings_sorted_topk,
-    flattened_files, set_intersect, set_subset, noise_flags,
+    flattened_files, scan_stats, scan_findings, long_findings, near_findings, entry_findings, share_findings, finding_lines, trimmed_turns, dealt_folds, set_intersect, set_subset, noise_flags,
 )}
