@@ -221,8 +221,8 @@ class Sparse(Hashes):
 
 #: The probability of a character no model has seen, before any weight.
 BASE = 1.0 / 65536
-#: Numbers of a block of grams times languages that are worked on together.
-CELLS = 1 << 21
+#: Numbers of a block of grams times languages that are worked on together, and log-probabilities of frequent grams kept ready.
+CELLS, READY = 1 << 21, 1 << 19
 
 
 class Model:
@@ -237,6 +237,11 @@ class Model:
         self.lam0 = np.array([p["lam0"] for p in per])
         self.direct = {o: Sparse([(p["keys"][o], p["direct"][o]) for p in per]) for o in (1, 2, 3, 4)}
         self.weight = {o: Sparse([(p["contexts"][o], p["weight"][o]) for p in per]) for o in (1, 2, 3)}
+        # The most frequent grams' numbers are worked out once; all others' when they are met.
+        keys, place = np.unique(np.concatenate([k for k, _ in counts]), return_inverse=True)
+        often = np.bincount(place, np.concatenate([n for _, n in counts]))
+        head = keys[np.argsort(-often, kind="stable")[: READY // len(langs)]]
+        self.head = Table(head, self.logs(head))
 
     @staticmethod
     def _smoothed(keys: np.ndarray, n: np.ndarray) -> dict:
@@ -279,10 +284,15 @@ class Model:
         n = len(sizes)
         total = np.zeros((n, len(self.langs)))
         if len(g):
-            different, place = np.unique(g, return_inverse=True)
-            logs, ends = self.logs(different), np.minimum(np.cumsum(sizes) - sizes, len(g) - 1)
+            at, found = self.head.find(g)
+            rest = np.flatnonzero(~found)
+            different, place = np.unique(g[rest], return_inverse=True)
+            logs, ends = self.logs(different).astype(np.float32), np.minimum(np.cumsum(sizes) - sizes, len(g) - 1)
+            at[rest] = 0
             for l in range(len(self.langs)):
-                total[:, l] = np.add.reduceat(logs[place, l], ends)
+                each = self.head.values[at, l] if len(self.head.values) else np.zeros(len(g), np.float32)
+                each[rest] = logs[place, l]
+                total[:, l] = np.add.reduceat(each, ends, dtype=np.float64)
         sizes = _characters(raw, offsets, chars, bounds, sizes)
         return -total / np.maximum(sizes, 1)[:, None], sizes
 
