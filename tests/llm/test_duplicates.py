@@ -58,7 +58,7 @@ def near_rows(seed=1):
 SPLIT = {"LIST_ROWS": 3, "GROUP_ROWS": 4, "GROUP_SHINGLES": 150}
 
 
-@pytest.mark.parametrize(("size", "how"), [(4, {}), (5, {}), (4, {"LIST_ROWS": 3}), (4, {"GROUP_SHINGLES": 150}), (4, SPLIT), (5, SPLIT)])
+@pytest.mark.parametrize(("size", "how"), [(4, {}), (5, {}), (4, {"LIST_ROWS": 3}), (4, SPLIT)])
 def test_near_duplicates(spark, size, how, monkeypatch):
     """All links, into however many blocks posting lists and groups are split."""
     for name, value in how.items():
