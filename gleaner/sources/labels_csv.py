@@ -59,7 +59,9 @@ def resolved(filepath: Column, root: str) -> Column:
 
 
 def find_labels(dataset: str, labels: str | None) -> str | None:
-    """The label file to use: the one named (in the dataset, else as given), else <dataset>/labels.csv if there."""
+    """The label file to use: the one named (in the dataset, else as given; one in a store as given), else <dataset>/labels.csv if there."""
+    if labels and "://" in labels:
+        return labels
     if labels:
         inside = labels if os.path.isabs(labels) else os.path.join(dataset, labels)
         for path in (inside, labels):

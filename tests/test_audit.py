@@ -171,6 +171,7 @@ def test_find_labels(tmp_path, monkeypatch):
     assert find_labels(str(tmp_path), None) is None
     (tmp_path / "labels.csv").write_text("x")
     assert find_labels(str(tmp_path), None) == str(tmp_path / "labels.csv") == find_labels(str(tmp_path), "labels.csv")
+    assert find_labels("s3a://bucket/set", "s3a://bucket/set/l.csv") == "s3a://bucket/set/l.csv"
     with pytest.raises(SystemExit, match="not found"):
         find_labels(str(tmp_path), "other.csv")
 
