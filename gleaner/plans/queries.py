@@ -124,9 +124,10 @@ def dup_component_spread(spark, sf_dir):
 def linked_parts(spark, sf_dir):
     """Connected components of parts that share an order, over all lines: each part is linked to its order's least."""
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").where("l_orderkey is not null and l_partkey is not null")
-    least = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("u"))
+    scratch = Scratch(spark)
+    least = scratch.keep(lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("u")))  # written, so that the join may split a large order
     edges = lines.join(least, "l_orderkey").select("u", F.col("l_partkey").alias("v")).where("u <> v").distinct()
-    return components(edges, Scratch(spark)).select("node", "component")
+    return components(edges, scratch).select("node", "component")
 
 
 def split_of_url(spark, sf_dir):
