@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -433,13 +434,18 @@ def limit_of(spread: pd.DataFrame, length: int, quantile: float) -> float:
     return ranked(low) + (ranked(min(low + 1, int(ends[-1]) - 1)) - ranked(low)) * (place - low)
 
 
-def _whole(langs: list[str], got: pd.DataFrame) -> Model:
-    """A model from collected counts (lang, gram, n), summed over rows of one gram."""
-    counts, parts = [], dict(list(got.groupby("lang")))
-    for lang in langs:
-        keys, place = np.unique(parts[lang]["gram"].to_numpy(np.int64).view(U64), return_inverse=True)
-        counts.append((keys, np.bincount(place, parts[lang]["n"].to_numpy()).astype(np.int64)))
-    return Model(langs, counts)
+def _by_language(got: pa.Table, langs: list[str], half: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(grams, counts) of each of the languages from collected counts (half, lang, gram, n): of one half, or summed over both."""
+    if half is not None:
+        got = got.filter(pc.equal(got["half"], half))
+    code = pc.index_in(got["lang"], pa.array(langs, pa.string())).to_numpy()
+    order = np.argsort(code, kind="stable")
+    bounds = np.searchsorted(code[order], np.arange(len(langs) + 1))
+    grams, n, out = got["gram"].to_numpy()[order].view(U64), got["n"].to_numpy()[order], []
+    for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+        keys, place = np.unique(grams[i:j], return_inverse=True)
+        out.append((keys, np.bincount(place, n[i:j]).astype(np.int64)))
+    return out
 
 
 def _spread(seen: DataFrame) -> pd.DataFrame:
@@ -465,7 +471,7 @@ def _judged_by(models: list[Model], rows: DataFrame) -> DataFrame:
     return rows.select("half", "lang", "text").mapInArrow(tidy(judged), "size long, bits double")
 
 
-def fit(docs: DataFrame, folds: int = 5, held: int = 0, capacity: int = 2_000_000, quantile: float = 0.9995, slack: float = 1.1, scratch: Scratch | None = None) -> Model | LargeModel:
+def fit(docs: DataFrame, folds: int = 5, held: int = 0, capacity: int = 1_000_000, quantile: float = 0.9995, slack: float = 1.1, scratch: Scratch | None = None) -> Model | LargeModel:
     """Models from all rows with text and lang outside the held-out remainder."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -482,9 +488,9 @@ def fit(docs: DataFrame, folds: int = 5, held: int = 0, capacity: int = 2_000_00
             return Model([], [])
         langs, halves = sorted({lang for _, lang in found}), [sorted(lang for h, lang in found if h == half) for half in (0, 1)]
         if sum(found.values()) <= capacity:
-            got = counted.toPandas()
-            model = _whole(langs, got)
-            spread = _spread(_judged_by([_whole(halves[h], got[got["half"] == h]) for h in (0, 1)], rows))
+            got = counted.toArrow()
+            spread = _spread(_judged_by([Model(halves[h], _by_language(got, halves[h], h)) for h in (0, 1)], rows))
+            model = Model(langs, _by_language(got, langs))
         else:
             merged = work.keep(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
             model, parts = LargeModel(langs, merged, capacity, scratch), []
