@@ -1,9 +1,9 @@
 """Image folders as DataFrames of facts: one row per image file, decoded once.
 
-``ImageFolder`` is a batch data source for a mounted folder.  It lists hidden names, empty files and
+``read_images`` reads a mounted folder; ``ImageFolder`` is the same as a batch data source.  Both list hidden names, empty files and
 upper-case extensions, which Spark's own file sources skip; directory links are not followed.  The
 driver lists ``LISTED`` entries, breadth first; folders it has not come to are listed by the tasks that read them.
-``facts_of`` makes the same rows from any (path, content) table; ``read_images`` takes it with Spark's
+``facts_of`` makes the same rows from any (path, content) table; it is taken with Spark's
 ``binaryFile`` for roots that name a store (``scheme://``).  An unreadable file is a row with its error, never a failed task.
 """
 
@@ -101,18 +101,23 @@ class _Reader(DataSourceReader):
         return [*out, _Share(held, [])] if held or not out else out
 
     def read(self, partition: _Share) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for path, size in partition.all_files():
-            rel = os.path.relpath(path, self.root).replace(os.sep, "/")
-            try:
-                with open(path, "rb") as f:
-                    rows.append(_row(path, rel, f.read(), size, self.thumb, self.hash_size))
-            except OSError as e:
-                rows.append(_row(path, rel, None, size, error=f"Unreadable: {type(e).__name__}"))
-            if len(rows) == 256:
-                yield pa.RecordBatch.from_pylist(rows, _ARROW)
-                rows = []
-        yield pa.RecordBatch.from_pylist(rows, _ARROW)
+        return _facts(partition.all_files(), self.root, self.thumb, self.hash_size)
+
+
+def _facts(files: Iterator[tuple[str, int]], root: str, thumb: int, hash_size: int) -> Iterator[pa.RecordBatch]:
+    """``RAW`` rows of the files, read and decoded one by one."""
+    rows = []
+    for path, size in files:
+        rel = os.path.relpath(path, root).replace(os.sep, "/")
+        try:
+            with open(path, "rb") as f:
+                rows.append(_row(path, rel, f.read(), size, thumb, hash_size))
+        except OSError as e:
+            rows.append(_row(path, rel, None, size, error=f"Unreadable: {type(e).__name__}"))
+        if len(rows) == 256:
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+            rows = []
+    yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
 class ImageFolder(DataSource):
@@ -151,8 +156,20 @@ def read_images(spark: SparkSession, root: str, thumb: int = 16, hash_size: int
     """
     if in_store(root):
         return facts_of(files_below(spark, root), root, thumb, hash_size)
-    spark.dataSource.register(ImageFolder)
-    return with_derived(spark.read.format("gleaner_images").option("thumb", thumb).option("hashSize", hash_size).load(os.path.abspath(root)))
+    # What the data source would read in its partitions, dealt to more tasks and without the processes that plan it.
+    root = os.path.abspath(root)
+    shares = _Reader(root, thumb, hash_size, LISTED).partitions()
+    found = [(path, size, False) for s in shares for path, size in s.files] + [(folder, 0, True) for s in shares for folder in s.folders]
+    listed = spark.createDataFrame(found, "path string, size long, folder boolean")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths, sizes, folders = (c.to_pylist() for c in b.columns)
+            files = [(p, n) for p, n, folder in zip(paths, sizes, folders, strict=True) if not folder]
+            yield from _facts(_Share(files, [p for p, folder in zip(paths, folders, strict=True) if folder]).all_files(), root, thumb, hash_size)
+
+    tasks = max(len(shares), min(spark.sparkContext.defaultParallelism, len(found)), 1)
+    return with_derived(listed.repartition(tasks).mapInArrow(read, RAW))
 
 
 def facts_of(contents: DataFrame, root: str, thumb: int = 16, hash_size: int = 8) -> DataFrame:

@@ -68,13 +68,17 @@ def test_formats_without_a_decoder_are_not_broken(spark, tmp_path):
     assert rows == {"undecoded_images": "train/b.webp"}
 
 
-def test_deep_folders_are_listed_by_tasks(spark, tmp_path):
+def test_deep_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
     for i in range(30):
         put(tmp_path, f"train/{i % 3}/deep{i}/more/{i}.png", textured(60 + i, 12))
     os.symlink(tmp_path / "train/0", tmp_path / "train/link.png")
     spark.dataSource.register(image_folder.ImageFolder)
-    every = {r["rel"] for r in read_images(spark, str(tmp_path)).collect()}
-    assert len(every) == 30
+    rows = {r["rel"]: r["dhash"] for r in read_images(spark, str(tmp_path)).collect()}
+    every = set(rows)
+    assert len(every) == 30 and read_images(spark, str(tmp_path / "train/0/deep0")).count() == 1
+    assert rows == {r["rel"]: r["dhash"] for r in spark.read.format("gleaner_images").load(str(tmp_path)).collect()}
+    monkeypatch.setattr(image_folder, "LISTED", 5)
+    assert {r["rel"]: r["dhash"] for r in read_images(spark, str(tmp_path)).collect()} == rows
     for listed in (1, 5, 20):
         some = spark.read.format("gleaner_images").option("listed", listed).load(str(tmp_path))
         assert {r["rel"] for r in some.collect()} == every and (listed == 1 or some.rdd.getNumPartitions() > 1)
