@@ -388,8 +388,7 @@ class LargeModel:
         rest = part.select("_row", F.explode(F.arrays_zip("grams", "times")).alias("x")).select("_row", F.col("x.grams").alias("gram"), F.col("x.times").alias("times"))
         different = self.scratch.keep(rest.groupBy("gram").agg(F.count("*").alias("n")))
         known = self.scratch.keep(self.resolved(different.select("gram")).join(different, "gram"))
-        sums = join_counted(rest, known, "gram").select("_row", "times", F.posexplode("bits").alias("lang", "b")).groupBy("_row", "lang").agg(F.sum(F.col("b") * F.col("times")).alias("b"))
-        more = sums.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("lang", "b"))), lambda y: y["b"]).alias("more"))
+        more = join_counted(rest, known, "gram").groupBy("_row").agg(F.array(*[F.sum(F.col("bits")[l] * F.col("times")) for l in range(L)]).alias("more"))
         total = F.zip_with("sums", "more", lambda a, b: a + F.coalesce(b, F.lit(0.0)))
         bits = F.transform(F.when(F.col("more").isNull(), F.col("sums")).otherwise(total), lambda a: -a / F.greatest(F.col("size"), F.lit(1)))
         return part.join(more, "_row", "left").select("_row", "size", bits.alias("bits"))
